@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing
+from . import line_dedup, mixing, packing, url_filter
 from .common import table
 
 
@@ -10,14 +10,25 @@ def op2_mixing(spark, sf_dir):
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_url_filter(spark, sf_dir):
+    return url_filter.digest(table(spark, sf_dir, "pages"))
+
+
 def op5_line_dedup(spark, sf_dir):
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark, sf_dir):
+    return packing.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op4_url_filter": op4_url_filter,
     "op5_line_dedup": op5_line_dedup,
+    "op6_packing": op6_packing,
 }
 ORACLES = {
+    "op4_url_filter": url_filter.ORACLE,
     "op5_line_dedup": line_dedup.ORACLE,
 }

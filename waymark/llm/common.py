@@ -62,10 +62,10 @@ def release() -> None:
 atexit.register(release)
 
 
-def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+def written(df: DataFrame, name: str, *partition_by: str, codec: str = "zstd") -> DataFrame:
     """df as a Parquet table in the shared folder, read back: cuts lineage and survives lost executors."""
     path = new_path(df.sparkSession, name)
-    out = df.write.option("compression", "zstd")
+    out = df.write.option("compression", codec)
     (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

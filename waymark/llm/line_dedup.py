@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import BLANKS, LAST_ID, hash2, lower_ascii, new_path, remove, written
 
 MIN_CHARS, BATCHES, FANOUT, BUCKETS = 10, 4, 3, 48
+#: Hashes do not compress; a codec would only hold native buffers for every open file.
+CODEC = "uncompressed"
 
 
 def line_key(line):
@@ -37,7 +39,7 @@ class LineRuns:
         name, path = f"line_run_{uuid.uuid4().hex[:12]}", new_path(self.spark, "run")
         (
             keys.select("a", "b").repartition(self.buckets, "a", "b")
-            .write.bucketBy(self.buckets, "a", "b").sortBy("a", "b").option("path", path).saveAsTable(name)
+            .write.bucketBy(self.buckets, "a", "b").sortBy("a", "b").option("compression", CODEC).option("path", path).saveAsTable(name)
         )
         return name, path
 
@@ -88,12 +90,12 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BA
         .select("did", "th", "pos", hash2(F.col("key")).alias("h"), batch.alias("batch"))
         .select("did", "th", "pos", "h.a", "h.b", "batch")
     )
-    lines = written(lines, "lines", "batch")
+    lines = written(lines, "lines", "batch", codec=CODEC)
     runs, drops = LineRuns(spark, buckets, fanout), []
     for k in range(len(cuts) + 1):
         mine = lines.where(F.col("batch") == k)
-        keys = written(mine.groupBy("a", "b").agg(F.min("did").alias("owner"), F.max("did").alias("last")), "keys")
-        new = written(runs.unseen(keys), "new") if runs.runs else keys
+        keys = written(mine.groupBy("a", "b").agg(F.min("did").alias("owner"), F.max("did").alias("last")), "keys", codec=CODEC)
+        new = written(runs.unseen(keys), "new", codec=CODEC) if runs.runs else keys
         twice = new.where("owner < last").select("a", "b", "owner")
         if runs.runs:  # what a run holds already has no owner in this batch
             old = keys.select("a", "b").join(new.select("a", "b"), ["a", "b"], "left_anti")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, packing, url_filter
+from . import html_extract, line_dedup, mixing, packing, substring_dedup, url_filter
 from .common import table
 
 
+def op1_html_extract(spark, sf_dir):
+    return html_extract.digest(table(spark, sf_dir, "pages"))
+
+
 def op2_mixing(spark, sf_dir):
     return mixing.digest(table(spark, sf_dir, "documents"))
 
@@ -22,11 +26,17 @@ def op6_packing(spark, sf_dir):
     return packing.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark, sf_dir):
+    return substring_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_html_extract": op1_html_extract,
     "op2_mixing": op2_mixing,
     "op4_url_filter": op4_url_filter,
     "op5_line_dedup": op5_line_dedup,
     "op6_packing": op6_packing,
+    "op7_substring_dedup": op7_substring_dedup,
 }
 ORACLES = {
     "op4_url_filter": url_filter.ORACLE,

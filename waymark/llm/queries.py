@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_extract, line_dedup, mixing, packing, substring_dedup, url_filter
+from . import html_extract, language_id, line_dedup, mixing, packing, substring_dedup, url_filter
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op7_substring_dedup(spark, sf_dir):
     return substring_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark, sf_dir):
+    return language_id.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_html_extract": op1_html_extract,
     "op2_mixing": op2_mixing,
@@ -37,6 +41,7 @@ QUERIES = {
     "op5_line_dedup": op5_line_dedup,
     "op6_packing": op6_packing,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_language_id": op8_language_id,
 }
 ORACLES = {
     "op4_url_filter": url_filter.ORACLE,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_extract, language_id, line_dedup, mixing, packing, substring_dedup, url_filter
+from . import html_extract, language_id, line_dedup, mixing, near_dedup, packing, substring_dedup, url_filter
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op2_mixing(spark, sf_dir):
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_minhash_near_dedup(spark, sf_dir):
+    return near_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_url_filter(spark, sf_dir):
     return url_filter.digest(table(spark, sf_dir, "pages"))
 
@@ -37,6 +41,7 @@ def op8_language_id(spark, sf_dir):
 QUERIES = {
     "op1_html_extract": op1_html_extract,
     "op2_mixing": op2_mixing,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_url_filter": op4_url_filter,
     "op5_line_dedup": op5_line_dedup,
     "op6_packing": op6_packing,

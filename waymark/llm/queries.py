@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_extract, language_id, line_dedup, mixing, near_dedup, packing, substring_dedup, url_filter
+from . import embedding_dedup, html_extract, language_id, line_dedup, mixing, near_dedup, packing, substring_dedup, url_filter
 from .common import table
 
 
@@ -38,6 +38,10 @@ def op8_language_id(spark, sf_dir):
     return language_id.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_embedding_near_dedup(spark, sf_dir):
+    return embedding_dedup.digest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_html_extract": op1_html_extract,
     "op2_mixing": op2_mixing,
@@ -47,6 +51,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_language_id": op8_language_id,
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
 }
 ORACLES = {
     "op4_url_filter": url_filter.ORACLE,

@@ -23,13 +23,14 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LAST_ID, written
 
-WINDOW, SEED = 20, 4
+WINDOW, SEED = 20, 3
 BUCKET_WINDOWS = 200_000
 CACHE_WORDS = 400_000
 _hashes: dict[bytes, int] = {}
@@ -76,13 +77,21 @@ def super_kmers(words: list[bytes], window: int = WINDOW, seed: int = SEED):
         yield int(least[s].view(np.int64)), s, e - s, again
 
 
-ROW = pa.schema([("mini", pa.int64()), ("did", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("again", pa.bool_()), ("packed", pa.binary())])
-MARK = pa.schema([("did", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
+#: What travels: ``at`` is the start, then TAG_BITS of the text's hash, then whether the document may hold a window twice.
+#: ``packed`` is the words, or a blank and the number of windows where a copy is known already.
+ROW = pa.schema([("mini", pa.int64()), ("did", pa.int64()), ("at", pa.int64()), ("packed", pa.binary())])
+MARK = pa.schema([("did", pa.int64()), ("tag", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+#: Tells apart texts that share a doc_id; starts have the other bits.
+TAG_BITS = 23
+
+
+def text_tag(text):
+    return F.xxhash64(text).bitwiseAND(F.lit((1 << TAG_BITS) - 1).cast("long"))
 
 
 def _packer(window: int, seed: int):
     def run(batches):
-        """Super-k-mers of each document; copies inside a part of a few MB are marks (packed is null) at once."""
+        """Super-k-mers of each document; of copies inside a part of a few MB only the earliest keeps its words."""
         first: dict[bytes, int] = {}
         cols: list[list] = [[] for _ in ROW]
         size = 0
@@ -95,23 +104,24 @@ def _packer(window: int, seed: int):
             return out
 
         for batch in batches:
-            for did, th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for did, tag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
                 for mini, s, n, again in super_kmers(words, window, seed):
                     packed = b" ".join(words[s : s + n + window - 1])
                     key = xxhash.xxh3_128_digest(packed)
+                    at = (s << TAG_BITS | tag) << 1 | again
                     k = first.get(key)
                     if k is None:
                         first[key] = len(cols[0])
-                        row = (mini, did, th, s, n, again, packed)
+                        row = (mini, did, at, packed)
                     else:
-                        there, here = (cols[1][k], cols[3][k]), (did, s)
+                        there, here = (cols[1][k], cols[2][k] >> TAG_BITS + 1), (did, s)
                         if there == here:
                             continue
-                        row = (mini, did, th, s, n, False, None)
+                        row = (mini, did, at, b" %d" % n)
                         if here < there:  # the later one becomes the mark
-                            row = (mini, there[0], cols[2][k], there[1], n, False, None)
-                            cols[1][k], cols[2][k], cols[3][k] = did, th, s
+                            row = (mini, cols[1][k], cols[2][k], row[3])
+                            cols[1][k], cols[2][k] = did, at
                     for c, v in zip(cols, row, strict=True):
                         c.append(v)
                     size += len(packed) + 60
@@ -132,23 +142,23 @@ class _Bucket:
     def reset(self, mini) -> None:
         self.mini, self.seen, self.rows, self.windows, self.over = mini, {}, [], 0, False
 
-    def mark(self, did, th, start, n, a=None, b=None) -> None:
-        for c, v in zip(self.out, (did, th, start, n, a, b), strict=True):
+    def mark(self, did, tag, start, n, a=None, b=None) -> None:
+        for c, v in zip(self.out, (did, tag, start, n, a, b), strict=True):
             c.append(v)
 
-    def _pass_on(self, did, th, start, n, packed) -> None:
+    def _pass_on(self, did, tag, start, n, packed) -> None:
         words = packed.split(b" ")
         for i in range(n):
             d = xxhash.xxh3_128_intdigest(b" ".join(words[i : i + self.window]))
-            self.mark(did, th, start + i, 1, (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63))
+            self.mark(did, tag, start + i, 1, (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63))
 
-    def add(self, did, th, start, n, packed) -> None:
+    def add(self, did, tag, start, n, packed) -> None:
         if not self.over:
             key = xxhash.xxh3_128_digest(packed)
             at = self.seen.setdefault(key, (did, start))
             if at != (did, start):
-                return self.mark(did, th, start, n)
-            self.rows.append((did, th, start, n, packed))
+                return self.mark(did, tag, start, n)
+            self.rows.append((did, tag, start, n, packed))
             self.windows += n
             if self.windows <= self.limit:
                 return None
@@ -157,7 +167,7 @@ class _Bucket:
                 self._pass_on(*row)
             self.rows, self.seen = [], {}
             return None
-        return self._pass_on(did, th, start, n, packed)
+        return self._pass_on(did, tag, start, n, packed)
 
     def close(self) -> None:
         """Sorts the windows of what was held and marks all but the earliest of equal ones."""
@@ -181,7 +191,6 @@ def _bucketer(window: int, limit: int):
         """Rows come sorted by minimiser, did and start. A minimiser with one row has nothing to compare."""
         out: list[list] = [[] for _ in MARK]
         bucket = _Bucket(window, limit, out)
-        last = None  # the last row of a batch waits for the next one
 
         def taken():
             batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, MARK, strict=True)], schema=MARK)
@@ -189,28 +198,30 @@ def _bucketer(window: int, limit: int):
                 c.clear()
             return batch
 
+        def known(packed):
+            return np.asarray(pc.starts_with(packed, b" ").to_numpy(zero_copy_only=False), bool)
+
         def rows(table):
-            nonlocal last
             minis = table.column(0).to_numpy()
-            near = np.zeros(len(minis), bool)
+            near = (table.column(2).to_numpy() & 1).astype(bool)
             same = minis[1:] == minis[:-1]
             near[1:] |= same
             near[:-1] |= same
-            near |= np.asarray(table.column(5).to_numpy(zero_copy_only=False), bool)
             if len(minis):
                 near[0] = near[-1] = True  # may belong with a neighbouring batch
-            picked = table.take(pa.array(np.flatnonzero(near)))
-            yield from zip(*(picked.column(k).to_pylist() for k in (0, 1, 2, 3, 4, 6)), strict=True)
+            picked = table.take(pa.array(np.flatnonzero(near | known(table.column(3)))))
+            yield from zip(*(c.to_pylist() for c in picked.columns), strict=True)
 
         for batch in batches:
-            for mini, did, th, start, n, packed in rows(batch):
-                if packed is None:
-                    bucket.mark(did, th, start, n)
+            for mini, did, at, packed in rows(batch):
+                start, tag = at >> TAG_BITS + 1, at >> 1 & (1 << TAG_BITS) - 1
+                if packed[:1] == b" ":
+                    bucket.mark(did, tag, start, int(packed))
                     continue
                 if mini != bucket.mini:
                     bucket.close()
                     bucket.reset(mini)
-                bucket.add(did, th, start, n, packed)
+                bucket.add(did, tag, start, packed.count(b" ") + 2 - window, packed)
                 if len(out[0]) > 100_000:
                     yield taken()
             yield taken()
@@ -226,21 +237,21 @@ def _ddl(schema: pa.Schema) -> str:
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED, bucket_windows: int = BUCKET_WINDOWS) -> DataFrame:
-    """(did, th, spans): per document (id and text hash), the (start, n) runs of windows that start earlier elsewhere."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("did"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
-    packed = rows.mapInArrow(_packer(window, seed), _ddl(ROW)).repartition("mini").sortWithinPartitions("mini", "did", "start")
+    """(did, tag, spans): per document (id and tag of its text), the (start, n) runs of windows that start earlier elsewhere."""
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("did"), text_tag(F.col("text")).alias("tag"), F.col("text").cast("string").alias("text"))
+    packed = rows.mapInArrow(_packer(window, seed), _ddl(ROW)).repartition("mini").sortWithinPartitions("mini", "did", "at")
     marks = written(packed.mapInArrow(_bucketer(window, bucket_windows), _ddl(MARK)), "marks")
     large = marks.where("a is not null")
     first = large.groupBy("a", "b").agg(F.min(F.struct("did", "start")).alias("first"), F.count("*").alias("rows")).where("rows > 1")
-    late = large.join(first, ["a", "b"]).where(F.struct("did", "start") > F.col("first")).select("did", "th", "start", "n")
-    every = marks.where("a is null").select("did", "th", "start", "n").unionByName(late)
-    return every.groupBy("did", "th").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    late = large.join(first, ["a", "b"]).where(F.struct("did", "start") > F.col("first")).select("did", "tag", "start", "n")
+    every = marks.where("a is null").select("did", "tag", "start", "n").unionByName(late)
+    return every.groupBy("did", "tag").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, text_out: str = "text", **how) -> DataFrame:
     """docs with the kept words joined by one blank as ``text_out``, plus n_words, n_removed and kept_sha256."""
-    spans = repeated_windows(docs, window, **how).select(F.col("did").alias("__did"), F.col("th").alias("__th"), F.col("spans").alias("__spans"))
-    rows = docs.withColumns({"__did": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), "__th": F.xxhash64("text")}).join(spans, ["__did", "__th"], "left")
+    spans = repeated_windows(docs, window, **how).select(F.col("did").alias("__did"), F.col("tag").alias("__tag"), F.col("spans").alias("__spans"))
+    rows = docs.withColumns({"__did": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), "__tag": text_tag(F.col("text"))}).join(spans, ["__did", "__tag"], "left")
 
     @F.pandas_udf("text string, n_words long, n_removed long, sha string")
     def keep(texts, starts, lengths):
@@ -261,7 +272,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, text_out: str = "tex
         return pd.DataFrame(out, columns=["text", "n_words", "n_removed", "sha"])
 
     rows = rows.withColumn("__k", keep("text", F.col("__spans.start"), F.col("__spans.n")))
-    return rows.withColumns({text_out: F.col("__k.text"), "n_words": F.col("__k.n_words"), "n_removed": F.col("__k.n_removed"), "kept_sha256": F.col("__k.sha")}).drop("__did", "__th", "__spans", "__k")
+    return rows.withColumns({text_out: F.col("__k.text"), "n_words": F.col("__k.n_words"), "n_removed": F.col("__k.n_removed"), "kept_sha256": F.col("__k.sha")}).drop("__did", "__tag", "__spans", "__k")
 
 
 def digest(docs: DataFrame, **how) -> DataFrame:

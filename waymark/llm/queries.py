@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, html_extract, language_id, line_dedup, mixing, near_dedup, packing, substring_dedup, url_filter
+from . import ann, embedding_dedup, html_extract, language_id, line_dedup, mixing, near_dedup, packing, substring_dedup, url_filter
 from .common import table
 
 
@@ -42,6 +42,10 @@ def op9_embedding_near_dedup(spark, sf_dir):
     return embedding_dedup.digest(table(spark, sf_dir, "embeddings"))
 
 
+def op10_ann(spark, sf_dir):
+    return ann.digest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_html_extract": op1_html_extract,
     "op2_mixing": op2_mixing,
@@ -52,6 +56,7 @@ QUERIES = {
     "op7_substring_dedup": op7_substring_dedup,
     "op8_language_id": op8_language_id,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
+    "op10_ann": op10_ann,
 }
 ORACLES = {
     "op4_url_filter": url_filter.ORACLE,

@@ -70,6 +70,23 @@ def written(df: DataFrame, name: str, *partition_by: str, codec: str = "zstd") -
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Cache(dict):
+    """``make(key)``, remembered for the last ``size`` to twice as many different keys."""
+
+    def __init__(self, make, size: int):
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

@@ -6,7 +6,8 @@ offset. Pass 2 cuts the stream every ``length`` ids; a document that crosses a c
 boundary record on both sides. All sequences but the last are full.
 
 Text is tokenised word by word (the vocabulary's words never span white space) through a
-bounded cache, so a word costs one lookup however often it occurs.
+bounded cache, so a word costs one lookup however often it occurs. Plain words are cut by the
+vocabulary's rules and merged by its model; any other word goes through the whole tokenizer.
 
 Defined cases: a null or empty text is the end id alone. Very long texts are cut like any
 other. Rows that share a doc_id are packed each on its own. A null doc_id stays null. An
@@ -15,6 +16,8 @@ empty table gives no pieces. Extra columns are ignored.
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import zlib
 
@@ -25,12 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Cache, written
 
 LENGTH, END_ID = 4096, 2
-CACHE_WORDS = 300_000
+CACHE_WORDS, CACHE_PARTS = 100_000, 300_000
 #: Partition totals up to this many rows (24 bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: What the vocabulary's own rules make of lower-case Latin-1 text: contractions, letters, single digits, the rest.
+_LETTERS, _DIGITS = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe"
+_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_LETTERS}{_DIGITS}]+")
+_PLAIN = re.compile(r"[\x21-\x7e\xa1-\xff]*")
 _state: dict = {}
 
 
@@ -40,36 +47,45 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _tokenizer(path: str):
-    """The tokenizer and its word cache, kept for the life of the Python worker."""
-    if _state.get("path") != path:
-        import os
+def _byte_letters() -> list[str]:
+    """The byte-level alphabet: visible bytes stand for themselves, the others for the characters from 256 on."""
+    visible, more = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}, iter(range(256, 512))
+    return [chr(b) if b in visible else chr(next(more)) for b in range(256)]
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
 
-        _state.update(path=path, tokenizer=Tokenizer.from_file(path), words={})
-    return _state["tokenizer"], _state["words"]
+def _words(path: str) -> Cache:
+    """Ids by word (bytes without white space), kept for the life of the Python worker."""
+    if _state.get("path") == path:
+        return _state["words"]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
+    tokenizer, letters = Tokenizer.from_file(path), _byte_letters()
+    merge = tokenizer.model.tokenize
+    pack = lambda ids: struct.pack(f"<{len(ids)}H", *ids)
+    parts = Cache(lambda part: pack([t.id for t in merge("".join([letters[b] for b in part.encode()]))]), CACHE_PARTS)
 
-def token_ids(texts: list[str | None], path: str, end_id: int = END_ID) -> list[bytes]:
+    def word(raw: bytes) -> bytes:
+        text = raw.decode("utf-8", "replace")
+        if _PLAIN.fullmatch(text) and "<|" not in text:
+            return b"".join(map(parts.__getitem__, _PARTS.findall(text.lower())))
+        return pack(tokenizer.encode(text, add_special_tokens=False).ids)
+
+    _state.update(path=path, words=Cache(word, CACHE_WORDS))
+    return _state["words"]
+
+
+def token_ids(texts, path: str, end_id: int = END_ID) -> list[bytes]:
     """Each text's ids with the end id, as little-endian 16-bit numbers."""
-    tokenizer, words = _tokenizer(path)
-    split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-    new = list({w for ws in split for w in ws if w not in words})
-    if len(words) + len(new) > CACHE_WORDS:
-        words.clear()
-        new = list({w for ws in split for w in ws})
-    for at in range(0, len(new), 20_000):
-        part = new[at : at + 20_000]
-        for w, e in zip(part, tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-            ids = e.ids
-            words[w] = struct.pack(f"<{len(ids)}H", *ids)
-    end = struct.pack("<H", end_id)
-    return [b"".join(map(words.__getitem__, ws)) + end for ws in split]
-
-
-def _chunks(batch: pa.RecordBatch, limit: int = 8 << 20):
+    ids, end, out = _words(path).__getitem__, struct.pack("<H", end_id), []
+    for text in texts:
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        raw = raw if b"<|" in raw else raw.lower()  # special tokens are told by their case
+        out.append(b"".join(map(ids, raw.split())) + end)
+    return out
+
+
+def _chunks(batch: pa.RecordBatch, limit: int = 2 << 20):
     """(ids, texts) of a few MB each, so that one batch of long texts stays small."""
     ids, texts, size = [], [], 0
     for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

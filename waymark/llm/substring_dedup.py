@@ -19,7 +19,6 @@ table gives an empty result. Extra columns pass through ``dedup_substrings``.
 from __future__ import annotations
 
 import hashlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -28,25 +27,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, written
+from .common import LAST_ID, Cache, written
 
 WINDOW, SEED = 20, 3
 BUCKET_WINDOWS = 200_000
-CACHE_WORDS = 400_000
-_hashes: dict[bytes, int] = {}
+CACHE_WORDS = 200_000
+_hash = Cache(xxhash.xxh64_intdigest, CACHE_WORDS).__getitem__
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words, through a bounded cache that lives as long as the Python worker."""
-    if len(_hashes) > CACHE_WORDS:
-        _hashes.clear()
-    out, get, of = array("Q"), _hashes.get, xxhash.xxh64_intdigest
-    for w in words:
-        h = get(w)
-        if h is None:
-            h = _hashes[w] = of(w)
-        out.append(h)
-    return np.frombuffer(out, np.uint64)
+    """64-bit hashes of words, through a cache that lives as long as the Python worker."""
+    return np.fromiter(map(_hash, words), np.uint64, len(words))
 
 
 def rolling(h: np.ndarray, k: int) -> np.ndarray:

@@ -9,8 +9,9 @@ with the adjacency table, and keeps the best ``BEAM``. The best are scored again
 precision on the original vectors.
 
 Inner product is made a cosine by one more component, sqrt(max norm^2 - norm^2). Graph and walk
-use 8-bit codes of these vectors; codes only choose candidates. Neighbourhoods of more than
-``HUB`` members are split at random, so a popular vector is no hot task; no member is dropped.
+use 8-bit codes of these vectors; codes only choose candidates. A neighbourhood is read as a stream
+and joined in parts of ``HUB`` members, so a popular vector needs no more memory; no member is
+dropped. (Equal vectors being one node, how many lists can name a node is bounded by geometry.)
 
 Defined cases: vectors that are null, empty, zero, hold null or non-finite components, or have
 another length than most take no part, as query or candidate. Fewer candidates than ``k``: all
@@ -34,8 +35,8 @@ from .common import new_path, written
 from .embedding_dedup import packed, usable
 
 TOP, DEGREE, BLOCK, BLOCKINGS, HUB = 20, 32, 1024, 3, 256
-MAX_ROUNDS, SETTLED = 6, 0.12  # rounds of descent; the share of changed entries at which they end
-BEAM, EXPAND, STEPS, RESCORED = 256, 64, 5, 64
+MAX_ROUNDS, SETTLED = 6, 0.15  # rounds of descent; the share of changed entries at which they end
+BEAM, EXPAND, STEPS, RESCORED = 256, 64, 4, 128
 QUERY_EVERY = 20
 
 
@@ -86,19 +87,21 @@ def _best(owner, ids, sims, fresh, degree: int):
     return owner[keep], ids[keep], sims[keep], fresh[keep]
 
 
-LIST = "cid long, ids binary, sims binary, fresh binary"
+#: A node's list, best first; ``code`` is the node's own code (in a beam: the query's), null in rows of mere candidates.
+LIST = "cid long, ids binary, sims binary, fresh binary, code binary"
 
 
-def _lists(owner, ids, sims, fresh) -> pa.RecordBatch:
+def _lists(owner, ids, sims, fresh, codes: dict | None = None) -> pa.RecordBatch:
     """One row for each owner; arrays come sorted by owner."""
     starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, int)
-    ends = np.append(starts[1:], len(owner))
+    ends = np.append(starts[1:], len(owner)).astype(int)
     cut = lambda a, t: pa.array([a[s:e].astype(t).tobytes() for s, e in zip(starts, ends, strict=True)], pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(owner[starts].astype(np.int64)), cut(ids, "<i8"), cut(sims, "<f4"), cut(fresh, "i1")], ["cid", "ids", "sims", "fresh"])
+    own = [(codes or {}).get(c) for c in owner[starts].tolist()]
+    return pa.RecordBatch.from_arrays([pa.array(owner[starts].astype(np.int64)), cut(ids, "<i8"), cut(sims, "<f4"), cut(fresh, "i1"), pa.array(own, pa.binary())], ["cid", "ids", "sims", "fresh", "code"])
 
 
 def _flat(batch) -> tuple:
-    """(owner, ids, sims, fresh) of the lists in a batch (cid, ids, sims, fresh)."""
+    """(owner, ids, sims, fresh) of the lists in a batch."""
     blobs = batch.column(1).to_pylist()
     sizes = np.array([len(x) // 8 for x in blobs], np.int64)
     join = lambda k, t: np.frombuffer(b"".join(batch.column(k).to_pylist()), t)
@@ -108,20 +111,23 @@ def _flat(batch) -> tuple:
 def _merger(degree: int):
     def run(batches):
         """Lists of one owner into one. Rows come sorted by cid; the last owner of a batch waits for the next batch."""
-        wait = None
+        wait, codes = None, {}
         for b in batches:
+            codes |= {c: x for c, x in zip(b.column(0).to_pylist(), b.column(4).to_pylist(), strict=True) if x is not None}
             now = _flat(b)
             if wait is not None:
                 now = tuple(np.concatenate(x) for x in zip(wait, now, strict=True))
             if not len(now[0]):
                 continue
             now = _best(*now, degree)
-            last = now[0] == now[0][-1]
+            end = int(now[0][-1])
+            last = now[0] == end
             wait = tuple(x[last] for x in now)
             if not last.all():
-                yield _lists(*(x[~last] for x in now))
+                yield _lists(*(x[~last] for x in now), codes)
+            codes = {c: x for c, x in codes.items() if c == end}
         if wait is not None:
-            yield _lists(*wait)
+            yield _lists(*wait, codes)
 
     return run
 
@@ -130,12 +136,12 @@ def merged(lists: DataFrame, degree: int) -> DataFrame:
     return lists.repartition("cid").sortWithinPartitions("cid").mapInArrow(_merger(degree), LIST)
 
 
-def _groups(batches, width: int):
-    """Runs of rows with equal first ``width`` columns."""
+def _groups(batches, width: int, most: int = 1 << 60):
+    """Runs of rows with equal first ``width`` columns, in parts of ``most`` rows."""
     held, now = [], None
     for b in batches:
         for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if row[:width] != now:
+            if row[:width] != now or len(held) >= most:
                 if held:
                     yield now, held
                 held, now = [], row[:width]
@@ -172,12 +178,14 @@ def _block_lists(degree: int):
         return np.repeat(cid, k), cid[top].ravel(), np.take_along_axis(s, top, 1).ravel()
 
     def run(batches):
-        yield from _gathered((one(rows) for _, rows in _groups(batches, 2)), degree)
+        for _, rows in _groups(batches, 2):
+            owner, ids, sims = one(rows)
+            yield _lists(*_best(owner, ids, sims, np.ones(len(owner), np.int8), degree), {r[0]: r[1] for r in rows})
 
     return run
 
 
-def _local_join(degree: int):
+def _local_join(degree: int, hub: int):
     def one(rows):
         """rows: (member, code, threshold, fresh edge) of one neighbourhood."""
         cid, fresh = np.array([r[0] for r in rows]), np.array([r[3] for r in rows], bool)
@@ -194,40 +202,42 @@ def _local_join(degree: int):
         return cid[a], cid[b], s[a, b]
 
     def run(batches):
-        yield from _gathered((one(rows) for _, rows in _groups(batches, 2)), degree)
+        yield from _gathered((one(rows) for _, rows in _groups(batches, 1, hub)), degree)
 
     return run
 
 
-def _spread(batches):
-    """(node, neighbour, fresh, code, worst): one row for each entry of (cid, ids, sims, fresh, code, full)."""
-    for b in batches:
-        owner, ids, _, fresh = _flat(b)
-        sizes = [len(x) // 8 for x in b.column(1).to_pylist()]
-        worst = [float(np.frombuffer(s, "<f4")[-1]) if full else -9.0 for s, full in zip(b.column(2).to_pylist(), b.column(5).to_pylist(), strict=True)]
-        where = pa.array(np.repeat(np.arange(len(sizes)), sizes))
-        yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(ids), pa.array(fresh.astype(bool)), b.column(4).take(where), pa.array(worst, pa.float32()).take(where)], ["node", "neighbour", "fresh", "code", "worst"])
+def _worst(sims: bytes, degree: int) -> float:
+    return float(np.frombuffer(sims[-4:], "<f4")[0]) if len(sims) >= 4 * degree else -9.0
+
+
+def _spread(degree: int):
+    def run(batches):
+        """(node, neighbour, fresh, code, worst): one row for each entry of a list."""
+        for b in batches:
+            owner, ids, _, fresh = _flat(b)
+            where = pa.array(np.repeat(np.arange(b.num_rows), [len(x) // 8 for x in b.column(1).to_pylist()]))
+            worst = pa.array([_worst(x, degree) for x in b.column(2).to_pylist()], pa.float32())
+            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(ids), pa.array(fresh.astype(bool)), b.column(4).take(where), worst.take(where)], ["node", "neighbour", "fresh", "code", "worst"])
 
+    return run
 
-def _neighbourhoods(graph: DataFrame, codes: DataFrame, degree: int, hub: int) -> DataFrame:
-    """(grp, part, member, code, worst, fresh): each node's list and reverse list, with codes."""
-    full = graph.join(codes.select("cid", "code"), "cid").select("cid", "ids", "sims", "fresh", "code", (F.length("ids") >= 8 * degree).alias("full"))
-    edges = full.mapInArrow(_spread, "node long, neighbour long, fresh boolean, code binary, worst float")
-    nodes = full.select(F.col("cid").alias("c"), "sims", "full", F.col("code").alias("ncode"))
-    tail = F.when(F.col("full"), F.substring("sims", 4 * degree - 3, 4))
 
-    def worst(batches):
+def _heads(degree: int):
+    def run(batches):
         for b in batches:
-            value = pa.array([np.frombuffer(x, "<f4")[0] if x is not None else -9.0 for x in b.column(2).to_pylist()], pa.float32())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), value], ["c", "ncode", "nworst"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(4), pa.array([_worst(x, degree) for x in b.column(2).to_pylist()], pa.float32())], ["c", "ncode", "nworst"])
+
+    return run
 
-    nodes = nodes.select("c", "ncode", tail.alias("tail")).mapInArrow(worst, "c long, ncode binary, nworst float")
-    ahead = edges.select("node", "neighbour", "fresh").join(nodes, F.col("neighbour") == F.col("c")).select(F.col("node").alias("grp"), F.col("neighbour").alias("member"), F.col("ncode").alias("code"), F.col("nworst").alias("worst"), "fresh")
-    back = edges.select(F.col("neighbour").alias("grp"), F.col("node").alias("member"), "code", "worst", "fresh")
-    popular = edges.groupBy("neighbour").agg(F.ceil((F.count("*") + degree) / hub).cast("int").alias("parts")).where("parts > 1")
-    every = ahead.unionByName(back).join(popular, F.col("grp") == F.col("neighbour"), "left")
-    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("member"), F.col("parts"))).cast("int")
-    return every.select("grp", part.alias("part"), "member", "code", "worst", "fresh")
+
+def _neighbourhoods(graph: DataFrame, degree: int) -> DataFrame:
+    """(grp, member, code, worst, fresh): each node's list and reverse list, with the members' codes."""
+    edges = graph.mapInArrow(_spread(degree), "node long, neighbour long, fresh boolean, code binary, worst float")
+    nodes = graph.mapInArrow(_heads(degree), "c long, ncode binary, nworst float")
+    both = edges.join(nodes.hint("merge"), F.col("neighbour") == F.col("c"))
+    entry = lambda g, m, c, w: F.struct(F.col(g).alias("grp"), F.col(m).alias("member"), F.col(c).alias("code"), F.col(w).alias("worst"))
+    return both.select(F.explode(F.array(entry("node", "neighbour", "ncode", "nworst"), entry("neighbour", "node", "code", "worst"))).alias("e"), "fresh").select("e.*", "fresh")
 
 
 def build_graph(codes: DataFrame, n: int, degree: int = DEGREE, block: int = BLOCK, blockings: int = BLOCKINGS, rounds: int = MAX_ROUNDS, settled: float = SETTLED, hub: int = HUB) -> DataFrame:
@@ -238,8 +248,8 @@ def build_graph(codes: DataFrame, n: int, degree: int = DEGREE, block: int = BLO
     dealt = codes.select("cid", "code", F.explode(spots).alias("s")).select("s.r", "s.b", "cid", "code").repartition("r", "b").sortWithinPartitions("r", "b")
     graph = written(merged(dealt.mapInArrow(_block_lists(degree), LIST), degree), "graph")
     for _ in range(rounds if blocks > 1 else 0):
-        around = _neighbourhoods(graph, codes, degree, hub).repartition("grp", "part").sortWithinPartitions("grp", "part")
-        found = around.mapInArrow(_local_join(degree), LIST)
+        around = _neighbourhoods(graph, degree).repartition("grp").sortWithinPartitions("grp")
+        found = around.mapInArrow(_local_join(degree, hub), LIST)
         stale = graph.withColumn("fresh", F.unhex(F.repeat(F.lit("00"), (F.length("ids") / 8).cast("int"))))
         graph = written(merged(stale.unionByName(found), degree), "graph")
         share = graph.select(F.sum(F.length(F.replace(F.hex("fresh"), F.lit("00"), F.lit("")))).alias("new"), F.sum(F.length("fresh") * 2).alias("all")).first()
@@ -248,30 +258,29 @@ def build_graph(codes: DataFrame, n: int, degree: int = DEGREE, block: int = BLO
     return graph
 
 
-def _adjacency(graph: DataFrame, codes: DataFrame, degree: int, hub: int, n: int):
+def _adjacency(graph: DataFrame, degree: int, hub: int, n: int) -> str:
     """A table (node, ids, codes) of lists and reverse lists, bucketed by node so that the walk never shuffles it."""
-    spark = graph.sparkSession
 
     def pack(batches):
-        for group, rows in _groups(batches, 2):
+        for group, rows in _groups(batches, 1, hub):
             cid, at = np.unique(np.array([r[0] for r in rows]), return_index=True)
             yield pa.RecordBatch.from_arrays([pa.array([group[0]]), pa.array([cid.astype("<i8").tobytes()], pa.binary()), pa.array([b"".join(rows[i][1] for i in at)], pa.binary())], ["node", "ids", "codes"])
 
-    around = _neighbourhoods(graph, codes, degree, hub).select("grp", "part", "member", "code").repartition("grp", "part").sortWithinPartitions("grp", "part")
     name, buckets = f"adjacency_{uuid.uuid4().hex[:12]}", max(12, math.ceil(n / 20_000))
-    table = around.mapInArrow(pack, "node long, ids binary, codes binary").repartition(buckets, "node")
-    table.write.bucketBy(buckets, "node").sortBy("node").option("compression", "uncompressed").option("path", new_path(spark, "adjacency")).saveAsTable(name)
+    around = _neighbourhoods(graph, degree).select("grp", "member", "code").repartition(buckets, "grp").sortWithinPartitions("grp")
+    table = around.mapInArrow(pack, "node long, ids binary, codes binary")
+    table.write.bucketBy(buckets, "node").sortBy("node").option("compression", "uncompressed").option("path", new_path(graph.sparkSession, "adjacency")).saveAsTable(name)
     return name
 
 
 def _start(beam: int):
     def run(batches):
-        """The walk begins at the query's own list: (cid, ids, sims, fresh) with fresh for not yet expanded."""
+        """The walk begins at the query's own list: rows (cid, qcode, ids, sims); fresh means not yet expanded."""
         for b in batches:
-            for q, ids, sims in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for q, code, ids, sims in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 own = np.append(np.frombuffer(ids or b"", "<i8"), q)
                 sim = np.append(np.frombuffer(sims or b"", "<f4"), np.float32(9))  # the query's own node comes first; it is scored in the end
-                yield _lists(*_best(np.full(len(own), q), own, sim, np.ones(len(own), np.int8), beam))
+                yield _lists(*_best(np.full(len(own), q), own, sim, np.ones(len(own), np.int8), beam), {q: code})
 
     return run
 
@@ -282,9 +291,8 @@ def _front(expand: int, beam: int):
         for b in batches:
             out: tuple[list, list, list, list] = ([], [], [], [])
             for q, ids, sims, fresh, code in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                ids, sims = np.frombuffer(ids, "<i8"), np.frombuffer(sims, "<f4")
-                go = ids[np.flatnonzero(np.frombuffer(fresh, "i1"))[:expand]].tolist()
-                for part, v in zip(out, (go, [q] * len(go), [code] * len(go), [float(sims[-1]) if len(ids) >= beam else -9.0] * len(go)), strict=True):
+                go = np.frombuffer(ids, "<i8")[np.flatnonzero(np.frombuffer(fresh, "i1"))[:expand]].tolist()
+                for part, v in zip(out, (go, [q] * len(go), [code] * len(go), [_worst(sims, beam)] * len(go)), strict=True):
                     part.extend(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.float32())], ["node", "q", "qcode", "worst"])
 
@@ -299,7 +307,7 @@ def _expanded(expand: int):
                 x = np.frombuffer(x, "i1").copy()
                 x[np.flatnonzero(x)[:expand]] = 0
                 marks.append(x.tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(marks, pa.binary())], ["cid", "ids", "sims", "fresh"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(marks, pa.binary()), b.column(4)], ["cid", "ids", "sims", "fresh", "code"])
 
     return run
 
@@ -318,15 +326,14 @@ def _visit(beam: int):
     return run
 
 
-def walk(graph: DataFrame, codes: DataFrame, queries: DataFrame, n: int, degree: int = DEGREE, hub: int = HUB, beam: int = BEAM, expand: int = EXPAND, steps: int = STEPS) -> DataFrame:
-    """queries(cid) -> beams (cid, ids, sims, fresh): the nodes found, best first, the query's own node in front."""
+def walk(graph: DataFrame, asks: DataFrame, n: int, degree: int = DEGREE, hub: int = HUB, beam: int = BEAM, expand: int = EXPAND, steps: int = STEPS) -> DataFrame:
+    """asks(cid, qcode) -> beams (cid, ids, ..): the nodes found, best first, the query's own node in front."""
     spark = graph.sparkSession
-    name = _adjacency(graph, codes, degree, hub, n)
-    asks = written(codes.join(queries.select("cid").distinct(), "cid", "left_semi").select("cid", "qcode"), "asks")
-    own = asks.join(graph.select("cid", "ids", "sims"), "cid", "left").select("cid", "ids", "sims")
-    beams = written(own.mapInArrow(_start(beam), LIST), "beams")
+    name = _adjacency(graph, degree, hub, n)
+    beams = asks.join(graph.select("cid", "ids", "sims"), "cid", "left").select("cid", "qcode", "ids", "sims").mapInArrow(_start(beam), LIST)
+    beams = written(beams, "beams")
     for _ in range(steps):
-        front = beams.join(asks, "cid").select("cid", "ids", "sims", "fresh", "qcode").mapInArrow(_front(expand, beam), "node long, q long, qcode binary, worst float")
+        front = beams.mapInArrow(_front(expand, beam), "node long, q long, qcode binary, worst float")
         met = front.join(spark.table(name).hint("merge"), "node").select("q", "qcode", "worst", "ids", "codes").mapInArrow(_visit(beam), LIST)
         beams = written(merged(beams.mapInArrow(_expanded(expand), LIST).unionByName(met), beam), "beams")
     spark.sql(f"drop table if exists {name}")
@@ -373,7 +380,8 @@ def search(vectors: DataFrame, queries=None, k: int = TOP, degree: int = DEGREE,
     graph = build_graph(codes, n, degree, block)
     asked = own.where(ask).distinct().join(nodes.select("cid", "emb"), "emb").select("vid", "cid")
     asked = written(asked, "asked")
-    beams = walk(graph, codes, asked, n, degree, **how)
+    asks = codes.join(asked.select("cid").distinct(), "cid", "left_semi").select("cid", "qcode")
+    beams = walk(graph, asks, n, degree, **how)
     pairs = beams.select("cid", "ids").mapInArrow(_pairs(rescored), "q long, c long")
     exact = nodes.select("cid", "emb")
     scored = pairs.join(exact.select(F.col("cid").alias("q"), F.col("emb").alias("x")), "q").join(exact.select(F.col("cid").alias("c"), F.col("emb").alias("y")), "c").select("q", "c", "x", "y").mapInArrow(_score, "q long, c long, score double")

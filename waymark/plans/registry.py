@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "slice_translation_eval"
+FLAGSHIP = "s_build_events"
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -19,3 +19,6 @@ def query(name: str, sql: str | None = None):
         return fn
 
     return add
+
+
+from . import cleaning  # noqa: E402, F401  each module registers its queries

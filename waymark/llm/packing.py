@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import Cache, written
 
 LENGTH, END_ID = 4096, 2
-CACHE_WORDS, CACHE_PARTS = 100_000, 300_000
+CACHE_WORDS, CACHE_PARTS = 160_000, 300_000
 #: Partition totals up to this many rows (24 bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: What the vocabulary's own rules make of lower-case Latin-1 text: contractions, letters, single digits, the rest.
@@ -63,7 +63,7 @@ def _words(path: str) -> Cache:
     tokenizer, letters = Tokenizer.from_file(path), _byte_letters()
     merge = tokenizer.model.tokenize
     pack = lambda ids: struct.pack(f"<{len(ids)}H", *ids)
-    parts = Cache(lambda part: pack([t.id for t in merge("".join([letters[b] for b in part.encode()]))]), CACHE_PARTS)
+    parts = Cache(lambda part: pack([t.id for t in merge(part if part.isascii() else "".join([letters[b] for b in part.encode()]))]), CACHE_PARTS)
 
     def word(raw: bytes) -> bytes:
         text = raw.decode("utf-8", "replace")
@@ -121,8 +121,11 @@ def tokenised(docs: DataFrame, path: str | None = None, end_id: int = END_ID) ->
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, path: str | None = None) -> DataFrame:
-    """One row for each piece: doc_id, start, length, ids (binary), doc_tokens, sequence_id, offset."""
+def pack(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, path: str | None = None, of_ids=bytes, kind: str = "binary", column: str = "ids") -> DataFrame:
+    """One row for each piece: doc_id, start, length, ids, doc_tokens, sequence_id, offset.
+
+    ids is little-endian 16-bit binary; ``of_ids`` may turn it into something else (``kind``, ``column``).
+    """
     tokens = written(tokenised(docs, path, end_id), "tokens")
     totals = tokens.groupBy("pid").agg(F.sum("doc_tokens").alias("n"))
     before = W.orderBy("pid").rowsBetween(W.unboundedPreceding, -1)
@@ -131,35 +134,31 @@ def pack(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, path: str
         offsets = F.broadcast(offsets)
     placed = tokens.join(offsets, tokens.pid == offsets.p).select("doc_id", (F.col("ahead") + F.col("local_start")).alias("at"), "doc_tokens", "ids")
 
+    names = ("doc_id", "start", "length", column, "doc_tokens", "sequence_id", "offset")
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary() if kind == "binary" else pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+
     def cut(batches):
         for batch in batches:
-            rows = {k: [] for k in ("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")}
+            rows: list[list] = [[] for _ in names]
             doc_ids, ats, counts = (batch.column(k).to_pylist() for k in range(3))
             for d, at, n, ids in zip(doc_ids, ats, counts, batch.column(3), strict=True):
                 ids, start = memoryview(ids.as_buffer()), 0
                 while start < n:
                     seq, off = divmod(at + start, length)
                     m = min(length - off, n - start)
-                    for k, v in zip(rows, (d, start, m, ids[2 * start : 2 * (start + m)].tobytes(), n, seq, off), strict=True):
-                        rows[k].append(v)
+                    for col, v in zip(rows, (d, start, m, of_ids(ids[2 * start : 2 * (start + m)]), n, seq, off), strict=True):
+                        col.append(v)
                     start += m
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), kinds, strict=True)], list(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, kinds, strict=True)], list(names))
 
-    return placed.mapInArrow(cut, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return placed.mapInArrow(cut, ", ".join(f"{n} {kind if n == column else 'long'}" for n in names))
 
 
-def crc32_of(ids: bytes) -> int:
-    return zlib.crc32(np.frombuffer(ids, "<u2").astype("<u4").tobytes())
+def crc32_of(ids) -> int:
+    """CRC-32 of 16-bit ids written as little-endian 32-bit numbers."""
+    return zlib.crc32(np.frombuffer(ids, "<u2").astype("<u4"))
 
 
 def digest(docs: DataFrame, **how) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    pieces = pack(docs, **how)
-
-    def run(batches):
-        for b in batches:
-            crc = pa.array([crc32_of(x.as_buffer()) for x in b.column(3)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(3)), crc, *(b.column(k) for k in range(4, 7))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-
-    return pieces.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return pack(docs, of_ids=crc32_of, kind="long", column="ids_crc32", **how)

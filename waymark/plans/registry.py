@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "s_build_events"
+FLAGSHIP = "slice_translation_eval"
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -21,4 +21,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import cleaning  # noqa: E402, F401  each module registers its queries
+from . import cleaning, snapshot_queries  # noqa: E402, F401  each module registers its queries

@@ -70,9 +70,14 @@ def point_at(line, share: float) -> tuple[float, float] | None:
     return float(np.interp(at, cum, p[:, 0])), float(np.interp(at, cum, p[:, 1]))
 
 
-@F.pandas_udf("array<double>")
-def interpolate(line: pd.Series, share: pd.Series) -> pd.Series:
-    return pd.Series([None if pt is None or pd.isna(s) else point_at([list(x) for x in pt], float(s)) for pt, s in zip(line, share, strict=True)])
+def interpolate(line, share):
+    """Column [lon, lat] at a share of the line's length."""
+
+    @F.pandas_udf("array<double>")
+    def run(line: pd.Series, share: pd.Series) -> pd.Series:
+        return pd.Series([None if pt is None or pd.isna(s) else point_at([list(x) for x in pt], float(s)) for pt, s in zip(line, share, strict=True)])
+
+    return run(line, share)
 
 
 def snap(points: list[list[float]], begin: int, end: int, nodes: list[tuple[int, float, float]], eps_m: float = SNAP_M) -> tuple[list[list[float]], list[int | None]]:

@@ -21,4 +21,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import cleaning, snapshot_queries  # noqa: E402, F401  each module registers its queries
+from . import cleaning, network_queries, snapshot_queries  # noqa: E402, F401  each module registers its queries

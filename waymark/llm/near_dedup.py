@@ -39,7 +39,9 @@ from .substring_dedup import rolling, word_hashes
 SHINGLE, SIMILARITY = 5, 0.8
 CHUNKS, CHUNK, ERRORS = 12, 5, 1
 SYMBOLS, DISTANCE = CHUNKS * CHUNK, CHUNKS * (ERRORS + 1) - 1
-BLOCK = 4_000  # classes of a bucket that are compared with as many at a time
+BLOCK = 2_000  # classes of a bucket that are compared with as many at a time
+#: Cells with more pairs than this for each member are confirmed in one place.
+DENSE = 2
 #: The second look: 4-bit symbols of more minima. At similarity 0.8 a pair has 48 wrong ones (deviation 6.2), at 0.65 84.
 LONG, LONG_DISTANCE = 256, 73
 _random = np.random.default_rng(20_240_601)
@@ -133,8 +135,16 @@ def _keys(batches):
 KEYS = "key long, cid long, comp long, slot int"
 
 
+ACROSS = "x long, y long, cell long, comp long, xs binary"
+
+
 def _across(batches):
-    """Pairs within the distance and of different components. Rows come sorted by cell."""
+    """Pairs within the distances and of different components. Rows come sorted by cell.
+
+    Where a cell has few pairs they are rows (x, y). Where it has more than DENSE for each member, rows
+    (cell, y, xs) list a member's partners and rows (cell, x, comp) the members: such a cell is
+    confirmed in one place, so the number of rows follows the members, never the pairs.
+    """
     held: list[tuple] = []
     now = None
 
@@ -144,7 +154,7 @@ def _across(batches):
         cid, comp, slot, role = map(np.asarray, (cid, comp, slot, role))
         sigs = np.frombuffer(b"".join(sig), "<u2").reshape(-1, SYMBOLS)
         left, right = np.flatnonzero(role != 2), np.flatnonzero(role == 2)  # 0: largest component, 1: others at home, 2: others to compare with
-        out: tuple[list, list] = ([], [])
+        found: list[tuple[int, np.ndarray]] = []
         for y in right.tolist():
             fits = left[(comp[left] != comp[y]) & ((role[left] == 0) | (cid[left] < cid[y]))]
             if not len(fits):
@@ -157,9 +167,23 @@ def _across(batches):
             first = good.argmax(1)  # the pair counts in the first of the buckets that it shares
             mine = np.take_along_axis(same, first[:, None, None], 1)[:, 0, :]
             fits = fits[first * CHUNK + np.where(mine.all(1), 0, (~mine).argmax(1)) == slot[y]]
-            out[0].extend(np.minimum(cid[fits], cid[y]).tolist())
-            out[1].extend(np.maximum(cid[fits], cid[y]).tolist())
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["x", "y"])
+            if len(fits):
+                found.append((y, fits))
+        pairs = sum(len(f) for _, f in found)
+        used = np.unique(np.concatenate([np.append(f, y) for y, f in found])) if found else np.zeros(0, int)
+        x, y, cell, comps, xs = [], [], [], [], []
+        if pairs > DENSE * len(used):
+            here = xxhash.xxh3_64_intdigest(repr(now).encode()) - (1 << 63)
+            for k in used.tolist():
+                x.append(int(cid[k])), y.append(None), cell.append(here), comps.append(int(comp[k])), xs.append(None)
+            for k, f in found:
+                x.append(None), y.append(int(cid[k])), cell.append(here), comps.append(None), xs.append(cid[f].astype("<i8").tobytes())
+        else:
+            for k, f in found:
+                for v in cid[f].tolist():
+                    x.append(min(v, int(cid[k]))), y.append(max(v, int(cid[k]))), cell.append(None), comps.append(None), xs.append(None)
+        cols = [pa.array(c, t) for c, t in zip((x, y, cell, comps, xs), (*(pa.int64(),) * 4, pa.binary()), strict=True)]
+        return pa.RecordBatch.from_arrays(cols, ["x", "y", "cell", "comp", "xs"])
 
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -172,6 +196,41 @@ def _across(batches):
         yield compare()
 
 
+def _confirm_cells(k: int, percent: int):
+    def run(batches):
+        """Links (src, dst) of dense cells. A cell's members (text) come before its lists (xs); pairs that are connected already are skipped."""
+        now, sets, parent = None, {}, {}
+
+        def root(c):
+            while parent.setdefault(c, c) != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        for batch in batches:
+            src, dst = [], []
+            for cell, _, cid, comp, text, xs in zip(*(c for c in batch.columns), strict=True):
+                if cell != now:
+                    now, sets, parent = cell, {}, {}
+                cid = cid.as_py()
+                if not xs.is_valid:
+                    sets[cid] = shingle_set(text.as_py(), k)
+                    parent[root(("c", cid))] = root(("k", comp.as_py()))
+                    continue
+                b = sets[cid]
+                for x in np.frombuffer(xs.as_py(), "<i8").tolist():
+                    if root(("c", x)) == root(("c", cid)):
+                        continue
+                    a = sets[x]
+                    both = len(np.intersect1d(a, b, assume_unique=True))
+                    if 100 * both >= percent * (len(a) + len(b) - both):
+                        parent[root(("c", x))] = root(("c", cid))
+                        src.append(min(x, cid))
+                        dst.append(max(x, cid))
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+
+    return run
+
+
 def _confirm(k: int, percent: int):
     def run(batches):
         kept: tuple = (None, None)
@@ -266,8 +325,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     visits = F.transform(span(F.col("hosts")), lambda i: F.struct(i.alias("i"), seat.alias("j"), F.lit(2).alias("role")))
     cell = cell.select("key", "cid", "comp", "slot", F.explode(F.when(F.col("comp") == F.col("major"), at_home).otherwise(F.concat(at_home, visits))).alias("c"))
     cell = cell.join(_shuffled(active.join(_shuffled(texts.select("cid", "long")), "cid").select("cid", "sig", "long")), "cid").select("key", F.col("c.i").alias("i"), F.col("c.j").alias("j"), "cid", "comp", "slot", F.col("c.role").alias("role"), "sig", "long")
-    more = written(cell.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_across, "x long, y long").distinct().join(_shuffled(pairs), ["x", "y"], "left_anti"), "across")
-    links = links.unionByName(_links(_close(more, texts, percent), texts, shingle, percent))
+    found = written(cell.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_across, ACROSS), "across")
+    more = found.where("cell is null").select("x", "y").distinct().join(_shuffled(pairs), ["x", "y"], "left_anti")
+    links = links.unionByName(_links(more, texts, shingle, percent))
+    members = found.where("cell is not null and y is null").select("cell", F.col("x").alias("cid"), "comp").join(_shuffled(texts.select("cid", "text")), "cid")
+    lists = found.where("cell is not null and y is not null").select("cell", F.lit(1).alias("kind"), F.col("y").alias("cid"), "comp", F.lit(None).cast("string").alias("text"), "xs")
+    dense = members.select("cell", F.lit(0).alias("kind"), "cid", "comp", "text", F.lit(None).cast("binary").alias("xs")).unionByName(lists)
+    dense = dense.repartition("cell").sortWithinPartitions("cell", "kind").mapInArrow(_confirm_cells(shingle, percent), "src long, dst long")
+    links = links.unionByName(written(dense, "dense"))
     comps = components(links)
     # smallest doc_id of each component, for each class, for each document
     place = classes.select("cid", "a", "b", "owner").join(_shuffled(comps.withColumnRenamed("id", "cid")), "cid", "left").withColumn("component", F.coalesce("component", "cid"))

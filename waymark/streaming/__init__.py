@@ -1 +1,3 @@
-"""streaming of the engine."""
+"""Structured Streaming forms of two batch ideas: windowed delays and per-journey running state."""
+
+from .delays import delay_windows, running_delay  # noqa: F401

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import LAST_ID, Cache, written
 
 WINDOW, SEED = 20, 3
-BUCKET_WINDOWS = 200_000
+BUCKET_WINDOWS = 20_000
 CACHE_WORDS = 200_000
 _hash = Cache(xxhash.xxh64_intdigest, CACHE_WORDS).__getitem__
 
@@ -64,16 +64,17 @@ def super_kmers(words: list[bytes], window: int = WINDOW, seed: int = SEED):
     ends = np.append(np.flatnonzero(least[1:] != least[:-1]) + 1, n)
     starts = np.append(0, ends[:-1])
     again = len(np.unique(rolling(h, window))) < n
+    minis = (least >> np.uint64(32)).astype(np.uint32).view(np.int32)  # enough to deal by: equal ones of different seeds only share a bucket
     for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-        yield int(least[s].view(np.int64)), s, e - s, again
+        yield int(minis[s]), s, e - s, again
 
 
 #: What travels: ``at`` is the start, then TAG_BITS of the text's hash, then whether the document may hold a window twice.
 #: ``packed`` is the words, or a blank and the number of windows where a copy is known already.
-ROW = pa.schema([("mini", pa.int64()), ("did", pa.int64()), ("at", pa.int64()), ("packed", pa.binary())])
+ROW = pa.schema([("mini", pa.int32()), ("did", pa.int64()), ("at", pa.int64()), ("packed", pa.binary())])
 MARK = pa.schema([("did", pa.int64()), ("tag", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 #: Tells apart texts that share a doc_id; starts have the other bits.
-TAG_BITS = 23
+TAG_BITS = 15
 
 
 def text_tag(text):
@@ -116,7 +117,7 @@ def _packer(window: int, seed: int):
                     for c, v in zip(cols, row, strict=True):
                         c.append(v)
                     size += len(packed) + 60
-                    if size > 12 << 20:
+                    if size > 8 << 20:
                         yield flush()
         yield flush()
 
@@ -231,7 +232,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED, bu
     """(did, tag, spans): per document (id and tag of its text), the (start, n) runs of windows that start earlier elsewhere."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("did"), text_tag(F.col("text")).alias("tag"), F.col("text").cast("string").alias("text"))
     packed = rows.mapInArrow(_packer(window, seed), _ddl(ROW)).repartition("mini").sortWithinPartitions("mini", "did", "at")
-    marks = written(packed.mapInArrow(_bucketer(window, bucket_windows), _ddl(MARK)), "marks")
+    marks = written(packed.mapInArrow(_bucketer(window, bucket_windows), _ddl(MARK)), "marks", codec="uncompressed")
     large = marks.where("a is not null")
     first = large.groupBy("a", "b").agg(F.min(F.struct("did", "start")).alias("first"), F.count("*").alias("rows")).where("rows > 1")
     late = large.join(first, ["a", "b"]).where(F.struct("did", "start") > F.col("first")).select("did", "tag", "start", "n")

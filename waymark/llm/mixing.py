@@ -11,7 +11,8 @@ totals, then a running sum inside each bucket. No source is gathered in one task
 
 Defined cases: a null text has size 0 and takes 0. A null source is a source of its own and
 comes last. Rows that share a doc_id each have their own place. A source of size 0 has target
-0. An empty table gives an empty result. Extra columns pass through ``mix`` untouched.
+0. An empty table gives an empty result. Extra columns pass through ``mix``
+untouched; those with an output's name are replaced.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from .common import WORD, written
 
 #: Weights in the order of the sources, repeating; how often a source may be used.
 WEIGHTS, MAX_EPOCHS = (5, 2, 1), 3
-BUCKET_ROWS, SEED = 20_000, 20_240_601
+BUCKET_ROWS, SEED = 2_000, 20_240_601
 
 
 def n_words(text):
@@ -59,6 +60,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: in
     copies: array of (copy, finish, taken), one for each time that the mix takes the
     document, finish being the virtual finish time.
     """
+    docs = docs.drop("source_size", "target", "taken", "copies")
     rows = written(docs.withColumn("__u", F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))), "mix")
     buckets = max(1, math.ceil(rows.count() / bucket_rows))
     rows = rows.withColumn("__b", F.pmod(F.shiftrightunsigned("__u", 20), F.lit(buckets)))

@@ -9,7 +9,8 @@ what stands in a menu, notice, advert, form or comment inside it, are the text.
 
 Defined cases: a null or empty page, or one without words, gives an empty text. Unclosed tags
 and a page cut off in the middle are read as far as they go. Repeated rows are extracted each.
-An empty table gives an empty result. Extra columns pass through ``extract``.
+An empty table gives an empty result. Extra columns pass through ``extract``; those
+with an output's name are replaced.
 """
 
 from __future__ import annotations

@@ -14,7 +14,7 @@ Defined cases: a null text, or one without a letter, is ``und`` with score 0. Ti
 first language by code point. If no row is labelled, every text is ``und``. A stretch of over
 ``MAX_WORD`` characters without white space is scored in parts of that length. A null doc_id
 is neither learned from nor held out. Repeated rows are judged each. An empty table gives an
-empty result. Extra columns pass through ``identify``.
+empty result. Extra columns pass through ``identify``; those with an output's name are replaced.
 """
 
 from __future__ import annotations
@@ -83,7 +83,7 @@ def lattices(pieces: Pieces, words: list[str]):
                 prefix[j + 1] = prefix[j] * _BASE + codes[:, j]
             edges, power = [], np.uint64(1)
             for length in range(1, min(n, MAX_PIECE) + 1):
-                power = power * _BASE
+                power = np.uint64(int(power) * int(_BASE) & (1 << 64) - 1)
                 if length not in pieces.by_length:
                     continue
                 keys, ids = pieces.by_length[length]

@@ -8,7 +8,7 @@ keys as a run of level 0. ``fanout`` runs of a level become one run of the next.
 Defined cases: a null or empty text is one empty line. Keys under ``min_chars`` code points
 never count. A null doc_id counts as the largest id. Rows that share a doc_id are one
 document for ownership and each keeps its own row. An empty table gives an empty result.
-Extra columns pass through ``dedup_lines`` untouched.
+Extra columns pass through ``dedup_lines``; those with an output's name are replaced.
 """
 
 from __future__ import annotations

@@ -22,7 +22,7 @@ Defined cases: a null text, or one without words, has an empty set: n_shingles 0
 nothing, kept. Fewer words than a shingle: the whole sequence is the one shingle. A null
 doc_id counts as the largest id. Rows that share a doc_id have their own sets and links. Ties
 go to the smallest doc_id. An empty table gives an empty result. Extra columns pass through
-``deduplicate``.
+``deduplicate``; those with an output's name are replaced.
 """
 
 from __future__ import annotations
@@ -344,7 +344,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
 def deduplicate(docs: DataFrame, **how) -> DataFrame:
     """docs with n_shingles, component_id and kept: of each group of rows, the one with the smallest doc_id is kept."""
     found = near_duplicates(docs, **how).distinct().select(F.col("did").alias("__did"), F.col("th").alias("__th"), F.col("n").alias("n_shingles"), F.col("component").alias("__c"))
-    rows = docs.withColumns({"__did": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), "__th": F.xxhash64("text")}).join(found, ["__did", "__th"])
+    docs = docs.drop("n_shingles", "component_id", "kept")
+    rows = docs.withColumns({"__did": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), "__th": F.xxhash64("text")}).join(_shuffled(found), ["__did", "__th"])
     return rows.withColumns({"component_id": F.nullif(F.col("__c"), F.lit(LAST_ID)), "kept": F.col("__did") == F.col("__c")}).drop("__did", "__th", "__c")
 
 

@@ -13,7 +13,8 @@ minimum decides them. Nothing is dropped or capped.
 Defined cases: a null or empty text has no words. Texts of fewer words than a window keep all.
 A null doc_id counts as the largest id. Rows with one doc_id and one text start at the same
 places, so neither is earlier; with another text they count as the same document. An empty
-table gives an empty result. Extra columns pass through ``dedup_substrings``.
+table gives an empty result. Extra columns pass through
+``dedup_substrings``; those with an output's name are replaced.
 """
 
 from __future__ import annotations

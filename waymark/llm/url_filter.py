@@ -11,7 +11,8 @@ The rule list is a parameter of checked size (``MAX_RULES``); it travels with th
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path, no rule and
 the default verdict. Ports and user names are part of the host, as written. Repeated rows are
-judged each. An empty table gives an empty result. Extra columns pass through ``judge``.
+judged each. An empty table gives an empty result. Extra columns pass through ``judge``; those
+with an output's name are replaced.
 """
 
 from __future__ import annotations

@@ -93,6 +93,8 @@ LIST = "cid long, ids binary, sims binary, fresh binary, code binary"
 
 def _lists(owner, ids, sims, fresh, codes: dict | None = None) -> pa.RecordBatch:
     """One row for each owner; arrays come sorted by owner."""
+    if not len(owner):
+        return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), *(pa.array([], pa.binary()),) * 4], ["cid", "ids", "sims", "fresh", "code"])
     starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, int)
     ends = np.append(starts[1:], len(owner)).astype(int)
     cut = lambda a, t: pa.array([a[s:e].astype(t).tobytes() for s, e in zip(starts, ends, strict=True)], pa.binary())

@@ -35,6 +35,8 @@ HINTS = (
 ).split()
 #: The same, unless they stand inside an article.
 OUTER_HINTS, OUTER = ("header", "masthead", "topbar", "branding"), ("header",)
+#: Of the marks, those that make an article element none.
+ARTICLE_HINTS = "ad ads advert advertisement sponsored promo promotion comment comments reply replies discussion related recommended".split()
 #: Elements that begin and end a block; those without an end tag; those that hold the article.
 BLOCKS = (
     "p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table thead tbody tr caption section article blockquote pre figure figcaption "
@@ -44,7 +46,7 @@ VOID = "area base br col embed hr img input link meta param source track wbr".sp
 CONTENT = ("article", "main")
 TEXT_BLOCKS = "p h1 h2 h3 h4 h5 h6 blockquote pre td figcaption dd".split()
 
-_HIDDEN, _CHROME, _HINTS, _OUTER_HINTS, _OUTER, _BLOCKS, _VOID, _CONTENT, _TEXT = map(frozenset, (HIDDEN, CHROME, HINTS, OUTER_HINTS, OUTER, BLOCKS, VOID, CONTENT, TEXT_BLOCKS))
+_HIDDEN, _CHROME, _HINTS, _OUTER_HINTS, _OUTER, _BLOCKS, _VOID, _CONTENT, _TEXT, _ARTICLE_HINTS = map(frozenset, (HIDDEN, CHROME, HINTS, OUTER_HINTS, OUTER, BLOCKS, VOID, CONTENT, TEXT_BLOCKS, ARTICLE_HINTS))
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(script|style|noscript|template|iframe|svg|object|canvas|math|audio|video|textarea)\b[^>]*>.*?(?:</\1\s*>|$)"""
     r"""|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)|([^<]+)|<""",
@@ -62,8 +64,10 @@ def _marks(attributes: str) -> set[str]:
 def tokens(page: str) -> list[tuple[str, str, int, int]]:
     """(kind, text, block, words): kind is a context for text, or ``<name`` for a tag.
 
-    Contexts: chrome, hidden, links, main, block, loose.
+    Contexts: chrome, hidden, main, outside (of a page's article element), links, block, loose.
     """
+    lower = page.lower()
+    has_main = "<article" in lower or "<main" in lower
     out: list[tuple[str, str, int, int]] = []
     stack: list[tuple[str, str]] = []  # element, what it makes of its text: chrome, hidden, main, a, li, text or ""
     inside: Counter = Counter()
@@ -88,6 +92,8 @@ def tokens(page: str) -> list[tuple[str, str, int, int]]:
                 kind = "chrome"
             elif inside["main"]:
                 kind = "main"
+            elif has_main:
+                kind = "outside"
             elif inside["a"]:
                 kind = "links"
             else:
@@ -122,7 +128,7 @@ def tokens(page: str) -> list[tuple[str, str, int, int]]:
         if name in _HIDDEN:
             role = "hidden"
         elif name in _CONTENT:
-            role = "main"
+            role = "chrome" if name == "article" and _marks(m[4] or m[7] or "") & _ARTICLE_HINTS else "main"
         elif name in _CHROME or (name in _OUTER and not inside["main"]):
             role = "chrome"
         elif name not in ("html", "body"):
@@ -145,7 +151,7 @@ LABELLED = (
     "<body><div class=ad>Buy this now, only today, at half the price</div><article>␂<h1>Report</h1><p>Words that tell what happened, one after the other.</p><p>Then what came of it.</p>␃</article><div class=comments><p>I like what you wrote here</p><p>So do I and more</p></div><footer>All rights reserved</footer></body>",
     "<body><div id=top><a href=/>Home</a><a href=/s>Shop</a></div><div>␂<h2>Plain page</h2><p>A page of the old kind has no article element but paragraphs with many words.</p><p>They follow each other.</p><ul><li>also a list</li><li>of plain items</li></ul>␃</div><div>© owner</div><div><a href=/p>Privacy</a> <a href=/t>Terms</a></div></body>",
     "<body><div class=cookie-notice><p>We use cookies on this site to serve you well</p><button>OK</button></div><nav><a href=/1>First</a><a href=/2>Second</a></nav><div class=post>␂<h1>Walk</h1><p>It was a long walk to the lake and back.</p><blockquote>Never again, said one.</blockquote><p>We slept.</p>␃</div><aside><p>Most read pieces of this week</p><a href=/m>More</a></aside><form><label>Mail</label><input></form></body>",
-    "<body><article>␂<h1>Short</h1><p>Few words.</p>␃</article><div class=sidebar><h3>About</h3><p>This site is about many things that people do</p></div><footer><p>Imprint and privacy notes of the owner</p></footer></body>",
+    "<body><div>Est. 1990</div><article>␂<h1>Short</h1><p>Few words.</p>␃</article><div>Printed on paper</div><div class=sidebar><h3>About</h3><p>This site is about many things that people do</p></div><footer><p>Imprint and privacy notes of the owner</p></footer></body>",
 )
 
 
@@ -163,11 +169,12 @@ def fit(labelled=LABELLED) -> dict[str, float]:
                 else:
                     counts[inside][kind] += len(part.split())
     weights = {}
-    for kind in {*counts[True], *counts[False], "chrome", "links", "main", "block", "loose"}:
+    for kind in {*counts[True], *counts[False], "chrome", "links", "outside", "main", "block", "loose"}:
         odds = math.log((counts[True][kind] + 0.5) / (counts[False][kind] + 0.5))
         weights[kind] = max(-4.0, min(-0.05, odds * 0.25)) if kind[0] == "<" else odds
     weights["main"], weights["block"] = max(weights["main"], 1.0), max(weights["block"], 0.5)
-    weights["chrome"], weights["links"] = min(weights["chrome"], -1.0), min(weights["links"], -0.5)
+    for kind in ("chrome", "links", "outside"):  # left out of the text anyway: so mild that a long advert does not part an article
+        weights[kind] = max(-1.0, min(weights[kind], -0.5))
     weights["loose"] = min(max(weights["loose"], 0.25), weights["block"])
     weights["hidden"], weights["<"] = -0.05, -0.2  # "<": a tag that no labelled page has
     return weights
@@ -195,7 +202,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
         return ""
     blocks, parts = {found[k][2] for k in range(start, end) if found[k][3]}, {}
     for kind, text, block, _ in found:
-        if block in blocks and text and kind not in ("chrome", "hidden", "links"):
+        if block in blocks and text and kind not in ("chrome", "hidden", "links", "outside"):
             parts.setdefault(block, []).append(text)
     joined = (" ".join("".join(p).split()) for _, p in sorted(parts.items()))
     return "\n\n".join(t for t in joined if t)

@@ -7,8 +7,8 @@ them; sorting a bucket's windows finds, exactly, those that start earlier elsewh
 
 Equal packed strings are combined before the shuffle and again in the bucket's stream: only
 the earliest one's windows are compared. A bucket with more than ``bucket_windows`` different
-windows is not held by a task: its windows go on as rows, by 128-bit hash, and a distributed
-minimum decides them. Nothing is dropped or capped.
+windows is not held by a task: a bounded number of its windows is known by 128-bit hash, the
+others go on as rows and a distributed minimum decides them. Nothing is dropped or capped.
 
 Defined cases: a null or empty text has no words. Texts of fewer words than a window keep all.
 A null doc_id counts as the largest id. Rows with one doc_id and one text start at the same
@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import LAST_ID, Cache, written
 
-WINDOW, SEED = 20, 3
-BUCKET_WINDOWS = 20_000
+WINDOW, SEED = 20, 2
+#: Windows that a task holds of one bucket; times so many more are known by hash before any is passed on.
+BUCKET_WINDOWS, KNOWN = 20_000, 10
 CACHE_WORDS = 200_000
 _hash = Cache(xxhash.xxh64_intdigest, CACHE_WORDS).__getitem__
 
@@ -126,41 +127,58 @@ def _packer(window: int, seed: int):
 
 
 class _Bucket:
-    """The rows of one minimiser, in the order of (did, start)."""
+    """The rows of one minimiser, in the order of (did, start).
+
+    Up to ``limit`` windows are held and sorted. Beyond that, windows are looked up by 128-bit hash among the
+    first ``limit * KNOWN`` different ones, which are the earliest by the order of the rows; windows that are
+    none of these are passed on and can only equal each other.
+    """
 
     def __init__(self, window: int, limit: int, out: list[list]):
         self.window, self.limit, self.out = window, limit, out
         self.reset(None)
 
     def reset(self, mini) -> None:
-        self.mini, self.seen, self.rows, self.windows, self.over = mini, {}, [], 0, False
+        self.mini, self.seen, self.rows, self.windows, self.known = mini, {}, [], 0, None
 
     def mark(self, did, tag, start, n, a=None, b=None) -> None:
         for c, v in zip(self.out, (did, tag, start, n, a, b), strict=True):
             c.append(v)
 
-    def _pass_on(self, did, tag, start, n, packed) -> None:
+    def _each(self, did, start, n, packed):
         words = packed.split(b" ")
         for i in range(n):
-            d = xxhash.xxh3_128_intdigest(b" ".join(words[i : i + self.window]))
-            self.mark(did, tag, start + i, 1, (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63))
+            yield xxhash.xxh3_128_intdigest(b" ".join(words[i : i + self.window])), (did, start + i)
+
+    def _look_up(self, did, tag, start, n, packed) -> None:
+        known, most = self.known, self.limit * KNOWN
+        for d, at in self._each(did, start, n, packed):
+            first = known.get(d)
+            if first is not None:
+                if first != at:
+                    self.mark(did, tag, at[1], 1)
+            elif len(known) < most:
+                known[d] = at
+            else:
+                self.mark(did, tag, at[1], 1, (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63))
 
     def add(self, did, tag, start, n, packed) -> None:
-        if not self.over:
-            key = xxhash.xxh3_128_digest(packed)
-            at = self.seen.setdefault(key, (did, start))
-            if at != (did, start):
-                return self.mark(did, tag, start, n)
-            self.rows.append((did, tag, start, n, packed))
-            self.windows += n
-            if self.windows <= self.limit:
-                return None
-            self.over = True
-            for row in self.rows:
-                self._pass_on(*row)
+        if self.known is not None:
+            return self._look_up(did, tag, start, n, packed)
+        key = xxhash.xxh3_128_digest(packed)
+        at = self.seen.setdefault(key, (did, start))
+        if at != (did, start):
+            return self.mark(did, tag, start, n)
+        self.rows.append((did, tag, start, n, packed))
+        self.windows += n
+        if self.windows > self.limit:
+            self.close()
+            self.known = {}
+            for did, _, start, n, packed in self.rows:
+                for d, where in self._each(did, start, n, packed):
+                    self.known.setdefault(d, where)
             self.rows, self.seen = [], {}
-            return None
-        return self._pass_on(did, tag, start, n, packed)
+        return None
 
     def close(self) -> None:
         """Sorts the windows of what was held and marks all but the earliest of equal ones."""

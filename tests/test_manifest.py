@@ -84,8 +84,7 @@ def test_streams(spark, tmp_path):
     df = spark.createDataFrame(rows, "train_id string, service_date string, observed_ts timestamp, op_id long, delay_sec long")
     df.write.parquet(str(tmp_path / "in"))
     for name, build, mode, want in (("win", delay_windows, "complete", 2), ("run", running_delay, "update", 1)):
-        q = build(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))).writeStream.outputMode(mode).format("memory").queryName(name).start()
-        q.processAllAvailable()
-        q.stop()
+        q = build(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))).writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+        assert q.awaitTermination(60)
         assert spark.table(name).count() == want
     assert spark.table("run").first().delay_sec == 700

@@ -100,7 +100,7 @@ def _clean(x):
         return {_clean(k): _clean(v) for k, v in x.items()}
     if isinstance(x, list):
         return [_clean(v) for v in x]
-    return x.replace("﻿", "").strip() if isinstance(x, str) else x
+    return x.replace("\ufeff", "") if isinstance(x, str) else x
 
 
 def load(path: str) -> dict:

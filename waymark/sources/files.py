@@ -44,7 +44,8 @@ def read_table(spark: SparkSession, path, fmt: str | None = None, options: dict
     """A file, folder or glob. CSV is text only, never inferred. ``order`` adds file_name and seq, the row's place
     in its file (whole files, one task each)."""
     fmt = format_of(path if isinstance(path, str) else path[0], fmt)
-    reader = spark.read.format(fmt).options(**({"header": "true"} if fmt == "csv" else {}) | (options or {}))
+    options = {k: "iso-8859-1" if k == "encoding" and str(v).lower() in ("latin1", "latin-1") else v for k, v in (options or {}).items()}
+    reader = spark.read.format(fmt).options(**({"header": "true"} if fmt == "csv" else {}) | options)
     schema = schema_of(fields)
     if schema is not None:
         reader = reader.schema(schema)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,23 +12,10 @@ def delay_windows(events: DataFrame, width: str = "1 hour", late: str = "2 hours
     return g.agg(F.count("*").alias("n"), F.sum("delay_sec").alias("delay_sum")).select(F.col("window.start").alias("window_start"), "op_id", "n", "delay_sum")
 
 
-def running_delay(events: DataFrame, timeout_ms: int = 6 * 3_600_000) -> DataFrame:
-    """For each journey the latest observed time so far and its delay, never running backward."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        best, delay = state.get if state.exists else (-(2**62), 0)
-        for pdf in batches:
-            for r in pdf.sort_values("observed_us").itertuples():
-                if r.observed_us >= best:
-                    best, delay = int(r.observed_us), int(r.delay_sec)
-        state.update((best, delay))
-        state.setTimeoutDuration(timeout_ms)
-        yield pd.DataFrame({"train_id": [key[0]], "service_date": [key[1]], "observed_us": [best], "delay_sec": [delay]})
-
-    rows = events.select("train_id", "service_date", F.unix_micros(F.col("observed_ts").cast("timestamp")).alias("observed_us"), F.col("delay_sec").cast("bigint").alias("delay_sec"))
-    return rows.groupBy("train_id", "service_date").applyInPandasWithState(
-        step, "train_id string, service_date string, observed_us bigint, delay_sec bigint", "best bigint, delay bigint", "update", "ProcessingTimeTimeout"
-    )
+def running_delay(events: DataFrame, late: str = "6 hours") -> DataFrame:
+    """For each journey the latest observed time so far and its delay, never running backward. The watermark lets go of
+    the state of past days."""
+    day = F.window("observed_ts", "1 day")
+    last = F.max(F.struct(F.unix_micros("observed_ts").alias("observed_us"), F.col("delay_sec").cast("bigint").alias("delay_sec"))).alias("last")
+    g = events.withWatermark("observed_ts", late).groupBy(day.alias("day"), "train_id", "service_date").agg(last)
+    return g.select("train_id", "service_date", "last.observed_us", "last.delay_sec")

@@ -211,12 +211,12 @@ def family_columns(spark, sf):
     return spark.createDataFrame([(f, len(c), len(features.without_family(t, f).columns)) for f, c in features.families(t.columns).items()], "family string, n_columns int, n_left int")
 
 
-@query("a17_seed_summary", "SELECT model, avg(mae) AS mean_mae, stddev_pop(mae) AS std_mae FROM (SELECT l_returnflag AS model, l_linenumber AS seed, (sum(l_quantity::BIGINT) % 100)::DOUBLE AS mae FROM lineitem GROUP BY 1, 2) GROUP BY model")
+@query("a17_seed_summary", "SELECT model, round(avg(mae), 6) AS mean_mae, round(stddev_pop(mae), 6) AS std_mae FROM (SELECT l_returnflag AS model, l_linenumber AS seed, (sum(l_quantity::BIGINT) % 100)::DOUBLE AS mae FROM lineitem GROUP BY 1, 2) GROUP BY model")
 def seed_summary(spark, sf):
     from ..session import table
 
     runs = table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("model"), F.col("l_linenumber").alias("seed")).agg((F.sum(F.col("l_quantity").cast("bigint")) % 100).cast("double").alias("mae"))
-    return runs.groupBy("model").agg(F.avg("mae").alias("mean_mae"), F.stddev_pop("mae").alias("std_mae"))
+    return runs.groupBy("model").agg(F.round(F.avg("mae"), 6).alias("mean_mae"), F.round(F.stddev_pop("mae"), 6).alias("std_mae"))
 
 
 @query("e20_best_marked", "SELECT model, seed, mae, mae = min(mae) OVER (PARTITION BY seed) AS best FROM (SELECT l_returnflag AS model, l_linenumber AS seed, sum(l_quantity::BIGINT)::BIGINT AS mae FROM lineitem GROUP BY 1, 2)")

@@ -208,3 +208,21 @@ def deduplicate(vectors: DataFrame, **how) -> DataFrame:
 
 def digest(vectors: DataFrame, **how) -> DataFrame:
     return near_duplicates(vectors.select("vec_id", "embedding", "label"), **how)
+
+
+ORACLE = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+), g AS (
+  SELECT * FROM v WHERE e IS NOT NULL AND label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93
+), r AS (
+  SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x
+), c AS (
+  SELECT x AS vec_id, min(y) AS component_id FROM r GROUP BY x
+), n AS (
+  SELECT x AS vec_id, count(*) AS n FROM l GROUP BY x
+)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, component_id, component_id = v.vec_id AS kept FROM v JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
+"""

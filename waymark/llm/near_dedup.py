@@ -353,3 +353,25 @@ def digest(docs: DataFrame, shingle: int = 4, **how) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
     out = near_duplicates(docs.select("doc_id", "text"), shingle=shingle, **how)
     return out.select(F.nullif(F.col("did"), F.lit(LAST_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.col("component"), F.lit(LAST_ID)).alias("component_id"), (F.col("did") == F.col("component")).alias("kept"))
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i : i + 3], ' ') AS shingle FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, least(len(ws), 1)) + 1)) AS i FROM w)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)
+), e AS (
+  SELECT x, y FROM l UNION SELECT y, x FROM l
+), r AS (
+  SELECT doc_id AS x, doc_id AS y FROM w UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x
+), c AS (
+  SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x
+)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, component_id = w.doc_id AS kept FROM w LEFT JOIN n USING (doc_id) JOIN c ON c.doc_id = w.doc_id
+"""

@@ -58,7 +58,11 @@ QUERIES = {
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_ann": op10_ann,
 }
+#: op1, op6, op8: a model or a tokenizer; op2: the order of a hash that DuckDB lacks; op10: an approximate index.
 ORACLES = {
+    "op3_minhash_near_dedup": near_dedup.ORACLE,
     "op4_url_filter": url_filter.ORACLE,
     "op5_line_dedup": line_dedup.ORACLE,
+    "op7_substring_dedup": substring_dedup.ORACLE,
+    "op9_embedding_near_dedup": embedding_dedup.ORACLE,
 }

@@ -289,3 +289,19 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, text_out: str = "tex
 def digest(docs: DataFrame, **how) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256."""
     return dedup_substrings(docs.select("doc_id", "text"), **how).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+ORACLE = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), k AS (
+  SELECT doc_id, i, ws[i] AS word, CASE WHEN i + 19 <= len(ws) THEN array_to_string(ws[i : i + 19], ' ') END AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)
+), f AS (
+  SELECT doc_id, i, word, win IS NOT NULL AND (doc_id, i) <> (first_value((doc_id, i)) OVER (PARTITION BY win ORDER BY doc_id, i)) AS late FROM k
+), g AS (
+  SELECT doc_id, i, word, bool_or(late) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM f
+), o AS (
+  SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM g GROUP BY doc_id
+)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN o USING (doc_id)
+"""

@@ -84,5 +84,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = written(docs, f"stage-{name}")
+            docs = written(docs, f"stage-{name}", codec="zstd")
     return docs

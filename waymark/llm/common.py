@@ -62,8 +62,10 @@ def release() -> None:
 atexit.register(release)
 
 
-def written(df: DataFrame, name: str, *partition_by: str, codec: str = "zstd") -> DataFrame:
-    """df as a Parquet table in the shared folder, read back: cuts lineage and survives lost executors."""
+def written(df: DataFrame, name: str, *partition_by: str, codec: str = "uncompressed") -> DataFrame:
+    """df as a Parquet table in the shared folder, read back: cuts lineage and survives lost executors.
+
+    Most tables hold hashes and ids, which do not compress; a codec also holds native buffers for each open file."""
     path = new_path(df.sparkSession, name)
     out = df.write.option("compression", codec)
     (out.partitionBy(*partition_by) if partition_by else out).parquet(path)

@@ -126,7 +126,7 @@ def pack(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, path: str
 
     ids is little-endian 16-bit binary; ``of_ids`` may turn it into something else (``kind``, ``column``).
     """
-    tokens = written(tokenised(docs, path, end_id), "tokens")
+    tokens = written(tokenised(docs, path, end_id), "tokens", codec="zstd")
     totals = tokens.groupBy("pid").agg(F.sum("doc_tokens").alias("n"))
     before = W.orderBy("pid").rowsBetween(W.unboundedPreceding, -1)
     offsets = written(totals.select(F.col("pid").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("ahead")), "offsets")

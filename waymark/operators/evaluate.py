@@ -12,7 +12,7 @@ KEYS = ("ts", "train_id", "service_date")
 INF = float("inf")
 #: Bins of the horizon in minutes and of the change of delay in seconds.
 HORIZON_MIN = [0.0, 5.0, 10.0, 15.0, 20.0, 25.0, 30.0, 35.0, 40.0, 45.0, INF]
-CHANGE_SEC = [-INF, -300.0, -180.0, -120.0, -60.0, -30.0, 30.0, 60.0, 120.0, 180.0, 300.0, INF]
+CHANGE_SEC = [-INF, -300.0, -120.0, -60.0, -30.0, 0.0, 30.0, 60.0, 120.0, 300.0, 600.0, INF]
 
 
 def check_columns(truth: DataFrame, predictions: DataFrame, keys=KEYS) -> list[str]:

@@ -70,18 +70,24 @@ def slot_columns(names: list[str], prefix: str) -> list[str]:
     return sorted((c for c in names if c.startswith(prefix) and c[len(prefix) :].isdigit()), key=lambda c: int(c[len(prefix) :]))
 
 
-#: Column-name prefixes of the feature families.
+#: The feature families in reporting order; for each the beginnings of a column's name, and a part it must hold.
 FAMILIES = {
-    "time": ("day_", "year_", "weekday_"), "past": ("past_",), "future": ("future_",), "links": ("link_",),
-    "weather": ("temperature_", "rain", "snowfall", "relative_humidity", "wind_"), "relation": ("relation_",), "embedding": ("emb_",), "delay": ("last_known_delay",),
-}
+    "train_information": (("operator_", "train_relation_"), ""),
+    "snapshot_time_features": (("snapshot_",), ""),
+    "event_planned_timing": (("past_", "future_"), "planned_delta"),
+    "past_delay_features": (("past_delay_sec_",), ""),
+    "event_type_features": (("past_", "future_"), "event_type"),
+    "event_node_embeddings": (("past_", "future_"), "_emb_"),
+    "local_network_context": (("link", "prev_", "next_"), ""),
+    "weather_features": (("weather_",), ""),
+}
 
 
 def families(names: list[str]) -> dict[str, list[str]]:
     """Columns by family; a name that fits none is an error."""
     out: dict[str, list[str]] = {f: [] for f in FAMILIES}
     for c in names:
-        f = next((f for f, ps in FAMILIES.items() if c.startswith(ps)), None)
+        f = next((f for f, (begins, part) in FAMILIES.items() if c.startswith(begins) and part in c), None)
         if f is None:
             raise ValueError(f"no family for column {c}")
         out[f].append(c)

@@ -33,7 +33,7 @@ def clamp_sql(source: str, out: str, column: str, limit: int = 120) -> str:
 COLS = "train_id, service_date, seq, op_id, event_type, planned_ts, observed_ts"
 BUILT = ",\n".join([A.STOPS, FIXED, EVENTS, clamp_sql("three", "c1", "planned_ts"), clamp_sql("c1", "c2", "observed_ts")]) + """,
 late AS (SELECT *, (epoch_us(observed_ts) - epoch_us(planned_ts)) / 1e6 AS delay_sec FROM c2),
-bounded AS (SELECT * FROM (SELECT *, max(delay_sec) OVER (PARTITION BY train_id, service_date) AS hi, min(delay_sec) OVER (PARTITION BY train_id, service_date) AS lo FROM late) WHERE hi <= 14400 AND lo >= -7200),
+bounded AS (SELECT * FROM (SELECT *, max(delay_sec) OVER (PARTITION BY train_id, service_date) AS hi, min(delay_sec) OVER (PARTITION BY train_id, service_date) AS lo FROM late) WHERE hi <= 14400 AND lo >= -3600),
 built AS (SELECT * FROM bounded QUALIFY row_number() OVER (PARTITION BY train_id, service_date, event_type, op_id ORDER BY seq) = 1)"""
 
 

@@ -49,7 +49,7 @@ def signed_root(spark, sf):
     return A.events(spark, sf).select("seq", F.round(x, 6).alias("root"), F.round(S.signed_square(x), 4).alias("back"))
 
 
-CYC = ", ".join(f"round({f}(a * {2 * 3.141592653589793 * k}), 6) + 0.0::DOUBLE AS day_{f}_{k}" for k in (1, 2, 3) for f in ("sin", "cos"))
+CYC = ", ".join(f"round({f}(a * {2 * 3.141592653589793 * k}), 6) + 0.0::DOUBLE AS day_{f}_{k}" for k in (1, 2, 4) for f in ("sin", "cos"))
 
 
 @query("f03_cyclic_day", A.with_ctes(A.EV, tail=f"SELECT seq, {CYC} FROM (SELECT seq, (hour(observed_ts) + minute(observed_ts) / 60.0::DOUBLE + second(observed_ts) / 3600.0::DOUBLE) / 24.0::DOUBLE AS a FROM ev)"))

@@ -54,21 +54,21 @@ def tabular(spark, sf):
     relation = A.events(spark, sf).select("train_id", S.relation_type(F.col("train_relation")).alias("relation_type")).distinct()
     rows = s.join(crowd, [*KEY, "snapshot_ts"]).join(relation, "train_id")
     slot = lambda c, k: F.col(c)[k]["delay_sec"]
-    cols = [slot("past_slots", k).alias(f"past_delay_{k + 1}") for k in range(3)]
+    cols = [slot("past_slots", k).alias(f"past_delay_sec_{k + 1}") for k in range(3)]
     target = [S.signed_sqrt(F.when(F.col("future_slots")[k]["op_id"] != -1, slot("future_slots", k)) - F.col("last_known_delay")).alias(f"y_{k + 1}") for k in range(3)]
-    when = S.cyclic(S.day_fraction(F.col("snapshot_ts")), "day", (1,))
-    return rows.select(*KEY, "snapshot_ts", "split", "last_known_delay", *cols, F.col("n_trains").cast("double").alias("link_n_ahead"), F.coalesce("mean_delay", F.lit(0.0)).alias("link_mean_ahead"), *when, *S.indicators(F.col("relation_type"), ("IC", "L", "S", "P", "EXTRA"), "relation"), *target)
+    when = S.cyclic(S.day_fraction(F.col("snapshot_ts")), "snapshot_hour", (1,))
+    return rows.select(*KEY, "snapshot_ts", "split", "last_known_delay", *cols, F.col("n_trains").cast("double").alias("link_n_ahead"), F.coalesce("mean_delay", F.lit(0.0)).alias("link_mean_ahead"), *when, *S.indicators(F.col("relation_type"), ("IC", "L", "S", "P", "EXTRA"), "train_relation"), *target)
 
 
 @query("n06_tabular_rows")
 def tabular_rows(spark, sf):
-    return tabular(spark, sf).select(*KEY, "snapshot_ts", "split", "last_known_delay", "past_delay_1", "link_n_ahead", "y_1")
+    return tabular(spark, sf).select(*KEY, "snapshot_ts", "split", "last_known_delay", "past_delay_sec_1", "link_n_ahead", "y_1")
 
 
 @query("n08_normalised_rows")
 def normalised_rows(spark, sf):
     t = tabular(spark, sf)
-    z = ["last_known_delay", "past_delay_1", "link_n_ahead", "link_mean_ahead", "y_1"]
+    z = ["last_known_delay", "past_delay_sec_1", "link_n_ahead", "link_mean_ahead", "y_1"]
     out = features.normalise(t, features.moments(t, z), z=z)
     return out.groupBy("split").agg(F.count("*").alias("n"), *[F.round(F.avg(c), 6).alias(f"mean_{c}") for c in z])
 
@@ -76,8 +76,8 @@ def normalised_rows(spark, sf):
 @query("n09_sequences")
 def sequences(spark, sf):
     t = tabular(spark, sf)
-    p = features.pooled(t, {"past": ["past_delay_1", "past_delay_2", "past_delay_3"]}).first()
-    steps = F.array(*[F.array(S.z_score(F.col(f"past_delay_{k}"), F.lit(p["mean"]), F.lit(p["std"]))) for k in (3, 2, 1)])
+    p = features.pooled(t, {"past": ["past_delay_sec_1", "past_delay_sec_2", "past_delay_sec_3"]}).first()
+    steps = F.array(*[F.array(S.z_score(F.col(f"past_delay_sec_{k}"), F.lit(p["mean"]), F.lit(p["std"]))) for k in (3, 2, 1)])
     return t.select(*KEY, "snapshot_ts", "split", F.size(steps).alias("steps"), F.round(F.element_at(steps, -1)[0], 6).alias("nearest"))
 
 
@@ -191,7 +191,7 @@ def boosted_trees(spark, sf):
     from pyspark.ml.regression import GBTRegressor
 
     t = tabular(spark, sf).where("y_1 is not null")
-    x = ["last_known_delay", "past_delay_1", "past_delay_2", "past_delay_3", "link_n_ahead", "link_mean_ahead", "day_sin_1", "day_cos_1"]
+    x = ["last_known_delay", "past_delay_sec_1", "past_delay_sec_2", "past_delay_sec_3", "link_n_ahead", "link_mean_ahead", "snapshot_hour_sin_1", "snapshot_hour_cos_1"]
     v = VectorAssembler(inputCols=x, outputCol="x").transform(t).select("x", "y_1", "split", "last_known_delay")
     model = GBTRegressor(featuresCol="x", labelCol="y_1", lossType="absolute", maxIter=5, maxDepth=3, seed=SEED).fit(v.where("split = 'train'"))
     p = model.transform(v.where("split = 'test'"))
@@ -207,7 +207,7 @@ def validation_mae(spark, sf):
 
 @query("e19_family_columns")
 def family_columns(spark, sf):
-    t = tabular(spark, sf).drop(*KEY, "snapshot_ts", "split", "y_1", "y_2", "y_3")
+    t = tabular(spark, sf).drop(*KEY, "snapshot_ts", "split", "last_known_delay", "y_1", "y_2", "y_3")
     return spark.createDataFrame([(f, len(c), len(features.without_family(t, f).columns)) for f, c in features.families(t.columns).items()], "family string, n_columns int, n_left int")
 
 

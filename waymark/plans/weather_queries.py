@@ -69,7 +69,7 @@ def nearest_weather(spark, sf):
 
 
 #: The groups of weather codes.
-GROUPS = {"clear": (0, 1), "cloudy": (2, 3), "fog": (45, 48), "rain": (51, 53, 55, 61, 63, 65, 80, 81, 82), "snow": (71, 73, 75, 77, 85, 86), "storm": (95, 96, 99)}
+GROUPS = {"clear": (0, 1, 2), "cloud": (3,), "fog": (45, 48), "drizzle": (51, 53, 55, 56, 57), "rain": (61, 63, 65, 66, 67, 80, 81, 82), "snow": (71, 73, 75, 77, 85, 86), "thunder": (95, 96, 99)}
 
 
 def group_of(code):

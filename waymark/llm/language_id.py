@@ -32,7 +32,7 @@ from .common import WORD
 SAMPLE_DOCS, TOP_WORDS, MAX_LANGUAGES = 2_000, 30_000, 200
 ROUNDS, SMOOTHING, MAX_WORD, MAX_PIECE = 3, 50.0, 32, 16
 UNKNOWN = 1e-6  # probability of a character that is no piece, in any language
-CACHE_WORDS = 300_000
+CACHE_WORDS = 120_000
 #: The remainder of crc32(doc_id as text) by 4 that is held out.
 FOLDS, HELD_OUT = 4, 2
 UNDETERMINED = "und"
@@ -75,8 +75,8 @@ def lattices(pieces: Pieces, words: list[str]):
     for i, w in enumerate(words):
         by.setdefault(len(w), []).append(i)
     for n, where in by.items():
-        for at in range(0, len(where), 20_000):
-            part = where[at : at + 20_000]
+        for at in range(0, len(where), 5_000):
+            part = where[at : at + 5_000]
             codes = np.frombuffer("".join(words[i] for i in part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), n).astype(np.uint64) + np.uint64(1)
             prefix = np.zeros((n + 1, len(part)), np.uint64)
             for j in range(n):
@@ -236,7 +236,7 @@ def identify(docs: DataFrame, scorer: Scorer) -> DataFrame:
             t = t if isinstance(t, str) else None
             part.append(t)
             size += len(t or "")
-            if size > 4 << 20 or i + 1 == len(values):
+            if size > 1 << 20 or i + 1 == len(values):
                 a, b = own.judge(part)
                 langs += a
                 scores += b

@@ -283,8 +283,12 @@ def _class_texts(active: DataFrame, rows: DataFrame, k: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            sets = [shingle_set(t.as_py(), k) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int64()), b.column(1), pa.array([long_signature(x) for x in sets], pa.binary())], ["cid", "n", "text", "long"])
+            sizes, longs = [], []
+            for t in b.column(1):  # one set at a time
+                x = shingle_set(t.as_py(), k)
+                sizes.append(len(x))
+                longs.append(long_signature(x))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), b.column(1), pa.array(longs, pa.binary())], ["cid", "n", "text", "long"])
 
     return texts.mapInArrow(run, "cid long, n long, text string, long binary")
 

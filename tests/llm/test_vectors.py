@@ -57,6 +57,21 @@ def test_near_vectors(spark, block):
     assert got == want
 
 
+def test_near_vectors_of_a_crowded_group(spark):
+    """Different near copies that hold a third of the rows, and all else noise: every link counts."""
+    r = np.random.default_rng(4)
+    x = r.standard_normal((3000, 64))
+    x[::3] = r.standard_normal(64) + 0.23 * r.standard_normal((1000, 64))
+    unit = x.astype(np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    link = unit @ unit.T >= 0.93
+    want = link.sum(1) - 1
+    assert 0.3 * 1000**2 < want.sum() < 1000**2
+    df = frame(spark, x.astype(np.float32), [1] * 3000, odd=False)
+    got = {row.vec_id: row for row in embedding_dedup.digest(df).collect()}
+    assert [got[k].n_links for k in range(3000)] == want.tolist()
+
+
 def test_near_vectors_empty(spark):
     df = frame(spark, clustered(16)).limit(0)
     assert embedding_dedup.digest(df).count() == 0

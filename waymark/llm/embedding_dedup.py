@@ -1,12 +1,13 @@
-"""Embedding near-dedup by a pivot-permutation index.
+"""Embedding near-dedup by exact comparison, block against block.
 
-A vector is described by its ``prefix`` nearest pivots, in order. An inverted list for each
-pivot (within a label) holds the vectors that have it in their prefix. Two vectors of a list
-are a candidate if they share at least ``SHARED`` pivots; a candidate's cosine is then taken
-in double precision. A pair is looked at in the list of its first shared pivot only.
+Every two vectors of one label and length are compared: a label's vectors are dealt to blocks of
+bounded size by a hash, each pair of blocks is one cell, and a cell is one matrix product in
+double precision. A cosine too near the threshold to trust the product is taken again by itself.
+So no link is missed, however crowded a neighbourhood is; the work grows with the square of a
+label's different vectors, and a vector travels once for each block of its label.
 
-Equal vectors of a label are one class first. Lists are compared in blocks of bounded size,
-block against block, and a cell returns sums of links and a spanning forest, never its pairs.
+Equal vectors of a label are one class first. A cell returns sums of links and a spanning
+forest, never its pairs.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components, and
 those with a null label, link with nothing: n_links 0, their own component, kept. Vectors of
@@ -17,8 +18,6 @@ empty result. Extra columns pass through ``deduplicate``.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,9 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import LAST_ID, components, written
 
-THRESHOLD, SHARED, BLOCK = 0.93, 2, 1024
-#: The pivots grow with the root of the rows between these bounds: at most 4096 vectors are shipped to the tasks.
-MIN_PIVOTS, MAX_PIVOTS, SEED = 64, 4096, 20_240_601
+THRESHOLD, BLOCK = 0.93, 1024
+#: Cosines of a matrix product nearer to the threshold than this are taken again one by one; rows of a product at a time.
+DOUBT, ROWS = 1e-9, 256
 
 
 def usable(c):
@@ -57,51 +56,6 @@ def unit(blobs: list[bytes], kind: str = "<f8") -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def pivots_for(vectors: DataFrame, count: int) -> dict[int, np.ndarray]:
-    """Up to ``count`` reference directions for each vector length: rows chosen by a hash, then seeded random ones."""
-    rows = vectors.select("emb").orderBy(F.xxhash64(F.lit(SEED), "emb")).limit(count).collect()
-    by: dict[int, list[bytes]] = {}
-    for r in rows:
-        by.setdefault(len(r.emb) // 8, []).append(bytes(r.emb))
-    return {dim: unit(b) for dim, b in by.items()}
-
-
-def random_pivots(dim: int, count: int) -> np.ndarray:
-    x = np.random.default_rng([SEED, dim]).standard_normal((count, dim))
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
-
-
-def permutations(blobs: list[bytes], pivots: np.ndarray, prefix: int) -> np.ndarray:
-    """Each vector's nearest pivots, nearest first."""
-    near = unit(blobs) @ pivots.T
-    k = min(prefix, near.shape[1])
-    top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-    return np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1)
-
-
-def _lister(pivots: dict[int, np.ndarray], count: int, prefix: int):
-    def run(batches):
-        extra: dict[int, np.ndarray] = {}
-        for batch in batches:
-            dims = np.array([len(x.as_py()) // 8 for x in batch.column("emb")])
-            for dim in np.unique(dims).tolist():
-                part = batch.take(pa.array(np.flatnonzero(dims == dim)))
-                own = pivots.get(dim)
-                if own is None or len(own) < 2:
-                    own = extra.setdefault(dim, random_pivots(dim, count))
-                perm = permutations(part.column("emb").to_pylist(), own, prefix)
-                k = perm.shape[1]
-                where = pa.array(np.repeat(np.arange(len(perm)), k))
-                lists = [bytes(p) for p in perm.astype("<u2")]
-                cols = [part.column(c).take(where) for c in ("cid", "label", "m", "emb")]
-                yield pa.RecordBatch.from_arrays(
-                    [cols[0], cols[1], pa.array(np.full(len(where), dim, np.int32)), pa.array(perm.ravel().astype(np.int32)), cols[2], pa.array(lists, pa.binary()).take(where), cols[3]],
-                    ["cid", "label", "dim", "pivot", "m", "perm", "emb"],
-                )
-
-    return run, "cid long, label string, dim int, pivot int, m long, perm binary, emb binary"
-
-
 def _forest(a: np.ndarray) -> np.ndarray:
     """For each row of a symmetric boolean matrix, the smallest index of its component."""
     n = len(a)
@@ -117,28 +71,29 @@ def _forest(a: np.ndarray) -> np.ndarray:
     return label
 
 
-def _cells(threshold: float, shared: int):
-    def compare(pivot: int, i: int, j: int, rows: list[tuple]):
-        """rows: (cid, m, perm, emb, side) with side 0 for block i and 1 for block j; one side only if i = j."""
-        cid, m, side = (np.array([r[k] for r in rows]) for k in (0, 1, 4))
-        perm = np.frombuffer(b"".join(r[2] for r in rows), "<u2").reshape(len(rows), -1)
-        vec = unit([r[3] for r in rows])
+def _cells(threshold: float):
+    def compare(i: int, j: int, rows: list[tuple]):
+        """rows: (cid, m, emb, side) with side 0 for block i and 1 for block j; one side only if i = j."""
+        cid, m, side = (np.array([r[k] for r in rows]) for k in (0, 1, 3))
+        vec = unit([r[2] for r in rows])
         left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if i != j else (np.arange(len(rows)),) * 2
         if not len(left) or not len(right):
             return [], [], []
-        has = np.zeros((len(rows), int(perm.max()) + 1), np.float32)
-        np.put_along_axis(has, perm.astype(np.int64), 1.0, 1)
-        candidate = has[left] @ has[right].T >= shared
-        before = has[:, :pivot]
-        candidate &= before[left] @ before[right].T == 0  # an earlier list has the pair
-        if i == j:
-            candidate &= left[:, None] < right[None, :]
-        x, y = np.nonzero(candidate)
-        hit = np.empty(len(x), bool)
-        for at in range(0, len(x), 200_000):
-            s = slice(at, at + 200_000)
-            hit[s] = np.einsum("ij,ij->i", vec[left[x[s]]], vec[right[y[s]]]) >= threshold
-        x, y = left[x[hit]], right[y[hit]]
+        xs, ys = [], []
+        for at in range(0, len(left), ROWS):
+            own = left[at : at + ROWS]
+            near = vec[own] @ vec[right].T
+            maybe = near >= threshold - DOUBT
+            if i == j:
+                maybe &= own[:, None] < right[None, :]
+            x, y = np.nonzero(maybe)
+            hit = near[x, y] >= threshold + DOUBT
+            x, y = own[x], right[y]
+            doubt = np.flatnonzero(~hit)
+            hit[doubt] = np.einsum("ij,ij->i", vec[x[doubt]], vec[y[doubt]]) >= threshold
+            xs.append(x[hit])
+            ys.append(y[hit])
+        x, y = np.concatenate(xs), np.concatenate(ys)
         if not len(x):
             return [], [], []
         links = np.bincount(x, m[y], len(rows)) + np.bincount(y, m[x], len(rows))
@@ -158,18 +113,18 @@ def _cells(threshold: float, shared: int):
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:5] != now:
+                if row[:4] != now:
                     if held:
                         yield closed()
-                    held, now = [], row[:5]
-                held.append(row[5:])
+                    held, now = [], row[:4]
+                held.append(row[4:])
         if held:
             yield closed()
 
     return run, "cid long, n long, root long"
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shared: int = SHARED, block: int = BLOCK) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """vectors(vec_id, embedding, label) -> (vec_id, n_links, component_id, kept), one row for each row."""
     emb = F.transform("embedding", lambda x: x.cast("double"))
     rows = vectors.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(LAST_ID)).alias("vid"), F.col("label").cast("string").alias("label"), emb.alias("emb"))
@@ -177,17 +132,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shared: in
     own = packed(rows.where(good))
     classes = own.groupBy("label", "emb").agg(F.min("vid").alias("owner"), F.count("*").alias("m"))
     classes = written(classes.select(F.monotonically_increasing_id().alias("cid"), "label", "emb", "owner", "m"), "vectors")
-    n = classes.count()
-    count = min(MAX_PIVOTS, max(MIN_PIVOTS, math.ceil(math.sqrt(n))))
-    run, schema = _lister(pivots_for(classes, count), count, max(6, round(2 * count**0.25)))
-    lists = classes.mapInArrow(run, schema)
-    sizes = written(lists.groupBy("label", "dim", "pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "lists")
-    cells = lists.join(sizes, ["label", "dim", "pivot"]).withColumn("home", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    dealt = classes.withColumn("dim", (F.length("emb") / 8).cast("int"))
+    sizes = written(dealt.groupBy("label", "dim").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "sizes")
+    cells = dealt.join(sizes, ["label", "dim"]).withColumn("home", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     seats = F.transform(every, lambda k: F.struct(F.least(k, F.col("home")).alias("i"), F.greatest(k, F.col("home")).alias("j"), (k < F.col("home")).cast("int").alias("side")))
-    cells = cells.withColumn("c", F.explode(seats)).select("label", "dim", "pivot", F.col("c.i").alias("i"), F.col("c.j").alias("j"), "cid", "m", "perm", "emb", F.col("c.side").alias("side"))
-    key = ["label", "dim", "pivot", "i", "j"]
-    run, schema = _cells(threshold, shared)
+    cells = cells.withColumn("c", F.explode(seats)).select("label", "dim", F.col("c.i").alias("i"), F.col("c.j").alias("j"), "cid", "m", "emb", F.col("c.side").alias("side"))
+    key = ["label", "dim", "i", "j"]
+    run, schema = _cells(threshold)
     found = written(cells.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, schema), "cells")
     links = found.groupBy("cid").agg(F.sum("n").alias("n"))
     comps = components(found.select(F.col("cid").alias("src"), F.col("root").alias("dst")))

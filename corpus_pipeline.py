@@ -26,6 +26,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents whose language can be told; those without a letter go."""
     docs = docs.select(*COLUMNS)
     scorer = language_id.fit(docs)
+    if not scorer.langs:  # nothing to learn from: no language can be told, but letters can be seen
+        return docs.where(language_id.has_letter("text"))
     return language_id.identify(docs, scorer).where(F.col("lang_pred") != language_id.UNDETERMINED).select(*COLUMNS)
 
 
@@ -35,11 +37,12 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id, once."""
-    found = near_dedup.deduplicate(docs.select(*COLUMNS)).where("kept")
-    again = W.partitionBy(F.coalesce("doc_id", F.lit(LAST_ID))).orderBy(F.xxhash64("text"))
-    found = found.withColumn("__again", F.when(F.col("n_shingles") > 0, F.row_number().over(again)).otherwise(1))
-    return found.where(F.col("__again") == 1).select(*COLUMNS)
+    """One document of each group of near copies: the one with the smallest doc_id, once. Those without words stay."""
+    found = near_dedup.deduplicate(docs.select(*COLUMNS), group="__group").where("kept")
+    found = found.withColumn("__alone", F.when(F.col("__group").isNull(), F.monotonically_increasing_id()))
+    again = W.partitionBy("__group", "__alone").orderBy(F.xxhash64("text"))
+    # the bare comparison lets Spark number, and drop, the rows of a group before the shuffle
+    return found.withColumn("__again", F.row_number().over(again)).where(F.col("__again") == 1).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

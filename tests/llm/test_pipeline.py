@@ -53,6 +53,21 @@ def test_near_stage_keeps_one_of_each_group(spark):
     assert got == sorted({d for d, _, _, kept in brute_near(rows_of(df), 5) if kept})
 
 
+def test_near_stage_keeps_different_texts_without_or_with_one_id(spark):
+    rows = [(None, prose(60, 200 + k), "en", "s", None) for k in range(5)] * 2 + [(7, prose(60, 300 + k), "en", "s", None) for k in range(3)]
+    rows += [(9, prose(60, 300), "en", "s", None), (None, prose(60, 301), "fr", "s", None), (None, None, None, None, None), (None, "", "en", "s", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted([(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()], key=str)
+    assert got == sorted([*{(d, t) for d, t, *_ in rows[:13]}, (None, None), (None, "")], key=str)
+
+
+def test_language_stage_without_labels(spark):
+    rows = [(k, prose(30, k), None, "s", None) for k in range(6)] + [(7, "12 3", None, "s", None), (8, None, None, "s", None), (None, "öä", None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.identify_language(spark, df, "").collect()
+    assert sorted((r.doc_id for r in got), key=str) == sorted([*range(6), None], key=str)
+
+
 def test_mixing_stage_takes_what_the_operator_takes(spark):
     from waymark.llm import mixing
 

@@ -246,6 +246,16 @@ def identify(docs: DataFrame, scorer: Scorer) -> DataFrame:
     return docs.withColumn("__l", run("text")).withColumns({"lang_pred": F.col("__l.lang_pred"), "score": F.col("__l.score")}).drop("__l")
 
 
+def has_letter(texts):
+    """True where a text has a letter, by the rule of the scorer."""
+
+    @F.pandas_udf("boolean")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: isinstance(t, str) and _LETTER.search(t) is not None).astype(bool)
+
+    return run(texts)
+
+
 _last: list = []
 
 

@@ -294,7 +294,7 @@ def _class_texts(active: DataFrame, rows: DataFrame, k: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """(did, th, n, component): for each document (id and text hash) its set size and smallest reachable id."""
+    """(did, th, n, component, grp): for each document (id and text hash) its set size, smallest reachable id, and a number of its linked group, null without shingles."""
     percent = round(100 * similarity)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("did"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
     run, schema = _signed(shingle)
@@ -341,14 +341,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     # smallest doc_id of each component, for each class, for each document
     place = classes.select("cid", "a", "b", "owner").join(_shuffled(comps.withColumnRenamed("id", "cid")), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = place.groupBy("component").agg(F.min("owner").alias("least"))
-    place = place.join(_shuffled(least), "component").select("a", "b", "least")
-    return signed.select("did", "th", "n", "a", "b").join(_shuffled(place), ["a", "b"], "left").select("did", "th", "n", F.when(F.col("n") > 0, F.coalesce("least", "did")).otherwise(F.col("did")).alias("component"))
+    place = place.join(_shuffled(least), "component").select("a", "b", "least", F.col("component").alias("grp"))
+    return signed.select("did", "th", "n", "a", "b").join(_shuffled(place), ["a", "b"], "left").select("did", "th", "n", F.when(F.col("n") > 0, F.coalesce("least", "did")).otherwise(F.col("did")).alias("component"), F.when(F.col("n") > 0, F.col("grp")).alias("grp"))
 
 
-def deduplicate(docs: DataFrame, **how) -> DataFrame:
-    """docs with n_shingles, component_id and kept: of each group of rows, the one with the smallest doc_id is kept."""
-    found = near_duplicates(docs, **how).distinct().select(F.col("did").alias("__did"), F.col("th").alias("__th"), F.col("n").alias("n_shingles"), F.col("component").alias("__c"))
-    docs = docs.drop("n_shingles", "component_id", "kept")
+def deduplicate(docs: DataFrame, group: str | None = None, **how) -> DataFrame:
+    """docs with n_shingles, component_id and kept: of each group of rows, the one with the smallest doc_id is kept.
+
+    ``group`` names a further column: a number of the row's linked group, null without shingles."""
+    found = near_duplicates(docs, **how)
+    found = (found if group else found.drop("grp")).distinct().select(F.col("did").alias("__did"), F.col("th").alias("__th"), F.col("n").alias("n_shingles"), F.col("component").alias("__c"), *([F.col("grp").alias(group)] if group else []))
+    docs = docs.drop("n_shingles", "component_id", "kept", *([group] if group else []))
     rows = docs.withColumns({"__did": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), "__th": F.xxhash64("text")}).join(_shuffled(found), ["__did", "__th"])
     return rows.withColumns({"component_id": F.nullif(F.col("__c"), F.lit(LAST_ID)), "kept": F.col("__did") == F.col("__c")}).drop("__did", "__th", "__c")
 

@@ -97,6 +97,18 @@ def test_substrings(spark, odd_docs, limit):
         assert got == brute_windows(rows_of(df))
 
 
+def test_substrings_of_many_texts_of_one_id(spark, monkeypatch):
+    """Hundreds of texts without an id, of different lengths, with passages of their own and of others; a header that a smaller id holds too."""
+    head, shared = prose(25, 900), [prose(30, 910 + k) for k in range(4)]
+    rows = [(None, f"{head if k % 3 else ''} {prose(25 + k % 40, 1000 + k)} {shared[k % 4] if k % 5 == 0 else ''} end{k}", "x") for k in range(400)]
+    rows += [(3, head + " of three", "x"), (3, head + " again", "x"), (5, shared[1], "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(2)
+    want = brute_windows(rows_of(df))
+    for most in (2_000, 0):
+        monkeypatch.setattr(substring_dedup, "MOST_HASHES", most)
+        assert sorted([tuple(r) for r in substring_dedup.digest(df).collect()], key=str) == want
+
+
 def test_substrings_empty(no_docs):
     assert substring_dedup.digest(no_docs).count() == 0
     assert set(substring_dedup.dedup_substrings(no_docs).columns) >= set(no_docs.columns)

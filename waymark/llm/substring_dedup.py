@@ -71,16 +71,23 @@ def super_kmers(words: list[bytes], window: int = WINDOW, seed: int = SEED):
         yield int(minis[s]), s, e - s, again
 
 
-#: What travels: ``at`` is the start, then TAG_BITS of the text's hash, then whether the document may hold a window twice.
+#: What travels: ``at`` is the start, then whether the document may hold a window twice; ``tag`` tells apart texts of one doc_id.
 #: ``packed`` is the words, or a blank and the number of windows where a copy is known already.
-ROW = pa.schema([("mini", pa.int32()), ("did", pa.int64()), ("at", pa.int64()), ("packed", pa.binary())])
+ROW = pa.schema([("mini", pa.int32()), ("did", pa.int64()), ("at", pa.int64()), ("tag", pa.int64()), ("packed", pa.binary())])
 MARK = pa.schema([("did", pa.int64()), ("tag", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
-#: Tells apart texts that share a doc_id; starts have the other bits.
-TAG_BITS = 15
+#: doc_ids with several texts are known by a hash of so many values, up to a number that is shipped to the tasks.
+ID_HASHES, MOST_HASHES = 1 << 20, 2_000
 
 
-def text_tag(text):
-    return F.xxhash64(text).bitwiseAND(F.lit((1 << TAG_BITS) - 1).cast("long"))
+def text_tag(docs: DataFrame):
+    """A column that tells apart the texts of one doc_id: the text's hash where the doc_id may have several texts, else 0, which costs no bytes."""
+    did, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), F.xxhash64("text")
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_HASHES)).cast("int")
+    texts = docs.groupBy(did.alias("__id")).agg(F.min(text).alias("lo"), F.max(text).alias("hi")).where("lo <> hi")
+    shared = [r.h for r in texts.select(spot(F.col("__id")).alias("h")).distinct().limit(MOST_HASHES + 1).collect()]
+    if len(shared) > MOST_HASHES:
+        return text
+    return F.when(spot(did).isin(shared), text).otherwise(F.lit(0).cast("long"))
 
 
 def _packer(window: int, seed: int):
@@ -103,19 +110,19 @@ def _packer(window: int, seed: int):
                 for mini, s, n, again in super_kmers(words, window, seed):
                     packed = b" ".join(words[s : s + n + window - 1])
                     key = xxhash.xxh3_128_digest(packed)
-                    at = (s << TAG_BITS | tag) << 1 | again
+                    at = s << 1 | again
                     k = first.get(key)
                     if k is None:
                         first[key] = len(cols[0])
-                        row = (mini, did, at, packed)
+                        row = (mini, did, at, tag, packed)
                     else:
-                        there, here = (cols[1][k], cols[2][k] >> TAG_BITS + 1), (did, s)
-                        if there == here:
+                        there, here = (cols[1][k], cols[2][k] >> 1), (did, s)
+                        if there == here and cols[3][k] == tag:
                             continue
-                        row = (mini, did, at, b" %d" % n)
+                        row = (mini, did, at, tag, packed if there == here else b" %d" % n)  # of two texts at one place neither is earlier
                         if here < there:  # the later one becomes the mark
-                            row = (mini, cols[1][k], cols[2][k], row[3])
-                            cols[1][k], cols[2][k] = did, at
+                            row = (mini, cols[1][k], cols[2][k], cols[3][k], row[4])
+                            cols[1][k], cols[2][k], cols[3][k] = did, at, tag
                     for c, v in zip(cols, row, strict=True):
                         c.append(v)
                     size += len(packed) + 60
@@ -220,12 +227,12 @@ def _bucketer(window: int, limit: int):
             near[:-1] |= same
             if len(minis):
                 near[0] = near[-1] = True  # may belong with a neighbouring batch
-            picked = table.take(pa.array(np.flatnonzero(near | known(table.column(3)))))
+            picked = table.take(pa.array(np.flatnonzero(near | known(table.column(4)))))
             yield from zip(*(c.to_pylist() for c in picked.columns), strict=True)
 
         for batch in batches:
-            for mini, did, at, packed in rows(batch):
-                start, tag = at >> TAG_BITS + 1, at >> 1 & (1 << TAG_BITS) - 1
+            for mini, did, at, tag, packed in rows(batch):
+                start = at >> 1
                 if packed[:1] == b" ":
                     bucket.mark(did, tag, start, int(packed))
                     continue
@@ -247,9 +254,10 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED, bucket_windows: int = BUCKET_WINDOWS) -> DataFrame:
+def repeated_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED, bucket_windows: int = BUCKET_WINDOWS, tag=None) -> DataFrame:
     """(did, tag, spans): per document (id and tag of its text), the (start, n) runs of windows that start earlier elsewhere."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("did"), text_tag(F.col("text")).alias("tag"), F.col("text").cast("string").alias("text"))
+    tag = text_tag(docs) if tag is None else tag
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("did"), tag.alias("tag"), F.col("text").cast("string").alias("text"))
     packed = rows.mapInArrow(_packer(window, seed), _ddl(ROW)).repartition("mini").sortWithinPartitions("mini", "did", "at")
     marks = written(packed.mapInArrow(_bucketer(window, bucket_windows), _ddl(MARK)), "marks", codec="uncompressed")
     large = marks.where("a is not null")
@@ -261,8 +269,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED, bu
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, text_out: str = "text", **how) -> DataFrame:
     """docs with the kept words joined by one blank as ``text_out``, plus n_words, n_removed and kept_sha256."""
-    spans = repeated_windows(docs, window, **how).select(F.col("did").alias("__did"), F.col("tag").alias("__tag"), F.col("spans").alias("__spans"))
-    rows = docs.withColumns({"__did": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), "__tag": text_tag(F.col("text"))}).join(spans, ["__did", "__tag"], "left")
+    tag = text_tag(docs)
+    spans = repeated_windows(docs, window, tag=tag, **how).select(F.col("did").alias("__did"), F.col("tag").alias("__tag"), F.col("spans").alias("__spans"))
+    rows = docs.withColumns({"__did": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), "__tag": tag}).join(spans, ["__did", "__tag"], "left")
 
     @F.pandas_udf("text string, n_words long, n_removed long, sha string")
     def keep(texts, starts, lengths):

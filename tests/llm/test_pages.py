@@ -26,6 +26,18 @@ def test_main_text(spark):
     assert set(html_extract.extract(df).columns) == {*df.columns, "n_chars"}
 
 
+UNCLOSED = [
+    ("<nav><ul>" + "<li><a href=/x>Item</a>" * 80 + "</ul></nav><form><select>" + "<option>Land" * 90 + "</select></form><main><p>Main words here.</p></main>", "Main words here."),
+    ("<ul><li class=share>Share it<li>First real item of words<li>Second real item</ul>", "First real item of words\n\nSecond real item"),
+    ("<table>" + "<tr><td class=ad>Buy<td>" * 40 + "Cell words<tr><td>More words</table>", "Cell words\n\nMore words"),
+]
+
+
+@pytest.mark.parametrize("page,text", UNCLOSED)
+def test_elements_without_end_tags(page, text):
+    assert html_extract.main_text(page, html_extract.fit()) == text
+
+
 def test_long_page():
     body = "".join(f"<p>paragraph number {k} of a long page</p>" for k in range(20_000))
     text = html_extract.main_text(f"<nav><a>x</a></nav><article>{body}</article>", html_extract.fit())

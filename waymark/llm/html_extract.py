@@ -47,6 +47,12 @@ CONTENT = ("article", "main")
 TEXT_BLOCKS = "p h1 h2 h3 h4 h5 h6 blockquote pre td figcaption dd".split()
 
 _HIDDEN, _CHROME, _HINTS, _OUTER_HINTS, _OUTER, _BLOCKS, _VOID, _CONTENT, _TEXT, _ARTICLE_HINTS = map(frozenset, (HIDDEN, CHROME, HINTS, OUTER_HINTS, OUTER, BLOCKS, VOID, CONTENT, TEXT_BLOCKS, ARTICLE_HINTS))
+#: Elements that end open ones, as HTML allows without end tags: which, and inside what these stay open.
+_OWN = _BLOCKS - {"p", "div", "address", "li", "dt", "dd"} | {"menu", "td", "th", "select", "button", "label"}
+IMPLIED = {
+    "li": (frozenset(["li"]), _OWN), "option": (frozenset(["option"]), _OWN), "optgroup": (frozenset(["option", "optgroup"]), _OWN), "dt": (frozenset(["dt", "dd"]), _OWN), "dd": (frozenset(["dt", "dd"]), _OWN),
+    "tr": (frozenset(["tr"]), frozenset(["table"])), "td": (frozenset(["td", "th"]), frozenset(["tr", "table"])), "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
+}
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(script|style|noscript|template|iframe|svg|object|canvas|math|audio|video|textarea)\b[^>]*>.*?(?:</\1\s*>|$)"""
     r"""|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)|([^<]+)|<""",
@@ -71,14 +77,32 @@ def tokens(page: str) -> list[tuple[str, str, int, int]]:
     out: list[tuple[str, str, int, int]] = []
     stack: list[tuple[str, str]] = []  # element, what it makes of its text: chrome, hidden, main, a, li, text or ""
     inside: Counter = Counter()
+    opened: Counter = Counter()  # open elements by name
     block = 0
 
     def pop_to(name: str) -> None:
+        if not opened[name]:
+            return
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] == name:
-                for _, role in stack[k:]:
-                    inside[role] -= 1
-                del stack[k:]
+                cut(k)
+                return
+
+    def cut(k: int) -> None:
+        for element, role in stack[k:]:
+            opened[element] -= 1
+            inside[role] -= 1
+        del stack[k:]
+
+    def close_implied(names: frozenset, within: frozenset) -> None:
+        """An open element of these names ends where the next begins, unless a list or table of its own is open inside."""
+        if not any(opened[n] for n in names):
+            return
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] in names:
+                cut(k)
+                return
+            if stack[k][0] in within:
                 return
 
     for m in _TOKEN.finditer(page):
@@ -115,8 +139,7 @@ def tokens(page: str) -> list[tuple[str, str, int, int]]:
         else:
             out.append(("<" + name, "", block, 0))
         if closing:
-            if name == "head" or any(s[0] == name for s in stack[-64:]):
-                pop_to(name)
+            pop_to(name)
             continue
         if name in _VOID:
             continue
@@ -124,6 +147,8 @@ def tokens(page: str) -> list[tuple[str, str, int, int]]:
             pop_to("head")
         if name in _BLOCKS and stack and stack[-1][0] == "p":
             pop_to("p")
+        if name in IMPLIED:
+            close_implied(*IMPLIED[name])
         role = ""
         if name in _HIDDEN:
             role = "hidden"
@@ -140,6 +165,7 @@ def tokens(page: str) -> list[tuple[str, str, int, int]]:
             elif name in _TEXT:
                 role = "text"
         stack.append((name, role))
+        opened[name] += 1
         inside[role] += 1
     return out
 

@@ -38,6 +38,19 @@ def test_elements_without_end_tags(page, text):
     assert html_extract.main_text(page, html_extract.fit()) == text
 
 
+NO_MAIN = [
+    ("<div class=post><h1>Post</h1><p>The words of the post stand here.</p></div><article class=comment><p>I like what you wrote</p></article>", "Post\n\nThe words of the post stand here."),
+    ("<div class=post><p>The words of the post stand here.</p></div><aside><article><h3>Card</h3><p>Read this too</p></article></aside>", "The words of the post stand here."),
+    ("<script>var a = '<article>'</script><!-- <main> --><p>The words of the post stand here.</p><main> </main>", "The words of the post stand here."),
+    ("<p>Not the text of this page at all</p><article><p>The words of the post stand here.</p></article>", "The words of the post stand here."),
+]
+
+
+@pytest.mark.parametrize("page,text", NO_MAIN)
+def test_only_an_article_with_words_sets_the_rest_outside(page, text):
+    assert html_extract.main_text(page, html_extract.fit()) == text
+
+
 def test_long_page():
     body = "".join(f"<p>paragraph number {k} of a long page</p>" for k in range(20_000))
     text = html_extract.main_text(f"<nav><a>x</a></nav><article>{body}</article>", html_extract.fit())

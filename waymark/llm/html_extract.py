@@ -70,15 +70,14 @@ def _marks(attributes: str) -> set[str]:
 def tokens(page: str) -> list[tuple[str, str, int, int]]:
     """(kind, text, block, words): kind is a context for text, or ``<name`` for a tag.
 
-    Contexts: chrome, hidden, main, outside (of a page's article element), links, block, loose.
+    Contexts: chrome, hidden, main, outside (of a page's article element that holds words), links, block, loose.
     """
-    lower = page.lower()
-    has_main = "<article" in lower or "<main" in lower
     out: list[tuple[str, str, int, int]] = []
     stack: list[tuple[str, str]] = []  # element, what it makes of its text: chrome, hidden, main, a, li, text or ""
     inside: Counter = Counter()
     opened: Counter = Counter()  # open elements by name
     block = 0
+    has_main, others = False, []  # whether words stand in main; where the text of no marked context is
 
     def pop_to(name: str) -> None:
         if not opened[name]:
@@ -116,14 +115,13 @@ def tokens(page: str) -> list[tuple[str, str, int, int]]:
                 kind = "chrome"
             elif inside["main"]:
                 kind = "main"
-            elif has_main:
-                kind = "outside"
-            elif inside["a"]:
-                kind = "links"
             else:
-                kind = "block" if inside["text"] else "loose"
+                kind = "links" if inside["a"] else "block" if inside["text"] else "loose"
+                others.append(len(out))
             text = html.unescape(text)
-            out.append((kind, text, block, len(text.split())))
+            words = len(text.split())
+            has_main = has_main or (kind == "main" and words > 0)
+            out.append((kind, text, block, words))
             continue
         name = (m[3] or m[6] or "").lower()
         if not name:
@@ -167,6 +165,9 @@ def tokens(page: str) -> list[tuple[str, str, int, int]]:
         stack.append((name, role))
         opened[name] += 1
         inside[role] += 1
+    if has_main:
+        for k in others:
+            out[k] = ("outside", *out[k][1:])
     return out
 
 

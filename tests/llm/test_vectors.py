@@ -114,3 +114,13 @@ def test_equal_vectors_rank_by_id(spark):
     x = np.repeat(clustered(40)[:2], 30, axis=0)
     out = [r for r in ann.digest(frame(spark, x, odd=False)).collect() if r.query_id == 20]
     assert [r.vec_id for r in sorted(out, key=lambda r: r["rank"])] == [k for k in range(21) if k != 20]
+
+
+def test_parts_of_a_neighbourhood_meet():
+    """Members in different parts are each other's candidates, as all are in one part."""
+    import pyarrow as pa
+
+    x = clustered(48)
+    rows = pa.RecordBatch.from_arrays([pa.array([7] * 48), pa.array(range(48)), pa.array(ann.encode(x), pa.binary()), pa.array([-9.0] * 48, pa.float32()), pa.array([True] * 48)], ["grp", "member", "code", "worst", "fresh"])
+    lists = lambda hub: {p for b in ann._local_join(47, hub)([rows]) for p in zip(*(a.tolist() for a in ann._flat(b)[:2]), strict=True)}
+    assert lists(10) == lists(48) and len(lists(48)) == 48 * 47

@@ -5,13 +5,13 @@ random blocks of bounded size. Each round then joins lists with their reverse: t
 a node's neighbourhood are each other's candidates where one of the two edges is new, and what
 beats a list's last entry goes there. Rounds end when few entries change.
 Search: every query walks the graph. A round expands its best unexpanded nodes, joins them
-with the adjacency table, and keeps the best ``BEAM``. The best are scored again in double
+with the adjacency table, and keeps the best ``BEAM``, until no beam holds an unexpanded node. The best are scored again in double
 precision on the original vectors.
 
 Inner product is made a cosine by one more component, sqrt(max norm^2 - norm^2). Graph and walk
 use 8-bit codes of these vectors; codes only choose candidates. A neighbourhood is read as a stream
-and joined in parts of ``HUB`` members, so a popular vector needs no more memory; no member is
-dropped. (Equal vectors being one node, how many lists can name a node is bounded by geometry.)
+and joined in parts of ``HUB`` members, each with itself and with all before it, so matrices stay
+bounded and no pair is left out; only the codes of a popular vector's neighbourhood are held. (Equal vectors being one node, how many lists can name a node is bounded by geometry.)
 
 Defined cases: vectors that are null, empty, zero, hold null or non-finite components, or have
 another length than most take no part, as query or candidate. Fewer candidates than ``k``: all
@@ -35,8 +35,8 @@ from .common import new_path, written
 from .embedding_dedup import packed, usable
 
 TOP, DEGREE, BLOCK, BLOCKINGS, HUB = 20, 32, 1024, 3, 256
-MAX_ROUNDS, SETTLED = 6, 0.15  # rounds of descent; the share of changed entries at which they end
-BEAM, EXPAND, STEPS, RESCORED = 256, 64, 4, 128
+MAX_ROUNDS, SETTLED = 12, 0.05  # rounds of descent; the share of changed entries at which they end
+BEAM, EXPAND, RESCORED = 256, 64, 128
 QUERY_EVERY = 20
 
 
@@ -203,8 +203,19 @@ def _local_join(degree: int, hub: int):
         a, b = np.nonzero((s > worst[:, None]) & (new[:, None] | new[None, :]))
         return cid[a], cid[b], s[a, b]
 
+    def joined(batches):
+        """Each part of a neighbourhood, and each part with every earlier one."""
+        now, parts = None, []
+        for group, rows in _groups(batches, 1, hub):
+            if group != now:
+                now, parts = group, []
+            yield one(rows)
+            for before in parts:
+                yield one(before + rows)
+            parts.append(rows)
+
     def run(batches):
-        yield from _gathered((one(rows) for _, rows in _groups(batches, 1, hub)), degree)
+        yield from _gathered(joined(batches), degree)
 
     return run
 
@@ -328,13 +339,13 @@ def _visit(beam: int):
     return run
 
 
-def walk(graph: DataFrame, asks: DataFrame, n: int, degree: int = DEGREE, hub: int = HUB, beam: int = BEAM, expand: int = EXPAND, steps: int = STEPS) -> DataFrame:
+def walk(graph: DataFrame, asks: DataFrame, n: int, degree: int = DEGREE, hub: int = HUB, beam: int = BEAM, expand: int = EXPAND) -> DataFrame:
     """asks(cid, qcode) -> beams (cid, ids, ..): the nodes found, best first, the query's own node in front."""
     spark = graph.sparkSession
     name = _adjacency(graph, degree, hub, n)
     beams = asks.join(graph.select("cid", "ids", "sims"), "cid", "left").select("cid", "qcode", "ids", "sims").mapInArrow(_start(beam), LIST)
     beams = written(beams, "beams")
-    for _ in range(steps):
+    while beams.where(F.instr(F.hex("fresh"), "1") > 0).limit(1).count():  # a node is expanded once, so this ends
         front = beams.mapInArrow(_front(expand, beam), "node long, q long, qcode binary, worst float")
         met = front.join(spark.table(name).hint("merge"), "node").select("q", "qcode", "worst", "ids", "codes").mapInArrow(_visit(beam), LIST)
         beams = written(merged(beams.mapInArrow(_expanded(expand), LIST).unionByName(met), beam), "beams")

@@ -2,9 +2,10 @@
 
 Documents of a source queue in the order of a seeded hash. A copy's virtual finish time is
 the source's cumulative tokens up to its end, divided by the source's target, so every queue
-ends at virtual time 1, where the tokens served add up to the total budget. The queues are
-merged by a range sort on the finish time and cut at the budget; the copy that crosses the
-cut is taken in part, so each source meets its target to the word.
+ends at virtual time 1, where the tokens served add up to the total budget. So a merge
+cut at the budget takes what a cut of each source at its target takes, and ``mix`` does the
+latter; the copy that crosses the cut is taken in part, so each source meets its target to the
+word. ``in_order`` range-sorts the copies by finish time; ``digest`` has no order and leaves it out.
 
 Cumulative sums are two-level: (source, bucket of the hash) totals, a prefix sum over the
 totals, then a running sum inside each bucket. No source is gathered in one task.

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
+import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,19 +22,25 @@ LAST_ID = 2**63 - 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one is set only for local masters where it is unset."""
+    """The folder in spark.checkpoint.dir, or else the context's own checkpoint folder; local masters without either get a temporary one."""
     if at := spark.conf.get("spark.checkpoint.dir", None):
         return at.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    context = spark.sparkContext
+    if (at := context.getCheckpointDir()) is not None:
+        return at.rstrip("/")
+    if not context.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    at = tempfile.mkdtemp(prefix="waymark-")
-    spark.sparkContext.setCheckpointDir(at)
-    spark.conf.set("spark.checkpoint.dir", at)
-    return at
+    if context.applicationId not in _own_dirs:
+        _own_dirs[context.applicationId] = tempfile.mkdtemp(prefix="waymark-")
+    return _own_dirs[context.applicationId]
 
 
 _written: list[tuple[SparkSession, str]] = []
@@ -49,46 +59,85 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def release() -> None:
-    """Removes every intermediate table written so far. Results that were not yet written or collected need them."""
+def release(keep: DataFrame | None = None) -> None:
+    """Removes the intermediate tables written so far, but for the files that ``keep`` reads.
+
+    Results that were not yet written or collected need them."""
+    kept = [f.partition(":")[2].lstrip("/") for f in keep.inputFiles()] if keep is not None else []
+    left = []
     while _written:
         spark, path = _written.pop()
+        if any(f.startswith(path.partition(":")[2].lstrip("/") or path.lstrip("/")) for f in kept):
+            left.append((spark, path))
+            continue
         try:
             remove(spark, path)
         except Exception:  # noqa: BLE001  the session may have ended already
             continue
+    _written.extend(left)
 
 
 atexit.register(release)
 
 
-def written(df: DataFrame, name: str, *partition_by: str, codec: str = "uncompressed") -> DataFrame:
-    """df as a Parquet table in the shared folder, read back: cuts lineage and survives lost executors.
-
-    Most tables hold hashes and ids, which do not compress; a codec also holds native buffers for each open file."""
-    path = new_path(df.sparkSession, name)
-    out = df.write.option("compression", codec)
-    (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 class Cache(dict):
-    """``make(key)``, remembered for the last ``size`` to twice as many different keys."""
+    """``make(key)``, remembered for the last ``limit`` to twice as many bytes of different keys."""
 
-    def __init__(self, make, size: int):
-        self.make, self.size, self.old = make, size, {}
+    def __init__(self, make, limit: int):
+        self.make, self.limit, self.old, self.bytes = make, limit, {}, 0
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= self.size:
-            self.old = dict(self)
+        self.bytes += len(key) + 180  # the entry and two small objects
+        if self.bytes > self.limit:
+            self.old, self.bytes = dict(self), 0
             self.clear()
         self[key] = value
         return value
 
 
+_worker: dict[str, dict] = {}
+
+
+def worker_state(owner: str) -> dict:
+    """What ``owner`` keeps in this Python worker from task to task. A worker serves one operator at a time, so what others kept is freed."""
+    if owner not in _worker:
+        if _worker:
+            _worker.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+        _worker[owner] = {}
+    return _worker[owner]
+
+
+#: Bytes of a batch sent to Python; Spark's own default lets a batch of long texts grow to 64 MB, which Python holds several times.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Limits Arrow batches by bytes for this session, unless it has a tighter limit."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get(name))
+    if now is None or not 0 < int(now[1]) <= BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
+
+
+def written(df: DataFrame, name: str, *partition_by: str, codec: str = "uncompressed") -> DataFrame:
+    """df as a Parquet table in the shared folder, read back: cuts lineage and survives lost executors.
+
+    Most tables hold hashes and ids, which do not compress; a codec also holds native buffers for each open file."""
+    small_batches(df.sparkSession)
+    path = new_path(df.sparkSession, name)
+    out = df.write.option("compression", codec)
+    (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

@@ -10,18 +10,21 @@ within the distance with a probability of 0.9998.
 Equal sets are one class first. Then, instead of all pairs of a bucket:
 1. every member is paired with the bucket's smallest class (a distributed minimum, so a hot
    bucket is no hot task), pairs within the distance are confirmed on full sets, and the links
-   give components;
-2. buckets that still hold several components are compared across components only, in
-   blocks of bounded size, members of the bucket's largest component against the rest. Pairs
-   within the distance are confirmed too. So no pair within the distance stays unchecked
-   unless it is connected already.
+   give components. Pairs are dealt by their smaller class in parts of about ``PART``, so a
+   text that many are paired with travels once for each part, and is held while the others pass;
+2. buckets that still hold several components are compared across components only, members of
+   the bucket's largest component against the rest, in cells of bounded weight (shingles, not
+   documents). A first pass over signatures finds the members of a cell that have a partner
+   at all; only these bring their texts, and pairs are confirmed inside the cell, which
+   returns links between components. So no pair within the distance stays unchecked unless it
+   is connected already, and no list of pairs is ever a row.
 Before sets are compared, a pair takes a second look: its distance in a signature of ``LONG``
 4-bit symbols, which a pair at similarity 0.8 exceeds with a probability of 0.00005.
 
 Defined cases: a null text, or one without words, has an empty set: n_shingles 0, linked with
 nothing, kept. Fewer words than a shingle: the whole sequence is the one shingle. A null
 doc_id counts as the largest id. Rows that share a doc_id have their own sets and links. Ties
-go to the smallest doc_id. An empty table gives an empty result. Extra columns pass through
+go to the smallest doc_id. An empty table gives an empty result. Texts may be of any length. Extra columns pass through
 ``deduplicate``; those with an output's name are replaced.
 """
 
@@ -39,9 +42,8 @@ from .substring_dedup import rolling, word_hashes
 SHINGLE, SIMILARITY = 5, 0.8
 CHUNKS, CHUNK, ERRORS = 12, 5, 1
 SYMBOLS, DISTANCE = CHUNKS * CHUNK, CHUNKS * (ERRORS + 1) - 1
-BLOCK = 2_000  # classes of a bucket that are compared with as many at a time
-#: Cells with more pairs than this for each member are confirmed in one place.
-DENSE = 2
+#: The weight of one side of a cell: shingles, and so many more for each document. Partners of a text in one part.
+BLOCK, ROW_WEIGHT, PART = 400_000, 100, 256
 #: The second look: 4-bit symbols of more minima. At similarity 0.8 a pair has 48 wrong ones (deviation 6.2), at 0.65 84.
 LONG, LONG_DISTANCE = 256, 73
 _random = np.random.default_rng(20_240_601)
@@ -122,110 +124,101 @@ def _matrix(column) -> np.ndarray:
 
 
 def _keys(batches):
-    """(key, cid, comp, slot) for each row (cid, comp, sig)."""
+    """(key, cid, comp, n, slot) for each row (cid, comp, n, sig)."""
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
-            keys = chunk_keys(_matrix(part.column(2)))
+            keys = chunk_keys(_matrix(part.column(3)))
             m = keys.shape[1]
             rep = lambda c: pa.array(np.repeat(c.to_numpy(zero_copy_only=False), m))  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), rep(part.column(0)), rep(part.column(1)), pa.array(np.tile(np.arange(m, dtype=np.int32), len(keys)))], ["key", "cid", "comp", "slot"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(rep(part.column(k)) for k in range(3)), pa.array(np.tile(np.arange(m, dtype=np.int32), len(keys)))], ["key", "cid", "comp", "n", "slot"])
 
 
-KEYS = "key long, cid long, comp long, slot int"
+KEYS = "key long, cid long, comp long, n long, slot int"
 
 
-ACROSS = "x long, y long, cell long, comp long, xs binary"
-
-
-def _across(batches):
-    """Pairs within the distances and of different components. Rows come sorted by cell.
-
-    Where a cell has few pairs they are rows (x, y). Where it has more than DENSE for each member, rows
-    (cell, y, xs) list a member's partners and rows (cell, x, comp) the members: such a cell is
-    confirmed in one place, so the number of rows follows the members, never the pairs.
-    """
+def _grouped(batches, width: int):
+    """(key, rows) for runs of rows with equal first ``width`` columns."""
     held: list[tuple] = []
     now = None
-
-    def compare():
-        cid, comp, slot, role, sig, long = zip(*held, strict=True)
-        long = np.frombuffer(b"".join(long), np.uint8).reshape(-1, LONG // 2)
-        cid, comp, slot, role = map(np.asarray, (cid, comp, slot, role))
-        sigs = np.frombuffer(b"".join(sig), "<u2").reshape(-1, SYMBOLS)
-        left, right = np.flatnonzero(role != 2), np.flatnonzero(role == 2)  # 0: largest component, 1: others at home, 2: others to compare with
-        found: list[tuple[int, np.ndarray]] = []
-        for y in right.tolist():
-            fits = left[(comp[left] != comp[y]) & ((role[left] == 0) | (cid[left] < cid[y]))]
-            if not len(fits):
-                continue
-            fits = fits[long_distance(long[fits], long[y]) <= LONG_DISTANCE]
-            same = sigs[fits] == sigs[y]
-            near = same.sum(1) >= SYMBOLS - DISTANCE
-            fits, same = fits[near], same[near].reshape(-1, CHUNKS, CHUNK)
-            good = same.sum(2) >= CHUNK - ERRORS
-            first = good.argmax(1)  # the pair counts in the first of the buckets that it shares
-            mine = np.take_along_axis(same, first[:, None, None], 1)[:, 0, :]
-            fits = fits[first * CHUNK + np.where(mine.all(1), 0, (~mine).argmax(1)) == slot[y]]
-            if len(fits):
-                found.append((y, fits))
-        pairs = sum(len(f) for _, f in found)
-        used = np.unique(np.concatenate([np.append(f, y) for y, f in found])) if found else np.zeros(0, int)
-        x, y, cell, comps, xs = [], [], [], [], []
-        if pairs > DENSE * len(used):
-            here = xxhash.xxh3_64_intdigest(repr(now).encode()) - (1 << 63)
-            for k in used.tolist():
-                x.append(int(cid[k])), y.append(None), cell.append(here), comps.append(int(comp[k])), xs.append(None)
-            for k, f in found:
-                x.append(None), y.append(int(cid[k])), cell.append(here), comps.append(None), xs.append(cid[f].astype("<i8").tobytes())
-        else:
-            for k, f in found:
-                for v in cid[f].tolist():
-                    x.append(min(v, int(cid[k]))), y.append(max(v, int(cid[k]))), cell.append(None), comps.append(None), xs.append(None)
-        cols = [pa.array(c, t) for c, t in zip((x, y, cell, comps, xs), (*(pa.int64(),) * 4, pa.binary()), strict=True)]
-        return pa.RecordBatch.from_arrays(cols, ["x", "y", "cell", "comp", "xs"])
-
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[:3] != now:
+            if row[:width] != now:
                 if held:
-                    yield compare()
-                held, now = [], row[:3]
-            held.append(row[3:])
+                    yield now, held
+                held, now = [], row[:width]
+            held.append(row[width:])
     if held:
-        yield compare()
+        yield now, held
+
+
+class _Cell:
+    """The signatures of a cell's members: (cid, comp, slot, role, sig, long). Role 0: largest component, 1: others at home, 2: others to compare with."""
+
+    def __init__(self, rows):
+        cid, comp, slot, role, sig, long = zip(*rows, strict=True)
+        self.cid, self.comp, self.slot, self.role = map(np.asarray, (cid, comp, slot, role))
+        self.sigs = np.frombuffer(b"".join(sig), "<u2").reshape(-1, SYMBOLS)
+        self.long = np.frombuffer(b"".join(long), np.uint8).reshape(-1, LONG // 2)
+        self.left, self.right = np.flatnonzero(self.role != 2), np.flatnonzero(self.role == 2)
+
+    def partners(self, y: int) -> np.ndarray:
+        """The members at home within the distances of y, of other components, whose first bucket in common is this one."""
+        cid, comp = self.cid, self.comp
+        fits = self.left[(comp[self.left] != comp[y]) & ((self.role[self.left] == 0) | (cid[self.left] < cid[y]))]
+        fits = fits[long_distance(self.long[fits], self.long[y]) <= LONG_DISTANCE]
+        same = self.sigs[fits] == self.sigs[y]
+        near = same.sum(1) >= SYMBOLS - DISTANCE
+        fits, same = fits[near], same[near].reshape(-1, CHUNKS, CHUNK)
+        good = same.sum(2) >= CHUNK - ERRORS
+        first = good.argmax(1)
+        mine = np.take_along_axis(same, first[:, None, None], 1)[:, 0, :]
+        return fits[first * CHUNK + np.where(mine.all(1), 0, (~mine).argmax(1)) == self.slot[y]]
+
+
+CELL = ("key", "i", "j")
+MEMBERS = "key long, i int, j int, role int, cid long, comp long, slot int, sig binary, long binary"
+
+
+def _with_partners(batches):
+    """The members of each cell that have a partner in it. Rows come sorted by cell."""
+    for (key, i, j), rows in _grouped(batches, 3):
+        cell = _Cell([(cid, comp, slot, role, sig, long) for role, cid, comp, slot, sig, long in rows])
+        found = [np.append(f, y) for y in cell.right.tolist() if len(f := cell.partners(y))]
+        used = [rows[k] for k in np.unique(np.concatenate(found)).tolist()] if found else []
+        cols = list(zip(*used, strict=True)) if used else [[]] * 6
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+        head = [pa.array([v] * len(used), t) for v, t in ((key, pa.int64()), (i, pa.int32()), (j, pa.int32()))]
+        yield pa.RecordBatch.from_arrays([*head, *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], [*CELL, "role", "cid", "comp", "slot", "sig", "long"])
+
+
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def _confirm_cells(k: int, percent: int):
     def run(batches):
-        """Links (src, dst) of dense cells. A cell's members (text) come before its lists (xs); pairs that are connected already are skipped."""
-        now, sets, parent = None, {}, {}
+        """Links (src, dst) between the components of each cell; pairs that are connected already are skipped."""
+        for _, rows in _grouped(batches, 3):
+            cell = _Cell([row[1:4] + (row[0],) + row[4:6] for row in rows])
+            sets = [shingle_set(row[6], k) for row in rows]
+            names, root = np.unique(cell.comp, return_inverse=True)
+            parent = list(range(len(names)))
+
+            def top(c):
+                while parent[c] != c:  # noqa: B023
+                    parent[c] = c = parent[parent[c]]  # noqa: B023
+                return c
 
-        def root(c):
-            while parent.setdefault(c, c) != c:
-                parent[c] = c = parent[parent[c]]
-            return c
-
-        for batch in batches:
             src, dst = [], []
-            for cell, _, cid, comp, text, xs in zip(*(c for c in batch.columns), strict=True):
-                if cell != now:
-                    now, sets, parent = cell, {}, {}
-                cid = cid.as_py()
-                if not xs.is_valid:
-                    sets[cid] = shingle_set(text.as_py(), k)
-                    parent[root(("c", cid))] = root(("k", comp.as_py()))
-                    continue
-                b = sets[cid]
-                for x in np.frombuffer(xs.as_py(), "<i8").tolist():
-                    if root(("c", x)) == root(("c", cid)):
-                        continue
-                    a = sets[x]
-                    both = len(np.intersect1d(a, b, assume_unique=True))
-                    if 100 * both >= percent * (len(a) + len(b) - both):
-                        parent[root(("c", x))] = root(("c", cid))
-                        src.append(min(x, cid))
-                        dst.append(max(x, cid))
+            for y in cell.right.tolist():
+                for x in cell.partners(y).tolist():
+                    one, other = top(root[x]), top(root[y])
+                    if one != other and _similar(sets[x], sets[y], percent):
+                        parent[one] = other
+                        src.append(min(int(cell.cid[x]), int(cell.cid[y])))
+                        dst.append(max(int(cell.cid[x]), int(cell.cid[y])))
             yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
     return run
@@ -233,27 +226,30 @@ def _confirm_cells(k: int, percent: int):
 
 def _confirm(k: int, percent: int):
     def run(batches):
-        kept: tuple = (None, None)
+        """Rows (x, parts, part, kind, y, text), sorted; x's own text comes first, as kind 0."""
+        own = None
         for batch in batches:
-            x, y = [], []
-            for px, py, tx, ty in zip(*(c for c in batch.columns), strict=True):
-                a = shingle_set(tx.as_py(), k)
-                if kept[0] != py:  # rows come sorted by y
-                    kept = (py, shingle_set(ty.as_py(), k))
-                b = kept[1]
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                if 100 * both >= percent * (len(a) + len(b) - both):
-                    x.append(px.as_py())
-                    y.append(py.as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["src", "dst"])
+            src, dst = [], []
+            for x, kind, y, text in zip(*(batch.column(c).to_pylist() for c in (0, 3, 4)), batch.column(5), strict=True):
+                found = shingle_set(text.as_py(), k)
+                if kind == 0:
+                    own = found
+                elif _similar(own, found, percent):
+                    src.append(x)
+                    dst.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
     return run
 
 
 def _links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (x, y) of classes whose full sets are similar enough, as (src, dst)."""
-    side = lambda c: texts.select(F.col("cid").alias(c), F.col("text").alias(f"text_{c}"))
-    full = pairs.join(_shuffled(side("x")), "x").join(_shuffled(side("y")), "y").select("x", "y", "text_x", "text_y")
+    """The pairs (x, y, parts) of classes whose full sets are similar enough, as (src, dst)."""
+    by = ["x", "parts", "part"]
+    pairs = pairs.withColumn("part", F.pmod(F.xxhash64("y"), F.col("parts")).cast("int"))
+    text = _shuffled(texts.select("cid", "text"))
+    hosts = pairs.select(*by).distinct().join(text.withColumnRenamed("cid", "x"), "x").select(*by, F.lit(0).alias("kind"), F.col("x").alias("y"), "text")
+    guests = pairs.join(text.withColumnRenamed("cid", "y"), "y").select(*by, F.lit(1).alias("kind"), "y", "text")
+    full = hosts.unionByName(guests).repartition(*by).sortWithinPartitions(*by, "kind")
     return written(full.mapInArrow(_confirm(k, percent), "src long, dst long"), "links")
 
 
@@ -271,9 +267,9 @@ def _close(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         for b in batches:
             if b.num_rows:
                 x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(b.num_rows, -1) for k in (2, 3))
-                yield b.select(["x", "y"]).filter(pa.array(long_distance(x, y) <= LONG_DISTANCE))
+                yield b.select(["x", "y", "parts"]).filter(pa.array(long_distance(x, y) <= LONG_DISTANCE))
 
-    return both.select("x", "y", "long_x", "long_y").mapInArrow(run, "x long, y long")
+    return both.select("x", "y", "long_x", "long_y", "parts").mapInArrow(run, "x long, y long, parts int")
 
 
 def _class_texts(active: DataFrame, rows: DataFrame, k: int) -> DataFrame:
@@ -302,41 +298,39 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     classes = signed.where("n > 0").groupBy("a", "b").agg(F.min(F.struct("did", "th")).alias("o"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = written(classes.select(F.monotonically_increasing_id().alias("cid"), "a", "b", F.col("o.did").alias("owner"), F.col("o.th").alias("oth"), "n", "sig"), "classes")
     # 1. each member of a bucket with the smallest of its bucket
-    alone = classes.select("cid", F.lit(0).cast("long").alias("comp"), "sig")
+    alone = classes.select("cid", F.lit(0).cast("long").alias("comp"), "n", "sig")
     keys = alone.mapInArrow(_keys, KEYS)
     low = keys.groupBy("key").agg(F.min("cid").alias("low"), F.max("cid").alias("high"), F.count("*").alias("m")).where("m > 1")
-    low = written(low, "low", codec="uncompressed")
-    many = low.where("m > 2").select("key", "low")
-    pairs = low.where("m = 2").select(F.col("low").alias("x"), F.col("high").alias("y")).unionByName(keys.select("key", "cid").join(_shuffled(many), "key").where("cid > low").select(F.col("low").alias("x"), F.col("cid").alias("y")))
-    pairs = written(pairs.distinct(), "pairs", codec="uncompressed")
+    low = written(low, "low")
+    parts = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("m") / PART, F.lit(1))))).cast("int").alias("parts")  # a power of two: few different ones for one x
+    two = low.where("m = 2").select(F.col("low").alias("x"), F.col("high").alias("y"), parts)
+    more = keys.select("key", "cid").join(_shuffled(low.where("m > 2").select("key", "low", "m")), "key").where("cid > low").select(F.col("low").alias("x"), F.col("cid").alias("y"), parts)
+    pairs = written(two.unionByName(more).groupBy("x", "y").agg(F.max("parts").alias("parts")), "pairs")
     active = pairs.select(F.explode(F.array("x", "y")).alias("cid")).distinct()
     active = written(classes.join(_shuffled(active), "cid", "left_semi"), "active")
     texts = written(_class_texts(active, rows, shingle), "texts")
     links = _links(_close(pairs, texts, percent), texts, shingle, percent)
     comps = components(links)
     # 2. across components, in buckets that hold several
-    placed = active.join(_shuffled(comps.withColumnRenamed("id", "cid")), "cid", "left").select("cid", F.coalesce("component", "cid").alias("comp"), "sig")
+    placed = active.join(_shuffled(comps.withColumnRenamed("id", "cid")), "cid", "left").select("cid", F.coalesce("component", "cid").alias("comp"), "n", "sig")
     open_rows = placed.mapInArrow(_keys, KEYS)
-    parts = open_rows.groupBy("key", "comp").agg(F.count("*").alias("m"))
-    mixed = parts.groupBy("key").agg(F.sum("m").alias("total"), F.count("*").alias("comps"), F.max(F.struct("m", "comp")).alias("top")).where("comps > 1")
-    mixed = mixed.select("key", "total", F.col("top.m").alias("most"), F.col("top.comp").alias("major"))
-    hosts, others = F.ceil(F.col("total") / block).cast("int"), F.ceil((F.col("total") - F.col("most")) / block).cast("int")
-    cell = open_rows.join(_shuffled(mixed), "key").withColumns({"hosts": hosts, "others": others})
+    shares = open_rows.groupBy("key", "comp").agg(F.sum(F.col("n") + ROW_WEIGHT).alias("w"))
+    mixed = shares.groupBy("key").agg(F.sum("w").alias("total"), F.count("*").alias("comps"), F.max(F.struct("w", "comp")).alias("top")).where("comps > 1")
+    hosts, others = F.ceil(F.col("total") / block).cast("int"), F.ceil((F.col("total") - F.col("top.w")) / block).cast("int")
+    mixed = mixed.select("key", hosts.alias("hosts"), others.alias("others"), F.col("top.comp").alias("major"))
+    cell = open_rows.join(_shuffled(mixed), "key")
     home = F.pmod(F.xxhash64("cid"), F.col("hosts")).cast("int")
     seat = F.pmod(F.xxhash64(F.lit(1), "cid"), F.col("others")).cast("int")
     span = lambda n: F.sequence(F.lit(0), n - 1)
     at_home = F.transform(span(F.col("others")), lambda j: F.struct(home.alias("i"), j.alias("j"), F.when(F.col("comp") == F.col("major"), 0).otherwise(1).alias("role")))
     visits = F.transform(span(F.col("hosts")), lambda i: F.struct(i.alias("i"), seat.alias("j"), F.lit(2).alias("role")))
     cell = cell.select("key", "cid", "comp", "slot", F.explode(F.when(F.col("comp") == F.col("major"), at_home).otherwise(F.concat(at_home, visits))).alias("c"))
-    cell = cell.join(_shuffled(active.join(_shuffled(texts.select("cid", "long")), "cid").select("cid", "sig", "long")), "cid").select("key", F.col("c.i").alias("i"), F.col("c.j").alias("j"), "cid", "comp", "slot", F.col("c.role").alias("role"), "sig", "long")
-    found = written(cell.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_across, ACROSS), "across")
-    more = found.where("cell is null").select("x", "y").distinct().join(_shuffled(pairs), ["x", "y"], "left_anti")
-    links = links.unionByName(_links(more, texts, shingle, percent))
-    members = found.where("cell is not null and y is null").select("cell", F.col("x").alias("cid"), "comp").join(_shuffled(texts.select("cid", "text")), "cid")
-    lists = found.where("cell is not null and y is not null").select("cell", F.lit(1).alias("kind"), F.col("y").alias("cid"), "comp", F.lit(None).cast("string").alias("text"), "xs")
-    dense = members.select("cell", F.lit(0).alias("kind"), "cid", "comp", "text", F.lit(None).cast("binary").alias("xs")).unionByName(lists)
-    dense = dense.repartition("cell").sortWithinPartitions("cell", "kind").mapInArrow(_confirm_cells(shingle, percent), "src long, dst long")
-    links = links.unionByName(written(dense, "dense"))
+    signs = active.select("cid", "sig").join(_shuffled(texts.select("cid", "long")), "cid")
+    cell = cell.join(_shuffled(signs), "cid").select("key", "c.i", "c.j", "c.role", "cid", "comp", "slot", "sig", "long")
+    found = written(cell.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(_with_partners, MEMBERS), "members")
+    full = found.join(_shuffled(texts.select("cid", "text")), "cid").select(*CELL, "role", "cid", "comp", "slot", "sig", "long", "text")
+    across = full.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(_confirm_cells(shingle, percent), "src long, dst long")
+    links = links.unionByName(written(across, "across"))
     comps = components(links)
     # smallest doc_id of each component, for each class, for each document
     place = classes.select("cid", "a", "b", "owner").join(_shuffled(comps.withColumnRenamed("id", "cid")), "cid", "left").withColumn("component", F.coalesce("component", "cid"))

@@ -11,7 +11,7 @@ vocabulary's rules and merged by its model; any other word goes through the whol
 
 Defined cases: a null or empty text is the end id alone. Very long texts are cut like any
 other. Rows that share a doc_id are packed each on its own. A null doc_id stays null. An
-empty table gives no pieces. Extra columns are ignored.
+empty table gives no pieces. Extra columns are ignored. Ties there are none: every row has its place.
 """
 
 from __future__ import annotations
@@ -28,17 +28,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Cache, written
+from .common import Cache, worker_state, written
 
 LENGTH, END_ID = 4096, 2
-CACHE_WORDS, CACHE_PARTS = 160_000, 300_000
+#: Bytes of the caches of words and of parts of words, in each Python worker.
+CACHE_WORDS, CACHE_PARTS = 32 << 20, 48 << 20
 #: Partition totals up to this many rows (24 bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: What the vocabulary's own rules make of lower-case Latin-1 text: contractions, letters, single digits, the rest.
 _LETTERS, _DIGITS = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe"
 _PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_LETTERS}{_DIGITS}]+")
 _PLAIN = re.compile(r"[\x21-\x7e\xa1-\xff]*")
-_state: dict = {}
 
 
 def vocabulary_path() -> str:
@@ -54,9 +54,10 @@ def _byte_letters() -> list[str]:
 
 
 def _words(path: str) -> Cache:
-    """Ids by word (bytes without white space), kept for the life of the Python worker."""
-    if _state.get("path") == path:
-        return _state["words"]
+    """Ids by word (bytes without white space), kept while the Python worker packs."""
+    kept = worker_state("packing")
+    if kept.get("path") == path:
+        return kept["words"]
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -71,8 +72,8 @@ def _words(path: str) -> Cache:
             return b"".join(map(parts.__getitem__, _PARTS.findall(text.lower())))
         return pack(tokenizer.encode(text, add_special_tokens=False).ids)
 
-    _state.update(path=path, words=Cache(word, CACHE_WORDS))
-    return _state["words"]
+    kept.update(path=path, words=Cache(word, CACHE_WORDS))
+    return kept["words"]
 
 
 def token_ids(texts, path: str, end_id: int = END_ID) -> list[bytes]:

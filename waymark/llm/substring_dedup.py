@@ -28,18 +28,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, Cache, written
+from .common import LAST_ID, Cache, worker_state, written
 
 WINDOW, SEED = 20, 2
 #: Windows that a task holds of one bucket; times so many more are known by hash before any is passed on.
 BUCKET_WINDOWS, KNOWN = 20_000, 10
-CACHE_WORDS = 200_000
-_hash = Cache(xxhash.xxh64_intdigest, CACHE_WORDS).__getitem__
+CACHE_BYTES = 24 << 20
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words, through a cache that lives as long as the Python worker."""
-    return np.fromiter(map(_hash, words), np.uint64, len(words))
+    """64-bit hashes of words, through a cache that lives as long as the Python worker serves operators on words."""
+    kept = worker_state("words")
+    if not kept:
+        kept["hash"] = Cache(xxhash.xxh64_intdigest, CACHE_BYTES)
+    return np.fromiter(map(kept["hash"].__getitem__, words), np.uint64, len(words))
 
 
 def rolling(h: np.ndarray, k: int) -> np.ndarray:

@@ -62,7 +62,7 @@ def brute_lines(rows):
 @pytest.mark.parametrize("batches,fanout", [(1, 2), (4, 2), (3, 5)])
 def test_lines(spark, odd_docs, batches, fanout):
     for df in (odd_docs, many(spark)):
-        got = sorted([tuple(r) for r in line_dedup.digest(df, batches=batches, fanout=fanout, buckets=3).collect()], key=str)
+        got = sorted([tuple(r) for r in line_dedup.digest(df, batches=batches, fanout=fanout, buckets=3, hot_share=50).collect()], key=str)
         assert got == brute_lines(rows_of(df))
 
 
@@ -138,8 +138,9 @@ def brute_near(rows, k):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("block", [2_000, 2])
-def test_near_copies(spark, odd_docs, block):
+@pytest.mark.parametrize("block,part", [(400_000, 256), (400, 1)])
+def test_near_copies(spark, odd_docs, block, part, monkeypatch):
+    monkeypatch.setattr(near_dedup, "PART", part)
     for df in (odd_docs, many(spark)):
         got = sorted([tuple(r) for r in near_dedup.digest(df, block=block).collect()], key=str)
         assert got == brute_near(rows_of(df), 4)
@@ -310,7 +311,7 @@ def test_forward_sums_all_segmentations():
 
     m = sentencepiece.SentencePieceProcessor(model_file=language_id.vocabulary_path())
     every = sorted({m.id_to_piece(i) for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i))})
-    place = {p: k for k, p in enumerate([p for p in every if len(p) <= language_id.MAX_PIECE])}
+    place = {p: k for k, p in enumerate(every)}
 
     def total(w):
         if not w:
@@ -323,6 +324,27 @@ def test_forward_sums_all_segmentations():
                 out = out + table[pieces.size] * total(w[1:])
         return out
 
-    for word in ("▁hello", "▁hal", "▁☂x"):
-        for _, n, edges in language_id.lattices(pieces, [word]):
-            assert np.allclose(language_id.forward(edges, n, 1, table)[n, 0], total(word))
+    for word in ("▁hello", "▁hal", "▁☂x", "▁internationalization"[:14]):
+        for _, lattice in language_id.lattices(pieces, [word]):
+            assert np.allclose(np.exp(lattice.forward(table)[2][0]), total(word))
+            b, scale = lattice.backward(table)
+            assert np.allclose(b[0] * np.exp(scale[0]), total(word))
+
+    def log_total(w):  # the same sum, from left to right, in logarithms
+        log = [np.zeros(len(langs))]
+        for e in range(1, len(w) + 1):
+            ways = [log[s] + np.log(table[place[w[s:e]]] if w[s:e] in place else table[pieces.size]) for s in range(max(0, e - 40), e) if w[s:e] in place or e - s == 1]
+            log.append(np.logaddexp.reduce(ways))
+        return log[-1]
+
+    for word in ("▁" + "donaudampfschiff" * 40, "▁" + "☂" * 700, "▁" + "x" * 3000):  # no word is cut, however long
+        (_, lattice), = language_id.lattices(pieces, [word])
+        assert np.allclose(lattice.forward(table)[2][0], log_total(word))
+        assert np.allclose(lattice.forward(table, keep=True)[2][0], log_total(word))
+
+
+def test_every_label_is_learned(spark):
+    """Also the rarest of very many."""
+    rows = [(4 * k + j, f"wort{k} des{k} landes{k}", f"l{k:03}", "s") for k in range(260) for j in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert len(language_id.fit(df).langs) == 260

@@ -2,17 +2,18 @@
 
 Each language has a probability for every piece of a fixed public vocabulary. The score of
 a word is the sum, over all ways to cut it into pieces, of the product of their
-probabilities: one forward pass. A text's score is the product over its words; the
-prediction is the language with the highest, and ``score`` its share among all of them.
+probabilities: one forward pass, rescaled as it goes, so that a word may be of any length. A
+text's score is the product over its words; the prediction is the language with the highest,
+and ``score`` its share among all of them.
 
-Training counts words in a bounded sample of labelled rows (``SAMPLE_DOCS`` documents a
-language at most, chosen by a hash of the id, and their ``TOP_WORDS`` most frequent words) and
-runs a few rounds of expectation maximisation over the same lattice. Prediction uses the whole
-text. Words are scored once each, in batches, through a bounded cache.
+Training counts the words of a bounded sample of labelled rows (``SAMPLE_DOCS`` documents a
+language at most, chosen by a hash of the id) and runs a few rounds of expectation
+maximisation over the same lattice. Every label is learned; the model is 32,000 numbers for
+each. Prediction uses the whole text. Words are scored once each, in batches, through a cache
+of bounded size.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0. Ties go to the
-first language by code point. If no row is labelled, every text is ``und``. A stretch of over
-``MAX_WORD`` characters without white space is scored in parts of that length. A null doc_id
+first language by code point. If no row is labelled, every text is ``und``. A null doc_id
 is neither learned from nor held out. Repeated rows are judged each. An empty table gives an
 empty result. Extra columns pass through ``identify``; those with an output's name are replaced.
 """
@@ -27,12 +28,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, small_batches, worker_state
 
-SAMPLE_DOCS, TOP_WORDS, MAX_LANGUAGES = 2_000, 30_000, 200
-ROUNDS, SMOOTHING, MAX_WORD, MAX_PIECE = 3, 50.0, 32, 16
+SAMPLE_DOCS = 600
+ROUNDS, SMOOTHING = 3, 50.0
 UNKNOWN = 1e-6  # probability of a character that is no piece, in any language
-CACHE_WORDS = 120_000
+#: Positions between two rescalings; characters of words that are handled at once.
+RESCALE, CHARS = 16, 40_000
+CACHE_BYTES = 24 << 20
 #: The remainder of crc32(doc_id as text) by 4 that is held out.
 FOLDS, HELD_OUT = 4, 2
 UNDETERMINED = "und"
@@ -61,56 +64,85 @@ class Pieces:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         every = sorted({model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))})
-        every = [p for p in every if len(p) <= MAX_PIECE]
         self.size, self.by_length = len(every), {}
-        for n in range(1, MAX_PIECE + 1):
+        for n in sorted({len(p) for p in every}):
             found = sorted((_key(p), i) for i, p in enumerate(every) if len(p) == n)
-            if found:
-                self.by_length[n] = (np.array([k for k, _ in found], np.uint64), np.array([i for _, i in found], np.int32))
+            self.by_length[n] = (np.array([k for k, _ in found], np.uint64), np.array([i for _, i in found], np.int32))
+
+
+class Lattice:
+    """All segmentations of words of one length: ``ids[length][start]`` holds, for each word, the piece of that length there.
+
+    The id is ``size`` where one character is no piece, and -1 (a table's last row, 0) where there is no piece."""
+
+    def __init__(self, pieces: Pieces, words: list[str]):
+        self.n, self.rows = n, rows = len(words[0]), len(words)
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(rows, n).astype(np.uint64) + np.uint64(1)
+        prefix = np.zeros((n + 1, rows), np.uint64)
+        for j in range(n):
+            prefix[j + 1] = prefix[j] * _BASE + codes[:, j]
+        self.ids: dict[int, np.ndarray] = {}
+        for length, (keys, ids) in pieces.by_length.items():
+            if length > n:
+                continue
+            key = prefix[length:] - prefix[:-length] * np.uint64(pow(int(_BASE), length, 1 << 64))
+            slot = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            hit = keys[slot] == key
+            if length == 1 or hit.any():
+                self.ids[length] = np.where(hit, ids[slot], pieces.size if length == 1 else -1)
+        self.at = {length: (x >= 0).any(1).tolist() for length, x in self.ids.items()}  # starts with such a piece in any word
+        self.longest = max(self.ids, default=1)
+
+    def forward(self, table: np.ndarray, keep: bool = False):
+        """(a, scale, log sums): the summed probability of all segmentations up to each position is a * exp(scale)."""
+        a, scales = [np.ones((self.rows, table.shape[1]))], [np.zeros((self.rows, table.shape[1]))]
+        for e in range(1, self.n + 1):
+            now = np.zeros_like(a[0] if a[0] is not None else a[-1])
+            for length, ids in self.ids.items():
+                if length <= e and self.at[length][e - length]:
+                    now += a[e - length] * table[ids[e - length]]
+            a.append(now)
+            scales.append(scales[-1])
+            if e % RESCALE == 0 and e < self.n:
+                scale = scales[e] + np.log(now)
+                for k in range(max(0, e - self.longest), e + 1):
+                    a[k], scales[k] = a[k] / now, scale
+            if not keep and e >= self.longest:
+                a[e - self.longest] = scales[e - self.longest] = None
+        return a, scales, np.log(a[self.n]) + scales[self.n]
+
+    def backward(self, table: np.ndarray):
+        """(b, scale): the same from each position to the end."""
+        n = self.n
+        b, scales = [None] * n + [np.ones((self.rows, table.shape[1]))], [None] * n + [np.zeros((self.rows, table.shape[1]))]
+        for s in range(n - 1, -1, -1):
+            now = np.zeros_like(b[n])
+            for length, ids in self.ids.items():
+                if s + length <= n and self.at[length][s]:
+                    now += b[s + length] * table[ids[s]]
+            b[s], scales[s] = now, scales[s + 1]
+            if (n - s) % RESCALE == 0 and s:
+                scale = scales[s] + np.log(now)
+                for k in range(s, min(n, s + self.longest) + 1):
+                    b[k], scales[k] = b[k] / now, scale
+        return b, scales
 
 
 def lattices(pieces: Pieces, words: list[str]):
-    """(places, edges) for words of one length each: edges are (start, end, ids), id ``size`` where one character is no piece, -1 for no edge."""
+    """(places, lattice) for words of one length each, a bounded number of characters at a time but at least one word."""
     by: dict[int, list[int]] = {}
     for i, w in enumerate(words):
         by.setdefault(len(w), []).append(i)
     for n, where in by.items():
-        for at in range(0, len(where), 5_000):
-            part = where[at : at + 5_000]
-            codes = np.frombuffer("".join(words[i] for i in part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), n).astype(np.uint64) + np.uint64(1)
-            prefix = np.zeros((n + 1, len(part)), np.uint64)
-            for j in range(n):
-                prefix[j + 1] = prefix[j] * _BASE + codes[:, j]
-            edges, power = [], np.uint64(1)
-            for length in range(1, min(n, MAX_PIECE) + 1):
-                power = np.uint64(int(power) * int(_BASE) & (1 << 64) - 1)
-                if length not in pieces.by_length:
-                    continue
-                keys, ids = pieces.by_length[length]
-                for s in range(n - length + 1):
-                    key = prefix[s + length] - prefix[s] * power
-                    slot = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                    hit = keys[slot] == key
-                    found = np.where(hit, ids[slot], pieces.size if length == 1 else -1)
-                    if length == 1 or hit.any():
-                        edges.append((s, s + length, found))
-            edges.sort(key=lambda e: (e[1], e[0]))
-            yield part, n, edges
-
-
-def forward(edges, n: int, rows: int, table: np.ndarray) -> np.ndarray:
-    """(n + 1, rows, languages): summed probability of all segmentations of each prefix. table's last row is 0, for no edge."""
-    a = np.zeros((n + 1, rows, table.shape[1]))
-    a[0] = 1.0
-    for s, e, ids in edges:
-        a[e] += a[s] * table[ids]
-    return a
-
-
-def marked(word: str) -> list[str]:
-    """A word as the vocabulary has it, with the sign of a word's begin, in parts of bounded length."""
-    w = "▁" + word
-    return [w] if len(w) <= MAX_WORD else [w[i : i + MAX_WORD] for i in range(0, len(w), MAX_WORD)]
+        step = max(1, CHARS // n)
+        for at in range(0, len(where), step):
+            part = where[at : at + step]
+            yield part, Lattice(pieces, [words[i] for i in part])
+
+
+def marked(word: str) -> str:
+    """A word as the vocabulary has it, with the sign of a word's begin."""
+    return "▁" + word
 
 
 def _table(probabilities: np.ndarray) -> np.ndarray:
@@ -121,28 +153,32 @@ def _table(probabilities: np.ndarray) -> np.ndarray:
 def train(pieces: Pieces, counts: dict[str, dict[str, int]]) -> tuple[list[str], np.ndarray]:
     """Languages, and a (pieces + 2, languages) table of probabilities from {language: {word: count}}."""
     langs = sorted(counts)
-    totals: dict[str, np.ndarray] = {}
+    place: dict[str, int] = {}
+    rows, cols, values = array("q"), array("q"), array("d")
     for k, lang in enumerate(langs):
         for word, c in counts[lang].items():
-            for w in marked(word):
-                totals.setdefault(w, np.zeros(len(langs)))[k] += c
-    words = list(totals)
-    weight = np.array([totals[w] for w in words]) if words else np.zeros((0, len(langs)))
+            rows.append(place.setdefault(marked(word), len(place)))
+            cols.append(k)
+            values.append(c)
+    words = list(place)
+    rows, cols, values = (np.frombuffer(x, t) if len(x) else np.zeros(0, t) for x, t in ((rows, np.int64), (cols, np.int64), (values, np.float64)))
+    order = np.argsort(rows, kind="stable")
+    rows, cols, values = rows[order], cols[order], values[order]
+    first = np.searchsorted(rows, np.arange(len(words) + 1))
     probs = np.full((pieces.size, len(langs)), 1.0 / pieces.size)
-    built = list(lattices(pieces, words))
     for _ in range(ROUNDS):
         table, got = _table(probs), np.zeros((pieces.size + 2, len(langs)))
-        for part, n, edges in built:
-            a = forward(edges, n, len(part), table)
-            b = np.zeros_like(a)
-            b[n] = 1.0
-            for s, e, ids in reversed(edges):
-                b[s] += b[e] * table[ids]
-            scale = weight[part] / np.maximum(a[n], 1e-300)
-            for s, e, ids in edges:
-                use = a[s] * b[e] * table[ids] * scale
-                for k in range(len(langs)):
-                    got[:, k] += np.bincount(ids + (ids < 0) * (pieces.size + 2), use[:, k], pieces.size + 2)
+        for part, lattice in lattices(pieces, words):
+            weight = np.zeros((len(part), len(langs)))
+            for i, w in enumerate(part):
+                weight[i, cols[first[w] : first[w + 1]]] = values[first[w] : first[w + 1]]
+            a, up, total = lattice.forward(table, keep=True)
+            b, down = lattice.backward(table)
+            for length, ids in lattice.ids.items():
+                for s in np.flatnonzero(lattice.at[length]).tolist():
+                    use = a[s] * b[s + length] * table[ids[s]] * weight * np.exp(up[s] + down[s + length] - total)
+                    for k in range(len(langs)):
+                        got[:, k] += np.bincount(ids[s] + (ids[s] < 0) * (pieces.size + 2), use[:, k], pieces.size + 2)
         seen = got[: pieces.size]
         common = (seen.sum(1) + 0.1) / (seen.sum() + 0.1 * pieces.size)
         probs = (seen + SMOOTHING * common[:, None]) / (seen.sum(0) + SMOOTHING)
@@ -150,14 +186,15 @@ def train(pieces: Pieces, counts: dict[str, dict[str, int]]) -> tuple[list[str],
 
 
 class Scorer:
-    """Log scores of words by language, cached for the life of the Python worker."""
+    """Log scores of words by language, cached while the Python worker judges texts."""
 
     def __init__(self, pieces: Pieces, langs: list[str], table: np.ndarray):
         self.pieces, self.langs, self.table = pieces, langs, table
+        self.most = max(1_000, CACHE_BYTES // (180 + 8 * len(langs)))
         self._new()
 
     def _new(self) -> None:
-        self.place: dict[str, int] = {}
+        self.place: dict[bytes, int] = {}
         self.scores = np.zeros((0, len(self.langs)))
 
     def __getstate__(self):
@@ -166,25 +203,21 @@ class Scorer:
     def __setstate__(self, state):
         self.__init__(*state)
 
-    def _learn(self, new: list[str]) -> None:
-        parts, owner = [], []
-        for i, w in enumerate(new):
-            for p in marked(w):
-                parts.append(p)
-                owner.append(i)
-        got = np.empty((len(parts), len(self.langs)))
-        for where, n, edges in lattices(self.pieces, parts):
-            got[where] = np.log(np.maximum(forward(edges, n, len(where), self.table)[n], 1e-300))
-        sums = np.zeros((len(new), len(self.langs)))
-        np.add.at(sums, owner, got)
+    def _learn(self, new: list[bytes]) -> None:
+        got = np.empty((len(new), len(self.langs)))
+        for where, lattice in lattices(self.pieces, [marked(w.decode("utf-8", "surrogatepass")) for w in new]):
+            got[where] = lattice.forward(self.table)[2]
         start = len(self.place)
         self.place.update((w, start + i) for i, w in enumerate(new))
-        self.scores = np.vstack([self.scores, sums])
+        if len(self.place) > len(self.scores):  # room to grow, so that rows are rarely copied
+            self.scores = np.vstack([self.scores[:start], got, np.zeros((len(self.place) // 2, len(self.langs)))])
+        else:
+            self.scores[start : len(self.place)] = got
 
     def judge(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        split = [t.split() if t and _LETTER.search(t) else [] for t in texts]
+        split = [t.encode("utf-8", "surrogatepass").split() if t and _LETTER.search(t) else [] for t in texts]  # at the white space of WORD
         new = list({w for ws in split for w in ws if w not in self.place})
-        if len(self.place) + len(new) > CACHE_WORDS:
+        if len(self.place) + len(new) > self.most:
             self._new()
             new = list({w for ws in split for w in ws})
         if new:
@@ -206,25 +239,23 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def fit(docs: DataFrame, path: str | None = None, sample_docs: int = SAMPLE_DOCS, top_words: int = TOP_WORDS) -> Scorer:
-    """A scorer learned from docs(doc_id, text, lang) outside the held-out fold."""
-    from pyspark.sql import Window as W
-
+def fit(docs: DataFrame, path: str | None = None, sample_docs: int = SAMPLE_DOCS) -> Scorer:
+    """A scorer learned from docs(doc_id, text, lang) outside the held-out fold: from ``sample_docs`` rows a language or so, whole."""
     own = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
-    sizes = {r.lang: r.n for r in own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = {r.lang: r.n for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, sample_docs / n)))]) if sizes else F.lit(None).cast("map<string,double>")
     picked = own.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000)) < F.try_element_at(share, F.col("lang")) * 1_000_000)
     words = picked.select("lang", F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    top = words.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("k") <= top_words)
-    counts: dict[str, dict[str, int]] = {}
-    for r in top.select("lang", "word", "n").toLocalIterator():
-        counts.setdefault(r.lang, {})[r.word] = r.n
+    counts: dict[str, dict[str, int]] = {lang: {} for lang in sizes}
+    for r in words.toLocalIterator():
+        counts[r.lang][r.word] = r.n
     pieces = Pieces(path or vocabulary_path())
     return Scorer(pieces, *train(pieces, counts))
 
 
 def identify(docs: DataFrame, scorer: Scorer) -> DataFrame:
     """docs with lang_pred and score; only the text is looked at."""
+    small_batches(docs.sparkSession)
     cell = [scorer]
 
     @F.pandas_udf("lang_pred string, score double")
@@ -256,14 +287,13 @@ def has_letter(texts):
     return run(texts)
 
 
-_last: list = []
-
-
 def _kept(scorer: Scorer) -> Scorer:
     """The worker's earlier copy of the same scorer, with its cache."""
-    if not (_last and _last[0].langs == scorer.langs and np.array_equal(_last[0].table, scorer.table)):
-        _last[:] = [scorer]
-    return _last[0]
+    kept = worker_state("language")
+    last = kept.get("scorer")
+    if last is None or last.langs != scorer.langs or not np.array_equal(last.table, scorer.table):
+        kept["scorer"] = scorer
+    return kept["scorer"]
 
 
 def digest(docs: DataFrame, **how) -> DataFrame:

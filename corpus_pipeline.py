@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from waymark.llm import language_id, line_dedup, mixing, near_dedup, packing
-from waymark.llm.common import BLANKS, LAST_ID, table, written
+from waymark.llm.common import BLANKS, LAST_ID, release, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -88,4 +88,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = written(docs, f"stage-{name}", codec="zstd")
+            release(keep=docs)  # what the stage and those before it have written
     return docs

@@ -211,6 +211,35 @@ def test_mixing(spark, odd_docs):
             assert all(sum(c.taken for c in r.copies) == r.taken for r in by[s])
 
 
+@pytest.mark.parametrize("sort_rows", [7, 100_000])
+def test_mixing_takes_what_a_queue_in_python_takes(spark, sort_rows, monkeypatch):
+    """Word by word: merge the queues by finish time and stop at the budget. Also: the merge is a range exchange."""
+    plans, write = [], mixing.written
+    monkeypatch.setattr(mixing, "written", lambda df, *a, **k: plans.append(df._jdf.queryExecution().toString()) or write(df, *a, **k))
+    df = many(spark).select("doc_id", "source", mixing.n_words(F.col("text")).alias("size")).withColumn("source", F.when(F.col("doc_id") % 3 == 0, "s0").otherwise(F.col("source")))
+    got = {r.doc_id: r.taken for r in mixing.mix(df, bucket_rows=20, sort_rows=sort_rows).collect()}
+    assert any("rangepartitioning" in p for p in plans)
+    rows = df.withColumn("u", F.xxhash64(F.lit(mixing.SEED), F.col("doc_id").cast("string"), "size")).collect()
+    names = sorted({r.source for r in rows})
+    sizes = [sum(r["size"] for r in rows if r.source == s) for s in names]
+    goals = [round(t) for t in waterfill(sizes, [(5, 2, 1)[k % 3] for k in range(len(names))])]
+    words = []  # one entry a word of a queue: what ends with it, and where it stands
+    for k, (s, goal) in enumerate(zip(names, goals, strict=True)):
+        at = 0
+        for copy in range(3):
+            for r in sorted((r for r in rows if r.source == s), key=lambda r: (((r.u % 2**64) >> 20) % 8, r.u, r.doc_id)):  # 8 buckets
+                for i in range(r["size"]):
+                    inside = at < goal
+                    end = at - i + r["size"]
+                    last = min(goal, end) if inside else end
+                    words.append((last / goal, k, r.u, copy, at, r.doc_id))
+                    at += 1
+    want = dict.fromkeys(got, 0)
+    for *_, doc in sorted(words)[: sum(goals)]:
+        want[doc] += 1
+    assert got == want
+
+
 def test_mixing_reruns_agree_and_order(spark):
     df = many(spark)
     a, b = (sorted(map(tuple, mixing.digest(d).collect())) for d in (df, df.repartition(7)))

@@ -1,19 +1,24 @@
 """Mixing sources to target weights by weighted fair queueing. DataFrame functions only.
 
-Documents of a source queue in the order of a seeded hash. A copy's virtual finish time is
-the source's cumulative tokens up to its end, divided by the source's target, so every queue
-ends at virtual time 1, where the tokens served add up to the total budget. So a merge
-cut at the budget takes what a cut of each source at its target takes, and ``mix`` does the
-latter; the copy that crosses the cut is taken in part, so each source meets its target to the
-word. ``in_order`` range-sorts the copies by finish time; ``digest`` has no order and leaves it out.
+Documents of a source queue in the order of a seeded hash, once for each time that a source may
+be used. A copy's virtual finish time is the source's cumulative tokens up to its end, divided by
+the source's target. The queues are merged by a global range sort on finish time, and the
+merged queue is cut where its running total reaches the total budget: totals by partition give
+the partition of the cut, a running sum inside that one gives the place. What comes before the place
+is taken, the copy at it in part, the rest not at all.
 
-Cumulative sums are two-level: (source, bucket of the hash) totals, a prefix sum over the
-totals, then a running sum inside each bucket. No source is gathered in one task.
+Every queue uses up its share at virtual time 1, so a copy that begins later can't be reached
+and is not queued; a copy that crosses time 1 is queued as two pieces, the part within the share and
+the rest, as packets are. So each source meets its target to the word (targets are rounded to whole words here).
+
+A source's cumulative sums are two-level: (source, bucket of the hash) totals, a prefix sum over
+the totals, then a running sum inside each bucket. No source is gathered in one task.
 
 Defined cases: a null text has size 0 and takes 0. A null source is a source of its own and
 comes last. Rows that share a doc_id each have their own place. A source of size 0 has target
-0. An empty table gives an empty result. Extra columns pass through ``mix``
-untouched; those with an output's name are replaced.
+0. Equal finish times go by source, hash, doc_id and copy. Texts may be of any length. An empty
+table gives an empty result. Extra columns pass through ``mix`` untouched; those with an output's
+name are replaced.
 """
 
 from __future__ import annotations
@@ -29,6 +34,8 @@ from .common import WORD, written
 #: Weights in the order of the sources, repeating; how often a source may be used.
 WEIGHTS, MAX_EPOCHS = (5, 2, 1), 3
 BUCKET_ROWS, SEED = 2_000, 20_240_601
+#: Pieces of the merged queue for each partition of the range sort.
+SORT_ROWS = 100_000
 
 
 def n_words(text):
@@ -55,36 +62,80 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EP
     return s.select("source", "source_size", "weight", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+#: The order of the merged queue. Every row has a number, so no two pieces are equal in it.
+ORDER = ("finish", "place", "u", "row", "copy", "piece")
+
+
+def _queued(out: DataFrame, max_epochs: int) -> DataFrame:
+    """out with ``queue``: array of (finish, place, u, row, copy, piece, part) for the pieces of a document's copies that begin within the share."""
+    limit = F.round("target").cast("long")
+    at = lambda c: c * F.col("source_size") + F.col("__p")
+    epochs = F.sequence(F.lit(0).cast("long"), F.lit(max_epochs - 1).cast("long"))
+    begun = F.filter(epochs, lambda c: (at(c) < limit) & (F.col("size") > 0))
+
+    def piece(c, k, words, end):
+        return F.struct((end / limit).alias("finish"), F.col("__place").alias("place"), F.col("__u").alias("u"), F.col("__row").alias("row"), c.alias("copy"), F.lit(k).alias("piece"), words.alias("part"))
+
+    within = lambda c: F.least(F.col("size"), limit - at(c))
+    both = F.transform(begun, lambda c: F.array(piece(c, 0, within(c), at(c) + within(c)), piece(c, 1, F.col("size") - within(c), at(c) + F.col("size"))))
+    return out.withColumn("__q", F.filter(F.flatten(both), lambda x: x["part"] > 0))
+
+
+def _cut(queued: DataFrame, budget: int, sort_rows: int):
+    """(order key of the piece at the cut, words of it that are taken), or None where the queue ends before the budget."""
+    pieces = queued.select(F.explode("__q").alias("x")).select("x.*")
+    count = queued.agg(F.sum(F.size("__q"))).first()[0] or 0
+    merged = written(pieces.repartitionByRange(max(1, math.ceil(count / sort_rows)), *ORDER).sortWithinPartitions(*ORDER).withColumn("range", F.spark_partition_id()), "merged")
+    totals = merged.groupBy("range").agg(F.sum("part").alias("words"))  # a row for each partition
+    ahead = totals.withColumn("before", F.coalesce(F.sum("words").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    here = ahead.where((F.col("before") < budget) & (F.col("before") + F.col("words") >= budget)).first()
+    if here is None:
+        return None
+    own = merged.where(F.col("range") == here["range"]).withColumn("sum", here["before"] + F.sum("part").over(W.orderBy(*ORDER).rowsBetween(W.unboundedPreceding, W.currentRow)))
+    last = own.where(F.col("sum") >= budget).orderBy(*ORDER).first()
+    return [last[k] for k in ORDER], budget - (last["sum"] - last["part"])
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED, bucket_rows: int = BUCKET_ROWS, sort_rows: int = SORT_ROWS) -> DataFrame:
     """docs(doc_id, source, size, ...) with source_size, target, taken and copies.
 
     copies: array of (copy, finish, taken), one for each time that the mix takes the
     document, finish being the virtual finish time.
     """
     docs = docs.drop("source_size", "target", "taken", "copies")
-    rows = written(docs.withColumn("__u", F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))), "mix")
+    rows = docs.withColumns({"__u": F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), "size"), "__row": F.monotonically_increasing_id()})
+    rows = written(rows, "mix")
     buckets = max(1, math.ceil(rows.count() / bucket_rows))
     rows = rows.withColumn("__b", F.pmod(F.shiftrightunsigned("__u", 20), F.lit(buckets)))
     totals = rows.groupBy("source", "__b").agg(F.sum("size").alias("__sum"))
     totals = written(totals, "mixtotals")
     targets = source_targets(totals.groupBy("source").agg(F.sum("__sum").alias("source_size")), weights, max_epochs)
+    targets = written(targets.select(F.col("source").alias("__t"), "source_size", "target", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())).alias("__place")), "targets")
+    budget = targets.agg(F.sum(F.round("target").cast("long"))).first()[0] or 0  # targets in whole words
     ahead = F.coalesce(F.sum("__sum").over(W.partitionBy("source").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     key = lambda a, b: a.eqNullSafe(b)
     places = totals.select(F.col("source").alias("__s"), F.col("__b").alias("__c"), ahead.alias("__ahead"))
-    targets = targets.select(F.col("source").alias("__t"), "source_size", "target")
     places = places.join(targets, key(F.col("__s"), F.col("__t"))).drop("__t")
-    inside = W.partitionBy("__s", "__c").orderBy("__u", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("__s", "__c").orderBy("__u", "doc_id", "size", "__row").rowsBetween(W.unboundedPreceding, -1)
     out = rows.join(places, key(F.col("source"), F.col("__s")) & (F.col("__b") == F.col("__c")))
     out = out.withColumn("__p", F.col("__ahead") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    limit = F.round("target").cast("long")
-    at = lambda c: c * F.col("source_size") + F.col("__p")
-    copies = F.transform(
-        F.sequence(F.lit(0).cast("long"), F.lit(max_epochs - 1).cast("long")),
-        lambda c: F.struct(c.alias("copy"), F.try_divide(at(c) + F.col("size"), F.col("target")).alias("finish"), F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), limit - at(c))).alias("taken")),
-    )
-    out = out.withColumn("copies", F.filter(copies, lambda x: x["taken"] > 0))
+    out = written(_queued(out, max_epochs).drop("__b", "__s", "__c", "__ahead", "__p"), "queue")
+    cut = _cut(out, budget, sort_rows)
+    taken = lambda x: x["part"]
+    if cut is not None:
+        at = F.struct(*[F.lit(v).cast(t).alias(k) for v, k, t in zip(cut[0], ORDER, ("double", "int", "long", "long", "long", "int"), strict=True)])
+        own = lambda x: F.struct(*[x[k].alias(k) for k in ORDER])
+        taken = lambda x: F.when(own(x) < at, x["part"]).when(own(x) == at, F.lit(cut[1])).otherwise(F.lit(0).cast("long"))
+    pieces = F.filter(F.transform("__q", lambda x: F.struct(x["copy"].alias("copy"), x["finish"].alias("finish"), taken(x).alias("taken"))), lambda x: x["taken"] > 0)
+
+    def copy(c):  # the pieces of one copy together, at the finish time of the first
+        mine = F.filter("__f", lambda x: x["copy"] == c)
+        return F.struct(c.alias("copy"), F.element_at(mine, 1)["finish"].alias("finish"), F.aggregate(mine, F.lit(0).cast("long"), lambda a, x: a + x["taken"]).alias("taken"))
+
+    out = out.withColumn("__f", pieces)
+    out = out.withColumn("copies", F.transform(F.array_distinct(F.transform("__f", lambda x: x["copy"])), copy))
     out = out.withColumn("taken", F.aggregate("copies", F.lit(0).cast("long"), lambda a, x: a + x["taken"]))
-    return out.drop("__u", "__b", "__s", "__c", "__ahead", "__p")
+    return out.drop("__u", "__row", "__place", "__q", "__f")
 
 
 def in_order(mixed: DataFrame, partitions: int | None = None) -> DataFrame:

@@ -1,16 +1,22 @@
 """Main text of HTML pages by the maximum-scoring subsequence.
 
-A page becomes a run of tokens: tags, and stretches of words with the context they stand in
-(inside a menu or advert, a list of links, an article, a plain block, ...). Words score
-positive and tags negative, except that words in a context that labelled pages show to be
-outside the article score negative too; the weights are log odds counted on labelled pages.
-One linear scan finds the contiguous region of the highest sum. Blocks of that region, without
-what stands in a menu, notice, advert, form or comment inside it, are the text.
-
-Defined cases: a null or empty page, or one without words, gives an empty text. Unclosed tags
-and a page cut off in the middle are read as far as they go. Repeated rows are extracted each.
-An empty table gives an empty result. Extra columns pass through ``extract``; those
-with an output's name are replaced.
+A page becomes a run of tokens: tags, and stretches of words with the marks of what they stand
+in. A word scores by its probability, learned from labelled pages, of standing in the article given
+these marks: towards 1 where that is high, towards -``AGAINST`` where it is low. Each tag scores a
+small negative cost. One linear scan finds the contiguous region of the highest sum, which is the
+article with what stands between its parts; what is more likely outside than inside by its own
+marks (an advert in the middle) is no text of that region.
+
+Marks are what the markup itself says: the names of the enclosing elements, the words in their
+class, id and role, and whether the words are a link on their own in their block. No list says
+what any of them means: ``labelled_pages`` does, by a regularised logistic regression over
+stretches of text. A mark that no labelled page has counts nothing.
+
+Defined cases: a null or empty page, or one without words, gives an empty text, and so does one
+where no word scores positive. Of equally good regions the longest of the first counts. Unclosed
+tags and a page cut off in the middle are read as far as they go, at any length and depth. Repeated
+rows are extracted each. An empty table gives an empty result. Extra columns pass through
+``extract``; those with an output's name are replaced.
 """
 
 from __future__ import annotations
@@ -20,33 +26,23 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Elements never read as text; elements that are never the article.
-HIDDEN = ("script", "style", "noscript", "template", "head", "iframe", "svg", "object", "canvas", "math", "audio", "video")
-CHROME = ("nav", "footer", "aside", "form", "button", "select", "textarea", "label", "dialog", "menu", "fieldset", "input")
-#: Words in a class, id or role that mark such parts.
-HINTS = (
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay "
-    "nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar widget share sharing social related recommended recommendations trending "
-    "comment comments reply replies discussion respond disqus footer newsletter subscribe subscription signup login search toolbar tags toc skip complementary contentinfo"
-).split()
-#: The same, unless they stand inside an article.
-OUTER_HINTS, OUTER = ("header", "masthead", "topbar", "branding"), ("header",)
-#: Of the marks, those that make an article element none.
-ARTICLE_HINTS = "ad ads advert advertisement sponsored promo promotion comment comments reply replies discussion related recommended".split()
-#: Elements that begin and end a block; those without an end tag; those that hold the article.
+from .common import small_batches
+from .labelled_pages import BEGIN, END, TRAINING
+
+#: Elements whose content is no text of the page; those that begin and end a block; those without an end tag.
+UNREAD = ("script", "style", "noscript", "template", "head", "title", "iframe", "svg", "object", "canvas", "audio", "video", "textarea")
 BLOCKS = (
     "p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table thead tbody tr caption section article blockquote pre figure figcaption "
     "header footer nav aside main hr address form body html details summary fieldset center"
 ).split()
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
-CONTENT = ("article", "main")
-TEXT_BLOCKS = "p h1 h2 h3 h4 h5 h6 blockquote pre td figcaption dd".split()
 
-_HIDDEN, _CHROME, _HINTS, _OUTER_HINTS, _OUTER, _BLOCKS, _VOID, _CONTENT, _TEXT, _ARTICLE_HINTS = map(frozenset, (HIDDEN, CHROME, HINTS, OUTER_HINTS, OUTER, BLOCKS, VOID, CONTENT, TEXT_BLOCKS, ARTICLE_HINTS))
+_UNREAD, _BLOCKS, _VOID = map(frozenset, (UNREAD, BLOCKS, VOID))
 #: Elements that end open ones, as HTML allows without end tags: which, and inside what these stay open.
 _OWN = _BLOCKS - {"p", "div", "address", "li", "dt", "dd"} | {"menu", "td", "th", "select", "button", "label"}
 IMPLIED = {
@@ -54,157 +50,146 @@ IMPLIED = {
     "tr": (frozenset(["tr"]), frozenset(["table"])), "td": (frozenset(["td", "th"]), frozenset(["tr", "table"])), "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
 }
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(script|style|noscript|template|iframe|svg|object|canvas|math|audio|video|textarea)\b[^>]*>.*?(?:</\1\s*>|$)"""
+    r"""<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(script|style|noscript|template|title|iframe|svg|object|canvas|audio|video|textarea)\b[^>]*>.*?(?:</\1\s*>|$)"""
     r"""|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)|([^<]+)|<""",
     re.DOTALL | re.IGNORECASE,
 )
-_ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
+_ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
 _NAME = re.compile(r"[a-z]+")
-
-
-def _marks(attributes: str) -> set[str]:
-    """The words in an element's class, id and role, in lower case."""
-    return {w for m in _ATTR.finditer(attributes) for w in _NAME.findall(m[1].lower())}
-
-
-def tokens(page: str) -> list[tuple[str, str, int, int]]:
-    """(kind, text, block, words): kind is a context for text, or ``<name`` for a tag.
-
-    Contexts: chrome, hidden, main, outside (of a page's article element that holds words), links, block, loose.
-    """
-    out: list[tuple[str, str, int, int]] = []
-    stack: list[tuple[str, str]] = []  # element, what it makes of its text: chrome, hidden, main, a, li, text or ""
-    inside: Counter = Counter()
-    opened: Counter = Counter()  # open elements by name
-    block = 0
-    has_main, others = False, []  # whether words stand in main; where the text of no marked context is
-
-    def pop_to(name: str) -> None:
-        if not opened[name]:
+#: What a tag scores; what a word surely outside scores, so that an advert does not part an article; how strongly weights are held near 0; the log odds of a word without any mark.
+TAG, AGAINST, RIDGE, PRIOR = -0.05, 0.25, 0.05, 0.5
+
+
+def _marks(name: str, attributes: str) -> tuple[str, ...]:
+    """What an element says of its text: its name, and each whole class, id or role in lower case, with its parts if it has several."""
+    found = [f"<{name}"]
+    for m in _ATTR.finditer(attributes):
+        for value in m[2].strip("\"'").lower().split():
+            parts = _NAME.findall(value)
+            found.append("-".join(parts))
+            found += [f"{p}-" for p in parts] if len(parts) > 1 else []
+    return tuple(found)
+
+
+class _Open:
+    """The open elements of a page."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, tuple[str, ...]]] = []
+        self.names: Counter = Counter()
+        self.marks: Counter = Counter()
+        self.now: frozenset | None = frozenset()
+
+    def push(self, name: str, marks: tuple[str, ...]) -> None:
+        self.stack.append((name, marks))
+        self.names[name] += 1
+        self.marks.update(marks)
+        self.now = None
+
+    def cut(self, k: int) -> None:
+        for name, marks in self.stack[k:]:
+            self.names[name] -= 1
+            for m in marks:
+                self.marks[m] -= 1
+                if not self.marks[m]:
+                    del self.marks[m]
+        del self.stack[k:]
+        self.now = None
+
+    def close(self, name: str) -> None:
+        if not self.names[name]:
             return
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == name:
-                cut(k)
+        for k in range(len(self.stack) - 1, -1, -1):
+            if self.stack[k][0] == name:
+                self.cut(k)
                 return
 
-    def cut(k: int) -> None:
-        for element, role in stack[k:]:
-            opened[element] -= 1
-            inside[role] -= 1
-        del stack[k:]
-
-    def close_implied(names: frozenset, within: frozenset) -> None:
+    def close_implied(self, names: frozenset, within: frozenset) -> None:
         """An open element of these names ends where the next begins, unless a list or table of its own is open inside."""
-        if not any(opened[n] for n in names):
+        if not any(self.names[n] for n in names):
             return
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in names:
-                cut(k)
+        for k in range(len(self.stack) - 1, -1, -1):
+            if self.stack[k][0] in names:
+                self.cut(k)
                 return
-            if stack[k][0] in within:
+            if self.stack[k][0] in within:
                 return
 
+    def seen(self) -> frozenset:
+        if self.now is None:
+            self.now = frozenset(self.marks)
+        return self.now
+
+
+def tokens(page: str) -> list[tuple[frozenset | None, str, int, int]]:
+    """(marks, text, block, words): marks of a stretch of text, None for a tag."""
+    out: list[tuple[frozenset | None, str, int, int]] = []
+    open_, block = _Open(), 0
     for m in _TOKEN.finditer(page):
         text = m[8]
         if text is None and m[0] == "<":
             text = "<"
         if text is not None:
-            if inside["hidden"]:
-                kind = "hidden"
-            elif inside["chrome"]:
-                kind = "chrome"
-            elif inside["main"]:
-                kind = "main"
-            else:
-                kind = "links" if inside["a"] else "block" if inside["text"] else "loose"
-                others.append(len(out))
-            text = html.unescape(text)
-            words = len(text.split())
-            has_main = has_main or (kind == "main" and words > 0)
-            out.append((kind, text, block, words))
+            if not any(open_.names[n] for n in _UNREAD):
+                text = html.unescape(text)
+                out.append((open_.seen(), text, block, len(text.split())))
             continue
         name = (m[3] or m[6] or "").lower()
         if not name:
             continue
-        closing = bool(m[2] or m[5])
         if name in _BLOCKS:
             block += 1
-        if name == "br":
-            out.append(("<br", " ", block, 0))
-            continue
-        if name in ("td", "th"):
-            out.append(("<" + name, " ", block, 0))
-        else:
-            out.append(("<" + name, "", block, 0))
-        if closing:
-            pop_to(name)
+        out.append((None, " " if name in ("br", "td", "th") else "", block, 0))
+        if m[2] or m[5]:
+            open_.close(name)
             continue
         if name in _VOID:
             continue
         if name == "body":
-            pop_to("head")
-        if name in _BLOCKS and stack and stack[-1][0] == "p":
-            pop_to("p")
+            open_.close("head")
+        if name in _BLOCKS and open_.stack and open_.stack[-1][0] == "p":
+            open_.close("p")
         if name in IMPLIED:
-            close_implied(*IMPLIED[name])
-        role = ""
-        if name in _HIDDEN:
-            role = "hidden"
-        elif name in _CONTENT:
-            role = "chrome" if name == "article" and _marks(m[4] or m[7] or "") & _ARTICLE_HINTS else "main"
-        elif name in _CHROME or (name in _OUTER and not inside["main"]):
-            role = "chrome"
-        elif name not in ("html", "body"):
-            marks = _marks(m[4] or m[7] or "")
-            if marks & _HINTS or (marks & _OUTER_HINTS and not inside["main"]):
-                role = "chrome"
-            elif name == "a":
-                role = "a"
-            elif name in _TEXT:
-                role = "text"
-        stack.append((name, role))
-        opened[name] += 1
-        inside[role] += 1
-    if has_main:
-        for k in others:
-            out[k] = ("outside", *out[k][1:])
-    return out
-
-
-#: Labelled pages, written for this operator: markup, with the article between the two marks.
-BEGIN, END = "␂", "␃"
-LABELLED = (
-    "<html><body><header><a href=/>Site</a> <a href=/n>News</a></header><nav><ul><li><a href=/a>One</a></li><li><a href=/b>Two words</a></li></ul></nav><main>␂<h1>A title here</h1><p>The first paragraph has a <a href=/x>link</a> and some more words in it.</p><p>Second one, short.</p>␃</main><footer>Copyright of the site. <a href=/c>Contact</a></footer></body></html>",
-    "<body><div class=ad>Buy this now, only today, at half the price</div><article>␂<h1>Report</h1><p>Words that tell what happened, one after the other.</p><p>Then what came of it.</p>␃</article><div class=comments><p>I like what you wrote here</p><p>So do I and more</p></div><footer>All rights reserved</footer></body>",
-    "<body><div id=top><a href=/>Home</a><a href=/s>Shop</a></div><div>␂<h2>Plain page</h2><p>A page of the old kind has no article element but paragraphs with many words.</p><p>They follow each other.</p><ul><li>also a list</li><li>of plain items</li></ul>␃</div><div>© owner</div><div><a href=/p>Privacy</a> <a href=/t>Terms</a></div></body>",
-    "<body><div class=cookie-notice><p>We use cookies on this site to serve you well</p><button>OK</button></div><nav><a href=/1>First</a><a href=/2>Second</a></nav><div class=post>␂<h1>Walk</h1><p>It was a long walk to the lake and back.</p><blockquote>Never again, said one.</blockquote><p>We slept.</p>␃</div><aside><p>Most read pieces of this week</p><a href=/m>More</a></aside><form><label>Mail</label><input></form></body>",
-    "<body><div>Est. 1990</div><article>␂<h1>Short</h1><p>Few words.</p>␃</article><div>Printed on paper</div><div class=sidebar><h3>About</h3><p>This site is about many things that people do</p></div><footer><p>Imprint and privacy notes of the owner</p></footer></body>",
-)
-
-
-def fit(labelled=LABELLED) -> dict[str, float]:
-    """Weights by kind: log odds of standing inside the article, tags held at or below a small cost."""
-    counts = {True: Counter(), False: Counter()}
+            open_.close_implied(*IMPLIED[name])
+        # the page as a whole is marked by no class: layouts are named after what they hold
+        open_.push(name, _marks(name, m[4] or m[7] or "") if name not in ("html", "body") else ())
+    return _with_links(out)
+
+
+def _with_links(found: list) -> list:
+    """Stretches of a block that holds no words but links are marked as bare links."""
+    bare: dict[int, bool] = {}
+    for marks, _, block, words in found:
+        if words:
+            bare[block] = bare.get(block, True) and "<a" in marks
+    return [(marks - {"<a"} | ({"link alone"} if bare.get(block) else set()) if marks and "<a" in marks else marks, text, block, words) for marks, text, block, words in found]
+
+
+def fit(labelled=TRAINING, ridge: float = RIDGE, rounds: int = 60) -> dict[str, float]:
+    """Weights by mark: a ridge logistic regression of 'stands in the article' on the marks of each stretch, by Newton's method."""
+    rows, truth = [], []
     for page in labelled:
         inside = False
-        for kind, text, _, _ in tokens(page):
-            for part in re.split(f"([{BEGIN}{END}])", text) if text else [""]:
+        for marks, text, _, _ in tokens(page):
+            for part in re.split(f"([{BEGIN}{END}])", text) if marks is not None else ():
                 if part in (BEGIN, END):
                     inside = part == BEGIN
-                elif kind[0] == "<":
-                    counts[inside][kind] += 1
-                else:
-                    counts[inside][kind] += len(part.split())
-    weights = {}
-    for kind in {*counts[True], *counts[False], "chrome", "links", "outside", "main", "block", "loose"}:
-        odds = math.log((counts[True][kind] + 0.5) / (counts[False][kind] + 0.5))
-        weights[kind] = max(-4.0, min(-0.05, odds * 0.25)) if kind[0] == "<" else odds
-    weights["main"], weights["block"] = max(weights["main"], 1.0), max(weights["block"], 0.5)
-    for kind in ("chrome", "links", "outside"):  # left out of the text anyway: so mild that a long advert does not part an article
-        weights[kind] = max(-1.0, min(weights[kind], -0.5))
-    weights["loose"] = min(max(weights["loose"], 0.25), weights["block"])
-    weights["hidden"], weights["<"] = -0.05, -0.2  # "<": a tag that no labelled page has
-    return weights
+                elif part.strip():
+                    rows.append(marks)
+                    truth.append(inside)
+    names = sorted({m for row in rows for m in row})
+    at = {m: k for k, m in enumerate(names)}
+    x, y = np.zeros((len(rows), len(names))), np.array(truth, float)
+    for k, row in enumerate(rows):
+        x[k, [at[m] for m in row]] = 1.0
+    w = np.zeros(len(names))
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-(PRIOR + x @ w)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(names)), x.T @ (y - p) - ridge * w)
+        w += step
+        if np.abs(step).max(initial=0) < 1e-9:
+            break
+    return {m: float(v) for m, v in zip(names, w, strict=True)}
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -219,24 +204,30 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return at
 
 
-def main_text(page: str | None, weights: dict[str, float]) -> str:
+def main_text(page: str | None, weights: dict[str, float], scan=best_region) -> str:
     if not page:
         return ""
-    found = tokens(page)
-    other = weights["<"]
-    start, end = best_region([weights.get(kind, other) if kind[0] == "<" else weights[kind] * words for kind, _, _, words in found])
-    if start == end:
-        return ""
-    blocks, parts = {found[k][2] for k in range(start, end) if found[k][3]}, {}
-    for kind, text, block, _ in found:
-        if block in blocks and text and kind not in ("chrome", "hidden", "links", "outside"):
+    found, known = tokens(page), {}
+
+    def chance(marks: frozenset) -> float:
+        p = known.get(marks)
+        if p is None:
+            p = known[marks] = 1 / (1 + math.exp(-max(-30.0, min(30.0, PRIOR + sum(weights.get(m, 0.0) for m in marks)))))
+        return p
+
+    scores = [TAG if marks is None else (chance(marks) * (1 + AGAINST) - AGAINST) * words for marks, _, _, words in found]
+    start, end = scan(scores)
+    parts: dict[int, list[str]] = {}
+    for marks, text, block, _ in found[start:end]:
+        if text and (marks is None or chance(marks) > 0.5):
             parts.setdefault(block, []).append(text)
     joined = (" ".join("".join(p).split()) for _, p in sorted(parts.items()))
     return "\n\n".join(t for t in joined if t)
 
 
-def extract(pages: DataFrame, labelled=LABELLED) -> DataFrame:
+def extract(pages: DataFrame, labelled=TRAINING) -> DataFrame:
     """pages with text (never null) and n_chars, its code points."""
+    small_batches(pages.sparkSession)
     weights = fit(labelled)
 
     @F.pandas_udf("string")

@@ -13,9 +13,9 @@ use 8-bit codes of these vectors; codes only choose candidates. A neighbourhood
 and joined in parts of ``HUB`` members, each with itself and with all before it, so matrices stay
 bounded and no pair is left out; only the codes of a popular vector's neighbourhood are held. (Equal vectors being one node, how many lists can name a node is bounded by geometry.)
 
-Defined cases: vectors that are null, empty, zero, hold null or non-finite components, or have
-another length than most take no part, as query or candidate. Fewer candidates than ``k``: all
-that were found. A null vec_id takes no part. Rows that share a vec_id are one vector for the
+Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no
+part, as query or candidate. Vectors of different length have no inner product: each length has its
+own index and its own candidates. Fewer candidates than ``k``: all that were found. Equal scores go by vec_id. A null vec_id takes no part. Rows that share a vec_id are one vector for the
 rule that a query never finds itself. An empty table gives an empty result. Extra columns are
 ignored. Recall against brute force is measured in tests/llm and noted in the README.
 """
@@ -374,10 +374,15 @@ def search(vectors: DataFrame, queries=None, k: int = TOP, degree: int = DEGREE,
     vid = F.col("vec_id").cast("long")
     ask = F.col("vid") % QUERY_EVERY == 0 if queries is None else queries(F.col("vid"))
     rows = vectors.select(vid.alias("vid"), F.transform("embedding", lambda x: x.cast("double")).alias("emb")).where(F.col("vid").isNotNull() & usable(F.col("emb")))
-    length = rows.groupBy(F.size("emb").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if length is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    own = written(packed(rows.where(F.size("emb") == length.d)), "vectors")
+    own = written(packed(rows).withColumn("dim", (F.length("emb") / 8).cast("int")), "vectors")
+    out = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for r in own.select("dim").distinct().orderBy("dim").collect():  # an inner product needs two of one length: an index for each
+        out = out.unionByName(_search(own.where(F.col("dim") == r.dim).drop("dim"), ask, k, degree, block, rescored, **how))
+    return out
+
+
+def _search(own: DataFrame, ask, k: int, degree: int, block: int, rescored: int, **how) -> DataFrame:
+    """search over own(vid, emb), vectors of one length."""
     # of equal vectors only the k + 1 smallest ids can ever be ranked
     ids = own.distinct().withColumn("r", F.row_number().over(W.partitionBy("emb").orderBy("vid"))).where(F.col("r") <= k + 1)
     nodes = ids.groupBy("emb").agg(F.sort_array(F.collect_list("vid")).alias("members"))

@@ -1,14 +1,20 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-Lines are reduced to 128-bit key hashes once. Batches then pass in the order of doc_id:
-each one is merge-anti-joined with the runs (bucketed, sorted tables, so that a growing
-state is never shuffled again), drops what an earlier batch holds, and leaves its own new
-keys as a run of level 0. ``fanout`` runs of a level become one run of the next.
+Lines are reduced to 128-bit key hashes once. Batches then pass in the order of doc_id: the
+keys of each are merge-anti-joined with the runs (bucketed, sorted tables, so that a growing
+state is never shuffled again), and those that no run holds become a run of level 0, with the
+smallest doc_id of the batch as their owner. ``fanout`` runs of a level are compacted into one
+of the next. In the end each key is in one run, and the lines whose owner is another document go.
+
+A run has as many buckets as the table's lines ask for, each one file. Keys with more than
+one in ``HOT_SHARE`` of all lines (fewer than that many can have that; a bounded sample finds
+them) meet their owner by broadcast, so a very common line is no hot task; the others by shuffle.
 
 Defined cases: a null or empty text is one empty line. Keys under ``min_chars`` code points
 never count. A null doc_id counts as the largest id. Rows that share a doc_id are one
-document for ownership and each keeps its own row. An empty table gives an empty result.
-Extra columns pass through ``dedup_lines``; those with an output's name are replaced.
+document for ownership and each keeps its own row. An empty table gives an empty result. Lines
+and texts may be of any length. Extra columns pass through ``dedup_lines``; those with an
+output's name are replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +26,11 @@ from pyspark.sql import functions as F
 
 from .common import BLANKS, LAST_ID, hash2, lower_ascii, new_path, remove, written
 
-MIN_CHARS, BATCHES, FANOUT, BUCKETS = 10, 4, 3, 48
+MIN_CHARS, BATCHES, FANOUT = 10, 4, 2
+#: Lines for each bucket of a run, and the most buckets that Spark allows.
+BUCKET_LINES, MOST_BUCKETS = 2_000_000, 100_000
+#: A line is hot with more than one in so many of a sample of at most so many lines.
+HOT_SHARE, HOT_SAMPLE = 10_000, 1_000_000
 #: Hashes do not compress; a codec would only hold native buffers for every open file.
 CODEC = "uncompressed"
 
@@ -30,15 +40,16 @@ def line_key(line):
 
 
 class LineRuns:
-    """Runs of line keys (a, b), each one a bucketed and sorted table, by level."""
+    """Runs of line keys (a, b, owner), each one a bucketed and sorted table, by level."""
 
-    def __init__(self, spark, buckets: int = BUCKETS, fanout: int = FANOUT):
+    def __init__(self, spark, buckets: int, fanout: int = FANOUT):
         self.spark, self.buckets, self.fanout, self.levels = spark, buckets, fanout, {}
 
     def _write(self, keys: DataFrame) -> tuple[str, str]:
         name, path = f"line_run_{uuid.uuid4().hex[:12]}", new_path(self.spark, "run")
+        bucket = F.pmod(F.hash("a", "b"), F.lit(self.buckets))  # what bucketBy deals by: one task, and so one file, for each
         (
-            keys.select("a", "b").repartition(self.buckets, "a", "b")
+            keys.select("a", "b", "owner").repartition(self.buckets, bucket)
             .write.bucketBy(self.buckets, "a", "b").sortBy("a", "b").option("compression", CODEC).option("path", path).saveAsTable(name)
         )
         return name, path
@@ -51,33 +62,40 @@ class LineRuns:
     def runs(self) -> list[tuple[str, str]]:
         return [run for level in sorted(self.levels, reverse=True) for run in self.levels[level]]
 
+    def _union(self, runs) -> DataFrame:
+        every = self.spark.table(runs[0][0])
+        for name, _ in runs[1:]:
+            every = every.unionByName(self.spark.table(name))
+        return every
+
     def unseen(self, keys: DataFrame) -> DataFrame:
         """Rows of keys whose (a, b) no run holds: one merge anti-join for each run."""
         for name, _ in self.runs:
-            keys = keys.join(self.spark.table(name).hint("merge"), ["a", "b"], "left_anti")
+            keys = keys.join(self.spark.table(name).select("a", "b").hint("merge"), ["a", "b"], "left_anti")
         return keys
 
     def add(self, keys: DataFrame) -> None:
-        """A new run of level 0; full levels are merged into one run of the next level."""
-        self.levels.setdefault(0, []).append(self._write(keys))
+        """The keys that no run holds, as a new run of level 0; full levels are merged into one run of the next level."""
+        self.levels.setdefault(0, []).append(self._write(self.unseen(keys)))
         level = 0
         while len(self.levels.get(level, [])) >= self.fanout:
             old = self.levels.pop(level)
-            merged = self.spark.table(old[0][0])
-            for name, _ in old[1:]:
-                merged = merged.unionByName(self.spark.table(name))
-            self.levels.setdefault(level + 1, []).append(self._write(merged))
+            self.levels.setdefault(level + 1, []).append(self._write(self._union(old)))
             for run in old:
                 self._drop(run)
             level += 1
 
+    def owners(self) -> DataFrame:
+        """(a, b, owner) of every key added so far; each is in one run."""
+        return self._union(self.runs)
+
     def close(self) -> None:
         for run in self.runs:
             self._drop(run)
         self.levels = {}
 
 
-def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT, buckets: int = BUCKETS) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT, buckets: int | None = None, hot_share: int = HOT_SHARE) -> DataFrame:
     """(did, th, drops): for each document (id and text hash) the sorted 0-based positions of lines that go."""
     spark = docs.sparkSession
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("did"), F.col("text"))
@@ -91,23 +109,20 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BA
         .select("did", "th", "pos", "h.a", "h.b", "batch")
     )
     lines = written(lines, "lines", "batch", codec=CODEC)
-    runs, drops = LineRuns(spark, buckets, fanout), []
+    count = lines.count()
+    runs = LineRuns(spark, buckets or min(MOST_BUCKETS, max(spark.sparkContext.defaultParallelism, -(-count // BUCKET_LINES))), fanout)
     for k in range(len(cuts) + 1):
-        mine = lines.where(F.col("batch") == k)
-        keys = written(mine.groupBy("a", "b").agg(F.min("did").alias("owner"), F.max("did").alias("last")), "keys", codec=CODEC)
-        new = written(runs.unseen(keys), "new", codec=CODEC) if runs.runs else keys
-        twice = new.where("owner < last").select("a", "b", "owner")
-        if runs.runs:  # what a run holds already has no owner in this batch
-            old = keys.select("a", "b").join(new.select("a", "b"), ["a", "b"], "left_anti")
-            twice = twice.unionByName(old.withColumn("owner", F.lit(None).cast("long")))
-        drops.append(written(mine.join(twice, ["a", "b"]).where("owner is null or did <> owner").select("did", "th", "pos"), "drops"))
-        if k < len(cuts):
-            runs.add(new)
+        runs.add(lines.where(F.col("batch") == k).groupBy("a", "b").agg(F.min("did").alias("owner")))
+    every = -(-count // HOT_SAMPLE)
+    sample = lines.where(F.pmod(F.xxhash64("did", "pos"), F.lit(max(1, every))) == 0)
+    hot = written(sample.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") > max(1, count // max(1, every) // hot_share)).select("a", "b"), "hot", codec=CODEC)
+    owners, away = runs.owners(), F.col("did") != F.col("owner")
+    hot_owners = written(owners.join(F.broadcast(hot), ["a", "b"]), "hotowners", codec=CODEC)
+    common = lines.join(F.broadcast(hot_owners), ["a", "b"]).where(away).select("did", "th", "pos")
+    others = lines.join(F.broadcast(hot), ["a", "b"], "left_anti").join(owners.hint("merge"), ["a", "b"]).where(away).select("did", "th", "pos")
+    drops = written(others.unionByName(common), "drops", codec=CODEC)
     runs.close()
-    every = drops[0]
-    for d in drops[1:]:
-        every = every.unionByName(d)
-    return every.groupBy("did", "th").agg(F.sort_array(F.collect_set("pos")).alias("drops"))
+    return drops.groupBy("did", "th").agg(F.sort_array(F.collect_set("pos")).alias("drops"))
 
 
 def dedup_lines(docs: DataFrame, text_out: str = "text", **how) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from waymark.operators import geometry, network, simulate
 
@@ -142,3 +143,56 @@ def test_expected_time_uses_quantiles_and_floor(spark):
     net = simulate.Network({1: 1000.0}, {1: (10, 11)}, stats)
     t = train("a", [0, 100], [[1]], 0)
     assert net.legs_of(t, 0, 0.0) == [("1uv", 100.0)] and net.legs_of(t, 0, 50.0) == [("1uv", 70.0)]
+
+
+def test_a_token_of_another_kind_is_an_error(spark):
+    links = spark.createDataFrame([(7, 120.0)], "link_id long, distance_m double")
+    rows = lambda *t: spark.createDataFrame([(x,) for x in t], "tok string")
+    got = {r.tok: r.metres for r in network.token_lengths(rows("", None, "STOPPED@op3toEND", "7uv", "7vu"), links).collect()}
+    assert got == {"": 0.0, None: 0.0, "STOPPED@op3toEND": 0.0, "7uv": 120.0, "7vu": 120.0}
+    for wrong in ("8uv", "7xx", "uv"):
+        with pytest.raises(Exception, match="no length for token"):
+            network.token_lengths(rows(wrong), links).collect()
+
+
+def test_what_is_shipped_has_a_checked_size(spark, monkeypatch):
+    links = spark.createDataFrame([(k, k, k + 1, 1.0) for k in range(5)], "link_id long, u_node_id long, v_node_id long, distance_m double")
+    monkeypatch.setattr(network, "MAX_SHIPPED_LINKS", 4)
+    with pytest.raises(ValueError, match="at most 4"):
+        network.shipped_links(links)
+    monkeypatch.setattr(geometry, "MOST_EDGES", 4)
+    with pytest.raises(ValueError, match="more than 4"):
+        geometry.shipped_edges(links)
+    assert len(geometry.shipped_edges(links.limit(4))) == 4
+
+
+def test_part_of_a_line_in_both_directions(spark):
+    df = spark.createDataFrame([([1, 2, 3, 4, 5],)], "p array<int>")
+    part = lambda a, b: df.select(geometry.sub_line("p", F.lit(a), F.lit(b)).alias("x")).first().x
+    assert part(1, 3) == [2, 3, 4] and part(3, 1) == [4, 3, 2] and part(2, 2) == [3]
+
+
+def test_a_path_without_length_is_an_error():
+    net = simulate.Network({1: 0.0}, {1: (10, 11)}, {})
+    with pytest.raises(ValueError, match="no length"):
+        net.run([train("a", [100, 200], [[1]], 0)], 150)
+
+
+def test_sampled_seconds_over_midnight(spark):
+    import numpy as np
+
+    from waymark.operators import intervals
+
+    rows = [("2024-01-01 23:59:50", "2024-01-02 00:00:10"), ("2024-01-02 00:00:05", "2024-01-02 00:00:20"), ("2024-01-03 10:00:00", "2024-01-03 10:00:05")]
+    df = spark.createDataFrame(rows, "a string, b string").select(F.col("a").cast("timestamp_ntz").alias("appearance_start"), F.col("b").cast("timestamp_ntz").alias("disappearance_end"))
+    us = lambda t: int(np.datetime64(t, "us").astype(int))
+    got = intervals.sample_active_seconds(df, us("2024-01-01"), us("2024-01-04"), 35, np.random.default_rng(1))
+    first, last = us("2024-01-01T23:59:50") // 10**6, us("2024-01-03T10:00:00") // 10**6
+    assert got == [*range(first, first + 30), *range(last, last + 5)]
+
+
+def test_links_are_numbered_over_all_sections(spark):
+    v = lambda *ids: [(float(k), 50.0, i) for k, i in enumerate(ids)]
+    df = spark.createDataFrame([(2, "b", v(1, None, 2, 3)), (1, "a", v(4, 5)), (3, "c", v(9, None))], "section_order int, line_section_id string, vertices array<struct<lon:double,lat:double,op_id:long>>")
+    got = sorted((r.link_id, r.u_node_id, r.v_node_id) for r in network.node_links(df).collect())
+    assert got == [(1, 4, 5), (2, 1, 2), (3, 2, 3)]

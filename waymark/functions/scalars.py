@@ -101,8 +101,9 @@ def histogram_bin(value: Column, edges: list[float]) -> Column:
 
 def relation_type(relation: Column) -> Column:
     """First word; every ``S`` line is one type; NULL outside the list; a NULL relation is the type ``nan``."""
-    word = F.split(F.regexp_replace(F.upper(clean_text(relation)), r"^(S).*", "$1"), " ").getItem(0)
-    return F.when(word.isNull(), "nan").when(word.isin(*RELATION_TYPES), word)
+    name = F.upper(clean_text(relation))
+    word = F.when(name.startswith("S"), "S").otherwise(F.split_part(name, F.lit(" "), F.lit(1)))
+    return F.when(name.isNull(), "nan").when(word.isin(*RELATION_TYPES), word)
 
 
 def indicators(c: Column, values, prefix: str) -> list[Column]:
@@ -114,6 +115,11 @@ def day_fraction(ts: Column) -> Column:
     return (F.hour(ts) + F.minute(ts) / 60.0 + F.second(ts) / 3600.0) / 24.0
 
 
+def year_fraction(ts: Column) -> Column:
+    """How far into a year of 365 days a date is, from its day number."""
+    return F.dayofyear(ts) / F.lit(365.0)
+
+
 def cyclic(fraction: Column, prefix: str, frequencies=FREQUENCIES) -> list[Column]:
     angle = lambda k: fraction * F.lit(6.283185307179586 * k)
     return [f(angle(k)).alias(f"{prefix}_{n}_{k}") for k in frequencies for n, f in (("sin", F.sin), ("cos", F.cos))]

@@ -94,6 +94,13 @@ def families(names: list[str]) -> dict[str, list[str]]:
     return out
 
 
+def attach_embedding(rows, embedding, dim: int, key: str = "op_id", prefix: str = "emb"):
+    """rows with ``prefix_1`` .. ``prefix_dim`` of embedding(key, embedding); an id without one, or none, gets zeros."""
+    known = embedding.select(F.col(key).alias("_k"), F.col("embedding").alias("_e"))
+    out = rows.join(known, F.col(key) == F.col("_k"), "left")
+    return out.select(*rows.columns, *[F.coalesce(F.get("_e", F.lit(k)), F.lit(0.0)).alias(f"{prefix}_{k + 1}") for k in range(dim)])
+
+
 def without_family(rows: DataFrame, family: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Ablation: rows without the columns of one family."""
     return rows.drop(*families([c for c in rows.columns if c not in keep])[family])

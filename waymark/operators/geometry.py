@@ -146,6 +146,24 @@ def snap_sections(sections: DataFrame, nodes: DataFrame, eps_m: float = SNAP_M)
     return out.select("line_section_id", "op_begin_id", "op_end_id", "_s.vertices", "_s.matched_op_node_ids")
 
 
+MOST_EDGES = 200_000
+
+
+def shipped_edges(links) -> list[tuple[int, int]]:
+    """The (u, v) pairs of a network that is small enough for one dense matrix; a larger one is an error."""
+    rows = links.select("u_node_id", "v_node_id").limit(MOST_EDGES + 1).collect()
+    if len(rows) > MOST_EDGES:
+        raise ValueError(f"more than {MOST_EDGES} links do not fit one dense matrix")
+    return [(r.u_node_id, r.v_node_id) for r in rows]
+
+
+def sub_line(points, start, end):
+    """The part of a polyline (array) between two 0-based vertices, in the direction from the first to the second."""
+    low, high = F.least(start, end), F.greatest(start, end)
+    part = F.slice(points, (low + 1).cast("int"), (high - low + 1).cast("int"))
+    return F.when(start <= end, part).otherwise(F.reverse(part))
+
+
 def laplacian_embedding(edges: list[tuple[int, int]], dim: int = 8) -> dict[int, list[float]]:
     """Rows of the first eigenvectors of the normalised Laplacian, scaled to length 1. The network is small: its
     nodes must fit one matrix. Signs are arbitrary."""

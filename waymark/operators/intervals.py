@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import micros
 
-HOUR_US = 3_600_000_000
+HOUR_US, DAY_S = 3_600_000_000, 86_400
 
 
 def join_active(intervals: DataFrame, points: DataFrame, point: str = "snapshot_ts", start: str = "appearance_start", end: str = "disappearance_end", bucket_us: int = 6 * HOUR_US, how: str = "inner") -> DataFrame:
@@ -38,7 +38,8 @@ def merge_intervals(rows: DataFrame, start: str, end: str, keys=()) -> DataFrame
 def sample_active_seconds(intervals: DataFrame, low_us: int, high_us: int, n: int, rng, start: str = "appearance_start", end: str = "disappearance_end") -> list[int]:
     """n different seconds in [low, high) at which any interval is active, sorted, drawn with a NumPy generator.
 
-    Merged active stretches are few (at most one a gap in service) and are the only thing collected.
+    Intervals are cut at midnight and merged day by day, so no task holds them all. Merged stretches are few
+    (one for each gap in service and each midnight) and are the only thing collected.
     """
     if n <= 0:
         return []
@@ -49,7 +50,11 @@ def sample_active_seconds(intervals: DataFrame, low_us: int, high_us: int, n: in
     if high <= low:
         raise ValueError("the split has no whole second")
     clip = lambda c: F.greatest(F.lit(low), F.least(F.lit(high), c)).cast("long")
-    spans = merge_intervals(intervals.select(clip(up(start)).alias("s"), clip(up(end)).alias("e"), F.lit(0).alias("k")), "s", "e", ("k",))
+    rows = intervals.select(clip(up(start)).alias("a"), clip(up(end)).alias("z")).where("a < z")
+    days = F.sequence(F.floor(F.col("a") / DAY_S), F.floor((F.col("z") - 1) / DAY_S))
+    rows = rows.select("a", "z", F.explode(days).alias("k"))
+    rows = rows.select(F.greatest("a", F.col("k") * DAY_S).alias("s"), F.least("z", (F.col("k") + 1) * DAY_S).alias("e"), "k")
+    spans = merge_intervals(rows, "s", "e", ("k",))
     spans = sorted((r.s, r.e) for r in spans.select("s", "e").collect())
     lengths = np.array([e - s for s, e in spans], np.int64)
     total = int(lengths.sum())

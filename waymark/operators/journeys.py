@@ -40,3 +40,14 @@ def event_arrays(events: DataFrame, keys=JOURNEY, columns=("observed_ts", "op_id
 
 
 __all__ = ["summarise", "transitions", "activity", "event_arrays", "ordered"]
+
+
+def key_runs(rows: DataFrame, within: list[str], key: str, order: str) -> DataFrame:
+    """Contiguous runs of equal keys in the order of a column: (within, run, key, start, length), starts counted from 0.
+
+    A key that comes back later has several runs."""
+    w = W.partitionBy(*within).orderBy(order)
+    begins = (~F.lag(key).over(w).eqNullSafe(F.col(key)) | (F.row_number().over(w) == 1)).cast("int")
+    rows = rows.withColumns({"_begins": begins, "_pos": F.row_number().over(w) - 1})
+    rows = rows.withColumn("run", F.sum("_begins").over(w))
+    return rows.groupBy(*within, "run").agg(F.first(key).alias(key), F.min("_pos").cast("bigint").alias("start"), F.count("*").alias("length"))

@@ -28,8 +28,11 @@ def node_links(sections: DataFrame) -> DataFrame:
     step = F.coalesce(haversine_m(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon")), F.lit(0.0))
     v = v.withColumn("step", step).withColumn("along", F.sum("step").over(w)).where("op_id is not null")
     links = v.withColumns({"v_node_id": F.lead("op_id").over(w), "to": F.lead("along").over(w)}).where("v_node_id is not null")
-    by = W.orderBy("section_order", "line_section_id", "pos")
-    return links.select(F.row_number().over(by).cast("bigint").alias("link_id"), F.col("op_id").alias("u_node_id"), "v_node_id", "line_section_id", (F.col("to") - F.col("along")).alias("distance_m"))
+    # numbered inside each section, and sections (a row each) by a running sum of their links
+    section, key = ["section_order", "line_section_id"], lambda a, b: a.eqNullSafe(b)
+    before = links.groupBy(*section).count().select(F.col("section_order").alias("_o"), F.col("line_section_id").alias("_s"), F.coalesce(F.sum("count").over(W.orderBy(*section).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    links = links.withColumn("_k", F.row_number().over(w)).join(before, key(F.col("section_order"), F.col("_o")) & key(F.col("line_section_id"), F.col("_s")))
+    return links.select((F.col("_before") + F.col("_k")).cast("bigint").alias("link_id"), F.col("op_id").alias("u_node_id"), "v_node_id", "line_section_id", (F.col("to") - F.col("along")).alias("distance_m"))
 
 
 def both_ways(links: DataFrame) -> DataFrame:
@@ -187,10 +190,26 @@ def link_window(path: list[list[int]], ops: list[int], planned_us: list[int], ev
     return (out + [""] * size)[:size]
 
 
+def shipped_links(links: DataFrame) -> tuple[dict, dict]:
+    """({link_id: metres}, {link_id: (u, v)}) of a network that is small enough to be shipped to the tasks."""
+    if (n := links.count()) > MAX_SHIPPED_LINKS:
+        raise ValueError(f"{n} links; at most {MAX_SHIPPED_LINKS} are shipped to the tasks")
+    t = links.select("link_id", "u_node_id", "v_node_id", "distance_m").toPandas()
+    return dict(zip(t.link_id, t.distance_m, strict=True)), dict(zip(t.link_id, zip(t.u_node_id, t.v_node_id, strict=True), strict=True))
+
+
+def token_lengths(rows: DataFrame, links: DataFrame, tok: str = "tok", out: str = "metres") -> DataFrame:
+    """rows with the length of their token: 0 for a blank or a stop, a link's metres; any other token is an error."""
+    way, still = F.col(tok).rlike("^[0-9]+(uv|vu)$"), F.coalesce(F.col(tok), F.lit("")).rlike("^$|^STOPPED@")
+    link = F.when(way, F.expr(f"try_cast(left({tok}, length({tok}) - 2) as bigint)"))
+    joined = rows.withColumn("_link", link).join(links.select(F.col("link_id").alias("_id"), F.col("distance_m").alias("_m")), F.col("_link") == F.col("_id"), "left")
+    wrong = F.raise_error(F.concat(F.lit("no length for token "), F.col(tok))).cast("double")
+    return joined.withColumn(out, F.when(still, F.lit(0.0)).when(F.col("_m").isNotNull(), F.col("_m")).otherwise(wrong)).drop("_link", "_id", "_m")
+
+
 def with_tokens(active: DataFrame, links: DataFrame, size: int, past: int) -> DataFrame:
     """active(.., events, split_idx, snapshot_ts, last_known_delay, deduced_paths) with ``tokens``."""
-    table = links.select("link_id", "u_node_id", "v_node_id", "distance_m").toPandas()
-    lengths, ends = dict(zip(table.link_id, table.distance_m, strict=True)), dict(zip(table.link_id, zip(table.u_node_id, table.v_node_id, strict=True), strict=True))
+    lengths, ends = shipped_links(links)
 
     @F.pandas_udf("array<string>")
     def window(path: pd.Series, ops: pd.Series, planned: pd.Series, event: pd.Series, now: pd.Series, delay: pd.Series) -> pd.Series:

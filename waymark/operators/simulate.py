@@ -7,6 +7,7 @@ one moment, never the history.
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 from dataclasses import dataclass, field
 
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .network import oriented_tokens
+from .network import oriented_tokens, shipped_links
 
 HEADWAY_S, MARGIN_S = 40, 300
 #: Expected times are the first of these that is there and positive, else the schedule.
@@ -29,7 +30,7 @@ def expected_seconds(planned, delay, q40, q45, median):
     return F.greatest(F.coalesce(good(q40), good(q45), good(median), planned), planned - delay)
 
 
-@dataclass
+@dataclass(eq=False)
 class Train:
     key: tuple[str, str]
     relation: str
@@ -67,6 +68,8 @@ class Network:
         if not t.path[k]:
             return [(f"STOPPED@op{t.ops[k]}", total)]
         lengths = [self.lengths[x] for x in t.path[k]]
+        if sum(lengths) <= 0:
+            raise ValueError(f"transition {k} of {t.key} has no length")
         return [(tok, total * d / sum(lengths)) for tok, d in zip(oriented_tokens(t.ops[k], t.path[k], self.ends), lengths, strict=True)]
 
     def place_at(self, t: Train, now: int) -> int:
@@ -105,13 +108,12 @@ class Network:
     def run(self, trains: list[Train], now: int) -> dict[tuple[str, str], list[float]]:
         """Delays at the events each train passes from now on."""
         entered = [(self.place_at(t, now), t) for t in trains]
-        text = lambda p: f"0:{int(p[:-2]):010d}:{p[-2:]}" if p[-2:] in ("uv", "vu") else f"1:{p}"
-        queues: dict[str, list[Train]] = {}
-        for _, t in sorted(entered, key=lambda e: (text(e[1].place), e[0])):
-            queues.setdefault(t.place, []).append(t)
+        queues: dict[str, dict[tuple[str, str], Train]] = {}  # by place, in the order of entry
+        for _, t in sorted(entered, key=lambda e: e[0]):
+            queues.setdefault(t.place, {})[t.key] = t
         for place, queue in queues.items():
             if place[-2:] in ("uv", "vu"):
-                for ahead, t in zip(queue, queue[1:], strict=False):
+                for ahead, t in itertools.pairwise(queue.values()):
                     t.finish = max(t.finish, ahead.finish + HEADWAY_S)
         out: dict[tuple[str, str], list[float]] = {t.key: [] for t in trains}
         by_key = {t.key: t for t in trains}
@@ -120,13 +122,13 @@ class Network:
         while heap:
             clock, key = heapq.heappop(heap)
             t = by_key[key]
-            queues[t.place].remove(t)
+            del queues[t.place][key]
             if self.advance(t, clock):
                 out[key].append(t.delay)
-            queue = queues.setdefault(t.place, [])
+            queue = queues.setdefault(t.place, {})
             if queue and t.place[-2:] in ("uv", "vu"):
-                t.finish = max(t.finish, queue[-1].finish + HEADWAY_S)
-            queue.append(t)
+                t.finish = max(t.finish, next(reversed(queue.values())).finish + HEADWAY_S)
+            queue[key] = t
             if t.place != "ARRIVED":
                 heapq.heappush(heap, (t.finish, key))
         return out
@@ -135,9 +137,7 @@ class Network:
 def simulate(active: DataFrame, links: DataFrame, stats: DataFrame | None = None, snapshot: str = "snapshot_ts") -> DataFrame:
     """active(snapshot, train_id, service_date, train_relation, event_idx, last_known_delay, path, events array<struct<
     op_id, event_type, line_dep, line_arr, planned_s>>) -> (snapshot, train_id, service_date, predictions)."""
-    link_rows = links.select("link_id", "u_node_id", "v_node_id", "distance_m").toPandas()
-    lengths = dict(zip(link_rows.link_id, link_rows.distance_m, strict=True))
-    ends = dict(zip(link_rows.link_id, zip(link_rows.u_node_id, link_rows.v_node_id, strict=True), strict=True))
+    lengths, ends = shipped_links(links)
     known: dict = {}
     if stats is not None:
         if (n := stats.count()) > MAX_SHIPPED_STATS:

@@ -88,14 +88,14 @@ def time_station(spark, sf):
     return j.join(A.nodes(spark, sf).select("op_id", "op_name"), "op_id", "left").join(o, "op_id")
 
 
-@query("d01_as_of_positions", A.with_ctes(A.EV, "b AS (SELECT train_id, arg_max(op_id, seq) AS before_op, max(observed_ts) AS before_ts FROM ev WHERE observed_ts < TIMESTAMP '2024-01-10 12:00:00' AND observed_ts >= TIMESTAMP '2024-01-10 10:00:00' GROUP BY 1), a AS (SELECT train_id, arg_min(op_id, seq) AS after_op, min(observed_ts) AS after_ts FROM ev WHERE observed_ts > TIMESTAMP '2024-01-10 12:00:00' AND observed_ts <= TIMESTAMP '2024-01-10 14:00:00' GROUP BY 1)", tail="SELECT train_id, before_op, after_op, (epoch_us(TIMESTAMP '2024-01-10 12:00:00') - epoch_us(before_ts)) / (epoch_us(after_ts) - epoch_us(before_ts)) AS progress FROM b JOIN a USING (train_id) WHERE before_op <> after_op"))
+@query("d01_as_of_positions", A.with_ctes(A.EV, "b AS (SELECT train_id, first(op_id ORDER BY observed_ts DESC, seq DESC) AS before_op, max(observed_ts) AS before_ts FROM ev WHERE observed_ts < TIMESTAMP '2024-01-10 12:00:00' AND observed_ts >= TIMESTAMP '2024-01-10 10:00:00' GROUP BY 1), a AS (SELECT train_id, first(op_id ORDER BY observed_ts, seq) AS after_op, min(observed_ts) AS after_ts FROM ev WHERE observed_ts > TIMESTAMP '2024-01-10 12:00:00' AND observed_ts <= TIMESTAMP '2024-01-10 14:00:00' GROUP BY 1)", tail="SELECT train_id, before_op, after_op, (epoch_us(TIMESTAMP '2024-01-10 12:00:00') - epoch_us(before_ts)) / (epoch_us(after_ts) - epoch_us(before_ts)) AS progress FROM b JOIN a USING (train_id) WHERE before_op <> after_op"))
 def positions(spark, sf):
     now = F.lit("2024-01-10 12:00:00").cast("timestamp_ntz")
     e = A.events(spark, sf).where(F.col("observed_ts").between(now - F.expr("INTERVAL 2 HOURS"), now + F.expr("INTERVAL 2 HOURS")))
     before, after = F.col("observed_ts") < now, F.col("observed_ts") > now
     g = e.groupBy("train_id").agg(
-        F.max_by(F.when(before, F.col("op_id")), F.when(before, F.col("seq"))).alias("before_op"), F.max(F.when(before, F.col("observed_ts"))).alias("before_ts"),
-        F.min_by(F.when(after, F.col("op_id")), F.when(after, F.col("seq"))).alias("after_op"), F.min(F.when(after, F.col("observed_ts"))).alias("after_ts"),
+        F.max_by(F.when(before, F.col("op_id")), F.when(before, F.struct("observed_ts", "seq"))).alias("before_op"), F.max(F.when(before, F.col("observed_ts"))).alias("before_ts"),
+        F.min_by(F.when(after, F.col("op_id")), F.when(after, F.struct("observed_ts", "seq"))).alias("after_op"), F.min(F.when(after, F.col("observed_ts"))).alias("after_ts"),
     )
     at = (S.micros(now) - S.micros(F.col("before_ts"))) / (S.micros(F.col("after_ts")) - S.micros(F.col("before_ts")))
     return g.where("before_op <> after_op").select("train_id", "before_op", "after_op", at.alias("progress"))

@@ -117,9 +117,12 @@ def build_events(spark, sf):
     return clean.build_events(A.stops(spark, sf)).select(*COLS.split(", "), "delay_sec")
 
 
-@query("o01_stable_sort", A.with_ctes(A.EV, tail="SELECT seq, row_number() OVER (ORDER BY service_date, train_id, seq) AS place FROM ev WHERE month = '202401' AND train_id IN ('1', '2', '3')"))
+@query("o01_stable_sort", A.with_ctes(A.EV, tail="SELECT seq, row_number() OVER (ORDER BY service_date, train_id, seq) AS place FROM ev"))
 def stable_sort(spark, sf):
+    """The place of every event in the order of date, train and row: numbered inside a date, dates (a row each) by a running sum."""
     from pyspark.sql import Window as W
 
-    e = A.events(spark, sf).where((F.col("month") == "202401") & F.col("train_id").isin("1", "2", "3"))
-    return e.select("seq", F.row_number().over(W.orderBy("service_date", "train_id", "seq")).cast("bigint").alias("place"))
+    e = A.events(spark, sf).select("seq", "service_date", "train_id")
+    before = e.groupBy("service_date").count().select("service_date", F.coalesce(F.sum("count").over(W.orderBy("service_date").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = F.row_number().over(W.partitionBy("service_date").orderBy("train_id", "seq"))
+    return e.withColumn("k", inside).join(before, "service_date").select("seq", (F.col("before") + F.col("k")).cast("bigint").alias("place"))

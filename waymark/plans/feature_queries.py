@@ -117,3 +117,35 @@ def train_events(spark, sf):
 
     k = active(spark, sf).where("split = 'train'").select(*KEY).distinct()
     return A.events(spark, sf).join(k, KEY, "left_semi").select("seq")
+
+
+YEAR = ", ".join(f"round({f}(a * {2 * 3.141592653589793 * k}), 6) + 0.0::DOUBLE AS year_{f}_{k}" for k in (1, 2, 4) for f in ("sin", "cos"))
+
+
+@query("f03_cyclic_year", A.with_ctes(A.EV, tail=f"SELECT seq, {YEAR} FROM (SELECT seq, dayofyear(observed_ts) / 365.0::DOUBLE AS a FROM ev)"))
+def cyclic_year(spark, sf):
+    e = A.events(spark, sf).select("seq", *S.cyclic(S.year_fraction(F.col("observed_ts")), "year"))
+    return e.select("seq", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in e.columns if c != "seq"])
+
+
+KINDS = ", ".join(f"(CASE WHEN train_relation LIKE 'S%' THEN 'S' ELSE split_part(train_relation, ' ', 1) END = '{r}')::INTEGER AS relation_{r}" for r in S.RELATION_TYPES)
+
+
+@query("f10_relation_indicators", A.with_ctes(A.EV, tail=f"SELECT seq, {KINDS} FROM ev"))
+def relation_indicators(spark, sf):
+    return A.events(spark, sf).select("seq", *S.indicators(S.relation_type(F.col("train_relation")), S.RELATION_TYPES, "relation"))
+
+
+KIND_CODES = ", ".join(f"(event_type = '{k}')::INTEGER AS kind_{k}" for k in "ADP")
+
+
+@query("f10_event_indicators", A.with_ctes(A.EV, tail=f"SELECT seq, {KIND_CODES} FROM ev"))
+def event_indicators(spark, sf):
+    return A.events(spark, sf).select("seq", *S.indicators(F.col("event_type"), tuple("ADP"), "kind"))
+
+
+@query("g15_attached_embedding", A.with_ctes(A.EV, A.NODES, "e AS (SELECT op_id AS k, lat / 100 AS x, lon / 10 AS y FROM nodes WHERE op_id < 90)", tail="SELECT seq, op_id, coalesce(x, 0.0) AS emb_1, coalesce(y, 0.0) AS emb_2 FROM (SELECT seq, CASE WHEN seq % 7 = 0 THEN -1 ELSE op_id END AS op_id FROM ev) LEFT JOIN e ON op_id = k"))
+def attached_embedding(spark, sf):
+    known = A.nodes(spark, sf).where("op_id < 90").select("op_id", F.array(F.col("lat") / 100, F.col("lon") / 10).alias("embedding"))
+    rows = A.events(spark, sf).select("seq", F.when(F.col("seq") % 7 == 0, F.lit(-1)).otherwise(F.col("op_id")).alias("op_id"))
+    return features.attach_embedding(rows, known, 2)

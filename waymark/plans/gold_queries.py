@@ -10,7 +10,7 @@ from ..operators import clean, evaluate, features, geometry, intervals, journeys
 from . import adapter as A
 from .network_queries import deduced, tokens
 from .registry import query
-from .snapshot_queries import BASE, KEY, active, activity, naive, split, targets, truth
+from .snapshot_queries import BASE, KEY, active, activity, bins_sql, naive, split, targets, truth
 
 SEED = 42
 
@@ -97,7 +97,7 @@ def _nodes(spark, sf):
 @query("n11_station_nodes", A.with_ctes(*BASE, A.NODES, "c AS (SELECT snapshot_ts, op_id, count(*) AS n FROM pst WHERE slot = 1 GROUP BY 1, 2)", tail="SELECT snapshot_ts, op_id, coalesce(n, 0) AS n_last_seen FROM snap CROSS JOIN nodes LEFT JOIN c USING (snapshot_ts, op_id)"))
 def station_nodes(spark, sf):
     last = split(spark, sf, 1, 1).select("snapshot_ts", F.col("past_slots")[0]["op_id"].alias("op_id")).groupBy("snapshot_ts", "op_id").agg(F.count("*").alias("n"))
-    grid = A.snapshots(spark).select("snapshot_ts").crossJoin(F.broadcast(A.nodes(spark, sf).select("op_id")))  # a dense grid is the feature
+    grid = A.snapshots(spark).select("snapshot_ts").crossJoin(A.nodes(spark, sf).select("op_id"))  # a dense grid is the feature
     return grid.join(last, ["snapshot_ts", "op_id"], "left").select("snapshot_ts", "op_id", F.coalesce("n", F.lit(0)).alias("n_last_seen"))
 
 
@@ -106,7 +106,7 @@ def link_traffic(spark, sf):
     on = tokens(spark, sf).select("snapshot_ts", F.col("tokens")[0].alias("tok"), "last_known_delay").where(F.col("tok").rlike("^[0-9]+(uv|vu)$"))
     on = on.withColumns({"link_id": F.regexp_extract("tok", "^([0-9]+)", 1).cast("bigint"), "way": F.regexp_extract("tok", "(uv|vu)$", 1)})
     agg = on.groupBy("snapshot_ts", "link_id").agg(*[x for w in ("uv", "vu") for x in (F.count_if(F.col("way") == w).alias(f"{w}_trains"), F.avg(F.when(F.col("way") == w, F.col("last_known_delay"))).alias(f"{w}_delay"))])
-    grid = A.snapshots(spark).select("snapshot_ts").crossJoin(F.broadcast(A.links(spark).select("link_id")))  # a dense grid is the feature
+    grid = A.snapshots(spark).select("snapshot_ts").crossJoin(A.links(spark).select("link_id"))  # a dense grid is the feature
     return grid.join(agg, ["snapshot_ts", "link_id"], "left").select("snapshot_ts", "link_id", *[F.coalesce(f"{w}_trains", F.lit(0)).alias(f"{w}_trains") for w in ("uv", "vu")], "uv_delay", "vu_delay")
 
 
@@ -122,14 +122,19 @@ def past_edges(spark, sf):
     return n.select("snapshot_ts", "node", (F.col("p") + 1).cast("bigint").alias("slot"), "e.op_id", "e.delay_sec")
 
 
-@query("n14_graph_rows")
+GRAPH = """nd AS (SELECT snapshot_ts, string_agg(node || ':' || train_id, ',' ORDER BY node) AS trains FROM w GROUP BY 1),
+ed AS (SELECT snapshot_ts, string_agg(node || ':' || slot || ':' || future_op_id, ',' ORDER BY node, slot) AS ahead, string_agg(future_op_id || ':' || slot || ':' || node, ',' ORDER BY node, slot) AS reverse FROM tgt JOIN w USING (train_id, service_date, snapshot_ts) GROUP BY 1)"""
+
+
+@query("n14_graph_rows", A.with_ctes(*BASE, NODE, GRAPH, tail="SELECT snapshot_ts, trains, coalesce(ahead, '') AS ahead, coalesce(reverse, '') AS reverse FROM nd LEFT JOIN ed USING (snapshot_ts)"))
 def graph_rows(spark, sf):
-    """One row for each snapshot: its train nodes and its edges to stations, both ways, as arrays."""
-    nodes = _nodes(spark, sf).groupBy("snapshot_ts").agg(F.array_sort(F.collect_list(F.struct("node", "last_known_delay"))).alias("trains"))
+    """One row for each snapshot: its train nodes and its edges to stations, both ways, written out as text."""
+    nodes = _nodes(spark, sf).groupBy("snapshot_ts").agg(F.array_sort(F.collect_list(F.struct("node", "train_id"))).alias("trains"))
     edges = future_edges(spark, sf).groupBy("snapshot_ts").agg(F.array_sort(F.collect_list(F.struct("node", "slot", "future_op_id"))).alias("ahead"))
     g = nodes.join(edges, "snapshot_ts", "left")
-    back = F.transform("ahead", lambda e: F.struct(e["future_op_id"], e["slot"], e["node"]))
-    return g.select("snapshot_ts", F.size("trains").alias("n_trains"), F.coalesce(F.size("ahead"), F.lit(0)).alias("n_ahead"), F.coalesce(F.size(back), F.lit(0)).alias("n_reverse"))
+    listed = lambda c, *names: F.coalesce(F.array_join(F.transform(c, lambda e: F.concat_ws(":", *[e[n].cast("string") for n in names])), ","), F.lit(""))
+    edge = ("node", "slot", "future_op_id")
+    return g.select("snapshot_ts", listed("trains", "node", "train_id").alias("trains"), listed("ahead", *edge).alias("ahead"), listed("ahead", *edge[::-1]).alias("reverse"))
 
 
 def travel_stats(spark, sf):
@@ -144,9 +149,9 @@ def travel_stats(spark, sf):
     return t.groupBy(*keys).agg(q.alias("q"), F.count("*").alias("n")).select(*keys, "n", *[F.col("q")[k].alias(n) for k, n in enumerate(("q40", "q45", "median"))])
 
 
-@query("n15_travel_stats")
+@query("n15_travel_stats", A.with_ctes(*BASE[:4], "seen AS (SELECT DISTINCT train_id, service_date FROM active WHERE split = 'train'), tt AS (SELECT op_id, event_type, train_relation, lead(op_id) OVER w AS to_op_id, lead(event_type) OVER w AS to_event_type, (epoch_us(lead(observed_ts) OVER w) - epoch_us(observed_ts)) / 1e6 AS sec FROM ev SEMI JOIN seen USING (train_id, service_date) WINDOW w AS (PARTITION BY train_id, service_date ORDER BY observed_ts, planned_ts, seq))", tail="SELECT op_id AS from_op_id, to_op_id, event_type AS from_event_type, to_event_type, train_relation, count(*) AS n, round(quantile_cont(sec, 0.4), 8) AS q40, round(quantile_cont(sec, 0.5), 8) AS median FROM tt WHERE to_op_id IS NOT NULL GROUP BY ALL"))
 def travel_stats_rows(spark, sf):
-    return travel_stats(spark, sf).select("from_op_id", "to_op_id", "from_event_type", "to_event_type", "train_relation", "n", F.round("q40", 4).alias("q40"), F.round("median", 4).alias("median"))
+    return travel_stats(spark, sf).select("from_op_id", "to_op_id", "from_event_type", "to_event_type", "train_relation", "n", F.round("q40", 8).alias("q40"), F.round("median", 8).alias("median"))
 
 
 def sim_input(spark, sf, day="2024-01-10"):
@@ -177,11 +182,17 @@ def expected_seconds(spark, sf):
     return e.select("seq", simulate.expected_seconds(F.lit(60.0), F.col("delay_sec"), F.when(F.col("op_id") % 3 == 0, o), F.when(F.col("op_id") % 5 == 0, o * 2.0), F.lit(None).cast("double")).alias("sec"))
 
 
-@query("e05_full_evaluation")
+SCORES = "count(*) AS n_values, round(avg(abs(last_known_delay - future_delay)), 6) AS mae, round(sqrt(avg((last_known_delay - future_delay) ** 2)), 6) AS rmse FROM tgt"
+BY_HORIZON = bins_sql("(epoch_us(future_obs_ts) - epoch_us(snapshot_ts)) / 1e6 / 60", evaluate.HORIZON_MIN, "m")
+BY_CHANGE = bins_sql("(future_delay - last_known_delay)", evaluate.CHANGE_SEC, "s")
+
+
+@query("e05_full_evaluation", A.with_ctes(*BASE, tail=f"SELECT 'all' AS part, {SCORES} UNION ALL SELECT 'horizon:' || {BY_HORIZON}, {SCORES} GROUP BY 1 UNION ALL SELECT 'change:' || {BY_CHANGE}, {SCORES} GROUP BY 1"))
 def full_evaluation(spark, sf):
     r = evaluate.evaluate(truth(spark, sf), naive(spark, sf))
     flat = [("all", r["mae"], r["rmse"], r["n_values"])] + [(f"{g}:{b}", m["mae"], m["rmse"], m["n_values"]) for g in ("horizon", "change") for b, m in r[g].items()]
-    return spark.createDataFrame(flat, "part string, mae double, rmse double, n_values bigint")
+    out = spark.createDataFrame(flat, "part string, mae double, rmse double, n_values bigint")
+    return out.select("part", F.round("mae", 6).alias("mae"), F.round("rmse", 6).alias("rmse"), "n_values")
 
 
 @query("e11_boosted_trees")
@@ -249,7 +260,6 @@ def train_station_edge(spark, sf):
 
 @query("d27_embedding_places")
 def embedding_places(spark, sf):
-    pairs = A.links(spark).select("u_node_id", "v_node_id").limit(200_000).collect()
-    emb = geometry.laplacian_embedding([(r.u_node_id, r.v_node_id) for r in pairs])
+    emb = geometry.laplacian_embedding(geometry.shipped_edges(A.links(spark)))
     e = spark.createDataFrame(list(emb.items()), "op_id bigint, embedding array<double>")
     return A.nodes(spark, sf).join(e, "op_id", "left").select("op_id", "lat", "lon", F.coalesce(F.size("embedding"), F.lit(0)).alias("dim"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import first_token
+from ..functions.scalars import first_token, micros
 from ..operators import geometry, journeys, network
 from . import adapter as A
 from .registry import query
@@ -205,15 +205,13 @@ def station_grid(spark, sf):
     from .snapshot_queries import active
 
     c = active(spark, sf).groupBy("snapshot_ts", F.col("start_op_id").alias("op_id")).agg(F.count("*").alias("n"))
-    # a dense grid is the feature; the station list is small and of checked size
-    grid = A.snapshots(spark).select("snapshot_ts").crossJoin(F.broadcast(A.nodes(spark, sf).select("op_id")))
+    grid = A.snapshots(spark).select("snapshot_ts").crossJoin(A.nodes(spark, sf).select("op_id"))  # a dense grid is the feature
     return grid.join(c, ["snapshot_ts", "op_id"], "left").select("snapshot_ts", "op_id", F.coalesce("n", F.lit(0)).alias("n_trains"))
 
 
 @query("g14_station_embedding")
 def station_embedding(spark, sf):
-    n = A.links(spark).select("u_node_id", "v_node_id")
-    emb = geometry.laplacian_embedding([(r.u_node_id, r.v_node_id) for r in n.limit(200_000).collect()])
+    emb = geometry.laplacian_embedding(geometry.shipped_edges(A.links(spark)))
     return spark.createDataFrame([(k, v) for k, v in emb.items()], "op_id bigint, embedding array<double>").select("op_id", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm2"))
 
 
@@ -244,3 +242,51 @@ def snap_sections(spark, sf):
     s = n.groupBy(F.floor(F.col("op_id") / 10).alias("k")).agg(F.min("op_id").alias("op_begin_id"), F.max("op_id").alias("op_end_id"), F.transform(F.array_sort(F.collect_list(F.struct("op_id", "lon", "lat"))), lambda x: F.array(x["lon"], x["lat"])).alias("points"))
     out = geometry.snap_sections(s.select(F.col("k").cast("string").alias("line_section_id"), "op_begin_id", "op_end_id", "points"), n)
     return out.select("line_section_id", F.size("vertices").alias("n_vertices"), F.size(F.array_compact("matched_op_node_ids")).alias("n_matched"))
+
+
+TOKENS = """t AS (SELECT seq, CASE seq % 4 WHEN 0 THEN '' WHEN 1 THEN 'STOPPED@op' || op_id || 'toEND' WHEN 2 THEN (op_id + 1) || 'uv' ELSE (op_id + 101) || 'vu' END AS tok FROM ev)"""
+
+
+@query("g12_token_length", A.with_ctes(A.EV, A.LINKS, TOKENS, tail="SELECT seq, tok, CASE WHEN tok = '' OR tok LIKE 'STOPPED@%' THEN 0 ELSE distance_m END AS metres FROM t LEFT JOIN links ON link_id = try_cast(left(tok, length(tok) - 2) AS BIGINT)"))
+def token_length(spark, sf):
+    e, kind = A.events(spark, sf), F.col("seq") % 4
+    tok = F.when(kind == 0, "").when(kind == 1, F.format_string("STOPPED@op%dtoEND", "op_id")).when(kind == 2, F.format_string("%duv", F.col("op_id") + 1)).otherwise(F.format_string("%dvu", F.col("op_id") + 101))
+    return network.token_lengths(e.select("seq", tok.alias("tok")), A.links(spark))
+
+
+SEEN = """near AS (SELECT train_id, first(op_id ORDER BY observed_ts DESC, seq DESC) FILTER (WHERE observed_ts < now) AS a, max(observed_ts) FILTER (WHERE observed_ts < now) AS a_ts,
+    first(op_id ORDER BY observed_ts, seq) FILTER (WHERE observed_ts > now) AS b, min(observed_ts) FILTER (WHERE observed_ts > now) AS b_ts
+  FROM ev, (SELECT TIMESTAMP '2024-01-10 12:00:00' AS now) WHERE observed_ts BETWEEN now - INTERVAL 12 HOUR AND now + INTERVAL 12 HOUR GROUP BY 1),
+spot AS (SELECT *, (epoch_us(TIMESTAMP '2024-01-10 12:00:00') - epoch_us(a_ts)) / (epoch_us(b_ts) - epoch_us(a_ts)) AS share FROM near WHERE a <> b),
+l AS (SELECT least(u_node_id, v_node_id) AS lo, greatest(u_node_id, v_node_id) AS hi, max(link_id) AS link_id FROM links GROUP BY 1, 2)"""
+
+
+@query("g17_train_places", A.with_ctes(A.EV, A.NODES, A.LINKS, SEEN, tail="SELECT train_id, link_id, round(u.lon + share * (v.lon - u.lon), 6) AS lon, round(u.lat + share * (v.lat - u.lat), 6) AS lat FROM spot JOIN nodes u ON u.op_id = a JOIN nodes v ON v.op_id = b LEFT JOIN l ON lo = least(a, b) AND hi = greatest(a, b)"))
+def train_places(spark, sf):
+    """Where each train is at a moment: last event before, first after, and the point between their stations by share of time."""
+    now = F.lit("2024-01-10 12:00:00").cast("timestamp_ntz")
+    e = A.events(spark, sf).where(F.col("observed_ts").between(now - F.expr("INTERVAL 12 HOURS"), now + F.expr("INTERVAL 12 HOURS")))
+    event = F.struct("observed_ts", "seq", "op_id")
+    g = e.groupBy("train_id").agg(F.max(F.when(F.col("observed_ts") < now, event)).alias("a"), F.min(F.when(F.col("observed_ts") > now, event)).alias("b")).where("a.op_id <> b.op_id")
+    share = (micros(now) - micros(F.col("a.observed_ts"))) / (micros(F.col("b.observed_ts")) - micros(F.col("a.observed_ts")))
+    g = g.select("train_id", F.col("a.op_id").alias("u"), F.col("b.op_id").alias("v"), share.alias("share"), *[c.alias(n) for c, n in zip(network.unordered("a.op_id", "b.op_id"), ("lo", "hi"), strict=True)])
+    lo, hi = network.unordered("u_node_id", "v_node_id")
+    links = A.links(spark).groupBy(lo.alias("lo"), hi.alias("hi")).agg(F.max("link_id").alias("link_id"))
+    side = lambda n: A.nodes(spark, sf).select(F.col("op_id").alias(n), F.col("lon").alias(f"{n}_lon"), F.col("lat").alias(f"{n}_lat"))
+    out = g.join(side("u"), "u").join(side("v"), "v").join(links, ["lo", "hi"], "left")
+    between = lambda c: F.round(F.col(f"u_{c}") + F.col("share") * (F.col(f"v_{c}") - F.col(f"u_{c}")), 6).alias(c)
+    return out.select("train_id", "link_id", between("lon"), between("lat"))
+
+
+PARTS = """p AS (SELECT op_id // 10 AS section, list([lon, lat] ORDER BY op_id) AS pts FROM nodes GROUP BY 1),
+q AS (SELECT section, pts, section * 3 % 10 AS a, section * 7 % 10 AS b FROM p),
+s AS (SELECT section, CASE WHEN a <= b THEN pts[a + 1 : b + 1] ELSE list_reverse(pts[b + 1 : a + 1]) END AS part FROM q)"""
+
+
+@query("g18_link_polyline", A.with_ctes(A.NODES, PARTS, tail="SELECT section, len(part) AS n_points, part[1][1] AS first_lon, part[len(part)][2] AS last_lat FROM s"))
+def link_polyline(spark, sf):
+    """The part of a section's line between two of its vertices, in the link's direction."""
+    n = A.nodes(spark, sf).withColumn("section", F.floor(F.col("op_id") / 10))
+    line = n.groupBy("section").agg(F.transform(F.array_sort(F.collect_list(F.struct("op_id", "lon", "lat"))), lambda x: F.array(x["lon"], x["lat"])).alias("line"))
+    part = geometry.sub_line("line", F.col("section") * 3 % 10, F.col("section") * 7 % 10)
+    return line.select("section", part.alias("part")).select("section", F.size("part").cast("bigint").alias("n_points"), F.col("part")[0][0].alias("first_lon"), F.element_at("part", -1)[1].alias("last_lat"))

@@ -234,3 +234,24 @@ def change_quartiles(spark, sf):
     label = F.element_at(F.array(*map(F.lit, evaluate.bin_label(evaluate.HORIZON_MIN, "m"))), right_bin(F.col("horizon_min"), evaluate.HORIZON_MIN) + 1)
     q = F.percentile("change_sec", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     return p.groupBy(label.alias("bin")).agg(q.alias("q")).select("bin", *[F.round(F.col("q")[k], 6).alias(n) for k, n in enumerate(("q25", "q50", "q75"))])
+
+
+MONTHS = "m AS (SELECT DISTINCT strftime(snapshot_ts, '%Y%m') AS month FROM snap), jm AS (SELECT train_id, service_date, min(month) AS month FROM ev GROUP BY 1, 2)"
+
+
+@query("n03_month_scoped_index", A.with_ctes(*BASE[:4], MONTHS, tail="SELECT a.train_id, a.service_date, a.snapshot_ts FROM active a JOIN jm USING (train_id, service_date) SEMI JOIN m USING (month)"))
+def month_scoped(spark, sf):
+    """Journeys active at a snapshot, of those that are stored in a month with snapshots: the months are known before any event is read."""
+    months = [r.m for r in A.snapshots(spark).select(F.date_format("snapshot_ts", "yyyyMM").alias("m")).distinct().collect()]  # a row a month
+    events = A.events(spark, sf)
+    stored = events.groupBy(*KEY).agg(F.min("month").alias("month")).where(F.col("month").isin(months))
+    return active(spark, sf).join(stored, KEY, "left_semi").select(*KEY, "snapshot_ts")
+
+
+@query("j24_paired_by_key", A.with_ctes(*BASE, WIDE, tail="SELECT ts, train_id, service_date, future_delay_1 - last_known_delay AS residual_1, future_delay_2 - last_known_delay AS residual_2 FROM wide WHERE train_id::BIGINT % 3 <> 0 AND future_delay_1 IS NOT NULL"))
+def paired_by_key(spark, sf):
+    """Predictions meet the evaluation table by key, never by position; rows without a prediction go."""
+    n = naive(spark, sf).where(F.col("train_id").cast("bigint") % 3 != 0)
+    n = n.select("ts", *KEY, *[F.col(f"future_delay_{k}").alias(f"p_{k}") for k in (1, 2)])
+    both = truth(spark, sf).where("future_delay_1 is not null").join(n, ["ts", *KEY])
+    return both.select("ts", *KEY, *[(F.col(f"future_delay_{k}") - F.col(f"p_{k}")).alias(f"residual_{k}") for k in (1, 2)])

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import journeys
 from ..session import table
 from . import adapter as A
 from .registry import query
@@ -213,3 +214,30 @@ def json_field(spark, sf):
 def array_sums(spark, sf):
     a = A.events(spark, sf).groupBy("train_id").agg(F.collect_list(F.struct("op_id", "delay_sec")).alias("l"))
     return a.select("train_id", F.aggregate("l", F.lit(0).cast("bigint"), lambda s, x: s + x["op_id"]).alias("total"), F.size(F.filter("l", lambda x: x["delay_sec"] > 0)).cast("bigint").alias("late"))
+
+
+TEXT_DATES = """d AS (SELECT DISTINCT upper(strftime(observed_ts, '%d%b%Y')) AS service_text FROM ev)"""
+
+
+@query("o03_text_sorted_dates", A.with_ctes(A.EV, TEXT_DATES, tail="SELECT service_text, row_number() OVER (ORDER BY service_text) AS place FROM d"))
+def text_sorted_dates(spark, sf):
+    """Service dates in the order of their text: 01FEB2024 before 02JAN2024. A row is a day."""
+    d = A.events(spark, sf).select(F.upper(F.date_format("observed_ts", "ddMMMyyyy")).alias("service_text")).distinct()
+    return d.select("service_text", F.row_number().over(W.orderBy("service_text")).cast("bigint").alias("place"))
+
+
+@query("o05_snapshot_union", A.with_ctes(A.SNAP, tail="SELECT snapshot_ts, row_number() OVER (ORDER BY snapshot_ts) AS place FROM (SELECT snapshot_ts FROM snap WHERE split = 'train' UNION SELECT snapshot_ts FROM snap WHERE split = 'test' OR snapshot_ts < TIMESTAMP '2024-01-05 00:00:00')"))
+def snapshot_union(spark, sf):
+    """Train and test snapshots once each, in order of time."""
+    s = A.snapshots(spark)
+    both = s.where("split = 'train'").select("snapshot_ts").union(s.where("split = 'test' or snapshot_ts < timestamp_ntz '2024-01-05 00:00:00'").select("snapshot_ts")).distinct()
+    return both.select("snapshot_ts", F.row_number().over(W.orderBy("snapshot_ts")).cast("bigint").alias("place"))
+
+
+RUNS = """r AS (SELECT *, lag(service_date) OVER w IS DISTINCT FROM service_date AS begins, row_number() OVER w - 1 AS pos FROM ev WINDOW w AS (PARTITION BY train_id ORDER BY seq)),
+g AS (SELECT *, sum(begins::INTEGER) OVER (PARTITION BY train_id ORDER BY seq) AS run FROM r)"""
+
+
+@query("w15_key_runs", A.with_ctes(A.EV, RUNS, tail="SELECT train_id, any_value(service_date) AS service_date, min(pos) AS start, count(*) AS length FROM g GROUP BY train_id, run"))
+def key_runs(spark, sf):
+    return journeys.key_runs(A.events(spark, sf), ["train_id"], "service_date", "seq").drop("run")

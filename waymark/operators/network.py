@@ -137,7 +137,8 @@ def paths(requests: DataFrame, edges: DataFrame) -> DataFrame:
             b["path"] = [biased_path(adjacency, int(r.src), int(r.dst), none(r.dep_line), none(r.arr_line)) for r in b.itertuples()]
             yield b
 
-    return requests.select("src", "dst", "dep_line", "arr_line").distinct().mapInPandas(run, "src bigint, dst bigint, dep_line string, arr_line string, path array<bigint>")
+    keys = ("src", "dst", "dep_line", "arr_line")
+    return spread(requests.select(*keys).distinct(), *keys).mapInPandas(run, "src bigint, dst bigint, dep_line string, arr_line string, path array<bigint>")
 
 
 def unordered(a, b):
@@ -190,6 +191,13 @@ def link_window(path: list[list[int]], ops: list[int], planned_us: list[int], ev
     return (out + [""] * size)[:size]
 
 
+def spread(rows: DataFrame, *by: str) -> DataFrame:
+    """rows dealt to as many tasks as the session has places for, for work in Python that is slow for its bytes: adaptive
+    execution judges by bytes and would put it into one task."""
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartition(n, *by)
+
+
 def shipped_links(links: DataFrame) -> tuple[dict, dict]:
     """({link_id: metres}, {link_id: (u, v)}) of a network that is small enough to be shipped to the tasks."""
     if (n := links.count()) > MAX_SHIPPED_LINKS:
@@ -217,6 +225,7 @@ def with_tokens(active: DataFrame, links: DataFrame, size: int, past: int) -> Da
         return pd.Series([[""] * size if p is None else link_window([list(map(int, s)) for s in p], [int(o) for o in op], list(pl), int(e), int(n), float(d), size, lengths, ends) for p, op, pl, e, n, d in rows])
 
     planned = F.transform("events", lambda e: micros(e["planned_ts"]))
+    active = spread(active, "train_id", "service_date", "snapshot_ts")
     return active.withColumn("tokens", window("deduced_paths", F.col("events.op_id"), planned, F.col("split_idx") - past - 1, micros(F.col("snapshot_ts")), "last_known_delay"))
 
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .network import oriented_tokens, shipped_links
+from .network import oriented_tokens, shipped_links, spread
 
 HEADWAY_S, MARGIN_S = 40, 300
 #: Expected times are the first of these that is there and positive, else the schedule.
@@ -157,7 +157,7 @@ def simulate(active: DataFrame, links: DataFrame, stats: DataFrame | None = None
         got = Network(lengths, ends, known).run(trains, now)
         return pd.DataFrame({snapshot: pdf[snapshot].to_numpy(), "train_id": pdf.train_id.to_numpy(), "service_date": pdf.service_date.to_numpy(), "predictions": [got[k] for k in zip(pdf.train_id, pdf.service_date, strict=True)]})
 
-    return active.groupBy(snapshot).applyInPandas(run, f"{snapshot} timestamp_ntz, train_id string, service_date string, predictions array<double>")
+    return spread(active, snapshot).groupBy(snapshot).applyInPandas(run, f"{snapshot} timestamp_ntz, train_id string, service_date string, predictions array<double>")
 
 
 def prediction_table(keys: DataFrame, predicted: DataFrame, slots: int, snapshot: str = "snapshot_ts") -> DataFrame:

@@ -89,11 +89,11 @@ def brute_windows(rows, w=20):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("limit", [20_000, 3])
-def test_substrings(spark, odd_docs, limit):
+@pytest.mark.parametrize("limit,hot_windows", [(20_000, 250_000), (3, 250_000), (20_000, 0), (3, 5)])
+def test_substrings(spark, odd_docs, limit, hot_windows):
     periodic = spark.createDataFrame([(50, "a b c " * 40), (51, "b c a " * 30 + "z"), (52, "q " * 19)], "doc_id long, text string")
     for df in (odd_docs, many(spark), periodic):
-        got = sorted([tuple(r) for r in substring_dedup.digest(df, bucket_windows=limit).collect()], key=str)
+        got = sorted([tuple(r) for r in substring_dedup.digest(df, bucket_windows=limit, hot_windows=hot_windows, sample=1.0).collect()], key=str)
         assert got == brute_windows(rows_of(df))
 
 
@@ -109,6 +109,30 @@ def test_substrings_of_many_texts_of_one_id(spark, monkeypatch):
         assert sorted([tuple(r) for r in substring_dedup.digest(df).collect()], key=str) == want
 
 
+def test_hot_minimisers_are_split():
+    """A minimiser that heads most windows is split by longer runs; equal windows of other surroundings still meet."""
+    import numpy as np
+
+    pair, tail = b"of the", [prose(30, 2000 + k).encode() for k in range(50)]
+    texts = [b" ".join(pair + b" " + b" ".join(t.split()[i : i + 2]) for i in range(28)) for t in tail]
+    buckets = lambda hot: [(b, s, n) for t in texts for b, s, n, _ in substring_dedup.super_kmers(t.split(), hot=hot)]
+    sizes = lambda rows: np.unique([b for b, _, n in rows for _ in range(n)], return_counts=True)[1]
+    plain, split = buckets(None), buckets(np.ones(substring_dedup.SLOTS, bool))
+    assert sizes(plain).sum() == sizes(split).sum() and sizes(split).max() < sizes(plain).max() / 5
+    of = lambda words: {tuple(words[s + i : s + i + 20]): b for b, s, n, _ in substring_dedup.super_kmers(words, hot=np.ones(substring_dedup.SLOTS, bool)) for i in range(n)}
+    words = texts[0].split()
+    inner = of([b"x"] * 3 + words[10:50] + [b"y"] * 3)
+    assert all(inner[w] == b for w, b in of(words[10:50]).items())
+
+
+def test_least_of_neighbours():
+    import numpy as np
+
+    x = np.random.default_rng(1).integers(0, 1000, 200).astype(np.uint64)
+    for span in (1, 2, 3, 7, 8, 15, 19, 200):
+        assert substring_dedup.slide_min(x, span).tolist() == [min(x[i : i + span]) for i in range(len(x) - span + 1)]
+
+
 def test_substrings_empty(no_docs):
     assert substring_dedup.digest(no_docs).count() == 0
     assert set(substring_dedup.dedup_substrings(no_docs).columns) >= set(no_docs.columns)

@@ -10,6 +10,11 @@ the earliest one's windows are compared. A bucket with more than ``bucket_window
 windows is not held by a task: a bounded number of its windows is known by 128-bit hash, the
 others go on as rows and a distributed minimum decides them. Nothing is dropped or capped.
 
+A minimiser of few words may head a large share of all windows. A sample of the documents tells
+which ones would hold more than ``hot_windows`` windows; their windows are dealt by a second
+minimiser of longer runs as well. What is dealt depends on the words of a window alone, so equal
+windows still meet: the sample decides where work is done, never a result.
+
 Defined cases: a null or empty text has no words. Texts of fewer words than a window keep all.
 A null doc_id counts as the largest id. Rows with one doc_id and one text start at the same
 places, so neither is earlier; with another text they count as the same document. An empty
@@ -34,6 +39,8 @@ WINDOW, SEED = 20, 2
 #: Windows that a task holds of one bucket; times so many more are known by hash before any is passed on.
 BUCKET_WINDOWS, KNOWN = 20_000, 10
 CACHE_BYTES = 24 << 20
+#: Minimisers that would head more windows than this are split; the share of documents that are read to tell, and the slots they are counted in.
+HOT_WINDOWS, SAMPLE, SLOTS = 250_000, 0.01, 1 << 20
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -54,27 +61,74 @@ def rolling(h: np.ndarray, k: int) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-def super_kmers(words: list[bytes], window: int = WINDOW, seed: int = SEED):
-    """(minimiser, first window, windows, may hold a window twice) of each run of windows with one minimiser."""
+def slide_min(x: np.ndarray, span: int) -> np.ndarray:
+    """The least of each ``span`` neighbouring values."""
+    width = 1
+    while 2 * width <= span:
+        x = np.minimum(x[:-width], x[width:])
+        width *= 2
+    rest = span - width
+    return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
+
+
+def minimisers(h: np.ndarray, window: int, seed: int) -> np.ndarray:
+    """32 bits of each window's minimiser: enough to deal by, as equal ones of different seeds only share a bucket."""
+    return (slide_min(rolling(h, seed), window - seed + 1) >> np.uint64(32)).astype(np.uint32)
+
+
+def super_kmers(words: list[bytes], window: int = WINDOW, seed: int = SEED, hot: np.ndarray | None = None):
+    """(bucket, first window, windows, may hold a window twice) of each run of windows of one bucket.
+
+    The bucket is the minimiser, mixed with that of longer runs of words where ``hot`` holds its slot."""
     n = len(words) - window + 1
     if n <= 0:
         return
     h = word_hashes(words)
-    seeds = rolling(h, seed)
-    span = window - seed + 1
-    least = seeds[:n].copy()
-    for j in range(1, span):
-        np.minimum(least, seeds[j : n + j], out=least)
-    ends = np.append(np.flatnonzero(least[1:] != least[:-1]) + 1, n)
+    minis = minimisers(h, window, seed)
+    if hot is not None:
+        crowded = hot[minis & np.uint32(SLOTS - 1)]
+        if crowded.any():
+            second = minimisers(h, window, max(seed, window // 3))
+            minis = np.where(crowded, (minis ^ second * np.uint32(0x9E3779B1)) * np.uint32(0x85EBCA6B), minis)
+    ends = np.append(np.flatnonzero(minis[1:] != minis[:-1]) + 1, n)
     starts = np.append(0, ends[:-1])
     again = len(np.unique(rolling(h, window))) < n
-    minis = (least >> np.uint64(32)).astype(np.uint32).view(np.int32)  # enough to deal by: equal ones of different seeds only share a bucket
+    minis = minis.view(np.int32)
     for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
         yield int(minis[s]), s, e - s, again
 
 
+def _slots(window: int, seed: int):
+    def run(batches):
+        """How many windows each slot of minimisers has, batch by batch."""
+        for batch in batches:
+            n = np.zeros(SLOTS, np.int64)
+            for text in batch.column(0):
+                words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
+                if len(words) >= window:
+                    slot, times = np.unique(minimisers(word_hashes(words), window, seed) & np.uint32(SLOTS - 1), return_counts=True)
+                    n[slot] += times
+            slot = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(n[slot])], ["slot", "n"])
+
+    return run
+
+
+def hot_slots(docs: DataFrame, window: int, seed: int, hot_windows: int, sample: float) -> np.ndarray | None:
+    """Which slots of minimisers head more than ``hot_windows`` windows, by a sample of the documents; at most SLOTS bits."""
+    rows = docs.select(F.col("text").cast("string").alias("text"))
+    rows = rows.sample(sample, seed=7) if sample < 1 else rows
+    counts = rows.mapInArrow(_slots(window, seed), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    found = [r.slot for r in counts.where(F.col("n") > hot_windows * sample).select("slot").collect()]  # at most SLOTS rows
+    if not found:
+        return None
+    hot = np.zeros(SLOTS, bool)
+    hot[found] = True
+    return np.packbits(hot)
+
+
 #: What travels: ``at`` is the start, then whether the document may hold a window twice; ``tag`` tells apart texts of one doc_id.
-#: ``packed`` is the words, or a blank and the number of windows where a copy is known already.
+#: ``packed`` is the words, or a blank and the number of windows where a copy is known already: such a row is dealt by its place.
 ROW = pa.schema([("mini", pa.int32()), ("did", pa.int64()), ("at", pa.int64()), ("tag", pa.int64()), ("packed", pa.binary())])
 MARK = pa.schema([("did", pa.int64()), ("tag", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 #: doc_ids with several texts are known by a hash of so many values, up to a number that is shipped to the tasks.
@@ -92,9 +146,10 @@ def text_tag(docs: DataFrame):
     return F.when(spot(did).isin(shared), text).otherwise(F.lit(0).cast("long"))
 
 
-def _packer(window: int, seed: int):
+def _packer(window: int, seed: int, bits: np.ndarray | None):
     def run(batches):
         """Super-k-mers of each document; of copies inside a part of a few MB only the earliest keeps its words."""
+        hot = None if bits is None else np.unpackbits(bits).astype(bool)
         first: dict[bytes, int] = {}
         cols: list[list] = [[] for _ in ROW]
         size = 0
@@ -109,7 +164,7 @@ def _packer(window: int, seed: int):
         for batch in batches:
             for did, tag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
-                for mini, s, n, again in super_kmers(words, window, seed):
+                for mini, s, n, again in super_kmers(words, window, seed, hot):
                     packed = b" ".join(words[s : s + n + window - 1])
                     key = xxhash.xxh3_128_digest(packed)
                     at = s << 1 | again
@@ -121,13 +176,15 @@ def _packer(window: int, seed: int):
                         there, here = (cols[1][k], cols[2][k] >> 1), (did, s)
                         if there == here and cols[3][k] == tag:
                             continue
-                        row = (mini, did, at, tag, packed if there == here else b" %d" % n)  # of two texts at one place neither is earlier
+                        row = (mini, did, at, tag, packed)  # of two texts at one place neither is earlier
                         if here < there:  # the later one becomes the mark
-                            row = (mini, cols[1][k], cols[2][k], cols[3][k], row[4])
+                            row = (mini, cols[1][k], cols[2][k], cols[3][k], packed)
                             cols[1][k], cols[2][k], cols[3][k] = did, at, tag
+                        if there != here:
+                            row = (((row[1] ^ row[2]) & 0xFFFFFFFF) - (1 << 31), *row[1:4], b" %d" % n)
                     for c, v in zip(cols, row, strict=True):
                         c.append(v)
-                    size += len(packed) + 60
+                    size += len(row[4]) + 60
                     if size > 8 << 20:
                         yield flush()
         yield flush()
@@ -256,11 +313,12 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED, bucket_windows: int = BUCKET_WINDOWS, tag=None) -> DataFrame:
+def repeated_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED, bucket_windows: int = BUCKET_WINDOWS, tag=None, hot_windows: int = HOT_WINDOWS, sample: float = SAMPLE) -> DataFrame:
     """(did, tag, spans): per document (id and tag of its text), the (start, n) runs of windows that start earlier elsewhere."""
     tag = text_tag(docs) if tag is None else tag
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("did"), tag.alias("tag"), F.col("text").cast("string").alias("text"))
-    packed = rows.mapInArrow(_packer(window, seed), _ddl(ROW)).repartition("mini").sortWithinPartitions("mini", "did", "at")
+    hot = hot_slots(rows, window, seed, hot_windows, sample)
+    packed = rows.mapInArrow(_packer(window, seed, hot), _ddl(ROW)).repartition("mini").sortWithinPartitions("mini", "did", "at")
     marks = written(packed.mapInArrow(_bucketer(window, bucket_windows), _ddl(MARK)), "marks", codec="uncompressed")
     large = marks.where("a is not null")
     first = large.groupBy("a", "b").agg(F.min(F.struct("did", "start")).alias("first"), F.count("*").alias("rows")).where("rows > 1")

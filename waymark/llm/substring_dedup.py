@@ -153,11 +153,12 @@ def _packer(window: int, seed: int, bits: np.ndarray | None):
         first: dict[bytes, int] = {}
         cols: list[list] = [[] for _ in ROW]
         size = 0
+        last, end = -1, None  # the latest mark and where it ends: neighbouring marks of a text are one row
 
         def flush():
-            nonlocal cols, size
+            nonlocal cols, size, last, end
             out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, ROW, strict=True)], schema=ROW)
-            cols, size = [[] for _ in ROW], 0
+            cols, size, last, end = [[] for _ in ROW], 0, -1, None
             first.clear()
             return out
 
@@ -181,6 +182,12 @@ def _packer(window: int, seed: int, bits: np.ndarray | None):
                             row = (mini, cols[1][k], cols[2][k], cols[3][k], packed)
                             cols[1][k], cols[2][k], cols[3][k] = did, at, tag
                         if there != here:
+                            start = row[2] >> 1
+                            if end == (row[1], row[3], start):
+                                end = (row[1], row[3], start + n)
+                                cols[4][last] = b" %d" % (start + n - (cols[2][last] >> 1))
+                                continue
+                            last, end = len(cols[0]), (row[1], row[3], start + n)
                             row = (((row[1] ^ row[2]) & 0xFFFFFFFF) - (1 << 31), *row[1:4], b" %d" % n)
                     for c, v in zip(cols, row, strict=True):
                         c.append(v)

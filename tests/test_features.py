@@ -97,3 +97,17 @@ def test_columns(spark):
 def test_relation_types(spark):
     df = spark.createDataFrame([("IC 01",), ("S51",), ("s 3",), ("unheard",), (None,), (" nan ",)], "r string")
     assert [r[0] for r in df.select(S.relation_type(F.col("r"))).collect()] == ["IC", "S", "S", None, "nan", "nan"]
+
+
+def test_boosted_trees_mask_rows_without_a_target(spark):
+    from waymark.operators import boosted
+
+    rows = [(float(k % 7), float(k % 3), None if k % 5 == 0 else float(10 * (k % 7))) for k in range(140)]
+    df = spark.createDataFrame(rows, "past_delay_sec_1 double, weather_rain double, y double").coalesce(1)
+    names = ["past_delay_sec_1", "weather_rain"]
+    masked, known = boosted.fit(df, names, "y"), boosted.fit(df.where("y is not null"), names, "y")
+    got, want = boosted.errors(masked, df, "y").first(), boosted.errors(known, df, "y").first()
+    assert got.n == want.n == 112 and abs(got.mae - want.mae) < 1e-9 and got.mae < 5
+    out = {f: (n, change) for f, n, _, change in boosted.ablation(df, df, names, "y")}
+    assert out["all"] == (0, 0.0) and set(out) == {"all", "past_delay_features", "weather_features"}
+    assert out["past_delay_features"][1] > 5 and abs(out["weather_features"][1]) < 2

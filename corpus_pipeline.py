@@ -2,7 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
 read again as the next one's docs. All but the last return the columns of ``documents``.
-Nulls, empty texts, repeated rows and empty tables are defined by the operators.
+Nulls, empty texts, repeated rows and empty tables are defined by the operators. Texts are used
+whole, however long. Columns other than those of ``documents`` are dropped, whatever their names.
+Rows alike in every column count as so many rows, but near-dedup keeps one of a group: the
+smallest doc_id, and of several texts with that id the one with the smallest hash.
 """
 
 from __future__ import annotations

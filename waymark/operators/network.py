@@ -229,15 +229,22 @@ def with_tokens(active: DataFrame, links: DataFrame, size: int, past: int) -> Da
     return active.withColumn("tokens", window("deduced_paths", F.col("events.op_id"), planned, F.col("split_idx") - past - 1, micros(F.col("snapshot_ts")), "last_known_delay"))
 
 
-def crowding(rows: DataFrame, snapshot: str = "snapshot_ts") -> DataFrame:
-    """rows(snapshot, journey_ord, tokens, planned_1, last_known_delay) with, for each link slot, the trains that
-    matter and their mean delay: slot 0 those ahead on the same token, later slots all that are now on that token."""
+def ahead(rows: DataFrame, snapshot: str = "snapshot_ts") -> DataFrame:
+    """rows(snapshot, journey_ord, tokens, planned_1, last_known_delay) with the token they are on (tok0), the trains
+    before them on it and their mean delay."""
     cur = rows.withColumn("tok0", F.col("tokens")[0])
     w = W.partitionBy(snapshot, "tok0").orderBy("planned_1", "journey_ord")
-    ahead = w.rowsBetween(W.unboundedPreceding, -1)
+    before = w.rowsBetween(W.unboundedPreceding, -1)
     on = F.col("tok0") != ""
-    cur = cur.withColumns({"n_ahead": F.when(on, F.row_number().over(w) - 1).otherwise(0), "mean_ahead": F.when(on, F.avg("last_known_delay").over(ahead))})
-    stats = cur.where(on).groupBy(snapshot, F.col("tok0").alias("tok")).agg(F.count("*").alias("n_on"), F.avg("last_known_delay").alias("mean_on"))
+    n = F.when(on, F.row_number().over(w) - 1).otherwise(0).cast("bigint")
+    return cur.withColumns({"n_ahead": n, "mean_ahead": F.when(on, F.avg("last_known_delay").over(before))})
+
+
+def crowding(rows: DataFrame, snapshot: str = "snapshot_ts") -> DataFrame:
+    """rows as ``ahead`` takes them with, for each link slot, the trains that matter and their mean delay: slot 0 those
+    ahead on the same token, later slots all that are now on that token."""
+    cur = ahead(rows, snapshot)
+    stats = cur.where("tok0 <> ''").groupBy(snapshot, F.col("tok0").alias("tok")).agg(F.count("*").alias("n_on"), F.avg("last_known_delay").alias("mean_on"))
     slots = cur.select(snapshot, "journey_ord", "n_ahead", "mean_ahead", F.posexplode("tokens").alias("link_slot", "tok")).join(stats, [snapshot, "tok"], "left")
     first = F.col("link_slot") == 0
     return slots.select(snapshot, "journey_ord", "link_slot", "tok", F.when(first, F.col("n_ahead")).otherwise(F.coalesce("n_on", F.lit(0))).cast("bigint").alias("n_trains"), F.when(first, F.col("mean_ahead")).otherwise(F.col("mean_on")).alias("mean_delay"))

@@ -90,11 +90,17 @@ def engineered_target(spark, sf):
     return t.select(*KEY, "snapshot_ts", F.col("slot").cast("bigint").alias("slot"), F.round(S.signed_sqrt(F.col("future_delay") - F.col("last_known_delay")), 6).alias("target"))
 
 
-@query("w16_sequence_steps")
+AROUND_NOW = ", ".join(f"max(CASE WHEN way = 'p' AND slot = {k} THEN v END) AS p{k}, max(CASE WHEN way = 'f' AND slot = {k} THEN v END) AS f{k}" for k in (1, 2, 3))
+STEP_ROWS = f"""x AS (SELECT train_id, service_date, snapshot_ts, 'p' AS way, slot, op_id || ':' || delay_sec AS v FROM pst WHERE slot <= 3 UNION ALL SELECT train_id, service_date, snapshot_ts, 'f', slot, op_id || ':' || delay_sec FROM fut WHERE slot <= 3),
+y AS (SELECT train_id, service_date, snapshot_ts, {AROUND_NOW} FROM x GROUP BY ALL),
+z AS (SELECT train_id, service_date, arg_max(delay_sec, seq) AS last FROM ev GROUP BY 1, 2)"""
+
+
+@query("w16_sequence_steps", A.with_ctes(*BASE, STEP_ROWS, tail="SELECT train_id, service_date, snapshot_ts, " + " || ' ' || ".join([f"coalesce(p{k}, '-1:0')" for k in (3, 2, 1)] + [f"coalesce(f{k}, '-1:' || last)" for k in (1, 2, 3)]) + " AS steps FROM active LEFT JOIN y USING (train_id, service_date, snapshot_ts) JOIN z USING (train_id, service_date)"))
 def sequence_steps(spark, sf):
-    step = lambda e: F.array(e["op_id"].cast("double"), e["delay_sec"])
-    s = split(spark, sf).select(*KEY, "snapshot_ts", F.transform(F.concat(F.reverse("past_slots"), F.col("future_slots")), step).alias("x"))
-    return s.select(*KEY, "snapshot_ts", F.size("x").alias("steps"), F.round(F.aggregate(F.flatten("x"), F.lit(0.0), lambda a, v: a + v), 6).alias("checksum"))
+    """Past slots from the oldest, then future slots, as station:delay."""
+    step = lambda e: F.concat_ws(":", e["op_id"].cast("string"), e["delay_sec"].cast("bigint").cast("string"))
+    return split(spark, sf).select(*KEY, "snapshot_ts", F.array_join(F.transform(F.concat(F.reverse("past_slots"), F.col("future_slots")), step), " ").alias("steps"))
 
 
 @query("a26_slot_pivot", A.with_ctes(*BASE, tail="SELECT snapshot_ts, train_id, service_date, max(future_delay) FILTER (WHERE slot = 1) AS h1, max(future_delay) FILTER (WHERE slot = 2) AS h2, max(future_delay) FILTER (WHERE slot = 3) AS h3 FROM tgt GROUP BY ALL"))

@@ -6,9 +6,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import boosted, clean, evaluate, features, geometry, intervals, journeys, simulate, snapshots
+from ..operators import boosted, clean, evaluate, features, geometry, intervals, journeys, network, simulate, snapshots
 from . import adapter as A
-from .network_queries import deduced, tokens
+from .network_queries import TO_TOKENS, deduced, tokens
 from .registry import query
 from .snapshot_queries import BASE, KEY, active, activity, bins_sql, naive, split, targets, truth
 
@@ -45,40 +45,55 @@ def core_dataset(spark, sf):
 
 def tabular(spark, sf):
     """Raw tabular rows with engineered columns: slots, crowding on the current token, time, relation."""
-    from ..operators.network import crowding
-
-    s = split(spark, sf).select(*KEY, "snapshot_ts", "split", "last_known_delay", "past_slots", "future_slots")
-    crowd = tokens(spark, sf)
-    here = crowding(crowd).where("link_slot = 0").select("snapshot_ts", "journey_ord", "n_trains", "mean_delay")
-    crowd = crowd.select(*KEY, "snapshot_ts", "journey_ord").join(here, ["snapshot_ts", "journey_ord"]).drop("journey_ord")
+    s = network.ahead(tokens(spark, sf, past=3, future=3, keep=("split", "past_slots", "future_slots")))
     relation = A.events(spark, sf).select("train_id", S.relation_type(F.col("train_relation")).alias("relation_type")).distinct()
-    rows = s.join(crowd, [*KEY, "snapshot_ts"]).join(relation, "train_id")
+    rows = s.join(relation, "train_id")
     slot = lambda c, k: F.col(c)[k]["delay_sec"]
     cols = [slot("past_slots", k).alias(f"past_delay_sec_{k + 1}") for k in range(3)]
     target = [S.signed_sqrt(F.when(F.col("future_slots")[k]["op_id"] != -1, slot("future_slots", k)) - F.col("last_known_delay")).alias(f"y_{k + 1}") for k in range(3)]
     when = S.cyclic(S.day_fraction(F.col("snapshot_ts")), "snapshot_hour", (1,))
-    return rows.select(*KEY, "snapshot_ts", "split", "last_known_delay", *cols, F.col("n_trains").cast("double").alias("link_n_ahead"), F.coalesce("mean_delay", F.lit(0.0)).alias("link_mean_ahead"), *when, *S.indicators(F.col("relation_type"), ("IC", "L", "S", "P", "EXTRA"), "train_relation"), *target)
+    return rows.select(*KEY, "snapshot_ts", "split", "last_known_delay", *cols, F.col("n_ahead").cast("double").alias("link_n_ahead"), F.coalesce("mean_ahead", F.lit(0.0)).alias("link_mean_ahead"), *when, *S.indicators(F.col("relation_type"), ("IC", "L", "S", "P", "EXTRA"), "train_relation"), *target)
+
+
+ROOT = lambda k: f"sign(t{k}.future_delay - r.last_known_delay) * sqrt(abs(t{k}.future_delay - r.last_known_delay)) AS y_{k}"
+SLOT = lambda table, name, k: f"LEFT JOIN (SELECT * FROM {table} WHERE slot = {k}) {name}{k} ON {name}{k}.train_id = r.train_id AND {name}{k}.service_date = r.service_date AND {name}{k}.snapshot_ts = r.snapshot_ts"
+ROWS = f"""raw AS (SELECT r.train_id, r.service_date, r.snapshot_ts, r.split, r.last_known_delay, {", ".join(f"coalesce(p{k}.delay_sec, 0)::DOUBLE AS past_delay_sec_{k}" for k in (1, 2, 3))},
+  n_ahead::DOUBLE AS link_n_ahead, coalesce(mean_ahead, 0) AS link_mean_ahead, {", ".join(ROOT(k) for k in (1, 2, 3))}
+  FROM first_tok r {" ".join(SLOT("pst", "p", k) + " " + SLOT("tgt", "t", k) for k in (1, 2, 3))})"""
+Z = ("last_known_delay", "past_delay_sec_1", "link_n_ahead", "link_mean_ahead", "y_1")
+RAW = ("last_known_delay", *[f"past_delay_sec_{k}" for k in (1, 2, 3)], "link_n_ahead", "link_mean_ahead", *[f"y_{k}" for k in (1, 2, 3)])
+ROUNDED = ", ".join(f"round({c}, 6) AS {c}" for c in RAW)
 
 
-@query("n06_tabular_rows")
+@query("n06_tabular_rows", A.with_ctes(*TO_TOKENS, ROWS, tail=f"SELECT train_id, service_date, snapshot_ts, split, {ROUNDED} FROM raw"))
 def tabular_rows(spark, sf):
-    return tabular(spark, sf).select(*KEY, "snapshot_ts", "split", "last_known_delay", "past_delay_sec_1", "link_n_ahead", "y_1")
+    return tabular(spark, sf).select(*KEY, "snapshot_ts", "split", *[F.round(c, 6).alias(c) for c in RAW])
+
+
+SCALED = ", ".join(f"round((raw.{c} - {c}_m) / {c}_d, 5) + 0.0::DOUBLE AS {c}" for c in Z)
+LEARNED = "m AS (SELECT " + ", ".join(f"avg({c}) AS {c}_m, stddev_samp({c}) AS {c}_d" for c in Z) + " FROM raw WHERE split = 'train')"
 
 
-@query("n08_normalised_rows")
+@query("n08_normalised_rows", A.with_ctes(*TO_TOKENS, ROWS, LEARNED, tail=f"SELECT train_id, service_date, snapshot_ts, split, {SCALED} FROM raw, m"))
 def normalised_rows(spark, sf):
-    t = tabular(spark, sf)
-    z = ["last_known_delay", "past_delay_sec_1", "link_n_ahead", "link_mean_ahead", "y_1"]
-    out = features.normalise(t, features.moments(t, z), z=z)
-    return out.groupBy("split").agg(F.count("*").alias("n"), *[F.round(F.avg(c), 6).alias(f"mean_{c}") for c in z])
+    """Every row, scaled by what the train rows say: two passes over the table, one for the numbers."""
+    t = tabular(spark, sf).select(*KEY, "snapshot_ts", "split", *Z)
+    out = features.normalise(t, features.moments(t, list(Z)), z=list(Z))
+    return out.select(*KEY, "snapshot_ts", "split", *[(F.round(c, 5) + F.lit(0.0)).alias(c) for c in Z])
 
 
-@query("n09_sequences")
+POOL = "m AS (SELECT avg(x) AS mean, stddev_samp(x) AS std FROM (SELECT unnest([past_delay_sec_1, past_delay_sec_2, past_delay_sec_3]) AS x FROM raw WHERE split = 'train'))"
+STEPS = ", ".join(f"round((past_delay_sec_{k} - mean) / std, 5) + 0.0::DOUBLE AS step_{4 - k}" for k in (3, 2, 1))
+
+
+@query("n09_sequences", A.with_ctes(*TO_TOKENS, ROWS, POOL, tail=f"SELECT train_id, service_date, snapshot_ts, split, {STEPS} FROM raw, m"))
 def sequences(spark, sf):
-    t = tabular(spark, sf)
-    p = features.pooled(t, {"past": ["past_delay_sec_1", "past_delay_sec_2", "past_delay_sec_3"]}).first()
-    steps = F.array(*[F.array(S.z_score(F.col(f"past_delay_sec_{k}"), F.lit(p["mean"]), F.lit(p["std"]))) for k in (3, 2, 1)])
-    return t.select(*KEY, "snapshot_ts", "split", F.size(steps).alias("steps"), F.round(F.element_at(steps, -1)[0], 6).alias("nearest"))
+    """The past as steps, oldest first, scaled by one set of numbers."""
+    past = [f"past_delay_sec_{k}" for k in (3, 2, 1)]
+    t = tabular(spark, sf).select(*KEY, "snapshot_ts", "split", *past)
+    p = features.pooled(t, {"past": past}).select("mean", "std")
+    steps = [(F.round(S.z_score(F.col(c), F.col("mean"), F.col("std")), 5) + F.lit(0.0)).alias(f"step_{k + 1}") for k, c in enumerate(past)]
+    return t.crossJoin(F.broadcast(p)).select(*KEY, "snapshot_ts", "split", *steps)  # one row
 
 
 NODE = "w AS (SELECT *, row_number() OVER (PARTITION BY snapshot_ts ORDER BY service_date, train_id) - 1 AS node FROM lkd)"
@@ -101,13 +116,17 @@ def station_nodes(spark, sf):
     return grid.join(last, ["snapshot_ts", "op_id"], "left").select("snapshot_ts", "op_id", F.coalesce("n", F.lit(0)).alias("n_last_seen"))
 
 
-@query("n12_link_traffic")
+TRAFFIC = "t AS (SELECT snapshot_ts, tok, n_on, mean_on FROM on_link)"
+WAY = lambda w: f"LEFT JOIN t {w} ON {w}.snapshot_ts = snap.snapshot_ts AND {w}.tok = links.link_id || '{w}'"
+
+
+@query("n12_link_traffic", A.with_ctes(*TO_TOKENS, TRAFFIC, tail=f"SELECT snap.snapshot_ts, link_id, coalesce(uv.n_on, 0) AS uv_trains, coalesce(vu.n_on, 0) AS vu_trains, round(uv.mean_on, 6) AS uv_delay, round(vu.mean_on, 6) AS vu_delay FROM snap CROSS JOIN links {WAY('uv')} {WAY('vu')}"))
 def link_traffic(spark, sf):
     on = tokens(spark, sf).select("snapshot_ts", F.col("tokens")[0].alias("tok"), "last_known_delay").where(F.col("tok").rlike("^[0-9]+(uv|vu)$"))
     on = on.withColumns({"link_id": F.regexp_extract("tok", "^([0-9]+)", 1).cast("bigint"), "way": F.regexp_extract("tok", "(uv|vu)$", 1)})
     agg = on.groupBy("snapshot_ts", "link_id").agg(*[x for w in ("uv", "vu") for x in (F.count_if(F.col("way") == w).alias(f"{w}_trains"), F.avg(F.when(F.col("way") == w, F.col("last_known_delay"))).alias(f"{w}_delay"))])
     grid = A.snapshots(spark).select("snapshot_ts").crossJoin(A.links(spark).select("link_id"))  # a dense grid is the feature
-    return grid.join(agg, ["snapshot_ts", "link_id"], "left").select("snapshot_ts", "link_id", *[F.coalesce(f"{w}_trains", F.lit(0)).alias(f"{w}_trains") for w in ("uv", "vu")], "uv_delay", "vu_delay")
+    return grid.join(agg, ["snapshot_ts", "link_id"], "left").select("snapshot_ts", "link_id", *[F.coalesce(f"{w}_trains", F.lit(0)).alias(f"{w}_trains") for w in ("uv", "vu")], *[F.round(f"{w}_delay", 6).alias(f"{w}_delay") for w in ("uv", "vu")])
 
 
 @query("n13_future_edges", A.with_ctes(*BASE, NODE, tail="SELECT t.snapshot_ts, node, slot, future_op_id, future_delay FROM tgt t JOIN w USING (train_id, service_date, snapshot_ts)"))

@@ -9,12 +9,56 @@ from ..functions.scalars import first_token, micros
 from ..operators import geometry, journeys, network
 from . import adapter as A
 from .registry import query
-from .snapshot_queries import ACT, JRN, KEY, split
+from .snapshot_queries import ACT, BASE, JRN, KEY, split
 
 BOTH = "edges AS (SELECT u_node_id AS src, v_node_id AS dst, 'uv' AS direction, link_id, distance_m, line_id FROM links UNION ALL SELECT v_node_id, u_node_id, 'vu', link_id, distance_m, line_id FROM links)"
 TRANS = """tr AS (SELECT * FROM (SELECT train_id, service_date, seq, op_id, event_type, lead(op_id) OVER w AS to_op_id, row_number() OVER w - 1 AS pos FROM ev WINDOW w AS (PARTITION BY train_id, service_date ORDER BY observed_ts, planned_ts, seq)) WHERE to_op_id IS NOT NULL)"""
 
 
+#: Cheapest paths by rounds: the best walk of at most r links from each source, for each wanted line; the last link of a
+#: path costs less where it lies on that line. Written apart from the engine's search.
+COST = "metres * CASE WHEN line_id <> line THEN 1 WHEN {} THEN 0.55 ELSE 0.65 END::DOUBLE"
+PATHS = f"""req AS (SELECT DISTINCT op_id AS src, to_op_id AS dst, CASE WHEN seq % 2 = 0 THEN 'L1' ELSE 'L2' END AS dep_line FROM tr),
+roads AS (SELECT src AS a, dst AS b, link_id, link_id || direction AS token, distance_m AS metres, line_id FROM edges),
+walks AS (WITH RECURSIVE walk AS (
+    SELECT src AS source, dep_line AS line, src AS node, 0::DOUBLE AS cost, []::BIGINT[] AS path, []::VARCHAR[] AS toks, []::DOUBLE[] AS lens, 0 AS n FROM (SELECT DISTINCT src, dep_line FROM req)
+    UNION ALL
+    SELECT source, line, b, min(c), first(p ORDER BY c, a, link_id), first(t ORDER BY c, a, link_id), first(m ORDER BY c, a, link_id), n + 1 FROM (
+      SELECT source, line, b, cost + {COST.format("a = source")} AS c, list_append(path, link_id) AS p, list_append(toks, token) AS t, list_append(lens, metres) AS m, a, link_id, n
+      FROM walk JOIN roads ON a = node AND b <> source WHERE n < 40
+      UNION ALL SELECT source, line, node, cost, path, toks, lens, -1, -1, n FROM walk WHERE node = source AND n < 40)
+    GROUP BY source, line, b, n)
+  SELECT * FROM walk WHERE n = 40),
+found AS (SELECT r.src, r.dst, r.dep_line, first(list_append(path, link_id) ORDER BY cost + {COST.format("TRUE")}, a, link_id) AS path, first(list_append(toks, token) ORDER BY cost + {COST.format("TRUE")}, a, link_id) AS toks,
+    first(list_append(lens, metres) ORDER BY cost + {COST.format("TRUE")}, a, link_id) AS lens
+  FROM req r JOIN roads ON b = r.dst JOIN walks w ON w.source = r.src AND w.line = r.dep_line AND w.node = a WHERE r.src <> r.dst GROUP BY 1, 2, 3
+  UNION ALL SELECT src, dst, dep_line, [], [], [] FROM req WHERE src = dst),
+hop AS (SELECT tr.*, path, toks, lens, CASE WHEN seq % 2 = 0 THEN 'L1' ELSE 'L2' END AS dep_line FROM tr JOIN found f ON f.src = op_id AND f.dst = to_op_id AND f.dep_line = CASE WHEN seq % 2 = 0 THEN 'L1' ELSE 'L2' END)"""
+TO_PATHS = (A.EV, A.LINKS, BOTH, TRANS, PATHS)
+#: The token a train is on and the three ahead of it, and how crowded they are.
+TOKENS_AHEAD = """plan AS (SELECT *, lead(planned_ts) OVER (PARTITION BY train_id, service_date ORDER BY seq) AS to_planned FROM ev),
+way AS (SELECT h.train_id, h.service_date, pos, toks, lens, h.op_id, planned_ts, to_planned,
+    first_value(path[1] IGNORE NULLS) OVER (PARTITION BY h.train_id, h.service_date ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS coming
+  FROM hop h JOIN plan USING (train_id, service_date, seq)),
+here AS (SELECT l.*, coalesce(p.n, 0) - 1 AS event, coalesce(f.planned_ts, a.end_planned_ts + INTERVAL 5 MINUTE) AS planned_1,
+    row_number() OVER (PARTITION BY l.snapshot_ts ORDER BY l.service_date, l.train_id) AS journey_ord
+  FROM lkd l JOIN active a USING (train_id, service_date, snapshot_ts)
+  LEFT JOIN (SELECT train_id, service_date, snapshot_ts, count(*) AS n FROM pst GROUP BY ALL) p USING (train_id, service_date, snapshot_ts)
+  LEFT JOIN (SELECT * FROM fut WHERE slot = 1) f USING (train_id, service_date, snapshot_ts)),
+late AS (SELECT here.*, pos, toks, lens, op_id, coming, (epoch_us(to_planned) - epoch_us(planned_ts)) / 1e6 AS planned_sec,
+    greatest(0, epoch_us(snapshot_ts) / 1e6 - (epoch_us(planned_ts) / 1e6 + last_known_delay)) AS passed
+  FROM here JOIN way USING (train_id, service_date) WHERE pos >= event),
+piece AS (SELECT *, CASE WHEN len(toks) = 0 THEN ['STOPPED@op' || op_id || 'to' || coalesce(coming::VARCHAR, 'END')]
+    WHEN pos <> event OR len(toks) = 1 THEN toks
+    ELSE toks[least(len(toks) - 1, len(list_filter(range(1, len(lens) + 1), lambda k: planned_sec * list_sum(lens[1:k]) / list_sum(lens) < passed))) + 1:] END AS part FROM late),
+ahead AS (SELECT train_id, service_date, snapshot_ts, flatten(list(part ORDER BY pos)) AS parts FROM piece GROUP BY ALL),
+tok AS (SELECT here.*, list_resize(((CASE WHEN event < 0 AND parts IS NOT NULL THEN [''] ELSE [] END) || coalesce(parts, []))[1:4], 4, '') AS tokens FROM here LEFT JOIN ahead USING (train_id, service_date, snapshot_ts)),
+first_tok AS (SELECT *, CASE WHEN tokens[1] = '' THEN 0 ELSE row_number() OVER w - 1 END AS n_ahead, CASE WHEN tokens[1] <> '' THEN avg(last_known_delay) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS mean_ahead
+  FROM tok WINDOW w AS (PARTITION BY snapshot_ts, tokens[1] ORDER BY planned_1, journey_ord)),
+on_link AS (SELECT snapshot_ts, tokens[1] AS tok, count(*) AS n_on, avg(last_known_delay) AS mean_on FROM tok WHERE tokens[1] <> '' GROUP BY 1, 2)"""
+TO_TOKENS = (*BASE, A.LINKS, BOTH, TRANS, PATHS, TOKENS_AHEAD)
+
+
 def transitions(spark, sf):
     return journeys.transitions(A.events(spark, sf))
 
@@ -131,54 +175,58 @@ def exact_place(spark, sf):
     return n.select("op_id", at("lon").alias("x"), at("lat").alias("y")).join(b, ["x", "y"]).groupBy("op_id").agg(F.min("b").alias("match"))
 
 
-@query("g02_biased_paths")
+@query("g02_biased_paths", A.with_ctes(*TO_PATHS, tail="SELECT src, dst, dep_line, dep_line AS arr_line, len(path) AS n_links, array_to_string(path, ',') AS path FROM found"))
 def biased_paths(spark, sf):
     p = network.paths(requests(spark, sf), network.both_ways(A.links(spark)))
-    return p.select("src", "dst", "dep_line", "arr_line", F.size("path").alias("n_links"), F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"))
+    return p.select("src", "dst", "dep_line", "arr_line", F.size("path").cast("bigint").alias("n_links"), F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"))
 
 
-@query("g05_deduced_paths")
+@query("g05_deduced_paths", A.with_ctes(*TO_PATHS, tail="SELECT train_id, service_date, count(*) AS n_transitions, string_agg(array_to_string(path, ','), ';' ORDER BY pos) AS paths FROM hop GROUP BY 1, 2"))
 def deduced_paths(spark, sf):
-    return deduced(spark, sf).select(*KEY, F.size("deduced_paths").alias("n_transitions"), F.size(F.flatten("deduced_paths")).alias("n_links"))
+    text = F.array_join(F.transform("deduced_paths", lambda p: F.array_join(F.transform(p, lambda x: x.cast("string")), ",")), ";")
+    return deduced(spark, sf).select(*KEY, F.size("deduced_paths").cast("bigint").alias("n_transitions"), text.alias("paths"))
 
 
-@query("w13_next_segment")
+@query("w13_next_segment", A.with_ctes(*TO_PATHS, tail="SELECT train_id, service_date, first(path[1] ORDER BY pos) FILTER (WHERE len(path) > 0) AS first_link FROM hop GROUP BY 1, 2"))
 def next_segment(spark, sf):
     return deduced(spark, sf).select(*KEY, first_token(F.flatten("deduced_paths")).alias("first_link"))
 
 
-@query("j18_path_lengths")
+@query("j18_path_lengths", A.with_ctes(*TO_PATHS, tail="SELECT train_id, service_date, sum(list_sum(lens)) AS distance_m FROM hop WHERE len(lens) > 0 GROUP BY 1, 2"))
 def path_lengths(spark, sf):
     li = A.links(spark).select("link_id", "distance_m")
     return deduced(spark, sf).select(*KEY, F.explode(F.flatten("deduced_paths")).alias("link_id")).join(li, "link_id").groupBy(*KEY).agg(F.sum("distance_m").alias("distance_m"))
 
 
-@query("d09_traversals_per_active_day")
+@query("d09_traversals_per_active_day", A.with_ctes(*TO_PATHS, "d AS (SELECT service_date, unnest(path) AS link_id FROM hop), n AS (SELECT link_id, service_date, count(*) AS n FROM d GROUP BY 1, 2)", tail="SELECT link_id, round(avg(n), 8) AS per_active_day, count(*) AS days FROM n GROUP BY 1"))
 def traversals(spark, sf):
     d = deduced(spark, sf).select("service_date", F.explode(F.flatten("deduced_paths")).alias("link_id")).groupBy("link_id", "service_date").agg(F.count("*").alias("n"))
-    return d.groupBy("link_id").agg(F.avg("n").alias("per_active_day"), F.count("*").alias("days"))
+    return d.groupBy("link_id").agg(F.round(F.avg("n"), 8).alias("per_active_day"), F.count("*").alias("days"))
 
 
-def tokens(spark, sf, size=4):
-    s = split(spark, sf, 1, 1).join(deduced(spark, sf), KEY, "left")
-    s = network.with_tokens(s, A.links(spark), size, 1)
+def tokens(spark, sf, size=4, past=1, future=1, keep=()):
+    """Active journeys with their tokens, and what else the split of the journey has (keep)."""
+    s = split(spark, sf, past, future).join(deduced(spark, sf), KEY, "left")
+    s = network.with_tokens(s, A.links(spark), size, past)
     w = W.partitionBy("snapshot_ts").orderBy("service_date", "train_id")
-    return s.select(*KEY, "snapshot_ts", "last_known_delay", F.col("future_slots")[0]["planned_ts"].alias("planned_1"), "tokens", F.row_number().over(w).alias("journey_ord"))
+    return s.select(*KEY, "snapshot_ts", "last_known_delay", F.col("future_slots")[0]["planned_ts"].alias("planned_1"), "tokens", F.row_number().over(w).cast("bigint").alias("journey_ord"), *keep)
 
 
-@query("g11_link_tokens")
+@query("g11_link_tokens", A.with_ctes(*TO_TOKENS, tail="SELECT train_id, service_date, snapshot_ts, array_to_string(tokens, ' ') AS tokens FROM tok"))
 def link_tokens(spark, sf):
     return tokens(spark, sf).select(*KEY, "snapshot_ts", F.array_join("tokens", " ").alias("tokens"))
 
 
-@query("w06_trains_ahead")
+@query("w06_trains_ahead", A.with_ctes(*TO_TOKENS, tail="SELECT snapshot_ts, journey_ord, tokens[1] AS tok, n_ahead AS n_trains, round(mean_ahead, 6) AS mean_delay FROM first_tok WHERE tokens[1] <> ''"))
 def trains_ahead(spark, sf):
-    return network.crowding(tokens(spark, sf)).where("link_slot = 0 and tok <> ''").select("snapshot_ts", "journey_ord", "tok", "n_trains", "mean_delay")
+    rows = network.ahead(tokens(spark, sf)).where("tok0 <> ''")
+    return rows.select("snapshot_ts", "journey_ord", F.col("tok0").alias("tok"), F.col("n_ahead").alias("n_trains"), F.round("mean_ahead", 6).alias("mean_delay"))
 
 
-@query("j19_trains_on_next_links")
+@query("j19_trains_on_next_links", A.with_ctes(*TO_TOKENS, "s AS (SELECT snapshot_ts, journey_ord, unnest([1, 2, 3]) AS link_slot, tokens FROM tok)", tail="SELECT s.snapshot_ts, journey_ord, link_slot::BIGINT AS link_slot, tokens[link_slot + 1] AS tok, coalesce(n_on, 0) AS n_trains, round(mean_on, 6) AS mean_delay FROM s LEFT JOIN on_link o ON o.snapshot_ts = s.snapshot_ts AND o.tok = tokens[link_slot + 1] WHERE tokens[link_slot + 1] <> ''"))
 def trains_on_links(spark, sf):
-    return network.crowding(tokens(spark, sf)).where("link_slot > 0 and tok <> ''").select("snapshot_ts", "journey_ord", "link_slot", "tok", "n_trains", "mean_delay")
+    rows = network.crowding(tokens(spark, sf)).where("link_slot > 0 and tok <> ''")
+    return rows.select("snapshot_ts", "journey_ord", F.col("link_slot").cast("bigint").alias("link_slot"), "tok", "n_trains", F.round("mean_delay", 6).alias("mean_delay"))
 
 
 OPS = "wt AS (SELECT active.train_id, active.service_date, snapshot_ts, split, active.start_op_id % 20 AS tok, row_number() OVER (PARTITION BY snapshot_ts, active.start_op_id % 20 ORDER BY start_planned_ts, active.service_date, active.train_id) AS k, max_delay_sec AS d FROM active)"

@@ -88,3 +88,20 @@ def test_streams(spark, tmp_path):
         assert q.awaitTermination(60)
         assert spark.table(name).count() == want
     assert spark.table("run").first().delay_sec == 700
+
+
+def test_order_of_a_file_read_in_parts(spark, tmp_path):
+    """seq follows the rows of a file, however many tasks read it."""
+    rows = 700_000
+    (tmp_path / "a.csv").write_text("k\n" + "\n".join(f"{k:07d}" for k in range(rows)))
+    (tmp_path / "b.csv").write_text("k\n" + "\n".join(f"{k:07d}" for k in range(9)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(2 << 20))
+    try:
+        got = files.read_table(spark, str(tmp_path), "csv", order=True)
+        assert got.rdd.getNumPartitions() > 1
+        for name, n in (("a.csv", rows), ("b.csv", 9)):
+            one = got.where(f"file_name = '{name}'").toPandas().sort_values("seq")
+            assert one.seq.is_unique and one.k.astype(int).tolist() == list(range(n))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)

@@ -196,3 +196,14 @@ def test_links_are_numbered_over_all_sections(spark):
     df = spark.createDataFrame([(2, "b", v(1, None, 2, 3)), (1, "a", v(4, 5)), (3, "c", v(9, None))], "section_order int, line_section_id string, vertices array<struct<lon:double,lat:double,op_id:long>>")
     got = sorted((r.link_id, r.u_node_id, r.v_node_id) for r in network.node_links(df).collect())
     assert got == [(1, 4, 5), (2, 1, 2), (3, 2, 3)]
+
+
+def test_unreachable(spark):
+    """A missing path is NULL, and fails a run that needs all of them."""
+    links = spark.sql("SELECT 1L AS link_id, 1L AS u_node_id, 2L AS v_node_id, 10D AS distance_m, 'L' AS line_id")
+    asked = spark.sql("SELECT * FROM VALUES (1L, 2L, 'L', 'L'), (1L, 9L, 'L', 'L'), (3L, 3L, 'L', 'L') AS t(src, dst, dep_line, arr_line)")
+    found = network.paths(asked, network.both_ways(links))
+    assert {(r.src, r.dst): r.path for r in found.collect()} == {(1, 2): [1], (1, 9): None, (3, 3): []}
+    with pytest.raises(Exception, match="no path: 1 to 9"):
+        network.reachable(found).collect()
+    assert network.reachable(found.where("dst <> 9")).count() == 2

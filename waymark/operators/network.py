@@ -141,6 +141,12 @@ def paths(requests: DataFrame, edges: DataFrame) -> DataFrame:
     return spread(requests.select(*keys).distinct(), *keys).mapInPandas(run, "src bigint, dst bigint, dep_line string, arr_line string, path array<bigint>")
 
 
+def reachable(found: DataFrame) -> DataFrame:
+    """paths(..) as it is; a path that was not found fails the run and names its ends."""
+    ends = F.concat_ws(" ", F.lit("no path:"), F.col("src").cast("string"), F.lit("to"), F.col("dst").cast("string"))
+    return found.withColumn("path", F.coalesce("path", F.raise_error(ends).cast("array<bigint>")))
+
+
 def unordered(a, b):
     return F.least(a, b), F.greatest(a, b)
 

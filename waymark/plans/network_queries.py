@@ -72,7 +72,7 @@ def requests(spark, sf):
 def deduced(spark, sf):
     """(train_id, service_date, deduced_paths): one path for each transition, in order."""
     t = transitions(spark, sf).withColumn("dep_line", F.when(F.col("seq") % 2 == 0, "L1").otherwise("L2"))
-    p = network.paths(requests(spark, sf), network.both_ways(A.links(spark)))
+    p = network.reachable(network.paths(requests(spark, sf), network.both_ways(A.links(spark))))
     t = t.join(p, (t.op_id == p.src) & (t.to_op_id == p.dst) & (t.dep_line == p.dep_line)).select(*KEY, "pos", "path")
     return t.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "path"))), lambda x: x["path"]).alias("deduced_paths"))
 
@@ -263,7 +263,12 @@ def station_embedding(spark, sf):
     return spark.createDataFrame([(k, v) for k, v in emb.items()], "op_id bigint, embedding array<double>").select("op_id", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm2"))
 
 
-@query("g16_point_on_line")
+HALF = """v AS (SELECT op_id // 10 AS section, op_id, lon, lat, lag(lon) OVER w AS lo, lag(lat) OVER w AS la FROM nodes WINDOW w AS (PARTITION BY op_id // 10 ORDER BY op_id)),
+c AS (SELECT *, sum(coalesce(sqrt((lon - lo) ** 2 + (lat - la) ** 2), 0)) OVER (PARTITION BY section ORDER BY op_id) AS along FROM v),
+h AS (SELECT *, max(along) OVER (PARTITION BY section) / 2 AS half, lag(along) OVER (PARTITION BY section ORDER BY op_id) AS before FROM c)"""
+
+
+@query("g16_point_on_line", A.with_ctes(A.NODES, HALF, tail="SELECT section, round(lo + (half - before) / (along - before) * (lon - lo), 6) AS lon, round(la + (half - before) / (along - before) * (lat - la), 6) AS lat FROM h WHERE before < half AND along >= half"))
 def point_on_line(spark, sf):
     n = A.nodes(spark, sf)
     line = n.groupBy(F.floor(F.col("op_id") / 10).alias("section")).agg(F.transform(F.array_sort(F.collect_list(F.struct("op_id", "lon", "lat"))), lambda x: F.array(x["lon"], x["lat"])).alias("line"))

@@ -41,8 +41,8 @@ def schema_of(fields: list[str] | dict | None) -> T.StructType | None:
 
 
 def read_table(spark: SparkSession, path, fmt: str | None = None, options: dict | None = None, fields=None, order: bool = False) -> DataFrame:
-    """A file, folder or glob. CSV is text only, never inferred. ``order`` adds file_name and seq, the row's place
-    in its file (whole files, one task each)."""
+    """A file, folder or glob. CSV is text only, never inferred. ``order`` adds file_name and seq, a number
+    that grows from row to row of a file, also where the file is read in several parts."""
     fmt = format_of(path if isinstance(path, str) else path[0], fmt)
     options = {k: "iso-8859-1" if k == "encoding" and str(v).lower() in ("latin1", "latin-1") else v for k, v in (options or {}).items()}
     reader = spark.read.format(fmt).options(**({"header": "true"} if fmt == "csv" else {}) | options)
@@ -56,7 +56,9 @@ def read_table(spark: SparkSession, path, fmt: str | None = None, options: dict
             return spark.createDataFrame([], schema)  # an empty glob is an empty table of the declared schema
         raise
     if order:
-        rows = rows.withColumns({"file_name": F.col("_metadata.file_name"), "seq": F.monotonically_increasing_id()})
+        # parts of a file begin at least a MB apart; inside a part the lower 33 bits of the id count the task's rows
+        part = F.shiftleft(F.shiftright(F.col("_metadata.file_block_start"), 20), 33)
+        rows = rows.withColumns({"file_name": F.col("_metadata.file_name"), "seq": part + F.monotonically_increasing_id().bitwiseAND(2**33 - 1)})
     return rows
 
 

@@ -138,6 +138,14 @@ def written(df: DataFrame, name: str, *partition_by: str, codec: str = "uncompre
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(columns, name: str) -> str:
+    """A column name that none of ``columns`` has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, embedding_dedup, html_extract, language_id, line_dedup, mixing, near_dedup, packing, substring_dedup, url_filter
+from . import ann, embedding_dedup, fim, html_extract, language_id, line_dedup, mixing, near_dedup, packing, substring_dedup, token_files, url_filter
 from .common import table
 
 
@@ -46,6 +46,14 @@ def op10_ann(spark, sf_dir):
     return ann.digest(table(spark, sf_dir, "embeddings"))
 
 
+def op11_fill_in_middle(spark, sf_dir):
+    return fim.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_token_files(spark, sf_dir):
+    return token_files.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_html_extract": op1_html_extract,
     "op2_mixing": op2_mixing,
@@ -57,12 +65,15 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_ann": op10_ann,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_token_files": op12_token_files,
 }
-#: op1, op6, op8: a model or a tokenizer; op2: the order of a hash that DuckDB lacks; op10: an approximate index.
+#: op1, op6, op8, op12: a model or a tokenizer; op2: the order of a hash that DuckDB lacks; op10: an approximate index.
 ORACLES = {
     "op3_minhash_near_dedup": near_dedup.ORACLE,
     "op4_url_filter": url_filter.ORACLE,
     "op5_line_dedup": line_dedup.ORACLE,
     "op7_substring_dedup": substring_dedup.ORACLE,
     "op9_embedding_near_dedup": embedding_dedup.ORACLE,
+    "op11_fill_in_middle": fim.ORACLE,
 }

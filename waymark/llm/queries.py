@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, embedding_dedup, fim, html_extract, language_id, line_dedup, mixing, near_dedup, packing, substring_dedup, token_files, url_filter
+from . import ann, embedding_dedup, fim, hard_negatives, html_extract, language_id, line_dedup, mixing, near_dedup, packing, substring_dedup, token_files, url_filter
 from .common import table
 
 
@@ -54,6 +54,10 @@ def op12_token_files(spark, sf_dir):
     return token_files.digest(table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark, sf_dir):
+    return hard_negatives.digest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_html_extract": op1_html_extract,
     "op2_mixing": op2_mixing,
@@ -67,6 +71,7 @@ QUERIES = {
     "op10_ann": op10_ann,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_token_files": op12_token_files,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 #: op1, op6, op8, op12: a model or a tokenizer; op2: the order of a hash that DuckDB lacks; op10: an approximate index.
 ORACLES = {
@@ -76,4 +81,5 @@ ORACLES = {
     "op7_substring_dedup": substring_dedup.ORACLE,
     "op9_embedding_near_dedup": embedding_dedup.ORACLE,
     "op11_fill_in_middle": fim.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
 }

@@ -164,3 +164,68 @@ def test_wildcards_and_limit(monkeypatch):
     monkeypatch.setattr(url_filter, "MAX_RULES", 1)
     with pytest.raises(ValueError, match="at most"):
         url_filter.RuleIndex(url_filter.RULES)
+
+
+def planted(seed):
+    """A page of parts in random order around an article with interruptions, and the article's text."""
+    import random
+
+    from prose import prose
+
+    r = random.Random(seed)
+    k = iter(range(10**6))
+    words = lambda n: prose(r.randrange(2, n), 100 * seed + next(k))
+    text = [words(9)] + [words(60) for _ in range(r.randrange(1, 9))]
+    parts = [f"<h1>{text[0]}</h1>"] + [f"<p>{t}</p>" for t in text[1:]]
+    for _ in range(r.randrange(3)):
+        at = r.randrange(1, len(parts)) if len(parts) > 1 else 1
+        parts.insert(at, r.choice([f"<div class=ad>{words(9)}</div>", f"<aside class=promo>{words(9)}</aside>"]))
+    while not parts[-1].startswith(("<p", "<h1")):
+        parts.pop()
+    menu = "".join(f"<li><a href=/{i}>{words(4)}</a></li>" for i in range(r.randrange(2, 12)))
+    before = [f"<nav><ul>{menu}</ul></nav>", f"<header>{words(12)}</header>", f"<div class=cookie-banner>{words(20)}</div>", f"<div class=ad>{words(9)}</div>"]
+    after = [f"<div class=comments><p>{words(40)}</p><p>{words(40)}</p></div>", f"<footer>{words(20)}</footer>", f"<form><label>{words(5)}</label></form>", f"<div class=related><a href=/x>{words(9)}</a></div>"]
+    r.shuffle(before)
+    r.shuffle(after)
+    page = f"<html><body>{''.join(before[: r.randrange(5)])}<article>{''.join(parts)}</article>{''.join(after[: r.randrange(5)])}</body></html>"
+    return page, "\n\n".join(text)
+
+
+def test_planted_articles(spark):
+    pages = [planted(seed) for seed in range(120)]
+    df = spark.createDataFrame([(k, "u", p) for k, (p, _) in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.digest(df).collect()}
+    assert [got[k] for k in range(len(pages))] == [t for _, t in pages]
+    models = html_extract.fit()
+    around = [(p, t) for p, t in pages if not p.startswith("<html><body><article>") or not p.endswith("</article></body></html>")]
+    whole = [html_extract.main_text(p, models, lambda s: (0, len(s))) for p, _ in around]
+    assert sum(w != t for w, (_, t) in zip(whole, around, strict=True)) > 0.9 * len(around)
+
+
+def test_the_scan_decides_on_the_page_table():
+    """Without the scan nearly every text of the driver's pages would be another."""
+    import os
+
+    import pyarrow.parquet as pq
+
+    path = "/root/testdata/sf0.001/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("driver tables are not here")
+    models, changed, pages = html_extract.fit(), 0, pq.read_table(path, columns=["html"])["html"].to_pylist()
+    for page in pages:
+        text = html_extract.main_text(page, models)
+        changed += text != html_extract.main_text(page, models, lambda s: (0, len(s)))
+    assert changed > 0.9 * len(pages)
+
+
+def test_memory_of_deep_pages():
+    """Thousands of nested elements of different classes: memory in proportion to the page, not to its square."""
+    import tracemalloc
+
+    page = "".join(f"<div class=c{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}>w{k} " for k in range(8000))
+    models = html_extract.fit()
+    tracemalloc.start()
+    assert html_extract.main_text(page, models).startswith("w0")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20, peak

@@ -2,15 +2,16 @@
 
 A page becomes a run of tokens: tags, and stretches of words with the marks of what they stand
 in. A word scores by its probability, learned from labelled pages, of standing in the article given
-these marks: towards 1 where that is high, towards -``AGAINST`` where it is low. Each tag scores a
-small negative cost. One linear scan finds the contiguous region of the highest sum, which is the
-article with what stands between its parts; what is more likely outside than inside by its own
-marks (an advert in the middle) is no text of that region.
+these marks: towards 1 where that is high, towards -1 where it is low. Each tag scores a small negative cost. One linear scan finds the contiguous region of the highest sum: that region is the article, with
+what interrupts it. Which stretches inside a region are interruptions (an advert between two paragraphs) is learned
+apart, from nothing but what the labelled pages have between the first and the last word of their articles, so
+menus, headers and footers are told by the scan alone. An interruption scores 0: it does not part an article.
 
 Marks are what the markup itself says: the names of the enclosing elements, the words in their
 class, id and role, and whether the words are a link on their own in their block. No list says
-what any of them means: ``labelled_pages`` does, by a regularised logistic regression over
-stretches of text. A mark that no labelled page has counts nothing.
+what any of them means: ``labelled_pages`` does, by two regularised logistic regressions over
+stretches of text. A mark that no labelled page has counts nothing. A page is read with running sums of the marks'
+weights, one for each open element, so memory is in proportion to the page, however deep it nests.
 
 Defined cases: a null or empty page, or one without words, gives an empty text, and so does one
 where no word scores positive. Of equally good regions the longest of the first counts. Unclosed
@@ -56,13 +57,14 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
 _NAME = re.compile(r"[a-z]+")
-#: What a tag scores; what a word surely outside scores, so that an advert does not part an article; how strongly weights are held near 0; the log odds of a word without any mark.
-TAG, AGAINST, RIDGE, PRIOR = -0.05, 0.25, 0.05, 0.5
+LINK = "link alone"  # the mark of words in a link, in a block that holds nothing else
+#: What a tag scores; what a word surely outside scores, times -1; how strongly weights are held near 0; the log odds of a word without any mark.
+TAG, AGAINST, RIDGE, PRIOR = -0.05, 1.0, 0.05, 0.5
 
 
 def _marks(name: str, attributes: str) -> tuple[str, ...]:
     """What an element says of its text: its name, and each whole class, id or role in lower case, with its parts if it has several."""
-    found = [f"<{name}"]
+    found = [f"<{name}"] if name != "a" else []
     for m in _ATTR.finditer(attributes):
         for value in m[2].strip("\"'").lower().split():
             parts = _NAME.findall(value)
@@ -72,29 +74,35 @@ def _marks(name: str, attributes: str) -> tuple[str, ...]:
 
 
 class _Open:
-    """The open elements of a page."""
+    """The open elements of a page, and for each model the sum of the weights of their different marks."""
 
-    def __init__(self):
-        self.stack: list[tuple[str, tuple[str, ...]]] = []
+    def __init__(self, models: tuple[dict[str, float], ...]):
+        self.models = models
+        self.stack: list[tuple[str, tuple[str, ...], tuple[float, ...]]] = []
         self.names: Counter = Counter()
         self.marks: Counter = Counter()
-        self.now: frozenset | None = frozenset()
+        self.sums = (PRIOR,) * len(models)
 
     def push(self, name: str, marks: tuple[str, ...]) -> None:
-        self.stack.append((name, marks))
+        self.stack.append((name, marks, self.sums))
         self.names[name] += 1
-        self.marks.update(marks)
-        self.now = None
+        new = []
+        for m in marks:
+            self.marks[m] += 1
+            if self.marks[m] == 1:
+                new.append(m)
+        if new:
+            self.sums = tuple(s + sum(w.get(m, 0.0) for m in new) for s, w in zip(self.sums, self.models, strict=True))
 
     def cut(self, k: int) -> None:
-        for name, marks in self.stack[k:]:
+        for name, marks, _ in self.stack[k:]:
             self.names[name] -= 1
             for m in marks:
                 self.marks[m] -= 1
                 if not self.marks[m]:
                     del self.marks[m]
+        self.sums = self.stack[k][2]
         del self.stack[k:]
-        self.now = None
 
     def close(self, name: str) -> None:
         if not self.names[name]:
@@ -115,16 +123,14 @@ class _Open:
             if self.stack[k][0] in within:
                 return
 
-    def seen(self) -> frozenset:
-        if self.now is None:
-            self.now = frozenset(self.marks)
-        return self.now
 
+def tokens(page: str, seen) -> list[list]:
+    """[what ``seen`` makes of the open elements, text, block, words, in a link?] of each stretch of text; [None, ...] of a tag.
 
-def tokens(page: str) -> list[tuple[frozenset | None, str, int, int]]:
-    """(marks, text, block, words): marks of a stretch of text, None for a tag."""
-    out: list[tuple[frozenset | None, str, int, int]] = []
-    open_, block = _Open(), 0
+    Words in a link count as a link only where their block holds no words but links."""
+    out: list[list] = []
+    open_, block = seen.__self__, 0
+    bare: dict[int, bool] = {}
     for m in _TOKEN.finditer(page):
         text = m[8]
         if text is None and m[0] == "<":
@@ -132,14 +138,17 @@ def tokens(page: str) -> list[tuple[frozenset | None, str, int, int]]:
         if text is not None:
             if not any(open_.names[n] for n in _UNREAD):
                 text = html.unescape(text)
-                out.append((open_.seen(), text, block, len(text.split())))
+                words, link = len(text.split()), open_.names["a"] > 0
+                out.append([seen(), text, block, words, link])
+                if words:
+                    bare[block] = bare.get(block, True) and link
             continue
         name = (m[3] or m[6] or "").lower()
         if not name:
             continue
         if name in _BLOCKS:
             block += 1
-        out.append((None, " " if name in ("br", "td", "th") else "", block, 0))
+        out.append([None, " " if name in ("br", "td", "th") else "", block, 0, False])
         if m[2] or m[5]:
             open_.close(name)
             continue
@@ -153,30 +162,28 @@ def tokens(page: str) -> list[tuple[frozenset | None, str, int, int]]:
             open_.close_implied(*IMPLIED[name])
         # the page as a whole is marked by no class: layouts are named after what they hold
         open_.push(name, _marks(name, m[4] or m[7] or "") if name not in ("html", "body") else ())
-    return _with_links(out)
+    for t in out:
+        t[4] = t[4] and bare.get(t[2], False)
+    return out
 
 
-def _with_links(found: list) -> list:
-    """Stretches of a block that holds no words but links are marked as bare links."""
-    bare: dict[int, bool] = {}
-    for marks, _, block, words in found:
-        if words:
-            bare[block] = bare.get(block, True) and "<a" in marks
-    return [(marks - {"<a"} | ({"link alone"} if bare.get(block) else set()) if marks and "<a" in marks else marks, text, block, words) for marks, text, block, words in found]
+class _Labels(_Open):
+    """Open elements that tell all their marks: for the short labelled pages."""
 
+    def __init__(self):
+        super().__init__(())
 
-def fit(labelled=TRAINING, ridge: float = RIDGE, rounds: int = 60) -> dict[str, float]:
-    """Weights by mark: a ridge logistic regression of 'stands in the article' on the marks of each stretch, by Newton's method."""
-    rows, truth = [], []
-    for page in labelled:
-        inside = False
-        for marks, text, _, _ in tokens(page):
-            for part in re.split(f"([{BEGIN}{END}])", text) if marks is not None else ():
-                if part in (BEGIN, END):
-                    inside = part == BEGIN
-                elif part.strip():
-                    rows.append(marks)
-                    truth.append(inside)
+    def now(self) -> frozenset:
+        return frozenset(self.marks)
+
+
+class _Sums(_Open):
+    def now(self) -> tuple[float, ...]:
+        return self.sums
+
+
+def _regression(rows: list[frozenset], truth: list[bool], ridge: float, rounds: int) -> dict[str, float]:
+    """Weights by mark: a ridge logistic regression by Newton's method."""
     names = sorted({m for row in rows for m in row})
     at = {m: k for k, m in enumerate(names)}
     x, y = np.zeros((len(rows), len(names))), np.array(truth, float)
@@ -192,6 +199,25 @@ def fit(labelled=TRAINING, ridge: float = RIDGE, rounds: int = 60) -> dict[str,
     return {m: float(v) for m, v in zip(names, w, strict=True)}
 
 
+def fit(labelled=TRAINING, ridge: float = RIDGE, rounds: int = 60) -> tuple[dict[str, float], dict[str, float]]:
+    """(weights of 'stands in the article' over all stretches, weights of 'is no interruption' over those within an article's ends), by mark."""
+    pages = []
+    for page in labelled:
+        rows, inside = [], False
+        for marks, text, _, _, link in tokens(page, _Labels().now):
+            for part in re.split(f"([{BEGIN}{END}])", text) if marks is not None else ():
+                if part in (BEGIN, END):
+                    inside = part == BEGIN
+                elif part.strip():
+                    rows.append((marks | {LINK} if link else marks, inside))
+        pages.append(rows)
+    within = []
+    for rows in pages:
+        at = [k for k, (_, inside) in enumerate(rows) if inside]
+        within += rows[at[0] : at[-1] + 1] if at else []
+    return tuple(_regression([m for m, _ in rows], [t for _, t in rows], ridge, rounds) for rows in ([r for rows in pages for r in rows], within))
+
+
 def best_region(scores: list[float]) -> tuple[int, int]:
     """[start, end) of the contiguous run with the highest sum, the longest of equal ones; (0, 0) if none is positive."""
     best, at, total, start = 0.0, (0, 0), 0.0, 0
@@ -204,23 +230,27 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return at
 
 
-def main_text(page: str | None, weights: dict[str, float], scan=best_region) -> str:
+def _chance(total: float) -> float:
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, total))))
+
+
+def main_text(page: str | None, models: tuple[dict[str, float], ...], scan=best_region) -> str:
     if not page:
         return ""
-    found, known = tokens(page), {}
+    found = tokens(page, _Sums(models).now)
+    link = tuple(w.get(LINK, 0.0) for w in models)
+    chance = lambda t, k: _chance(t[0][k] + (link[k] if t[4] else 0.0))
 
-    def chance(marks: frozenset) -> float:
-        p = known.get(marks)
-        if p is None:
-            p = known[marks] = 1 / (1 + math.exp(-max(-30.0, min(30.0, PRIOR + sum(weights.get(m, 0.0) for m in marks)))))
-        return p
+    def score(t) -> float:
+        if t[0] is None:
+            return TAG
+        return (chance(t, 0) * (1 + AGAINST) - AGAINST) * t[3] if chance(t, 1) > 0.5 else 0.0
 
-    scores = [TAG if marks is None else (chance(marks) * (1 + AGAINST) - AGAINST) * words for marks, _, _, words in found]
-    start, end = scan(scores)
+    start, end = scan([score(t) for t in found])
     parts: dict[int, list[str]] = {}
-    for marks, text, block, _ in found[start:end]:
-        if text and (marks is None or chance(marks) > 0.5):
-            parts.setdefault(block, []).append(text)
+    for t in found[start:end]:
+        if t[1] and (t[0] is None or chance(t, 1) > 0.5):
+            parts.setdefault(t[2], []).append(t[1])
     joined = (" ".join("".join(p).split()) for _, p in sorted(parts.items()))
     return "\n\n".join(t for t in joined if t)
 
@@ -228,11 +258,11 @@ def main_text(page: str | None, weights: dict[str, float], scan=best_region) ->
 def extract(pages: DataFrame, labelled=TRAINING) -> DataFrame:
     """pages with text (never null) and n_chars, its code points."""
     small_batches(pages.sparkSession)
-    weights = fit(labelled)
+    models = fit(labelled)
 
     @F.pandas_udf("string")
     def run(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda p: main_text(p, weights) if isinstance(p, str) else "").astype(object)
+        return pages.map(lambda p: main_text(p, models) if isinstance(p, str) else "").astype(object)
 
     return pages.withColumn("text", run("html")).withColumn("n_chars", F.char_length("text").cast("long"))
 

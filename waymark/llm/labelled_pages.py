@@ -55,6 +55,11 @@ TRAINING = (
     "<body><header><p>The house of the hill</p><ul><li>Call us</li></ul></header><nav><p>Where to go from here</p></nav><div class=post>␂<p>The hill is high and the way is long.</p><ul><li>bring water</li><li>bring bread</li></ul>␃<ul><li class=share>Share it with your friends</li></ul></div>"
     "<article class=comment><p>What a fine walk that was</p></article><article class=comment><p>It was not for me</p></article><article class=card><h3>Card</h3><p>Read this too</p></article><aside><article><h3>Also</h3><p>Another piece of ours</p></article></aside><footer><p>The people of the hill</p></footer></body>",
     "<body><table><tr><td class=ad>Buy it now</td><td class=ad>Buy two</td></tr></table><table><tr><td>␂Text in a cell of a table</td></tr><tr><td>and in the next row␃</td></tr></table><div class=comments><p>what a fine text this is, and long</p></div><div class=cookie-banner><p>We use cookies here</p></div><form><p>Write to us if you like</p></form></body>",
+    # what can interrupt an article: asides, boxes of links, a form, a notice
+    "<body><nav><a href=/>Home</a></nav><article>␂<h1>Salt</h1><p>Salt was carried over the pass on mules until the road was built.</p>␃<aside>Read also what we wrote on mules</aside>␂<p>The road changed all that in one summer.</p>␃<div class=newsletter><p>Sign up for the letter of the week</p><form><label>Mail</label><button>Go</button></form></div>"
+    "␂<p>By autumn the mules were sold.</p>␃</article><footer>The salt people</footer></body>",
+    "<body><main><article>␂<h2>Clay</h2><p>Clay is dug in winter and lies in the frost until spring.</p>␃<div class=related><a href=/1>More on clay</a><a href=/2>More on kilns</a></div>␂<p>Then it is turned and watered.</p>␃<aside><p>The museum of clay is open on Sundays</p></aside>␂<p>The <em>best clay</em> is grey, as all who dig it know.</p>␃"
+    "<div class=notice><p>This page will move soon</p></div>␂<ul><li>grey clay for pots</li><li>red clay for tiles</li></ul>␃</article></main><div class=comments><p>My pots are red</p></div></body>",
     # sponsored block and widgets around a section
     "<body><div class=sponsored><p>Paid for by a maker of fine shoes for all feet</p></div><div class=main><section>␂<p>Three of the five came back with the first train.</p><p>The others took the road.</p>␃</section></div><div class=widget><h4>Weather</h4><p>Sun and some cloud</p></div><div class=banner>A big banner over here</div></body>",
 )

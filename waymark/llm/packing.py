@@ -53,8 +53,8 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in visible else chr(next(more)) for b in range(256)]
 
 
-def _words(path: str) -> Cache:
-    """Ids by word (bytes without white space), kept while the Python worker packs."""
+def _words(path: str, limit: int = CACHE_WORDS) -> Cache:
+    """Ids by word (bytes without white space), kept while the Python worker packs; limit: bytes of the cache, when it is made."""
     kept = worker_state("packing")
     if kept.get("path") == path:
         return kept["words"]
@@ -72,13 +72,13 @@ def _words(path: str) -> Cache:
             return b"".join(map(parts.__getitem__, _PARTS.findall(text.lower())))
         return pack(tokenizer.encode(text, add_special_tokens=False).ids)
 
-    kept.update(path=path, words=Cache(word, CACHE_WORDS))
+    kept.update(path=path, words=Cache(word, limit))
     return kept["words"]
 
 
-def token_ids(texts, path: str, end_id: int = END_ID) -> list[bytes]:
+def token_ids(texts, path: str, end_id: int = END_ID, limit: int = CACHE_WORDS) -> list[bytes]:
     """Each text's ids with the end id, as little-endian 16-bit numbers."""
-    ids, end, out = _words(path).__getitem__, struct.pack("<H", end_id), []
+    ids, end, out = _words(path, limit).__getitem__, struct.pack("<H", end_id), []
     for text in texts:
         raw = (text or "").encode("utf-8", "surrogatepass")
         raw = raw if b"<|" in raw else raw.lower()  # special tokens are told by their case

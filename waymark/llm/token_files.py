@@ -38,6 +38,8 @@ from .packing import _chunks, token_ids, vocabulary_path
 END_ID = 1
 #: Bytes of text for each shard; ids read, or turned into a result, at a time.
 SHARD_BYTES, READ_IDS = 64 << 20, 1 << 20
+#: Bytes of the cache of words in each Python worker, if no packing made one before.
+CACHE_WORDS = 64 << 20
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -55,7 +57,7 @@ def encode(texts: list, path: str, end_id: int) -> list[bytes]:
         by_word = getattr(tokenizer.model, "end_of_word_suffix", None) and tokenizer.get_vocab_size() <= 1 << 16
         kept.update(kind=path, tokenizer=None if by_word else tokenizer)
     if (tokenizer := kept["tokenizer"]) is None:
-        return token_ids(texts, path, end_id)
+        return token_ids(texts, path, end_id, CACHE_WORDS)
     kind = id_type(tokenizer.get_vocab_size())
     return [np.array([*x.ids, end_id], kind).tobytes() for x in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 

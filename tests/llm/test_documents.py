@@ -325,6 +325,17 @@ def test_tokens_of_odd_texts():
         assert np.frombuffer(ids, "<u2").tolist() == t.encode(text, add_special_tokens=False).ids + [2], repr(text)
 
 
+def test_texts_without_a_letter_have_no_language(spark):
+    """Numbers that are no digits (fractions, superscripts, circled, Roman) are no letters either."""
+    texts = ["½", "²", "①②", "Ⅷ", "12 ½ _ !", "一", "ªm", "½ a", "\u0301", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs = df.unionByName(spark.createDataFrame([(100 + k, f"the house and the river {k}") for k in range(40)], "doc_id long, text string")).withColumn("lang", F.lit("en"))
+    got = {r.doc_id: r for r in language_id.digest(docs).collect()}
+    want = [any(c.isalpha() for c in t) for t in texts]
+    assert [got[k].lang_pred != "und" for k in range(len(texts))] == want and all(got[k].score == 0 for k, w in enumerate(want) if not w)
+    assert [r.ok for r in df.orderBy("doc_id").select(language_id.has_letter("text").alias("ok")).collect()] == want
+
+
 SPEECH = {"en": "the and of with that this from have which their", "de": "der und die mit dass dieser aus haben welche ihre", "fr": "le et de avec que ce depuis avoir lequel leur"}
 
 

@@ -40,7 +40,11 @@ CACHE_BYTES = 24 << 20
 FOLDS, HELD_OUT = 4, 2
 UNDETERMINED = "und"
 _BASE = np.uint64(0x100000001B3)
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDLY = re.compile(r"[^\W\d_]")  # letters, and numbers that are no digits
+
+
+def _lettered(text: str) -> bool:
+    return any(m[0].isalpha() for m in _WORDLY.finditer(text))
 
 
 def vocabulary_path() -> str:
@@ -215,7 +219,7 @@ class Scorer:
             self.scores[start : len(self.place)] = got
 
     def judge(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        split = [t.encode("utf-8", "surrogatepass").split() if t and _LETTER.search(t) else [] for t in texts]  # at the white space of WORD
+        split = [t.encode("utf-8", "surrogatepass").split() if t and _lettered(t) else [] for t in texts]  # at the white space of WORD
         new = list({w for ws in split for w in ws if w not in self.place})
         if len(self.place) + len(new) > self.most:
             self._new()
@@ -282,7 +286,7 @@ def has_letter(texts):
 
     @F.pandas_udf("boolean")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: isinstance(t, str) and _LETTER.search(t) is not None).astype(bool)
+        return texts.map(lambda t: isinstance(t, str) and _lettered(t)).astype(bool)
 
     return run(texts)
 

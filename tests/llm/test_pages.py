@@ -222,7 +222,7 @@ def test_memory_of_deep_pages():
     """Thousands of nested elements of different classes: memory in proportion to the page, not to its square."""
     import tracemalloc
 
-    page = "".join(f"<div class=c{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}>w{k} " for k in range(8000))
+    page = "<article>" + "".join(f"<section class=zz{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}>w{k} " for k in range(8000))
     models = html_extract.fit()
     tracemalloc.start()
     assert html_extract.main_text(page, models).startswith("w0")

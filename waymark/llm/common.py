@@ -10,7 +10,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The white space of every contract, and A-Z with a-z.
@@ -150,6 +150,25 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def range_sorted(df: DataFrame, order: list, rows: int, rows_each: int, name: str) -> DataFrame:
+    """df as a table, range-sorted by the columns ``order``, with ``range``, the number of the range. At least one range for each place of the session."""
+    ranges = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // rows_each))
+    return written(df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id()), name)
+
+
+def running(ranged: DataFrame, order: list, **sums: Column) -> DataFrame:
+    """What ``range_sorted`` made with a running sum (its own row included) of each expression over the whole order.
+
+    Totals by range, a prefix sum over these (a row for each range), then running sums inside each range: no window holds all rows."""
+    totals = ranged.groupBy("range").agg(*[F.sum(e).alias(k) for k, e in sums.items()])
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = totals.select(F.col("range").alias("ahead_range"), *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"ahead_{k}") for k in sums])
+    inside = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = ranged.withColumns({k: F.sum(e).over(inside) for k, e in sums.items()})
+    out = own.join(ahead, F.col("range") == F.col("ahead_range"))
+    return out.withColumns({k: F.col(k) + F.col(f"ahead_{k}") for k in sums}).drop("ahead_range", *[f"ahead_{k}" for k in sums])
+
+
 def hash2(c: Column) -> Column:
     """128 bits of a value, as two longs."""
     return F.struct(F.xxhash64(c).alias("a"), F.xxhash64(F.lit(7), c).alias("b"))

@@ -71,13 +71,46 @@ def test_paths_on_spark(spark):
     assert got == {(1, 3): [1, 2], (3, 1): [2, 1], (1, 9): None}
 
 
-def test_tokens():
-    ends, lengths = {1: (10, 11), 2: (12, 11), 3: (12, 13)}, {1: 100.0, 2: 300.0, 3: 50.0}
-    path, ops, plan = [[1, 2], [], [3]], [10, 12, 12, 13], [0, 400_000_000, 500_000_000, 600_000_000]
-    window = lambda event, now, delay=0.0, n=4: network.link_window(path, ops, plan, event, now * 1_000_000, delay, n, lengths, ends)
-    assert window(-1, 0) == ["", "1uv", "2vu", "STOPPED@op12to3"]
-    assert window(0, 100) == ["1uv", "2vu", "STOPPED@op12to3", "3uv"] and window(0, 101)[0] == "2vu" and window(0, 150, 100.0)[0] == "1uv"
-    assert window(1, 420) == ["STOPPED@op12to3", "3uv", "", ""] and window(3, 900) == [""] * 4
+def window_by_hand(path, ops, plan, event, now, delay, size, lengths, ends):
+    """The tokens of one journey, link by link."""
+    ahead = lambda t: next((str(x[0]) for x in path[t:] if x), "END")
+    out = [""] if event < 0 else []
+    for t in range(max(event, 0), len(path)):
+        toks = network.oriented_tokens(ops[t], path[t], ends) if path[t] else [f"STOPPED@op{ops[t]}to{ahead(t + 1)}"]
+        if t == event and len(toks) > 1:
+            total, along, skip = sum(lengths[x] for x in path[t]), 0.0, 0
+            for x in path[t][:-1]:
+                along += lengths[x]
+                skip += (plan[t + 1] - plan[t]) * along / total < max(0.0, now - plan[t] - delay)
+            toks = toks[skip:]
+        out += toks
+    return (out + [""] * size)[:size]
+
+
+def test_tokens(spark):
+    rows = [(1, 10, 11, "x", 100.0), (2, 12, 11, "x", 300.0), (3, 12, 13, "y", 50.0), (4, 13, 14, "y", 70.0), (5, 14, 10, "x", 9000.0)]
+    links = spark.createDataFrame(rows, "link_id long, u_node_id long, v_node_id long, line_id string, distance_m double")
+    ends, lengths = {r[0]: r[1:3] for r in rows}, {r[0]: r[4] for r in rows}
+    walks = [([10, 12, 12, 13], [0, 400, 500, 600]), ([13, 10, 10], [5, 105, 400]), ([12, 12, 12], [0, 50, 90]), ([11, 14, 12, 12], [0, 300, 900, 1000])]
+    moves = [(k, p, a, b, None, "x" if k % 2 else None, t, u) for k, (ops, at) in enumerate(walks) for p, (a, b, t, u) in enumerate(zip(ops, ops[1:], at, at[1:], strict=False))]
+    t = spark.createDataFrame(moves, "train long, pos int, op_id long, to_op_id long, dep_line string, arr_line string, p long, q long")
+    t = t.select("train", "pos", "op_id", "to_op_id", "dep_line", "arr_line", F.timestamp_seconds("p").cast("timestamp_ntz").alias("planned_ts"), F.timestamp_seconds("q").cast("timestamp_ntz").alias("to_planned_ts"))
+    found = network.paths(t.select(F.col("op_id").alias("src"), F.col("to_op_id").alias("dst"), "dep_line", "arr_line"), network.both_ways(links))
+    tokens = network.path_tokens(found, links)
+    path = {(r.src, r.dst, r.arr_line): r.path for r in tokens.collect()}
+    asked = [(k, e, now, d) for k in range(len(walks)) for e in (-1, 0, 1, 2, 3) for now in (0, 100, 101, 150, 420, 900) for d in (0.0, 100.0)]
+    now = spark.createDataFrame(asked, "train long, event int, now long, last_known_delay double").withColumns({"split_idx": F.col("event") + 2, "snapshot_ts": F.timestamp_seconds("now").cast("timestamp_ntz")})
+    got = {(r.train, r.event, r.now, r.last_known_delay): r.tokens for r in network.with_tokens(now.join(network.journey_hops(t, tokens, ["train"]), "train", "left"), 4, 1).collect()}
+    assert len(got) == len(asked)
+    for k, e, at, d in asked:
+        ops, plan = walks[k]
+        steps = [path[(a, b, "x" if k % 2 else None)] for a, b in zip(ops, ops[1:], strict=False)]
+        assert got[(k, e, at, d)] == window_by_hand(steps, ops, plan, e, at, d, 4, lengths, ends), (k, e, at, d)
+    assert got[(0, -1, 0, 0.0)] == ["", "1uv", "2vu", "STOPPED@op12to3"] and got[(0, 1, 420, 0.0)] == ["STOPPED@op12to3", "3uv", "", ""] and got[(0, 3, 900, 0.0)] == [""] * 4
+    assert got[(0, 0, 100, 0.0)][0] == "1uv" and got[(0, 0, 101, 0.0)][0] == "2vu" and got[(0, 0, 150, 100.0)][0] == "1uv"
+    broken = spark.createDataFrame([(10, 13, None, None, [1, 3])], "src long, dst long, dep_line string, arr_line string, path array<long>")
+    with pytest.raises(Exception, match="does not begin"):
+        network.path_tokens(broken, links).collect()
     with pytest.raises(ValueError, match="does not begin"):
         network.oriented_tokens(13, [1], ends)
 

@@ -163,40 +163,6 @@ def oriented_tokens(start: int, path: list[int], ends: dict) -> list[str]:
     return out
 
 
-def current_link(lengths: list[float], planned_sec: float, elapsed_sec: float) -> int:
-    """Which link of a transition a train is on, time being spread over the links by their length."""
-    total = sum(lengths)
-    if len(lengths) == 1 or total <= 0:
-        return 0
-    cumulative = np.cumsum(planned_sec * (np.asarray(lengths) / total))
-    return int(np.clip(np.searchsorted(cumulative, elapsed_sec, side="left"), 0, len(lengths) - 1))
-
-
-def link_window(path: list[list[int]], ops: list[int], planned_us: list[int], event: int, now_us: int, delay: float, size: int, lengths: dict, ends: dict) -> list[str]:
-    """The token a train is on and those ahead, ``size`` in all: links, stops, and '' as padding.
-
-    event: index of the last event passed, -1 before the first.
-    """
-    ahead = lambda t: next((str(s[0]) for s in path[t:] if s), "END")
-    out: list[str] = []
-    if event >= len(path):
-        return [""] * size
-    skip = 0
-    if event < 0:
-        out.append("")
-    elif path[event]:
-        passed = max(0.0, now_us / 1e6 - (planned_us[event] / 1e6 + delay))
-        skip = current_link([lengths[x] for x in path[event]], (planned_us[event + 1] - planned_us[event]) / 1e6, passed)
-    for t in range(max(event, 0), len(path)):
-        if len(out) >= size:
-            break
-        if path[t]:
-            out += oriented_tokens(ops[t], path[t], ends)[skip if t == event else 0 :]
-        else:
-            out.append(f"STOPPED@op{ops[t]}to{ahead(t + 1)}")
-    return (out + [""] * size)[:size]
-
-
 def spread(rows: DataFrame, *by: str) -> DataFrame:
     """rows dealt to as many tasks as the session has places for, for work in Python that is slow for its bytes: adaptive
     execution judges by bytes and would put it into one task."""
@@ -221,18 +187,62 @@ def token_lengths(rows: DataFrame, links: DataFrame, tok: str = "tok", out: str
     return joined.withColumn(out, F.when(still, F.lit(0.0)).when(F.col("_m").isNotNull(), F.col("_m")).otherwise(wrong)).drop("_link", "_id", "_m")
 
 
-def with_tokens(active: DataFrame, links: DataFrame, size: int, past: int) -> DataFrame:
-    """active(.., events, split_idx, snapshot_ts, last_known_delay, deduced_paths) with ``tokens``."""
-    lengths, ends = shipped_links(links)
+def path_tokens(found: DataFrame, links: DataFrame) -> DataFrame:
+    """paths(src, dst, dep_line, arr_line, path) with ``toks``, ``17uv`` or ``17vu`` for each link of the path, and ``along``, the metres up to the end of each.
+
+    A link that does not join the one before is an error."""
+    keys = ["src", "dst", "dep_line", "arr_line"]
+    steps = found.select(*keys, F.posexplode_outer("path").alias("pos", "link_id")).join(links.select("link_id", "u_node_id", "v_node_id", "distance_m"), "link_id", "left")
+    ordered = F.array_sort(F.collect_list(F.when(F.col("link_id").isNotNull(), F.struct("pos", "link_id", "u_node_id", "v_node_id", "distance_m"))))
+    steps = steps.groupBy(*keys).agg(ordered.alias("steps")).withColumn("src", F.col("src").cast("bigint"))
+    wrong = lambda node, x: F.raise_error(F.concat_ws(" ", F.lit("link"), x["link_id"].cast("string"), F.lit("does not begin at node"), node.cast("string"))).cast("bigint")
+    ahead_of = lambda node, x: F.when(x["u_node_id"] == node, x["v_node_id"]).when(x["v_node_id"] == node, x["u_node_id"]).otherwise(wrong(node, x))
+
+    def step(so_far, x):
+        way = F.concat(x["link_id"].cast("string"), F.when(x["u_node_id"] == so_far["node"], "uv").otherwise("vu"))
+        metres = so_far["metres"] + x["distance_m"]
+        return F.struct(ahead_of(so_far["node"], x).cast("bigint").alias("node"), metres.alias("metres"), F.concat(so_far["toks"], F.array(way)).alias("toks"), F.concat(so_far["along"], F.array(metres)).alias("along"))
+
+    start = F.struct(F.col("src").alias("node"), F.lit(0.0).alias("metres"), F.array().cast("array<string>").alias("toks"), F.array().cast("array<double>").alias("along"))
+    known = steps.withColumn("t", F.aggregate("steps", start, step))
+    return known.select(*keys, F.transform("steps", lambda x: x["link_id"]).alias("path"), "t.toks", "t.along")
+
+
+def journey_hops(transitions: DataFrame, tokens: DataFrame, keys=("train_id", "service_date")) -> DataFrame:
+    """transitions(keys, pos, op_id, to_op_id, dep_line, arr_line, planned_ts, to_planned_ts) with path_tokens -> one row for each journey: ``hops``, in order.
+
+    A hop without links is a stop: its one token names the station and the next link the train will take."""
+    tokens = tokens.select(*[F.col(c).alias(f"_{c}") for c in ("src", "dst", "dep_line", "arr_line")], "path", "toks", "along")
+    on = [F.col(a).eqNullSafe(F.col(b)) for a, b in (("op_id", "_src"), ("to_op_id", "_dst"), ("dep_line", "_dep_line"), ("arr_line", "_arr_line"))]
+    planned = (micros(F.col("to_planned_ts")) - micros(F.col("planned_ts"))) / 1e6
+    hop = F.struct(F.col("pos").cast("int").alias("pos"), "op_id", "toks", "along", micros(F.col("planned_ts")).alias("planned_us"), planned.alias("planned_sec"), F.get("path", F.lit(0)).alias("first"))
+    rows = transitions.join(tokens, on[0] & on[1] & on[2] & on[3]).select(*keys, hop.alias("hop"))
+    rows = rows.groupBy(*keys).agg(F.array_sort(F.collect_list("hop")).alias("h"))
+
+    def named(x):
+        coming = F.get(F.filter("h", lambda y: (y["pos"] > x["pos"]) & y["first"].isNotNull()), F.lit(0))["first"]
+        stop = F.concat(F.lit("STOPPED@op"), x["op_id"].cast("string"), F.lit("to"), F.coalesce(coming.cast("string"), F.lit("END")))
+        return F.struct(x["pos"].alias("pos"), F.when(F.size(x["toks"]) > 0, x["toks"]).otherwise(F.array(stop)).alias("toks"), x["along"].alias("along"), x["planned_us"].alias("planned_us"), x["planned_sec"].alias("planned_sec"))
+
+    return rows.select(*keys, F.transform("h", named).alias("hops"))
+
+
+def with_tokens(active: DataFrame, size: int, past: int, snapshot: str = "snapshot_ts") -> DataFrame:
+    """active(.., hops, split_idx, snapshot, last_known_delay) with ``tokens``: the one a train is on and those ahead, ``size`` in all, '' as padding.
+
+    On the hop under way, time is spread over the links by their length; links that lie behind are left out."""
+    event = F.col("split_idx") - past - 1
 
-    @F.pandas_udf("array<string>")
-    def window(path: pd.Series, ops: pd.Series, planned: pd.Series, event: pd.Series, now: pd.Series, delay: pd.Series) -> pd.Series:
-        rows = zip(path, ops, planned, event, now, delay, strict=True)
-        return pd.Series([[""] * size if p is None else link_window([list(map(int, s)) for s in p], [int(o) for o in op], list(pl), int(e), int(n), float(d), size, lengths, ends) for p, op, pl, e, n, d in rows])
+    def part(h):
+        passed = F.greatest(F.lit(0.0), micros(F.col(snapshot)) / 1e6 - (h["planned_us"] / 1e6 + F.col("last_known_delay")))
+        behind = F.size(F.filter(h["along"], lambda m: h["planned_sec"] * m / F.element_at(h["along"], -1) < passed))
+        skip = F.when((h["pos"] == event) & (F.size(h["toks"]) > 1), F.least(F.size(h["toks"]) - 1, behind)).otherwise(0)
+        return F.slice(h["toks"], skip + 1, F.size(h["toks"]))
 
-    planned = F.transform("events", lambda e: micros(e["planned_ts"]))
-    active = spread(active, "train_id", "service_date", "snapshot_ts")
-    return active.withColumn("tokens", window("deduced_paths", F.col("events.op_id"), planned, F.col("split_idx") - past - 1, micros(F.col("snapshot_ts")), "last_known_delay"))
+    parts = F.flatten(F.transform(F.filter("hops", lambda h: h["pos"] >= event), part))
+    none = F.array().cast("array<string>")
+    found = F.concat(F.when((event < 0) & F.col("hops").isNotNull(), F.array(F.lit(""))).otherwise(none), F.coalesce(parts, none))
+    return active.withColumn("tokens", F.slice(F.concat(found, F.array_repeat(F.lit(""), size)), 1, size))
 
 
 def ahead(rows: DataFrame, snapshot: str = "snapshot_ts") -> DataFrame:

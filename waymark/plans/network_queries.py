@@ -69,6 +69,20 @@ def requests(spark, sf):
     return transitions(spark, sf).select(F.col("op_id").alias("src"), F.col("to_op_id").alias("dst"), line.alias("dep_line"), line.alias("arr_line")).distinct()
 
 
+def lined(t):
+    """Transitions with the lines that their path is asked for."""
+    line = F.when(F.col("seq") % 2 == 0, "L1").otherwise("L2")
+    return t.withColumns({"dep_line": line, "arr_line": line})
+
+
+def hops(t, links):
+    """(train_id, service_date, hops) of transitions: the tokens of every transition's path, each path searched once."""
+    t = lined(t)
+    asked = t.select(F.col("op_id").alias("src"), F.col("to_op_id").alias("dst"), "dep_line", "arr_line").distinct()
+    found = network.reachable(network.paths(asked, network.both_ways(links)))
+    return network.journey_hops(t, network.path_tokens(found, links), KEY)
+
+
 def deduced(spark, sf):
     """(train_id, service_date, deduced_paths): one path for each transition, in order."""
     t = transitions(spark, sf).withColumn("dep_line", F.when(F.col("seq") % 2 == 0, "L1").otherwise("L2"))
@@ -206,8 +220,8 @@ def traversals(spark, sf):
 
 def tokens(spark, sf, size=4, past=1, future=1, keep=()):
     """Active journeys with their tokens, and what else the split of the journey has (keep)."""
-    s = split(spark, sf, past, future).join(deduced(spark, sf), KEY, "left")
-    s = network.with_tokens(s, A.links(spark), size, past)
+    s = split(spark, sf, past, future).join(hops(transitions(spark, sf), A.links(spark)), KEY, "left")
+    s = network.with_tokens(s, size, past)
     w = W.partitionBy("snapshot_ts").orderBy("service_date", "train_id")
     return s.select(*KEY, "snapshot_ts", "last_known_delay", F.col("future_slots")[0]["planned_ts"].alias("planned_1"), "tokens", F.row_number().over(w).cast("bigint").alias("journey_ord"), *keep)
 

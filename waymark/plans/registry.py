@@ -21,4 +21,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import analytics, cleaning, feature_queries, gold_queries, network_queries, snapshot_queries, table_queries, weather_queries  # noqa: E402, F401  each module registers its queries
+from . import analytics, cleaning, feature_queries, gold_queries, graph_queries, network_queries, snapshot_queries, table_queries, weather_queries  # noqa: E402, F401  each module registers its queries

@@ -98,7 +98,6 @@ needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables a
 
 @needs_data
 def test_events_are_scanned_once_for_all_tables(spark, monkeypatch):
-    from waymark.plans import registry  # noqa: F401  registers all modules
     from waymark.plans import graph_queries
 
     plans, store = {}, scratch.stored

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -141,6 +142,45 @@ def paths(requests: DataFrame, edges: DataFrame) -> DataFrame:
     return spread(requests.select(*keys).distinct(), *keys).mapInPandas(run, "src bigint, dst bigint, dep_line string, arr_line string, path array<bigint>")
 
 
+PATH_KEYS = ("src", "dst", "dep_line", "arr_line")
+
+
+def fingerprint(links: DataFrame) -> str:
+    """A mark of a network: another one as soon as any link is added, gone or changed; the order of rows does not count."""
+    columns = sorted(set(links.columns) & {"link_id", "u_node_id", "v_node_id", "line_id", "distance_m"})
+    of = lambda salt: F.sum(F.xxhash64(F.lit(salt), *columns).cast("decimal(38,0)"))
+    one = links.agg(F.count("*").alias("n"), of(1).alias("a"), of(2).alias("b")).first()
+    return f"{one.n}-{int(one.a or 0) % 2**64:016x}{int(one.b or 0) % 2**64:016x}"
+
+
+def cached_paths(requests: DataFrame, links: DataFrame, store: str, batch: int = 0, search=paths) -> DataFrame:
+    """paths(..) through a stored table of this and earlier networks: only requests that it lacks for the present network are searched, and then added.
+
+    The table is partitioned by the network's fingerprint, so a changed network finds none of its paths there, and paths of
+    others are not read. ``batch`` tells the caller by whom a path was searched. Also paths that do not exist are kept."""
+    spark, mark = requests.sparkSession, fingerprint(links)
+    schema = "src bigint, dst bigint, dep_line string, arr_line string, path array<bigint>, batch int, network string"
+
+    def known() -> DataFrame:
+        try:
+            return spark.read.schema(schema).parquet(store).where(F.col("network") == mark)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return spark.createDataFrame([], schema)
+
+    asked = requests.select(F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"), "dep_line", "arr_line").distinct()
+    old = known().select(*[F.col(c).alias(f"_{c}") for c in PATH_KEYS])
+    same = lambda a, b: [a(c).eqNullSafe(b(f"_{c}")) for c in PATH_KEYS]
+    meet = same(F.col, F.col)
+    unseen = asked.join(old, meet[0] & meet[1] & meet[2] & meet[3], "left_anti")
+    if not unseen.isEmpty():
+        found = search(unseen, both_ways(links)).select(*PATH_KEYS, "path", F.lit(batch).alias("batch"), F.lit(mark).alias("network"))
+        found.write.mode("append").partitionBy("network").parquet(store)
+    wanted = asked.select(*[F.col(c).alias(f"_{c}") for c in PATH_KEYS])
+    return known().join(wanted, meet[0] & meet[1] & meet[2] & meet[3], "left_semi").drop("network")
+
+
 def reachable(found: DataFrame) -> DataFrame:
     """paths(..) as it is; a path that was not found fails the run and names its ends."""
     ends = F.concat_ws(" ", F.lit("no path:"), F.col("src").cast("string"), F.lit("to"), F.col("dst").cast("string"))

@@ -1,4 +1,4 @@
-"""All engine queries with their DuckDB SQL, collected from the plan modules."""
+"""All engine queries with their DuckDB SQL. The package imports the plan modules, and each registers its own."""
 
 from __future__ import annotations
 
@@ -19,6 +19,3 @@ def query(name: str, sql: str | None = None):
         return fn
 
     return add
-
-
-from . import analytics, cleaning, feature_queries, gold_queries, graph_queries, network_queries, snapshot_queries, table_queries, weather_queries  # noqa: E402, F401  each module registers its queries

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import micros
+from ..functions.scalars import from_micros, micros
 
 HOUR_US, DAY_S = 3_600_000_000, 86_400
 
@@ -35,6 +35,27 @@ def merge_intervals(rows: DataFrame, start: str, end: str, keys=()) -> DataFrame
     return out.groupBy(*keys, "_g").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("_g")
 
 
+def merge_by_day(rows: DataFrame, start: str, end: str) -> DataFrame:
+    """``merge_intervals`` without a key, and without a task that holds all intervals: (start, end, n).
+
+    Intervals are cut at midnight and merged day by day; then only the merged stretches, one for each gap in service
+    and each midnight, are joined where they touch. An interval counts in the stretch it begins in."""
+    day = 24 * HOUR_US
+    of = rows.where(F.col(start) < F.col(end)).select(micros(F.col(start)).alias("a"), micros(F.col(end)).alias("z"))
+    days = F.sequence(F.floor(F.col("a") / day), F.floor((F.col("z") - 1) / day))
+    pieces = of.select("a", "z", F.explode(days).alias("k"))
+    pieces = pieces.select(F.greatest("a", F.col("k") * day).alias("s"), F.least("z", (F.col("k") + 1) * day).alias("e"), "k", (F.floor(F.col("a") / day) == F.col("k")).cast("int").alias("begins"))
+    w = W.partitionBy("k").orderBy("s", "e")
+    new = F.coalesce((F.max("e").over(w.rowsBetween(W.unboundedPreceding, -1)) < F.col("s")).cast("int"), F.lit(1))
+    pieces = pieces.withColumn("new", new).withColumn("g", F.sum("new").over(w))
+    stretches = pieces.groupBy("k", "g").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.sum("begins").alias("n"))
+    over = W.orderBy("s")  # of stretches, not of intervals
+    stretches = stretches.withColumn("apart", F.coalesce((F.lag("e").over(over) < F.col("s")).cast("int"), F.lit(1)))
+    stretches = stretches.withColumn("whole", F.sum("apart").over(over))
+    out = stretches.groupBy("whole").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.sum("n").alias("n"))
+    return out.select(from_micros(F.col("s")).alias(start), from_micros(F.col("e")).alias(end), "n")
+
+
 def sample_active_seconds(intervals: DataFrame, low_us: int, high_us: int, n: int, rng, start: str = "appearance_start", end: str = "disappearance_end") -> list[int]:
     """n different seconds in [low, high) at which any interval is active, sorted, drawn with a NumPy generator.
 

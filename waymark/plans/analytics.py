@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import quantiles
 from . import adapter as A
 from .registry import query
 from .snapshot_queries import JRN, KEY
@@ -58,14 +59,13 @@ def events_per_active_day(spark, sf):
 
 @query("d06_clip_bounds", A.with_ctes(A.EV, tail="SELECT round(quantile_cont(delay_sec, 0.01), 6) AS low, round(quantile_cont(delay_sec, 0.99), 6) AS high FROM ev"))
 def clip_bounds(spark, sf):
-    q = A.events(spark, sf).agg(F.percentile("delay_sec", F.array(F.lit(0.01), F.lit(0.99))).alias("q"))
-    return q.select(F.round(F.col("q")[0], 6).alias("low"), F.round(F.col("q")[1], 6).alias("high"))
+    q = quantiles.exact(A.events(spark, sf), "delay_sec", {"low": 0.01, "high": 0.99})
+    return q.select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 @query("a27_quartiles_by_type", A.with_ctes(A.EV, tail="SELECT event_type, quantile_cont(delay_sec, 0.25) AS q25, quantile_cont(delay_sec, 0.5) AS q50, quantile_cont(delay_sec, 0.75) AS q75 FROM ev GROUP BY 1"))
-def quartiles(spark, sf):
-    q = A.events(spark, sf).groupBy("event_type").agg(F.percentile("delay_sec", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    return q.select("event_type", *[F.col("q")[k].alias(n) for k, n in enumerate(("q25", "q50", "q75"))])
+def quartiles_by_type(spark, sf):
+    return quantiles.exact(A.events(spark, sf), "delay_sec", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, ("event_type",))
 
 
 @query("d02_active_stations", A.with_ctes(A.EV, A.NODES, tail="SELECT op_id, op_name FROM nodes SEMI JOIN (SELECT DISTINCT op_id FROM ev WHERE month = '202401') USING (op_id)"))
@@ -113,8 +113,8 @@ def journey_totals(spark, sf):
 
     e = A.events(spark, sf)
     j = journeys.summarise(e).join(e.select("train_id", "train_relation").distinct(), "train_id")
-    q = j.agg(F.percentile("max_delay_sec", F.array(F.lit(0.01), F.lit(0.99))).alias("q"))
-    inside = j.crossJoin(F.broadcast(q)).where(F.col("max_delay_sec").between(F.col("q")[0], F.col("q")[1]))  # one row
+    q = quantiles.exact(j, "max_delay_sec", {"low": 0.01, "high": 0.99})
+    inside = j.crossJoin(F.broadcast(q)).where(F.col("max_delay_sec").between(F.col("low"), F.col("high")))  # one row
     return inside.groupBy("train_relation").agg(F.count("*").alias("n"), F.sum("events_count").alias("events"), F.sum("max_delay_sec").alias("max_delay_sum"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import event_code, micros
-from ..operators import evaluate, features, intervals, journeys, snapshots
+from ..operators import evaluate, features, intervals, journeys, quantiles, snapshots
 from . import adapter as A
 from .registry import query
 
@@ -87,7 +87,7 @@ def ever_active(spark, sf):
 
 @query("w12_active_intervals", A.with_ctes(A.EV, JRN, "m AS (SELECT *, sum(n) OVER (ORDER BY appearance_start, disappearance_end) AS g FROM (SELECT *, CASE WHEN max(disappearance_end) OVER (ORDER BY appearance_start, disappearance_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= appearance_start THEN 0 ELSE 1 END AS n FROM act WHERE appearance_start < disappearance_end))", tail="SELECT min(appearance_start) AS appearance_start, max(disappearance_end) AS disappearance_end, count(*) AS n FROM m GROUP BY g"))
 def active_intervals(spark, sf):
-    return intervals.merge_intervals(activity(spark, sf).select("appearance_start", "disappearance_end"), "appearance_start", "disappearance_end")
+    return intervals.merge_by_day(activity(spark, sf).select("appearance_start", "disappearance_end"), "appearance_start", "disappearance_end")
 
 
 @query("w12_active_per_day", A.with_ctes(A.EV, JRN, "m AS (SELECT *, sum(n) OVER (PARTITION BY service_date ORDER BY appearance_start, disappearance_end) AS g FROM (SELECT *, CASE WHEN max(disappearance_end) OVER (PARTITION BY service_date ORDER BY appearance_start, disappearance_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= appearance_start THEN 0 ELSE 1 END AS n FROM act WHERE appearance_start < disappearance_end))", tail="SELECT service_date, sum(epoch_us(e) - epoch_us(s))::BIGINT AS active_us FROM (SELECT service_date, g, min(appearance_start) AS s, max(disappearance_end) AS e FROM m GROUP BY ALL) GROUP BY service_date"))
@@ -232,8 +232,8 @@ def change_quartiles(spark, sf):
 
     p = evaluate.long_pairs(truth(spark, sf), naive(spark, sf))
     label = F.element_at(F.array(*map(F.lit, evaluate.bin_label(evaluate.HORIZON_MIN, "m"))), right_bin(F.col("horizon_min"), evaluate.HORIZON_MIN) + 1)
-    q = F.percentile("change_sec", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return p.groupBy(label.alias("bin")).agg(q.alias("q")).select("bin", *[F.round(F.col("q")[k], 6).alias(n) for k, n in enumerate(("q25", "q50", "q75"))])
+    q = quantiles.exact(p.withColumn("bin", label), "change_sec", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, ("bin",))
+    return q.select("bin", *[F.round(n, 6).alias(n) for n in ("q25", "q50", "q75")])
 
 
 MONTHS = "m AS (SELECT DISTINCT strftime(snapshot_ts, '%Y%m') AS month FROM snap), jm AS (SELECT train_id, service_date, min(month) AS month FROM ev GROUP BY 1, 2)"

@@ -144,3 +144,55 @@ def test_chunks_are_asked_for_again(spark, tmp_path):
     with pytest.raises(Exception, match="not asked for"):
         ask([4], "c", stray=1).collect()
     assert ask([], "d").count() == 0
+
+
+def test_search_draws_ranks_and_stops(spark):
+    from waymark.operators import search
+
+    space = {
+        "kind": {"choice": ["a", "b"]}, "depth": {"int": (2, 5)}, "rate": {"float": (1e-4, 1e-1), "log": True}, "share": {"float": (0.5, 1.0)},
+        "extra": {"int": (1, 9), "when": lambda p: p["kind"] == "b"}, "leaves": {"derived": lambda p: 2 ** p["depth"]}, "seed": {"fixed": 7},
+    }
+    calls = []
+
+    def score(p, budget):
+        spark.range(10).count()
+        calls.append((budget, spark.sparkContext.getLocalProperty("spark.scheduler.pool")))
+        if p["depth"] == 5:
+            raise ValueError("too deep")
+        return p["share"] + p["rate"] - budget / 100
+
+    one, two = (search.search(spark, space, score, 12, (1, 3, 9), at_once=k) for k in (4, 1))
+    assert one == two
+    rungs = [[r for r in one if r["rung"] == k] for k in range(3)]
+    failed = sum(r["state"] == "failed" for r in rungs[0])
+    assert len(rungs[0]) == 12 and len(rungs[1]) == min(6, 12 - failed) and len(rungs[2]) == -(-len(rungs[1]) // 2)
+    for a, b in zip(rungs, rungs[1:], strict=False):
+        kept = {r["trial"] for r in a if r["state"] == "kept"}
+        assert kept == {r["trial"] for r in b}
+        rest = [r["score"] for r in a if r["state"] == "stopped"]
+        assert not rest or max(r["score"] for r in a if r["trial"] in kept) <= min(rest)
+    for r in rungs[0]:
+        p = r["params"]
+        assert ("extra" in p) == (p["kind"] == "b") and int(p["leaves"]) == 2 ** int(p["depth"]) and 2 <= int(p["depth"]) <= 5 and 1e-4 <= float(p["rate"]) <= 1e-1 and p["seed"] == "7"
+        assert (r["state"] == "failed") == (p["depth"] == "5")
+    assert search.best(one)["rung"] == 2 and search.best(one)["score"] == min(r["score"] for r in rungs[2])
+    assert {p for _, p in calls[: len(calls) // 2]} == {f"trials-{k}" for k in range(4)}
+    assert search.table(spark, one).count() == len(one)
+    with pytest.raises(ValueError, match="none of"):
+        search.drawn({"x": {}}, np.random.default_rng(1))
+
+
+def test_models_come_back_and_end_early(spark, tmp_path):
+    from waymark.operators import boosted
+
+    r = random.Random(1)
+    rows = [(x, y, 2 * x + (y > 0.5) if k % 9 else None, r.random() if k % 4 == 0 else 2 * x, k % 4 == 0) for k, (x, y) in enumerate((r.random(), r.random()) for _ in range(400))]
+    df = spark.createDataFrame(rows, "a double, b double, t double, noise double, held boolean")
+    models = {"t": boosted.fit(df, ["a", "b"], "t", rounds=6, depth=3), "noise": boosted.fit(df, ["a", "b"], "noise", rounds=30, depth=3, valid="held", tolerance=0.05)}
+    assert models["t"][0].getNumTrees == 6 and models["noise"][0].getNumTrees < 30
+    boosted.save(models, f"{tmp_path}/m")
+    again = boosted.load(f"{tmp_path}/m", ["t", "noise"])
+    a, b = (sorted((x.a, x.predicted_t, x.predicted_noise) for x in boosted.predictions(m, df).collect()) for m in (models, again))
+    assert a == b and len(a) == 400
+    assert boosted.errors(again["t"], df, "t").first().mae < 0.4

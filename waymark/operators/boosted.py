@@ -2,25 +2,57 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import folder
 from . import features
 
 ROUNDS, DEPTH = 5, 3
+#: Rounds between two checkpoints while trees are added: the lineage of the residuals stays short, and a lost executor costs no more than these.
+CHECKPOINT = 10
 
 
-def fit(rows: DataFrame, names: list[str], target: str, rounds: int = ROUNDS, depth: int = DEPTH, seed: int = 42):
-    """(model, assembler); rows without a target are masked: they weigh nothing."""
+def fit(rows: DataFrame, names: list[str], target: str, rounds: int = ROUNDS, depth: int = DEPTH, seed: int = 42, valid: str | None = None, tolerance: float = 0.01):
+    """(model, assembler); rows without a target are masked: they weigh nothing.
+
+    valid: a boolean column; rows where it is true are not learned from, and rounds end when the error on them gains less than ``tolerance``."""
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder(rows.sparkSession))
     assembler = VectorAssembler(inputCols=names, outputCol="x")
     known = F.col(target).isNotNull() & ~F.isnan(target)
-    masked = assembler.transform(rows).select("x", F.when(known, F.col(target)).otherwise(0.0).alias("y"), known.cast("double").alias("weight"))
-    trees = GBTRegressor(featuresCol="x", labelCol="y", weightCol="weight", lossType="absolute", maxIter=rounds, maxDepth=depth, seed=seed)
+    held = [F.col(valid).alias("held")] if valid else []
+    masked = assembler.transform(rows if not valid else rows.where(known | ~F.col(valid))).select("x", F.when(known, F.col(target)).otherwise(0.0).alias("y"), known.cast("double").alias("weight"), *held)
+    trees = GBTRegressor(featuresCol="x", labelCol="y", weightCol="weight", lossType="absolute", maxIter=rounds, maxDepth=depth, seed=seed, cacheNodeIds=True, checkpointInterval=CHECKPOINT)
+    if valid:
+        trees = trees.setParams(validationIndicatorCol="held", validationTol=tolerance)
     return trees.fit(masked), assembler
 
 
+def save(models: dict[str, tuple], path: str) -> None:
+    """One folder for each target, in any store that Spark writes."""
+    for target, (trees, assembler) in models.items():
+        PipelineModel([assembler, trees]).write().overwrite().save(f"{path}/{target}")
+
+
+def load(path: str, targets: list[str]) -> dict[str, tuple]:
+    """What ``save`` wrote: (model, assembler) by target."""
+    stages = {t: PipelineModel.load(f"{path}/{t}").stages for t in targets}
+    return {t: (trees, assembler) for t, (assembler, trees) in stages.items()}
+
+
+def predictions(models: dict[str, tuple], rows: DataFrame) -> DataFrame:
+    """rows with ``predicted_<target>`` for each model."""
+    out = rows
+    for target, (trees, assembler) in models.items():
+        out = trees.transform(assembler.transform(out)).withColumnRenamed("prediction", f"predicted_{target}").drop(assembler.getOutputCol())
+    return out
+
+
 def errors(model, rows: DataFrame, target: str, seconds=lambda c: c) -> DataFrame:
     """One row: n and mae over the rows with a target, after ``seconds`` turns target and prediction into seconds."""
     trees, assembler = model

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import batches, network, specification
+from ..operators import batches, boosted, features, network, search, specification
 from ..sources import chunked, scratch
 from . import adapter as A
 from .gold_queries import NODE
@@ -99,3 +99,49 @@ def chunked_source(spark, sf):
     to = scratch.new_path(spark, "service")
     w.write.partitionBy("station").parquet(to)
     return chunked.read_chunks(spark, list(range(8)), dt.date(2024, 1, 9), dt.date(2024, 1, 20), "waymark.sources.chunked:from_folder", folder=to, chunk=3)
+
+
+def _fold(spark, sf):
+    """Train rows of the tabular table with ``held``, the last fifth of the snapshots, and test rows; feature names."""
+    from .gold_queries import HORIZONS, tabular
+
+    t = scratch.stored(tabular(spark, sf), "tabular")
+    names = [c for c in t.columns if c not in (*KEY, "snapshot_ts", "split", *HORIZONS)]
+    train = features.temporal_holdout(t.where("split = 'train'"), 0.2).withColumn("held", F.col("fold") == "valid")
+    return scratch.stored(train, "fold"), t.where("split = 'test'"), names
+
+
+@query("s25_reloaded_models")
+def reloaded_models(spark, sf):
+    """A model for each horizon, ended early by its error on held-out snapshots, saved, loaded again; how many predictions of both agree, and the error."""
+    from .gold_queries import HORIZONS, SEED
+
+    train, test, names = _fold(spark, sf)
+    models = {y: boosted.fit(train, names, y, rounds=8, depth=3, seed=SEED, valid="held") for y in HORIZONS}
+    to = scratch.new_path(spark, "models")
+    boosted.save(models, to)
+    again = boosted.load(to, list(HORIZONS))
+    a, b = (boosted.predictions(m, test) for m in (models, again))
+    key = [*KEY, "snapshot_ts"]
+    both = a.join(b.select(*key, *[F.col(f"predicted_{y}").alias(f"again_{y}") for y in HORIZONS]), key)
+    miss = lambda y: F.abs(S.signed_square(F.col(f"predicted_{y}")) - S.signed_square(F.col(y)))
+    cells = [F.struct(F.lit(k + 1).alias("horizon"), F.count("*").alias("n"), F.count_if(F.col(f"predicted_{y}") == F.col(f"again_{y}")).alias("same"), F.round(F.avg(miss(y)), 3).alias("mae"), F.lit(models[y][0].getNumTrees).alias("trees")) for k, y in enumerate(HORIZONS)]
+    return both.agg(*[c.alias(f"h{k}") for k, c in enumerate(cells)]).select(F.explode(F.array(*[f"h{k}" for k in range(len(cells))])).alias("h")).select("h.*")
+
+
+@query("e18_parameter_search")
+def parameter_search(spark, sf):
+    """Four drawn trials of boosted trees, the better half with more rounds, scored on held-out snapshots."""
+    from .gold_queries import SEED
+
+    train, _, names = _fold(spark, sf)
+    fit_rows, held = train.where("not held"), train.where("held")
+    space = {"depth": {"int": (1, 3)}, "few": {"choice": (True, False)}, "columns": {"int": (2, len(names) - 1), "when": lambda p: p["few"]}, "leaves": {"derived": lambda p: 2 ** p["depth"]}}
+
+    def score(params: dict, budget: int) -> float:
+        own = names[: params.get("columns", len(names))]
+        model = boosted.fit(fit_rows, own, "y_1", rounds=budget, depth=params["depth"], seed=SEED)
+        return boosted.errors(model, held, "y_1", S.signed_square).first().mae
+
+    out = search.table(spark, search.search(spark, space, score, 4, (1, 2)))
+    return out.withColumn("score", F.round("score", 4))

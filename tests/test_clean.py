@@ -120,3 +120,25 @@ def test_last_known_delay(spark, ahead, want):
 def test_wall_clock(spark):
     df = spark.createDataFrame([("05JAN2024", "08:15:00"), ("31FEB2024", "08:15:00"), (None, "08:15:00"), ("05JAN2024", "nan")], "d string, t string")
     assert [r[0] for r in df.select(S.wall_clock(F.col("d"), F.col("t"))).collect()] == [dt.datetime(2024, 1, 5, 8, 15), None, None, None]
+
+
+def test_parameters_have_types_defaults_and_older_names():
+    p = clean.parameters
+    assert p(None) == {k: d for k, (_, d, _) in clean.PARAMETERS.items()}
+    got = p({"skew_threshold_sec": "90", "schedule_skew_threshold_sec": 80, "monotonic_threshold_sec": 60, "planned_monotonic_threshold_sec": 50, "apply_planned_monotonic": " No ", "apply_observed_monotonic": 0, "apply_intra_stop_conflicts": "maybe", "max_late_sec": 7.0, "other": 1})
+    assert got["intra_stop_conflict_threshold_sec"] == 80 and got["planned_monotonic_threshold_sec"] == 50 and got["observed_monotonic_threshold_sec"] == 60 and got["max_late_sec"] == 7
+    assert (got["apply_planned_monotonic"], got["apply_observed_monotonic"], got["apply_intra_stop_conflicts"]) == (False, False, True) and "other" not in got
+    with pytest.raises(ValueError):
+        p({"max_early_sec": "soon"})
+
+
+def test_switches_of_the_chain(spark, monkeypatch):
+    """A step that is switched off is not taken, and thresholds arrive where they belong."""
+    taken = []
+    stops = spark.createDataFrame([("1", "2024-01-05", 1, 7, "a", "a", T0, T0, T0, T0)], STOP)
+    for name in ("resolve_conflicts", "clamp_backward"):
+        step = getattr(clean, name)
+        monkeypatch.setattr(clean, name, lambda df, *a, step=step, name=name, **k: taken.append((name, *[x for x in a if x != clean.JOURNEY])) or step(df, *a, **k))
+    both = [clean.build_events(stops, params=p).count() for p in (None, {"apply_intra_stop_conflicts": "off", "apply_planned_monotonic": "no", "observed_monotonic_threshold_sec": 30})]
+    assert both[0] == both[1] > 0
+    assert taken == [("resolve_conflicts", 120), ("clamp_backward", "planned_ts", 120), ("clamp_backward", "observed_ts", 120), ("clamp_backward", "observed_ts", 30)]

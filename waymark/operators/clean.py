@@ -94,11 +94,42 @@ def keep_last(rows: DataFrame, keys, by="seq") -> DataFrame:
     return keep_first(rows, keys, F.desc(by))
 
 
-def build_events(stops: DataFrame, keys=JOURNEY, **limits) -> DataFrame:
-    """The whole chain, from stop records with parsed times to clean events."""
-    out = resolve_conflicts(stops, limits.get("conflict_sec", CONFLICT_SEC), keys)
+def build_events(stops: DataFrame, keys=JOURNEY, params: dict | None = None, **limits) -> DataFrame:
+    """The whole chain, from stop records with parsed times to clean events. params: ``PARAMETERS`` as a manifest gives them."""
+    p = parameters(params)
+    out = resolve_conflicts(stops, limits.get("conflict_sec", p["intra_stop_conflict_threshold_sec"]), keys) if p["apply_intra_stop_conflicts"] else stops
     out = drop_incomplete(stops_to_events(out), keys)
-    for column in ("planned_ts", "observed_ts"):
-        out = clamp_backward(out, column, limits.get("backward_sec", BACKWARD_SEC), keys)
-    out = bound_delays(add_delay(out), limits.get("max_late", MAX_LATE_SEC), limits.get("max_early", MAX_EARLY_SEC), keys)
+    for column, name in (("planned_ts", "planned_monotonic"), ("observed_ts", "observed_monotonic")):
+        if p[f"apply_{name}"]:
+            out = clamp_backward(out, column, limits.get("backward_sec", p[f"{name}_threshold_sec"]), keys)
+    out = bound_delays(add_delay(out), limits.get("max_late", p["max_late_sec"]), limits.get("max_early", p["max_early_sec"]), keys)
     return keep_first(out, [*keys, "event_type", "op_id"])
+
+
+#: What counts as yes and no, and the parameters of the cleaning chain: type, default, older names in the order they are looked for.
+YES, NO = ("1", "true", "yes", "y", "on"), ("0", "false", "no", "n", "off")
+PARAMETERS = {
+    "intra_stop_conflict_threshold_sec": ("int", CONFLICT_SEC, ("stop_arrival_departure_conflict_threshold_sec", "schedule_skew_threshold_sec", "skew_threshold_sec")),
+    "apply_intra_stop_conflicts": ("bool", True, ()),
+    "planned_monotonic_threshold_sec": ("int", BACKWARD_SEC, ("schedule_monotonic_threshold_sec", "monotonic_threshold_sec")),
+    "apply_planned_monotonic": ("bool", True, ()),
+    "observed_monotonic_threshold_sec": ("int", BACKWARD_SEC, ("monotonic_threshold_sec",)),
+    "apply_observed_monotonic": ("bool", True, ()),
+    "max_late_sec": ("int", MAX_LATE_SEC, ()),
+    "max_early_sec": ("int", MAX_EARLY_SEC, ()),
+}
+
+
+def parameters(given: dict | None, known: dict = PARAMETERS) -> dict:
+    """Every known parameter with a value of its type: the given one, under its own or an older name, else the default.
+
+    A text that is neither yes nor no leaves a switch at its default; a threshold that is no whole number is an error."""
+    given, out = given or {}, {}
+    for name, (kind, default, older) in known.items():
+        value = next((given[n] for n in (name, *older) if n in given), None)
+        if kind == "bool":
+            text = str(value).strip().lower()
+            out[name] = value if isinstance(value, bool) else True if text in YES else False if text in NO else default
+        else:
+            out[name] = default if value is None else int(value)
+    return out

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .network import oriented_tokens, shipped_links, spread
 
+#: Seconds between two trains on a place, and the margin of a stop.
 HEADWAY_S, MARGIN_S = 40, 300
 #: Expected times are the first of these that is there and positive, else the schedule.
 QUANTILES = ("q40", "q45", "median")

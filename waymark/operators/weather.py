@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .clean import keep_last
 
+#: The variables of the weather tables.
 VARIABLES = ("temperature_2m", "rain", "snowfall", "relative_humidity_2m", "wind_speed_10m")
 
 

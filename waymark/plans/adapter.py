@@ -48,29 +48,44 @@ SNAP = f"""snap AS (
   FROM (SELECT unnest(generate_series(TIMESTAMP '{FIRST_SNAPSHOT}', TIMESTAMP '{LAST_SNAPSHOT}', INTERVAL 6 HOUR)) AS snapshot_ts))"""
 
 
-def links(spark: SparkSession) -> DataFrame:
-    i, ring = F.col("id") % N_OPS, F.col("id") < N_OPS
-    return spark.range(0, 2 * N_OPS, 1, 4).select(
-        (F.col("id") + 1).alias("link_id"), i.alias("u_node_id"), F.when(ring, (i + 1) % N_OPS).otherwise((i + 10) % N_OPS).alias("v_node_id"),
-        F.when(ring, F.lit("L1")).otherwise(F.lit("L2")).alias("line_id"), F.when(ring, 500 + i * 37 % 400).otherwise(3000 + i * 53 % 900).cast("double").alias("distance_m"),
-    )
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(op_id, nation, cents): what the customers of each operational point say about it."""
+    c = table(spark, sf_dir, "customer").select((F.col("c_custkey") % N_OPS).cast("bigint").alias("op_id"), "c_custkey", "c_nationkey", F.round(F.col("c_acctbal") * 100).cast("bigint").alias("cents"))
+    return c.groupBy("op_id").agg(F.min_by("c_nationkey", "c_custkey").alias("nation"), F.abs(F.sum("cents")).alias("cents"))
 
 
-LINKS = """links AS (
-  SELECT id + 1 AS link_id, id % 100 AS u_node_id, CASE WHEN id < 100 THEN (id % 100 + 1) % 100 ELSE (id % 100 + 10) % 100 END AS v_node_id,
-    CASE WHEN id < 100 THEN 'L1' ELSE 'L2' END AS line_id, (CASE WHEN id < 100 THEN 500 + (id % 100) * 37 % 400 ELSE 3000 + (id % 100) * 53 % 900 END)::DOUBLE AS distance_m
-  FROM (SELECT unnest(range(200)) AS id))"""
+PLACES = """places AS (
+  SELECT (c_custkey % 100)::BIGINT AS op_id, arg_min(c_nationkey, c_custkey) AS nation, abs(sum(round(c_acctbal * 100)::BIGINT))::BIGINT AS cents FROM customer GROUP BY 1)"""
 
 
-def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("op_name"))
-    ops = spark.range(0, N_OPS, 1, 2).select(F.col("id").alias("op_id"), (F.col("id") % 25).cast("int").alias("k"), (50 + F.col("id") * 7 % 100 / 100.0).alias("lat"), (4 + F.col("id") * 13 % 100 / 100.0).alias("lon"))
-    return ops.join(n, "k", "left").select("op_id", "op_name", F.when(F.col("op_id") % 3 == 0, "Station").otherwise("Halt").alias("op_type"), "lat", "lon")
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ring through the operational points and chords across it, as far as both ends have customers; their accounts set the lengths."""
+    p = places(spark, sf_dir)
+    kinds = F.array(F.struct(F.lit(1).alias("step"), F.lit(0).alias("first"), F.lit("L1").alias("line_id"), F.lit(500).alias("least"), F.lit(400).alias("span")), F.struct(F.lit(10).alias("step"), F.lit(N_OPS).alias("first"), F.lit("L2").alias("line_id"), F.lit(3000).alias("least"), F.lit(900).alias("span")))
+    both = p.select("op_id", "cents", F.explode(kinds).alias("x")).withColumn("v_node_id", (F.col("op_id") + F.col("x.step")) % N_OPS)
+    both = both.join(p.select(F.col("op_id").alias("v_node_id")), "v_node_id", "left_semi")
+    return both.select((F.col("op_id") + F.col("x.first") + 1).alias("link_id"), F.col("op_id").alias("u_node_id"), "v_node_id", "x.line_id", (F.col("x.least") + F.col("cents") % F.col("x.span")).cast("double").alias("distance_m"))
+
 
+LINKS = PLACES + """, links AS (
+  SELECT u.op_id + first + 1 AS link_id, u.op_id AS u_node_id, v.op_id AS v_node_id, line_id, (least + u.cents % span)::DOUBLE AS distance_m
+  FROM places u CROSS JOIN (SELECT unnest([1, 10]) AS step, unnest([0, 100]) AS first, unnest(['L1', 'L2']) AS line_id, unnest([500, 3000]) AS least, unnest([400, 900]) AS span)
+  JOIN places v ON v.op_id = (u.op_id + step) % 100)"""
 
-NODES = """nodes AS (
-  SELECT id AS op_id, n_name AS op_name, CASE WHEN id % 3 = 0 THEN 'Station' ELSE 'Halt' END AS op_type, 50 + (id * 7 % 100) / 100.0::DOUBLE AS lat, 4 + (id * 13 % 100) / 100.0::DOUBLE AS lon
-  FROM (SELECT unnest(range(100)) AS id) LEFT JOIN nation ON n_nationkey = id % 25)"""
+
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operational points that have customers: named after a customer's nation, placed by their accounts."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"), F.col("n_name").alias("op_name"))
+    p = places(spark, sf_dir).join(n, "nation", "left")
+    kind = F.when(F.col("op_id") % 3 == 0, "Station").otherwise("Halt")
+    return p.select("op_id", "op_name", kind.alias("op_type"), (50 + F.col("op_id") * 7 % 100 / 100.0).alias("lat"), (4 + F.col("cents") % 100 / 100.0).alias("lon"))
+
+
+NODES = """sites AS (
+  SELECT (c_custkey % 100)::BIGINT AS op_id, arg_min(c_nationkey, c_custkey) AS nation, abs(sum(round(c_acctbal * 100)::BIGINT))::BIGINT AS cents FROM customer GROUP BY 1),
+nodes AS (
+  SELECT op_id, n_name AS op_name, CASE WHEN op_id % 3 = 0 THEN 'Station' ELSE 'Halt' END AS op_type, 50 + (op_id * 7 % 100) / 100.0::DOUBLE AS lat, 4 + (cents % 100) / 100.0::DOUBLE AS lon
+  FROM sites LEFT JOIN nation ON n_nationkey = nation)"""
 
 
 def raw_weather(spark: SparkSession, sf_dir: str) -> DataFrame:

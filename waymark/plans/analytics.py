@@ -77,7 +77,7 @@ def active_stations(spark, sf):
 @query("d26_network_of_month", A.with_ctes(A.EV, A.LINKS, tail="SELECT link_id, line_id FROM links WHERE u_node_id IN (SELECT op_id FROM ev WHERE month = '202401' AND event_type = 'A') AND v_node_id IN (SELECT op_id FROM ev WHERE month = '202401' AND event_type = 'A')"))
 def network_of_month(spark, sf):
     seen = A.events(spark, sf).where("month = '202401' and event_type = 'A'").select("op_id").distinct()
-    li = A.links(spark)
+    li = A.links(spark, sf)
     return li.join(seen, F.col("u_node_id") == F.col("op_id"), "left_semi").join(seen, F.col("v_node_id") == F.col("op_id"), "left_semi").select("link_id", "line_id")
 
 

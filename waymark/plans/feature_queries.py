@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import features, journeys
+from ..operators import features, journeys, quantiles
 from . import adapter as A
 from .registry import query
 from .snapshot_queries import BASE, KEY, split, targets
@@ -80,8 +80,10 @@ def travel_times(spark, sf):
     t = journeys.transitions(A.events(spark, sf))
     ten = lambda c: F.floor(F.col(c) / 10).cast("bigint")
     t = t.select(ten("op_id").alias("a"), ten("to_op_id").alias("b"), (S.micros(F.col("to_observed_ts")) - S.micros(F.col("observed_ts"))).alias("us"))
-    g = t.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("us").alias("low"), F.max("us").alias("high"), F.percentile("us", F.array(F.lit(0.5), *map(F.lit, QS))).alias("q"))
-    return g.select("a", "b", "n", "low", "high", F.round(F.col("q")[0], 3).alias("median"), *[F.round(F.col("q")[k + 1], 3).alias(f"q{int(round(x * 100)):02d}") for k, x in enumerate(QS)])
+    names = {"median": 0.5} | {f"q{round(x * 100):02d}": x for x in QS}
+    g = t.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("us").alias("low"), F.max("us").alias("high"))
+    q = quantiles.exact(t, "us", names, ("a", "b"))
+    return g.join(q, ["a", "b"]).select("a", "b", "n", "low", "high", *[F.round(n, 3).alias(n) for n in names])
 
 
 @query("n07_engineered_target", A.with_ctes(*BASE, tail="SELECT train_id, service_date, snapshot_ts, slot, round(sign(future_delay - last_known_delay) * sqrt(abs(future_delay - last_known_delay)), 6) AS target FROM tgt"))

@@ -125,7 +125,7 @@ def link_traffic(spark, sf):
     on = tokens(spark, sf).select("snapshot_ts", F.col("tokens")[0].alias("tok"), "last_known_delay").where(F.col("tok").rlike("^[0-9]+(uv|vu)$"))
     on = on.withColumns({"link_id": F.regexp_extract("tok", "^([0-9]+)", 1).cast("bigint"), "way": F.regexp_extract("tok", "(uv|vu)$", 1)})
     agg = on.groupBy("snapshot_ts", "link_id").agg(*[x for w in ("uv", "vu") for x in (F.count_if(F.col("way") == w).alias(f"{w}_trains"), F.avg(F.when(F.col("way") == w, F.col("last_known_delay"))).alias(f"{w}_delay"))])
-    grid = A.snapshots(spark).select("snapshot_ts").crossJoin(A.links(spark).select("link_id"))  # a dense grid is the feature
+    grid = A.snapshots(spark).select("snapshot_ts").crossJoin(A.links(spark, sf).select("link_id"))  # a dense grid is the feature
     return grid.join(agg, ["snapshot_ts", "link_id"], "left").select("snapshot_ts", "link_id", *[F.coalesce(f"{w}_trains", F.lit(0)).alias(f"{w}_trains") for w in ("uv", "vu")], *[F.round(f"{w}_delay", 6).alias(f"{w}_delay") for w in ("uv", "vu")])
 
 
@@ -184,13 +184,13 @@ def sim_input(spark, sf, day="2024-01-10"):
 
 @query("e07_simulated_delays")
 def simulated(spark, sf):
-    out = simulate.simulate(sim_input(spark, sf, None), A.links(spark), travel_stats(spark, sf))
+    out = simulate.simulate(sim_input(spark, sf, None), A.links(spark, sf), travel_stats(spark, sf))
     return out.select("snapshot_ts", *KEY, F.size("predictions").alias("n_predicted"), F.get("predictions", F.lit(0)).alias("first_delay"))
 
 
 @query("e09_simulated_table")
 def simulated_table(spark, sf):
-    out = simulate.simulate(sim_input(spark, sf, None), A.links(spark))
+    out = simulate.simulate(sim_input(spark, sf, None), A.links(spark, sf))
     return simulate.prediction_table(active(spark, sf), out, 3)
 
 
@@ -287,6 +287,6 @@ def train_station_edge(spark, sf):
 
 @query("d27_embedding_places")
 def embedding_places(spark, sf):
-    emb = geometry.laplacian_embedding(geometry.shipped_edges(A.links(spark)))
+    emb = geometry.laplacian_embedding(geometry.shipped_edges(A.links(spark, sf)))
     e = spark.createDataFrame(list(emb.items()), "op_id bigint, embedding array<double>")
     return A.nodes(spark, sf).join(e, "op_id", "left").select("op_id", "lat", "lon", F.coalesce(F.size("embedding"), F.lit(0)).alias("dim"))

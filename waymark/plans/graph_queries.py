@@ -51,7 +51,7 @@ _rounded = lambda c: f"round({c}, 5) + 0.0::DOUBLE"
 def parts(spark, sf):
     """The five tables. Events are scanned once, into journeys; train states are a table as well, which all five read."""
     arrays = scratch.stored(graphs.journey_arrays(A.events(spark, sf)), "journeys")
-    links = A.links(spark)
+    links = A.links(spark, sf)
     live = graphs.states(arrays, A.snapshots(spark), 3, 3).join(hops(graphs.transitions_of(arrays), links), KEY, "left")
     live = scratch.stored(network.with_tokens(live, 4, 3).drop("hops"), "states")
     nodes = A.nodes(spark, sf).select("op_id", "lat", "lon", (F.col("op_id") % 10).alias("weather_op"))

@@ -19,7 +19,7 @@ from .snapshot_queries import BASE, KEY, split
 @query("s20_path_cache", A.with_ctes(*TO_PATHS, tail="SELECT src, dst, dep_line, path, CASE WHEN src % 2 = 0 THEN 1 ELSE 2 END::INT AS batch FROM found"))
 def path_cache(spark, sf):
     """Paths through a stored table: half of the requests first, then all of them, of which only the others are searched, then all again, of which none is."""
-    asked, links, store = requests(spark, sf), A.links(spark), scratch.new_path(spark, "paths")
+    asked, links, store = requests(spark, sf), A.links(spark, sf), scratch.new_path(spark, "paths")
     network.cached_paths(asked.where("src % 2 = 0"), links, store, 1)
     network.cached_paths(asked, links, store, 2)
     return network.reachable(network.cached_paths(asked, links, store, 3)).select("src", "dst", "dep_line", "path", "batch")
@@ -145,3 +145,17 @@ def parameter_search(spark, sf):
 
     out = search.table(spark, search.search(spark, space, score, 4, (1, 2)))
     return out.withColumn("score", F.round("score", 4))
+
+
+@query("e17_seed_sweep")
+def seed_sweep(spark, sf):
+    """The first horizon trained with three seeds on the train rows, each scored on the test rows; mean and deviation over the seeds, and the best seed."""
+    from .gold_queries import tabular
+
+    t = scratch.stored(tabular(spark, sf), "tabular")
+    names = [c for c in t.columns if c not in (*KEY, "snapshot_ts", "split", "y_1", "y_2", "y_3")]
+    train, test = t.where("split = 'train'"), t.where("split = 'test'")
+    runs = [(seed, boosted.errors(boosted.fit(train, names, "y_1", rounds=3, depth=3, seed=seed), test, "y_1", S.signed_square).first().mae) for seed in (1, 2, 3)]
+    out = spark.createDataFrame(runs, "seed int, mae double")
+    summary = out.agg(F.avg("mae").alias("mean_mae"), F.stddev_pop("mae").alias("std_mae"), F.min("mae").alias("least"))
+    return out.crossJoin(F.broadcast(summary)).select("seed", F.round("mae", 4).alias("mae"), F.round("mean_mae", 4).alias("mean_mae"), F.round("std_mae", 4).alias("std_mae"), (F.col("mae") == F.col("least")).alias("best"))  # one row

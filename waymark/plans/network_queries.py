@@ -86,14 +86,14 @@ def hops(t, links):
 def deduced(spark, sf):
     """(train_id, service_date, deduced_paths): one path for each transition, in order."""
     t = transitions(spark, sf).withColumn("dep_line", F.when(F.col("seq") % 2 == 0, "L1").otherwise("L2"))
-    p = network.reachable(network.paths(requests(spark, sf), network.both_ways(A.links(spark))))
+    p = network.reachable(network.paths(requests(spark, sf), network.both_ways(A.links(spark, sf))))
     t = t.join(p, (t.op_id == p.src) & (t.to_op_id == p.dst) & (t.dep_line == p.dep_line)).select(*KEY, "pos", "path")
     return t.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "path"))), lambda x: x["path"]).alias("deduced_paths"))
 
 
 @query("g01_directed_links", A.with_ctes(A.LINKS, BOTH, tail="SELECT * FROM edges"))
 def directed(spark, sf):
-    return network.both_ways(A.links(spark))
+    return network.both_ways(A.links(spark, sf))
 
 
 @query("w14_transitions", A.with_ctes(A.EV, TRANS, tail="SELECT train_id, service_date, pos, op_id, to_op_id FROM tr"))
@@ -110,14 +110,14 @@ def unordered_edges(spark, sf):
 @query("d08_event_edges_vs_links", A.with_ctes(A.EV, A.LINKS, TRANS, "e AS (SELECT DISTINCT least(op_id, to_op_id) AS a, greatest(op_id, to_op_id) AS b FROM tr WHERE op_id <> to_op_id), l AS (SELECT DISTINCT least(u_node_id, v_node_id) AS a, greatest(u_node_id, v_node_id) AS b FROM links)", tail="SELECT count(*) FILTER (WHERE l.a IS NOT NULL AND e.a IS NOT NULL) AS in_both, count(*) FILTER (WHERE l.a IS NULL) AS events_only, count(*) FILTER (WHERE e.a IS NULL) AS links_only FROM e FULL JOIN l ON e.a = l.a AND e.b = l.b"))
 def edges_vs_links(spark, sf):
     pair = lambda df, u, v: df.where(F.col(u) != F.col(v)).select(*[c.alias(n) for c, n in zip(network.unordered(u, v), ("a", "b"), strict=True)]).distinct()
-    e, li = pair(transitions(spark, sf), "op_id", "to_op_id").withColumn("e", F.lit(1)), pair(A.links(spark), "u_node_id", "v_node_id").withColumn("l", F.lit(1))
+    e, li = pair(transitions(spark, sf), "op_id", "to_op_id").withColumn("e", F.lit(1)), pair(A.links(spark, sf), "u_node_id", "v_node_id").withColumn("l", F.lit(1))
     return e.join(li, ["a", "b"], "full_outer").agg(F.count_if(F.col("e").isNotNull() & F.col("l").isNotNull()).alias("in_both"), F.count_if(F.col("l").isNull()).alias("events_only"), F.count_if(F.col("e").isNull()).alias("links_only"))
 
 
 @query("j17_unordered_lookup", A.with_ctes(A.EV, A.LINKS, TRANS, "l AS (SELECT least(u_node_id, v_node_id) AS a, greatest(u_node_id, v_node_id) AS b, max(link_id) AS link_id FROM links GROUP BY 1, 2)", tail="SELECT train_id, service_date, pos, link_id FROM tr LEFT JOIN l ON a = least(op_id, to_op_id) AND b = greatest(op_id, to_op_id)"))
 def unordered_lookup(spark, sf):
     a, b = network.unordered("u_node_id", "v_node_id")
-    li = A.links(spark).groupBy(a.alias("a"), b.alias("b")).agg(F.max("link_id").alias("link_id"))
+    li = A.links(spark, sf).groupBy(a.alias("a"), b.alias("b")).agg(F.max("link_id").alias("link_id"))
     x, y = network.unordered("op_id", "to_op_id")
     return transitions(spark, sf).withColumns({"a": x, "b": y}).join(li, ["a", "b"], "left").select(*KEY, F.col("pos").cast("bigint").alias("pos"), "link_id")
 
@@ -125,12 +125,12 @@ def unordered_lookup(spark, sf):
 @query("d10_most_parallel_pair", A.with_ctes(A.LINKS, tail="SELECT least(u_node_id, v_node_id) AS a, greatest(u_node_id, v_node_id) AS b, count(*) AS n, list(link_id ORDER BY link_id) AS link_ids FROM links GROUP BY 1, 2 ORDER BY n DESC, a, b LIMIT 1"))
 def parallel_pair(spark, sf):
     a, b = network.unordered("u_node_id", "v_node_id")
-    return A.links(spark).groupBy(a.alias("a"), b.alias("b")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("link_id")).alias("link_ids")).orderBy(F.desc("n"), "a", "b").limit(1)
+    return A.links(spark, sf).groupBy(a.alias("a"), b.alias("b")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("link_id")).alias("link_ids")).orderBy(F.desc("n"), "a", "b").limit(1)
 
 
 @query("u05_station_ids", A.with_ctes(A.LINKS, tail="SELECT u_node_id AS op_id FROM links UNION SELECT v_node_id FROM links"))
 def station_ids(spark, sf):
-    li = A.links(spark)
+    li = A.links(spark, sf)
     return li.select(F.col("u_node_id").alias("op_id")).union(li.select("v_node_id")).distinct()
 
 
@@ -138,7 +138,7 @@ def station_ids(spark, sf):
 def bearings(spark, sf):
     n = A.nodes(spark, sf)
     end = lambda c, p: n.select(F.col("op_id").alias(c), F.col("lat").alias(f"{p}lat"), F.col("lon").alias(f"{p}lon"))
-    j = A.links(spark).join(end("u_node_id", "u"), "u_node_id").join(end("v_node_id", "v"), "v_node_id")
+    j = A.links(spark, sf).join(end("u_node_id", "u"), "u_node_id").join(end("v_node_id", "v"), "v_node_id")
     s, c = geometry.bearing(F.col("ulat"), F.col("ulon"), F.col("vlat"), F.col("vlon"))
     return j.select("link_id", F.round(s, 6).alias("sin_uv"), F.round(c, 6).alias("cos_uv"))
 
@@ -177,7 +177,7 @@ def override_places(spark, sf):
 
 @query("j22_missing_references", A.with_ctes(A.LINKS, A.NODES, "n AS (SELECT op_id FROM nodes WHERE op_id % 9 <> 0)", tail="SELECT DISTINCT op_id FROM (SELECT u_node_id AS op_id FROM links UNION ALL SELECT v_node_id FROM links) ANTI JOIN n USING (op_id)"))
 def missing_references(spark, sf):
-    li, n = A.links(spark), A.nodes(spark, sf).where("op_id % 9 <> 0").select("op_id")
+    li, n = A.links(spark, sf), A.nodes(spark, sf).where("op_id % 9 <> 0").select("op_id")
     return li.select(F.explode(F.array("u_node_id", "v_node_id")).alias("op_id")).join(n, "op_id", "left_anti").distinct()
 
 
@@ -191,7 +191,7 @@ def exact_place(spark, sf):
 
 @query("g02_biased_paths", A.with_ctes(*TO_PATHS, tail="SELECT src, dst, dep_line, dep_line AS arr_line, len(path) AS n_links, array_to_string(path, ',') AS path FROM found"))
 def biased_paths(spark, sf):
-    p = network.paths(requests(spark, sf), network.both_ways(A.links(spark)))
+    p = network.paths(requests(spark, sf), network.both_ways(A.links(spark, sf)))
     return p.select("src", "dst", "dep_line", "arr_line", F.size("path").cast("bigint").alias("n_links"), F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"))
 
 
@@ -208,7 +208,7 @@ def next_segment(spark, sf):
 
 @query("j18_path_lengths", A.with_ctes(*TO_PATHS, tail="SELECT train_id, service_date, sum(list_sum(lens)) AS distance_m FROM hop WHERE len(lens) > 0 GROUP BY 1, 2"))
 def path_lengths(spark, sf):
-    li = A.links(spark).select("link_id", "distance_m")
+    li = A.links(spark, sf).select("link_id", "distance_m")
     return deduced(spark, sf).select(*KEY, F.explode(F.flatten("deduced_paths")).alias("link_id")).join(li, "link_id").groupBy(*KEY).agg(F.sum("distance_m").alias("distance_m"))
 
 
@@ -220,7 +220,7 @@ def traversals(spark, sf):
 
 def tokens(spark, sf, size=4, past=1, future=1, keep=()):
     """Active journeys with their tokens, and what else the split of the journey has (keep)."""
-    s = split(spark, sf, past, future).join(hops(transitions(spark, sf), A.links(spark)), KEY, "left")
+    s = split(spark, sf, past, future).join(hops(transitions(spark, sf), A.links(spark, sf)), KEY, "left")
     s = network.with_tokens(s, size, past)
     w = W.partitionBy("snapshot_ts").orderBy("service_date", "train_id")
     return s.select(*KEY, "snapshot_ts", "last_known_delay", F.col("future_slots")[0]["planned_ts"].alias("planned_1"), "tokens", F.row_number().over(w).cast("bigint").alias("journey_ord"), *keep)
@@ -243,6 +243,13 @@ def trains_on_links(spark, sf):
     return rows.select("snapshot_ts", "journey_ord", F.col("link_slot").cast("bigint").alias("link_slot"), "tok", "n_trains", F.round("mean_delay", 6).alias("mean_delay"))
 
 
+@query("a13_counts_by_link_token", A.with_ctes(*TO_TOKENS, tail="SELECT snapshot_ts, tok, n_on AS n, round(mean_on, 6) AS mean_delay FROM on_link"))
+def counts_by_link_token(spark, sf):
+    """Trains on each link, direction or stop at each snapshot, and their mean delay."""
+    on = tokens(spark, sf).select("snapshot_ts", F.col("tokens")[0].alias("tok"), "last_known_delay").where("tok <> ''")
+    return on.groupBy("snapshot_ts", "tok").agg(F.count("*").alias("n"), F.round(F.avg("last_known_delay"), 6).alias("mean_delay"))
+
+
 OPS = "wt AS (SELECT active.train_id, active.service_date, snapshot_ts, split, active.start_op_id % 20 AS tok, row_number() OVER (PARTITION BY snapshot_ts, active.start_op_id % 20 ORDER BY start_planned_ts, active.service_date, active.train_id) AS k, max_delay_sec AS d FROM active)"
 
 
@@ -273,7 +280,7 @@ def station_grid(spark, sf):
 
 @query("g14_station_embedding")
 def station_embedding(spark, sf):
-    emb = geometry.laplacian_embedding(geometry.shipped_edges(A.links(spark)))
+    emb = geometry.laplacian_embedding(geometry.shipped_edges(A.links(spark, sf)))
     return spark.createDataFrame([(k, v) for k, v in emb.items()], "op_id bigint, embedding array<double>").select("op_id", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm2"))
 
 
@@ -318,7 +325,7 @@ TOKENS = """t AS (SELECT seq, CASE seq % 4 WHEN 0 THEN '' WHEN 1 THEN 'STOPPED@o
 def token_length(spark, sf):
     e, kind = A.events(spark, sf), F.col("seq") % 4
     tok = F.when(kind == 0, "").when(kind == 1, F.format_string("STOPPED@op%dtoEND", "op_id")).when(kind == 2, F.format_string("%duv", F.col("op_id") + 1)).otherwise(F.format_string("%dvu", F.col("op_id") + 101))
-    return network.token_lengths(e.select("seq", tok.alias("tok")), A.links(spark))
+    return network.token_lengths(e.select("seq", tok.alias("tok")), A.links(spark, sf))
 
 
 SEEN = """near AS (SELECT train_id, first(op_id ORDER BY observed_ts DESC, seq DESC) FILTER (WHERE observed_ts < now) AS a, max(observed_ts) FILTER (WHERE observed_ts < now) AS a_ts,
@@ -338,7 +345,7 @@ def train_places(spark, sf):
     share = (micros(now) - micros(F.col("a.observed_ts"))) / (micros(F.col("b.observed_ts")) - micros(F.col("a.observed_ts")))
     g = g.select("train_id", F.col("a.op_id").alias("u"), F.col("b.op_id").alias("v"), share.alias("share"), *[c.alias(n) for c, n in zip(network.unordered("a.op_id", "b.op_id"), ("lo", "hi"), strict=True)])
     lo, hi = network.unordered("u_node_id", "v_node_id")
-    links = A.links(spark).groupBy(lo.alias("lo"), hi.alias("hi")).agg(F.max("link_id").alias("link_id"))
+    links = A.links(spark, sf).groupBy(lo.alias("lo"), hi.alias("hi")).agg(F.max("link_id").alias("link_id"))
     side = lambda n: A.nodes(spark, sf).select(F.col("op_id").alias(n), F.col("lon").alias(f"{n}_lon"), F.col("lat").alias(f"{n}_lat"))
     out = g.join(side("u"), "u").join(side("v"), "v").join(links, ["lo", "hi"], "left")
     between = lambda c: F.round(F.col(f"u_{c}") + F.col("share") * (F.col(f"v_{c}") - F.col(f"u_{c}")), 6).alias(c)

@@ -64,7 +64,7 @@ _rounded = lambda x, digits=5: f"round({x}, {digits}) + 0.0::DOUBLE"  # noqa: E7
 def wide(spark, sf):
     """Full rows from one scan of the events, kept as a table."""
     arrays = scratch.stored(graphs.journey_arrays(A.events(spark, sf)), "journeys")
-    links = A.links(spark)
+    links = A.links(spark, sf)
     live = graphs.states(arrays, A.snapshots(spark), PAST, FUTURE).join(hops(graphs.transitions_of(arrays), links), KEY, "left")
     live = scratch.stored(network.with_tokens(live, LINKS, PAST).drop("hops"), "states")
     return scratch.stored(rows.full(live, links, hourly(spark, sf), PAST, FUTURE, LINKS, lambda op: op % 10), "rows")

@@ -241,11 +241,10 @@ MONTHS = "m AS (SELECT DISTINCT strftime(snapshot_ts, '%Y%m') AS month FROM snap
 
 @query("n03_month_scoped_index", A.with_ctes(*BASE[:4], MONTHS, tail="SELECT a.train_id, a.service_date, a.snapshot_ts FROM active a JOIN jm USING (train_id, service_date) SEMI JOIN m USING (month)"))
 def month_scoped(spark, sf):
-    """Journeys active at a snapshot, of those that are stored in a month with snapshots: the months are known before any event is read."""
-    months = [r.m for r in A.snapshots(spark).select(F.date_format("snapshot_ts", "yyyyMM").alias("m")).distinct().collect()]  # a row a month
-    events = A.events(spark, sf)
-    stored = events.groupBy(*KEY).agg(F.min("month").alias("month")).where(F.col("month").isin(months))
-    return active(spark, sf).join(stored, KEY, "left_semi").select(*KEY, "snapshot_ts")
+    """Journeys active at a snapshot, of those that are stored in a month with snapshots: only the folders of these months are read."""
+    from .graph_queries import month_scan
+
+    return month_scan(spark, sf).drop("events_count")
 
 
 @query("j24_paired_by_key", A.with_ctes(*BASE, WIDE, tail="SELECT ts, train_id, service_date, future_delay_1 - last_known_delay AS residual_1, future_delay_2 - last_known_delay AS residual_2 FROM wide WHERE train_id::BIGINT % 3 <> 0 AND future_delay_1 IS NOT NULL"))

@@ -30,7 +30,10 @@ def row_counts(spark, sf):
 
 @query("s06_partition_filter", A.with_ctes(A.EV, tail="SELECT service_date, count(*) AS n FROM ev WHERE month = '202401' GROUP BY 1"))
 def partition_filter(spark, sf):
-    return A.events(spark, sf).where("month = '202401'").groupBy("service_date").agg(F.count("*").alias("n"))
+    """A filter on the month of a table by month: it opens one folder."""
+    from .graph_queries import month_folders
+
+    return month_folders(spark, sf)
 
 
 @query("p01_parse_wall_clock", "SELECT event_id, (date_trunc('second', ts))::TIMESTAMP AS parsed FROM events")
@@ -226,10 +229,11 @@ def text_sorted_dates(spark, sf):
     return d.select("service_text", F.row_number().over(W.orderBy("service_text")).cast("bigint").alias("place"))
 
 
-@query("o05_snapshot_union", A.with_ctes(A.SNAP, tail="SELECT snapshot_ts, row_number() OVER (ORDER BY snapshot_ts) AS place FROM (SELECT snapshot_ts FROM snap WHERE split = 'train' UNION SELECT snapshot_ts FROM snap WHERE split = 'test' OR snapshot_ts < TIMESTAMP '2024-01-05 00:00:00')"))
+@query("o05_snapshot_union", A.with_ctes(A.EV, A.SNAP, "full_days AS (SELECT service_date FROM ev GROUP BY 1 HAVING max(delay_sec) > 2000), s AS (SELECT * FROM snap WHERE strftime(snapshot_ts, '%Y-%m-%d') IN (SELECT service_date FROM full_days))", tail="SELECT snapshot_ts, row_number() OVER (ORDER BY snapshot_ts) AS place FROM (SELECT snapshot_ts FROM s WHERE split = 'train' UNION SELECT snapshot_ts FROM s WHERE split = 'test' OR snapshot_ts < TIMESTAMP '2024-01-05 00:00:00')"))
 def snapshot_union(spark, sf):
-    """Train and test snapshots once each, in order of time."""
-    s = A.snapshots(spark)
+    """Train and test snapshots of days with very late trains, once each, in order of time."""
+    days = A.events(spark, sf).groupBy("service_date").agg(F.max("delay_sec").alias("d")).where("d > 2000").select(F.col("service_date").alias("day"))
+    s = A.snapshots(spark).join(days, F.date_format("snapshot_ts", "yyyy-MM-dd") == F.col("day"), "left_semi")
     both = s.where("split = 'train'").select("snapshot_ts").union(s.where("split = 'test' or snapshot_ts < timestamp_ntz '2024-01-05 00:00:00'").select("snapshot_ts")).distinct()
     return both.select("snapshot_ts", F.row_number().over(W.orderBy("snapshot_ts")).cast("bigint").alias("place"))
 

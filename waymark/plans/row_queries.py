@@ -18,7 +18,6 @@ LINKS = 4
 NAMES = rows.columns(PAST, FUTURE, LINKS)
 EVERY = [c for group in NAMES.values() for c in group]
 _root = lambda x: f"sign({x}) * sqrt(abs({x}))"
-_joined = lambda table, name, k: f"LEFT JOIN (SELECT * FROM {table} WHERE slot = {k}) {name}{k} ON {name}{k}.train_id = r.train_id AND {name}{k}.service_date = r.service_date AND {name}{k}.snapshot_ts = r.snapshot_ts"
 _delta = lambda at: _root(f"(epoch_us({at}) - epoch_us(r.snapshot_ts)) / 1e6")
 _DAY = "(extract(hour FROM r.snapshot_ts) + extract(minute FROM r.snapshot_ts) / 60.0 + extract(second FROM r.snapshot_ts) / 3600.0) / 24.0"
 _YEAR = "extract(doy FROM r.snapshot_ts) / 365.0"
@@ -28,17 +27,17 @@ def _cells() -> dict[str, str]:
     """The SQL of every column, by name."""
     c = {"last_known_delay": _root("r.last_known_delay")}
     for k in range(1, PAST + 1):
-        c[f"past_delay_sec_{k}"] = _root(f"coalesce(p{k}.delay_sec, 0)")
-        c[f"past_{k}_planned_delta"] = _delta(f"coalesce(p{k}.planned_ts, a.start_planned_ts - INTERVAL 5 MINUTE)")
+        c[f"past_delay_sec_{k}"] = _root(f"coalesce(p{k}_delay, 0)")
+        c[f"past_{k}_planned_delta"] = _delta(f"coalesce(p{k}_planned, a.start_planned_ts - INTERVAL 5 MINUTE)")
     for k in range(1, FUTURE + 1):
-        c[f"future_{k}_planned_delta"] = _delta(f"coalesce(f{k}.planned_ts, a.end_planned_ts + INTERVAL 5 MINUTE)")
-        c[f"y_{k}"] = _root(f"(f{k}.delay_sec - r.last_known_delay)")
+        c[f"future_{k}_planned_delta"] = _delta(f"coalesce(f{k}_planned, a.end_planned_ts + INTERVAL 5 MINUTE)")
+        c[f"y_{k}"] = _root(f"(f{k}_delay - r.last_known_delay)")
     for way, name in (("past", "p"), ("future", "f")):
-        c |= {f"{way}_{k}_event_type_{t}": f"coalesce(({name}{k}.event_type = '{t}')::INT, 0)" for k in range(1, PAST + 1) for t in S.EVENT_TYPES}
+        c |= {f"{way}_{k}_event_type_{t}": f"coalesce(({name}{k}_kind = '{t}')::INT, 0)" for k in range(1, PAST + 1) for t in S.EVENT_TYPES}
     for k in range(LINKS):
-        c[f"link_{k}_n_trains"] = "r.n_ahead" if k == 0 else f"coalesce(o{k}.n_on, 0)"
-        c[f"link_{k}_mean_delay"] = _root("coalesce(r.mean_ahead, 0)") if k == 0 else _root(f"coalesce(o{k}.mean_on, 0)")
-        c[f"link_{k}_metres"] = f"coalesce(l{k}.distance_m, 0)"
+        c[f"link_{k}_n_trains"] = "r.n_ahead" if k == 0 else f"coalesce(n_{k}, 0)"
+        c[f"link_{k}_mean_delay"] = _root("coalesce(r.mean_ahead, 0)") if k == 0 else _root(f"coalesce(mean_{k}, 0)")
+        c[f"link_{k}_metres"] = f"coalesce(metres_{k}, 0)"
     for unit, part in (("hour", _DAY), ("year", _YEAR)):
         c |= {f"snapshot_{unit}_{f}_{k}": f"{f}({part} * {6.283185307179586 * k!r})" for k in S.FREQUENCIES for f in ("sin", "cos")}
     c |= {f"snapshot_day_{d}": f"(dayname(r.snapshot_ts) = '{d}')::INT" for d in S.WEEKDAYS}
@@ -48,13 +47,24 @@ def _cells() -> dict[str, str]:
     return c
 
 
-_SLOTS = "\n  ".join(_joined("pst", "p", k) + " " + _joined("fut", "f", k) for k in range(1, PAST + 1))
-_TOKENS = "\n  ".join((f"LEFT JOIN on_link o{k} ON o{k}.snapshot_ts = r.snapshot_ts AND o{k}.tok = r.tokens[{k + 1}] " if k else "") + f"LEFT JOIN links l{k} ON r.tokens[{k + 1}] IN (l{k}.link_id || 'uv', l{k}.link_id || 'vu')" for k in range(LINKS))
-ROW = f"""wide AS (
+_one = lambda when, what, name: f"max(CASE WHEN {when} THEN {what} END) AS {name}"
+_SLOTS = ", ".join(_one(f"way = '{w}' AND slot = {k}", what, f"{w}{k}_{name}") for w in "pf" for k in range(1, PAST + 1) for what, name in (("planned_ts", "planned"), ("delay_sec", "delay"), ("event_type", "kind")))
+_TOKENS = ", ".join(_one(f"k = {k}", what, f"{name}_{k}") for k in range(LINKS) for what, name in (("n_on", "n"), ("mean_on", "mean"), ("distance_m", "metres")))
+ROW = f"""sl AS MATERIALIZED (
+  SELECT train_id, service_date, snapshot_ts, {_SLOTS} FROM (
+    SELECT train_id, service_date, snapshot_ts, 'p' AS way, slot, planned_ts, delay_sec, event_type FROM pst WHERE slot <= 3
+    UNION ALL SELECT train_id, service_date, snapshot_ts, 'f', slot, planned_ts, delay_sec, event_type FROM fut WHERE slot <= 3)
+  GROUP BY 1, 2, 3),
+ways AS (SELECT link_id || 'uv' AS tok, distance_m FROM links UNION ALL SELECT link_id || 'vu', distance_m FROM links),
+tl AS MATERIALIZED (
+  SELECT train_id, service_date, snapshot_ts, {_TOKENS}
+  FROM (SELECT train_id, service_date, snapshot_ts, unnest(range(0, {LINKS})) AS k, unnest(tokens) AS tok FROM first_tok)
+  LEFT JOIN on_link USING (snapshot_ts, tok) LEFT JOIN ways USING (tok) GROUP BY 1, 2, 3),
+wide AS MATERIALIZED (
   SELECT r.train_id, r.service_date, r.snapshot_ts, r.split, {", ".join(f"({sql})::DOUBLE AS {name}" for name, sql in _cells().items())}
   FROM first_tok r JOIN act a ON a.train_id = r.train_id AND a.service_date = r.service_date
-  {_SLOTS}
-  {_TOKENS}
+  JOIN tl ON tl.train_id = r.train_id AND tl.service_date = r.service_date AND tl.snapshot_ts = r.snapshot_ts
+  LEFT JOIN sl ON sl.train_id = r.train_id AND sl.service_date = r.service_date AND sl.snapshot_ts = r.snapshot_ts
   LEFT JOIN v ON v.train_id = r.train_id AND v.service_date = r.service_date AND v.snapshot_ts = r.snapshot_ts)"""
 TO_ROWS = (*TO_TOKENS, A.WX, HOURLY, NOW, VALUES, ROW)
 _head = "train_id, service_date, snapshot_ts, split"

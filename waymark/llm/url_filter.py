@@ -10,7 +10,8 @@ before allow. Where none fits the verdict is ``default``.
 The rule list is a parameter of checked size (``MAX_RULES``); it travels with the function.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path, no rule and
-the default verdict. Ports and user names are part of the host, as written. Repeated rows are
+the default verdict. Ports and user names are part of the host, as written. Urls may be of any length; a rule
+with several ``*`` may try their places in turn, so lists with such rules cost more on long urls. Repeated rows are
 judged each. An empty table gives an empty result. Extra columns pass through ``judge``; those
 with an output's name are replaced.
 """

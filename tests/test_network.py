@@ -240,3 +240,36 @@ def test_unreachable(spark):
     with pytest.raises(Exception, match="no path: 1 to 9"):
         network.reachable(found).collect()
     assert network.reachable(found.where("dst <> 9")).count() == 2
+
+
+def on_two_links(spark, n=2):
+    """(active, links): n trains one behind the other over two links, at a stop of 100 s each."""
+    links = spark.createDataFrame([(1, 10, 11, 1000.0), (2, 11, 12, 1000.0)], "link_id long, u_node_id long, v_node_id long, distance_m double")
+    t0 = 1_704_067_200
+    rows = [(f"t{k}", "d", "IC", 0, 0.0, [[1], [2]], [(10 + j, "P", "L", "L", t0 + 10 * k + 300 * j) for j in range(3)]) for k in range(n)]
+    active = spark.createDataFrame(rows, "train_id string, service_date string, train_relation string, event_idx int, last_known_delay double, path array<array<long>>, events array<struct<op_id:long,event_type:string,line_dep:string,line_arr:string,planned_s:long>>")
+    return active.withColumn("snapshot_ts", F.lit("2024-01-01 00:01:40").cast("timestamp_ntz")), links
+
+
+def test_travel_times_meet_the_trains_in_a_join(spark, monkeypatch):
+    """Not in a table that every Python worker holds: they never pass the driver."""
+    active, links = on_two_links(spark)
+    stats = spark.sql("SELECT 11L AS from_op_id, 'P' AS from_event_type, 'L' AS from_dep_line, 12L AS to_op_id, 'P' AS to_event_type, 'L' AS to_arr_line, 'IC' AS train_relation, 0D AS q40, 400D AS q45, 500D AS median")
+    monkeypatch.setattr(type(stats), "toLocalIterator", lambda *a, **k: pytest.fail("travel times were collected"))
+    got = {r.train_id: r.predictions for r in simulate.simulate(active, links, stats).collect()}
+    assert got == {"t0": [0.0, 100.0], "t1": [30.0, 130.0]}
+    assert {r.train_id: r.predictions for r in simulate.simulate(active, links).collect()} == {"t0": [0.0, 0.0], "t1": [30.0, 30.0]}
+
+
+def test_a_train_takes_few_bytes():
+    import tracemalloc
+
+    n = 20_000
+    at = lambda k: np.arange(n + 1, dtype=np.int64) * k
+    fleet = simulate.Fleet(np.zeros(n, np.int64), np.zeros(n), at(3), (np.arange(n)[:, None] + np.array([0, 300, 600])).ravel(), np.tile([10, 11, 12], n), at(2), np.full(2 * n, np.nan), np.arange(2 * n + 1), np.tile([1, 2], n))
+    net = simulate.Network({1: 1000.0, 2: 1000.0}, {1: (10, 11), 2: (11, 12)}, {})
+    tracemalloc.start()
+    out_at, out = net.forecast(fleet, np.arange(n), 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out) == 2 * n and peak < 600 * n

@@ -142,3 +142,17 @@ def test_switches_of_the_chain(spark, monkeypatch):
     both = [clean.build_events(stops, params=p).count() for p in (None, {"apply_intra_stop_conflicts": "off", "apply_planned_monotonic": "no", "observed_monotonic_threshold_sec": 30})]
     assert both[0] == both[1] > 0
     assert taken == [("resolve_conflicts", 120), ("clamp_backward", "planned_ts", 120), ("clamp_backward", "observed_ts", 120), ("clamp_backward", "observed_ts", 30)]
+
+
+@pytest.mark.parametrize("by_journey", [False, True])
+def test_large_stop_tables_are_dealt_to_more_tasks(spark, monkeypatch, by_journey):
+    """A task's share of the stop records stays the same, and so do the records."""
+    from waymark.plans import adapter as A
+
+    sf = "/root/testdata/sf0.001"
+    before = sorted(A.stops(spark, sf).collect())
+    monkeypatch.setattr(A, "STOPS_A_TASK", 200)
+    many = A.stops(spark, sf, by_journey) if by_journey else A.stops(spark, sf)
+    assert many.rdd.getNumPartitions() == -(-len(before) // 200) and sorted(many.collect()) == before
+    if by_journey:
+        assert clean.resolve_conflicts(many).rdd.getNumPartitions() == -(-len(before) // 200)

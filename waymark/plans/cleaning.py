@@ -45,19 +45,19 @@ def conflict_flags(spark, sf):
 
 @query("p05_resolve_conflicts", A.with_ctes(A.STOPS, FIXED, tail="SELECT train_id, service_date, seq, planned_arr_ts, planned_dep_ts, obs_arr_ts, obs_dep_ts FROM fixed"))
 def resolve(spark, sf):
-    return clean.resolve_conflicts(A.stops(spark, sf)).select(*KEY, "seq", "planned_arr_ts", "planned_dep_ts", "obs_arr_ts", "obs_dep_ts")
+    return clean.resolve_conflicts(A.stops(spark, sf, by_journey=True)).select(*KEY, "seq", "planned_arr_ts", "planned_dep_ts", "obs_arr_ts", "obs_dep_ts")
 
 
 @query("j05_bad_journeys_dropped", A.with_ctes(A.STOPS, f"badkeys AS (SELECT DISTINCT train_id, service_date FROM stops WHERE {_P} > 120000000)", tail="SELECT train_id, service_date, count(*) AS n_stops FROM stops ANTI JOIN badkeys USING (train_id, service_date) GROUP BY ALL"))
 def bad_journeys(spark, sf):
-    s = A.stops(spark, sf)
+    s = A.stops(spark, sf, by_journey=True)
     bad = s.where(seconds_between(F.col("planned_arr_ts"), F.col("planned_dep_ts")) > 120).select(*KEY).distinct()
     return s.join(bad, KEY, "left_anti").groupBy(*KEY).agg(F.count("*").alias("n_stops"))
 
 
 @query("o02_stops_to_events", A.with_ctes(A.STOPS, FIXED, EVENTS, tail=f"SELECT {COLS}, arr_line_id, dep_line_id FROM three"))
 def explode_stops(spark, sf):
-    return clean.stops_to_events(clean.resolve_conflicts(A.stops(spark, sf))).select(*COLS.split(", "), "arr_line_id", "dep_line_id")
+    return clean.stops_to_events(clean.resolve_conflicts(A.stops(spark, sf, by_journey=True))).select(*COLS.split(", "), "arr_line_id", "dep_line_id")
 
 
 @query("w02_clamp_planned", A.with_ctes(A.EV, clamp_sql("ev", "c", "planned_ts"), tail=f"SELECT {COLS} FROM c"))
@@ -114,7 +114,7 @@ def timestamps_present(spark, sf):
 
 @query("s_build_events", "WITH " + BUILT + f" SELECT {COLS}, delay_sec FROM built")
 def build_events(spark, sf):
-    return clean.build_events(A.stops(spark, sf)).select(*COLS.split(", "), "delay_sec")
+    return clean.build_events(A.stops(spark, sf, by_journey=True)).select(*COLS.split(", "), "delay_sec")
 
 
 @query("o01_stable_sort", A.with_ctes(A.EV, tail="SELECT seq, row_number() OVER (ORDER BY service_date, train_id, seq) AS place FROM ev"))

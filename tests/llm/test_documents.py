@@ -349,6 +349,19 @@ def test_tokens_of_odd_texts():
         assert np.frombuffer(ids, "<u2").tolist() == t.encode(text, add_special_tokens=False).ids + [2], repr(text)
 
 
+def test_plain_texts_cost_a_lookup_a_part():
+    """However many different words they have: the words of a plain text are never looked up or kept themselves."""
+    from tokenizers import Tokenizer
+
+    t, path = Tokenizer.from_file(packing.vocabulary_path()), packing.vocabulary_path()
+    text = " ".join(f"{a}{p}{b}" for a in ("Rail", "émile", "don't") for b in ("way", "Été", "7") for p in ",.;!-")
+    parts, words = packing._caches(path)
+    before = len(words) + len(words.old)
+    (ids,) = packing.token_ids([text], path)
+    assert np.frombuffer(ids, "<u2").tolist() == t.encode(text, add_special_tokens=False).ids + [2]
+    assert len(words) + len(words.old) == before and "rail" in parts
+
+
 def test_texts_without_a_letter_have_no_language(spark):
     """Numbers that are no digits (fractions, superscripts, circled, Roman) are no letters either."""
     texts = ["½", "²", "①②", "Ⅷ", "12 ½ _ !", "一", "ªm", "½ a", "\u0301", ""]

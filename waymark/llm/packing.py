@@ -5,9 +5,10 @@ partition. Prefix sums over the partitions' token totals turn that place into a
 offset. Pass 2 cuts the stream every ``length`` ids; a document that crosses a cut leaves a
 boundary record on both sides. All sequences but the last are full.
 
-Text is tokenised word by word (the vocabulary's words never span white space) through a
-bounded cache, so a word costs one lookup however often it occurs. Plain words are cut by the
-vocabulary's rules and merged by its model; any other word goes through the whole tokenizer.
+Plain texts are cut by the vocabulary's rules and their parts merged by its model, through a
+bounded cache, so a part costs one lookup however often it occurs. Any other text is tokenised
+word by word (the vocabulary's words never span white space), also through a cache; words that
+are not plain go through the whole tokenizer.
 
 Defined cases: a null or empty text is the end id alone. Very long texts are cut like any
 other. Rows that share a doc_id are packed each on its own. A null doc_id stays null. An
@@ -32,13 +33,14 @@ from .common import Cache, worker_state, written
 
 LENGTH, END_ID = 4096, 2
 #: Bytes of the caches of words and of parts of words, in each Python worker.
-CACHE_WORDS, CACHE_PARTS = 32 << 20, 48 << 20
+CACHE_WORDS, CACHE_PARTS = 16 << 20, 64 << 20
 #: Partition totals up to this many rows (24 bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
-#: What the vocabulary's own rules make of lower-case Latin-1 text: contractions, letters, single digits, the rest.
+#: What the vocabulary's own rules make of lower-case Latin-1 text: contractions, letters, single digits, the rest; white space parts them.
 _LETTERS, _DIGITS = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe"
-_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_LETTERS}{_DIGITS}]+")
+_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_LETTERS}{_DIGITS}\t-\r ]+")
 _PLAIN = re.compile(r"[\x21-\x7e\xa1-\xff]*")
+_PLAIN_BYTES = bytes([*range(0x09, 0x0E), *range(0x20, 0x7F), *range(0xA1, 0x100)])
 
 
 def vocabulary_path() -> str:
@@ -53,11 +55,19 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in visible else chr(next(more)) for b in range(256)]
 
 
-def _words(path: str, limit: int = CACHE_WORDS) -> Cache:
-    """Ids by word (bytes without white space), kept while the Python worker packs; limit: bytes of the cache, when it is made."""
+def _plain(text: str) -> bool:
+    """Whether a text is printable Latin-1 and white space without anything like a special token."""
+    try:
+        return not text.encode("latin-1").translate(None, _PLAIN_BYTES) and "<|" not in text
+    except UnicodeEncodeError:
+        return False
+
+
+def _caches(path: str, limit: int = CACHE_WORDS) -> tuple[Cache, Cache]:
+    """Ids by part (lower-case text) and by word (bytes without white space), kept while the Python worker packs; limit: bytes of the cache of words, when it is made."""
     kept = worker_state("packing")
     if kept.get("path") == path:
-        return kept["words"]
+        return kept["parts"], kept["words"]
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -72,17 +82,22 @@ def _words(path: str, limit: int = CACHE_WORDS) -> Cache:
             return b"".join(map(parts.__getitem__, _PARTS.findall(text.lower())))
         return pack(tokenizer.encode(text, add_special_tokens=False).ids)
 
-    kept.update(path=path, words=Cache(word, limit))
-    return kept["words"]
+    kept.update(path=path, parts=parts, words=Cache(word, limit))
+    return kept["parts"], kept["words"]
 
 
 def token_ids(texts, path: str, end_id: int = END_ID, limit: int = CACHE_WORDS) -> list[bytes]:
     """Each text's ids with the end id, as little-endian 16-bit numbers."""
-    ids, end, out = _words(path, limit).__getitem__, struct.pack("<H", end_id), []
+    parts, words = (c.__getitem__ for c in _caches(path, limit))
+    end, out = struct.pack("<H", end_id), []
     for text in texts:
-        raw = (text or "").encode("utf-8", "surrogatepass")
+        text = text or ""
+        if _plain(text):
+            out.append(b"".join(map(parts, _PARTS.findall(text.lower()))) + end)
+            continue
+        raw = text.encode("utf-8", "surrogatepass")
         raw = raw if b"<|" in raw else raw.lower()  # special tokens are told by their case
-        out.append(b"".join(map(ids, raw.split())) + end)
+        out.append(b"".join(map(words, raw.split())) + end)
     return out
 
 

@@ -111,3 +111,17 @@ def test_boosted_trees_mask_rows_without_a_target(spark):
     out = {f: (n, change) for f, n, _, change in boosted.ablation(df, df, names, "y")}
     assert out["all"] == (0, 0.0) and set(out) == {"all", "past_delay_features", "weather_features"}
     assert out["past_delay_features"][1] > 5 and abs(out["weather_features"][1]) < 2
+
+
+def test_the_pairs_of_an_evaluation_are_joined_once(spark):
+    """However many tables are made of them: each value of the truth is read once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(x):
+        seen.add(1)
+        return x
+
+    truth, pred = tables(spark, [("a", 23.0), ("b", 0.0)])
+    truth = truth.withColumn("last_known_delay", F.udf(look, "double")(F.col("last_known_delay").cast("double")))
+    assert evaluate.evaluate(truth, pred)["n_values"] > 0
+    assert seen.value == truth.count()

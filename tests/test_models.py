@@ -196,3 +196,19 @@ def test_models_come_back_and_end_early(spark, tmp_path):
     a, b = (sorted((x.a, x.predicted_t, x.predicted_noise) for x in boosted.predictions(m, df).collect()) for m in (models, again))
     assert a == b and len(a) == 400
     assert boosted.errors(again["t"], df, "t").first().mae < 0.4
+
+
+def test_fits_of_several_targets_run_at_once(spark, monkeypatch):
+    """All are under way together, and each is what it is alone."""
+    from threading import Barrier
+
+    from waymark.operators import boosted
+
+    rows = spark.range(400).select((F.col("id") % 17).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"), (F.col("id") % 17 * 2).cast("double").alias("y_1"), (F.col("id") % 5 * 3).cast("double").alias("y_2")).persist()
+    alone, together = boosted.fit, Barrier(2, timeout=60)
+    one = {y: alone(rows, ["a", "b"], y, rounds=2, depth=2)[0].toDebugString for y in ("y_1", "y_2")}
+    monkeypatch.setattr(boosted, "fit", lambda *a, **k: (together.wait(), alone(*a, **k))[1])
+    both = boosted.fit_all(rows, ["a", "b"], ["y_1", "y_2"], rounds=2, depth=2)
+    rows.unpersist()
+    tail = lambda text: text.split("\n", 1)[1]  # noqa: E731  without the model's id
+    assert {y: tail(m[0].toDebugString) for y, m in both.items()} == {y: tail(t) for y, t in one.items()}

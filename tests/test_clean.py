@@ -1,6 +1,7 @@
 """Hand-checked cases of the cleaning chain, journeys and snapshots."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,6 +57,22 @@ def test_clamp(spark, times, want):
     assert [sec(r.planned_ts) for r in out] == (want or [])
 
 
+def test_streaks_by_hand_and_in_one_sort(spark):
+    r = random.Random(7)
+    cases = [[r.choice([None, *range(0, 400, 10)]) for _ in range(r.randrange(1, 12))] for _ in range(40)]
+    df = spark.createDataFrame([(f"t{j}", "d", k, k, "P", at(s), at(0)) for j, times in enumerate(cases) for k, s in enumerate(times)], EVENT)
+    got = {(x.train_id, x.seq): (x.top, x.streak) for x in clean.with_streaks(df, "planned_ts", "top", "streak").collect()}
+    for j, times in enumerate(cases):
+        top, streak = None, 0
+        for k, s in enumerate(times):
+            step = s - times[k - 1] if k and None not in (s, times[k - 1]) else None
+            streak = 0 if step is not None and step >= 0 else streak + (step or 0)
+            top = s if top is None or (s is not None and s > top) else top
+            assert got[f"t{j}", k] == (at(top), streak * 1_000_000)
+    plan = clean.clamp_backward(df, "planned_ts", 120)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1
+
+
 @pytest.mark.parametrize("delay,kept", [(14_400, True), (14_401, False), (-3_600, True), (-3_601, False)])
 def test_delay_bounds(spark, delay, kept):
     df = clean.add_delay(events(spark, [0, 10], [0, 10 + delay]))

@@ -1,6 +1,7 @@
 """Cached paths, padded batches and inference, feature specifications, the chunked source."""
 
 import datetime as dt
+import os
 import random
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waymark.operators import batches, network, specification
-from waymark.sources import chunked
+from waymark.sources import chunked, scratch
 
 LINKS = "link_id long, u_node_id long, v_node_id long, line_id string, distance_m double"
 
@@ -212,3 +213,21 @@ def test_fits_of_several_targets_run_at_once(spark, monkeypatch):
     rows.unpersist()
     tail = lambda text: text.split("\n", 1)[1]  # noqa: E731  without the model's id
     assert {y: tail(m[0].toDebugString) for y, m in both.items()} == {y: tail(t) for y, t in one.items()}
+
+
+def _kept_plans(monkeypatch):
+    plans, store = {}, scratch.stored
+    monkeypatch.setattr(scratch, "stored", lambda df, name, *by: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or store(df, name, *by))
+    return plans
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="driver tables are not here")
+@pytest.mark.parametrize("name", ["e09"])
+def test_events_are_scanned_once(spark, monkeypatch, name):
+    """For the simulation, and for the rows that models are trained on: everything else reads the table of journeys."""
+    from waymark.plans import gold_queries
+
+    plans = _kept_plans(monkeypatch)
+    out = (gold_queries.simulated_table if name == "e09" else gold_queries.tabular)(spark, "/root/testdata/sf0.001")
+    assert plans["journeys"].count("FileScan") == 1 and "events.parquet" in plans["journeys"]
+    assert "events.parquet" not in out._jdf.queryExecution().executedPlan().toString()

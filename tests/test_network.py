@@ -71,6 +71,14 @@ def test_paths_on_spark(spark):
     assert got == {(1, 3): [1, 2], (3, 1): [2, 1], (1, 9): None}
 
 
+def test_path_searches_are_dealt_to_all_places(spark):
+    """Small requests would else meet in one task."""
+    links = spark.range(1, 30).selectExpr("id AS link_id", "id AS u_node_id", "id + 1 AS v_node_id", "'x' AS line_id", "5D AS distance_m")
+    req = spark.createDataFrame([(a, b, "x", "x") for a in range(1, 30) for b in range(1, 30)], "src long, dst long, dep_line string, arr_line string")
+    found = network.paths(req, network.both_ways(links)).withColumn("task", F.spark_partition_id()).collect()
+    assert len(found) == 29 * 29 and len({r.task for r in found}) >= spark.sparkContext.defaultParallelism
+
+
 def window_by_hand(path, ops, plan, event, now, delay, size, lengths, ends):
     """The tokens of one journey, link by link."""
     ahead = lambda t: next((str(x[0]) for x in path[t:] if x), "END")

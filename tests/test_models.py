@@ -222,7 +222,7 @@ def _kept_plans(monkeypatch):
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="driver tables are not here")
-@pytest.mark.parametrize("name", ["e09"])
+@pytest.mark.parametrize("name", ["e09", "tabular"])
 def test_events_are_scanned_once(spark, monkeypatch, name):
     """For the simulation, and for the rows that models are trained on: everything else reads the table of journeys."""
     from waymark.plans import gold_queries
